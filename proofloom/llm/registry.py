@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from proofloom.llm import mixing, ogg, sharding
+from proofloom.llm import html_text, lines, mixing, ogg, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op2_hilbert_sharding": sharding.op2_hilbert_sharding,
+        "op4_simhash_pigeonhole": simhash.op4_simhash_pigeonhole,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op7_poisson_mixing": mixing.op7_poisson_mixing,
+        "op8_bradley_terry": quality.op8_bradley_terry,
+        "op9_html_line_blocks": html_text.op9_html_line_blocks,
         "op10_ogg_media": ogg.op10_ogg_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_poisson_mixing": mixing.OP7_SQL}
+    return {"op6_line_dedup": lines.OP6_SQL, "op7_poisson_mixing": mixing.OP7_SQL}
