@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from proofloom.llm import html_text, lines, mixing, ogg, quality, sharding, simhash
+from proofloom.llm import ctw, html_text, lines, mixing, ogg, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_context_tree": ctw.op1_context_tree,
         "op2_hilbert_sharding": sharding.op2_hilbert_sharding,
         "op4_simhash_pigeonhole": simhash.op4_simhash_pigeonhole,
         "op6_line_dedup": lines.op6_line_dedup,
