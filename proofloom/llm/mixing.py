@@ -63,8 +63,9 @@ def mix_sources(df: DataFrame, key: str = "doc_id", group: str = "source", size:
     rates = source_rates(df, grp, size, targets, temperature)
     checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a target asks for more than {MAX_RATE} copies of each document")).cast("double"))
     rates = rates.withColumn("cdf", poisson_cdf(checked))
-    drawn = wrapped(df, grp=grp, k=F.col(key)).join(rates, "grp").withColumn("u", uniform(seed, F.col("k"))).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf")
-    copies = drawn.filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # u is computed below the join: above it, it would be folded into the search and hashed again at every step
+    drawn = wrapped(df, grp=grp, k=F.col(key), u=uniform(seed, F.col(key))).join(rates, "grp").withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf")
+    copies = drawn.select("row", "k", "n", F.posexplode(F.array_repeat(F.lit(True), F.col("n"))).alias("copy", "drawn"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("k").cast("string"), F.lit("")), F.col("copy").cast("string")))
     placed = copies.select("row.*", F.col("copy").alias("mix_copy"), F.col("n").alias("mix_copies"), order.alias("mix_order"))
     return placed.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
