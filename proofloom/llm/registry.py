@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofloom.llm import ctw, html_text, lines, mixing, ogg, quality, sharding, simhash
+from proofloom.llm import ctw, decontam, html_text, lines, mixing, ogg, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_context_tree": ctw.op1_context_tree,
         "op2_hilbert_sharding": sharding.op2_hilbert_sharding,
         "op4_simhash_pigeonhole": simhash.op4_simhash_pigeonhole,
+        "op5_spaced_seeds": decontam.op5_spaced_seeds,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_poisson_mixing": mixing.op7_poisson_mixing,
         "op8_bradley_terry": quality.op8_bradley_terry,
