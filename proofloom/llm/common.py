@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,27 @@ def wrapped(df: DataFrame, **extra: Column) -> DataFrame:
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """Total UTF-8 bytes of a column: sizes the number of chunks, reads only that column."""
     return int(df.select(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+
+
+BITMAP_BITS = 26
+
+
+def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS):
+    """A predicate for bigint columns of hashes: false only for values that keys[column] does not hold.
+
+    It is backed by a broadcast bitmap of 2**bits bits (8 MB) whatever the number of keys; a fuller bitmap passes more
+    rows to the exact join that follows, never fewer. Built from at most 2**(bits - 6) aggregated rows.
+    """
+    x = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = keys.select(x.alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_hold(hashes: pd.Series) -> pd.Series:
+        place = hashes.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        held = shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))
+        return pd.Series((held & np.uint64(1)) == 1)
+
+    return may_hold

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from proofloom.llm import ctw, decontam, html_text, lines, mixing, ogg, quality, sharding, simhash
+from proofloom.llm import ctw, decontam, html_text, lines, mixing, ogg, quality, sharding, simhash, suffix
 
 
 def queries() -> dict:
     return {
         "op1_context_tree": ctw.op1_context_tree,
         "op2_hilbert_sharding": sharding.op2_hilbert_sharding,
+        "op3_induced_sorting": suffix.op3_induced_sorting,
         "op4_simhash_pigeonhole": simhash.op4_simhash_pigeonhole,
         "op5_spaced_seeds": decontam.op5_spaced_seeds,
         "op6_line_dedup": lines.op6_line_dedup,
