@@ -8,7 +8,10 @@ fingerprints of fixed size and steers cost only: any allocation finds every link
 
 Equal fingerprints collapse first. Rows (partition, value, fingerprint) are sorted by value and streamed; within a
 value, fingerprints are compared by arithmetic on whole arrays. A large group is searched breadth-first, each found
-fingerprint leaving the rest, so it yields a spanning forest and never all its pairs.
+one leaving the rest, so it yields a spanning forest and never all its pairs.
+
+`near_duplicates` links fingerprints; `similar_documents` takes fingerprints within WIDE_TAU bits as candidates and links
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -25,32 +28,48 @@ from pyspark.sql import functions as F
 
 from proofloom.llm.common import documents, staged, text_or_empty, wrapped
 from proofloom.llm.components import connected_components
+from proofloom.llm.textnum import Tokens, mix, slices
 
 TAU = 3
 SHINGLE = 3
 SEED = 42
+SHINGLES = 5  # words of a shingle that similarity is measured on
+SIMILARITY = 0.8
+WIDE_TAU = 11  # bits within which texts are candidates for that similarity
+BLOCK = 8192  # texts verified against each other in one task
+SLICE = 4 << 20
 SAMPLE = 4096  # fingerprints that steer the allocation
 PROBE_COST = 40.0  # of a probe row, in comparisons of two fingerprints
-SMALL_GROUP = 24
+SMALL_GROUP = 256
+LINK_ROWS = 1 << 17
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
-    """Eight bytes, most significant first. No words: zero."""
-    words = (text or "").encode().lower().split()
+def words_fingerprint(words: list[bytes], shingle: int = SHINGLE, distinct: bool = False) -> bytes:
+    """Eight bytes, most significant first, of the shingles of words (with repeats unless distinct). No words: zero."""
     if not words:
         return bytes(8)
     k = min(shingle, len(words))
     digest = xxhash.xxh64_digest
-    ones, n = np.zeros(64, dtype=np.int64), len(words) - k + 1
-    for lo in range(0, n, _CHUNK):
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    seen: set[bytes] = set()
+    for lo in range(0, len(words) - k + 1, _CHUNK):
         part = words[lo : lo + _CHUNK + k - 1]
-        hashes = b"".join([digest(s, SEED) for s in map(b" ".join, zip(*[part[i:] for i in range(k)], strict=False))])
-        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8)).reshape(-1, 64)
+        hashes = [digest(s, SEED) for s in map(b" ".join, zip(*[part[i:] for i in range(k)], strict=False))]
+        if distinct:
+            new = set(hashes) - seen
+            seen |= new
+            hashes = list(new)
+        bits = np.unpackbits(np.frombuffer(b"".join(hashes), dtype=np.uint8)).reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.uint32)
+        n += len(hashes)
     return np.packbits(2 * ones > n).tobytes()
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
+    return words_fingerprint((text or "").encode().lower().split(), shingle)
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """key, fp (bigint with the fingerprint's bits): one row per input row."""
 
@@ -121,7 +140,7 @@ def plan_partitions(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[li
             share = np.maximum((counts - len(values)) / max(1, len(values) * (len(values) - 1)), 0.5 ** len(group))
             row = [0.0]
             for t in range(tau - m + 2):
-                probes = sum(comb(len(group), r) for r in range(t + 1))
+                probes = sum(comb(len(group), r) for r in range((t + 1) // 2 + 1))
                 row.append(n * probes * PROBE_COST + n * n / 2 * share[t])
             costs.append(row)
         cost, thresholds = allocate(costs, tau - m + 1)
@@ -129,38 +148,68 @@ def plan_partitions(sample: np.ndarray, n: int, tau: int = TAU) -> list[tuple[li
     return min(plans, key=lambda p: p[:2])[2]
 
 
-def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among complete groups of equal value; rows are sorted by value, then own values before probes."""
+def _roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The least row that each of n rows is connected to."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, root[left], least)
+        np.minimum.at(new, root[right], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.ndarray, tau: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among complete groups of equal value; rows are sorted by value, probes last."""
     starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     sizes = np.diff(np.r_[starts, len(value)])
     left, right = [], []
+    run_of = np.repeat(np.arange(len(starts)), sizes)
     small = np.repeat(sizes <= SMALL_GROUP, sizes)
-    for step in range(1, int(sizes[sizes <= SMALL_GROUP].max(initial=1))):
-        a, b = np.flatnonzero(small[:-step] & (value[:-step] == value[step:]) & ~probe[:-step]), step
-        a = a[np.bitwise_count(fp[a] ^ fp[a + b]) <= tau]
-        left.append(fp[a])
-        right.append(fp[a + b])
+    own = np.flatnonzero(small & ~probe)
+    ends = (starts + sizes)[run_of]
+    step = 1
+    while len(own):
+        own = own[own + step < ends[own]]
+        a, b = own, own + step
+        close = (np.bitwise_count(fp[a] ^ fp[b]) <= tau) & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
+        left.append(a[close])
+        right.append(b[close])
+        step += 1
     for g in np.flatnonzero(sizes > SMALL_GROUP):
-        rows = slice(starts[g], starts[g] + sizes[g])
-        if probe[rows].all():
+        rest = np.arange(starts[g], starts[g] + sizes[g])
+        if probe[rest].all():
             continue
-        rest = np.unique(fp[rows])
         while len(rest):
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 at = queue.pop()
-                near = np.bitwise_count(rest ^ at) <= tau
-                if near.any():
-                    found, rest = rest[near], rest[~near]
+                close = (np.bitwise_count(fp[rest] ^ fp[at]) <= tau) & (np.minimum(size[rest], size[at]) >= ratio * np.maximum(size[rest], size[at]))
+                if close.any():
+                    found, rest = rest[close], rest[~close]
                     left.append(np.full(len(found), at))
                     right.append(found)
-                    queue.extend(found)
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.uint64)
-    return join(left), join(right)
+                    queue.extend(found.tolist())
+    if not left:
+        return fp[:0], fp[:0]
+    i, j = np.concatenate(left), np.concatenate(right)
+    rows, index = np.unique(np.r_[i, j], return_inverse=True)
+    root = _roots(index[: len(i)], index[len(i) :], len(rows))
+    a, b = fp[rows[root]], fp[rows]
+    different = a != b
+    return a[different], b[different]
+
 
+def fingerprint_links(prints: DataFrame, tau: int = TAU, ratio: float = 0.0, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """prints: distinct fp, or (fp, size). Returns a, b: links that connect whatever is linked at tau bits or fewer.
 
-def fingerprint_links(prints: DataFrame, tau: int = TAU, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """prints: distinct fp. Returns a, b: links that connect whatever is linked at tau bits or fewer."""
+    With a ratio, rows are linked only if the smaller size is at least that share of the larger.
+    """
+    if "size" not in prints.columns:
+        prints = prints.select("fp", F.lit(0).alias("size"))
     if plan is None:
         picked = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
         plan = plan_partitions(picked, prints.count(), tau) if len(picked) else []
@@ -170,33 +219,35 @@ def fingerprint_links(prints: DataFrame, tau: int = TAU, plan: list[tuple[list[i
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for number, (group, t) in enumerate(plan):
                 own = part_values(fp, group)
-                for r in range(t + 1):
+                # values t bits apart meet half-way: at t // 2 flips of each, one of both flips once more if t is odd
+                for r in range((t + 1) // 2 + 1):
                     for flips in combinations(range(len(group)), r):
                         mask = np.uint64(sum(1 << f for f in flips))
                         value = (own ^ mask) | np.uint64(number << 58)
-                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(fp), r > 0)), batch.column(0)], ["v", "probe", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(fp), r > t // 2)), *batch.columns], ["v", "probe", "fp", "size"])
 
     def link(batches):
-        held = None
+        held: list[list[np.ndarray]] = []
+        count = 0
 
         def emit(rows):
-            a, b = _links_of(*rows, tau)
+            a, b = _links_of(*rows, tau, ratio)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield emit([c[:cut] for c in cols])
-        if held is not None and len(held[0]):
-            yield emit(held)
-
-    rows = prints.select("fp").mapInArrow(signatures, "v long, probe boolean, fp long").repartition("v").sortWithinPartitions("v", "probe", "fp")
+            v, probe, fp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            held.append([v, probe, fp.view(np.uint64), size])
+            count += len(v)
+            if count >= LINK_ROWS:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                held, count = [[c[cut:] for c in cols]], count - cut
+                if cut:
+                    yield emit([c[:cut] for c in cols])
+        if count:
+            yield emit([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    rows = prints.select("fp", F.col("size").cast("int")).mapInArrow(signatures, "v long, probe boolean, fp long, size int").repartition("v").sortWithinPartitions("v", "probe", "fp")
     return rows.mapInArrow(link, "a long, b long")
 
 
@@ -215,12 +266,132 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return prints.join(by_print, "fp").select(F.col("k").alias(key), "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
-    """The rows of df that are first in their component: smallest key, and one row only if that key is repeated."""
-    found = near_duplicates(df, key, text, shingle, tau).filter(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("kept_key")).distinct()
-    kept = wrapped(df, k=F.col(key)).join(found, F.col("k").eqNullSafe(F.col("kept_key")))
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLES) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; fewer words: the whole sequence; no words: one common hash."""
+    t = Tokens(texts)
+    counts = np.bincount(t.doc, minlength=len(texts))
+    ends = np.cumsum(counts)
+    hashes = np.zeros(len(t.hashes), dtype=np.uint64)
+    for o in range(shingle):  # of the words that follow in the same text
+        after = np.minimum(np.arange(len(hashes)) + o, max(0, len(hashes) - 1))
+        same = (np.arange(len(hashes)) + o < ends[t.doc]) if len(hashes) else np.zeros(0, dtype=bool)
+        hashes = mix(hashes ^ np.where(same, t.hashes[after] if len(hashes) else 0, np.uint64(0)) + np.uint64(o))
+    out = []
+    for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+        out.append(np.unique(hashes[end - n : end - n + max(1, n - shingle + 1)]) if n else np.zeros(1, dtype=np.uint64))
+    return out
+
+
+def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is `similarity` or more: breadth-first, by an
+    inverted index of the sets that are not yet reached."""
+    sizes = np.array([len(x) for x in sets])
+    waiting = np.ones(len(sets), dtype=bool)
+    links: list[tuple[int, int]] = []
+
+    def index(rows: np.ndarray):
+        keys = np.concatenate([sets[r] for r in rows])
+        owner = np.repeat(rows, sizes[rows])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], owner[order], len(rows)
+
+    keys, owner, indexed = index(np.arange(len(sets)))
+    for first in range(len(sets)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        queue = [first]
+        while queue:
+            at = queue.pop()
+            left = int(waiting.sum())
+            if not left:
+                break
+            if left * 2 < indexed:
+                keys, owner, indexed = index(np.flatnonzero(waiting))
+            lo, hi = np.searchsorted(keys, sets[at]), np.searchsorted(keys, sets[at], side="right")
+            n = hi - lo
+            place = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            shared = np.bincount(owner[place], minlength=len(sets))
+            close = np.flatnonzero(waiting & (shared > 0) & (shared >= similarity * (sizes + sizes[at] - shared) - 1e-9))
+            waiting[close] = False
+            links += [(at, int(c)) for c in close]
+            queue += close.tolist()
+    return links
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY, tau: int = WIDE_TAU) -> DataFrame:
+    """key, component_id for the rows of df that have a near duplicate: linked if the Jaccard similarity of their sets
+    of `shingle` words is `similarity` or more; component_id is the smallest key reachable over links.
+
+    Candidates are texts whose fingerprints are within tau bits and whose lengths fit; connected candidates form a
+    cluster, and each cluster is verified on whole texts, in pairs of blocks of BLOCK texts if it is larger. Texts
+    equal but for case and blanks collapse first. Null and empty texts are one group. Rows of equal key are one document
+    with several texts.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def describe(batches):
+        for batch in batches:
+            texts = [t.as_py().encode() for t in batch.column(1)]
+            for lo, hi in slices(texts, SLICE):
+                words = [t.lower().split() for t in texts[lo:hi]]
+                fp = np.frombuffer(b"".join(words_fingerprint(w, SHINGLE, True) for w in words), dtype=">u8").astype(np.uint64).view(np.int64)
+                same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), dtype=np.int64).reshape(-1, 2)
+                sizes = [len(x) for x in shingle_sets(texts[lo:hi], shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(fp), pa.array(sizes, pa.int32()), pa.array(same[:, 0]), pa.array(same[:, 1])], ["k", "fp", "size", "s1", "s2"])
+
+    picked = df.select(F.col(key).alias("k"), text_or_empty(text).alias("text"))
+    rows = staged(picked.mapInArrow(describe, f"k {kind}, fp long, size int, s1 long, s2 long"), "descriptions")
+    texts = staged(rows.groupBy("s1", "s2").agg(F.min("k").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("copies")), "distinct-texts")
+    links = fingerprint_links(texts.select("fp", "size").distinct(), tau, similarity)
+    clusters = connected_components(links)
+    clustered = texts.join(clusters, texts.fp == clusters.node, "left").select("s1", "s2", "least", F.coalesce("root", "fp").alias("cluster"))
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = staged(clustered.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod("s1", F.col("blocks")).cast("int")), "clusters")
+    sought = rows.join(asked, ["s1", "s2"]).filter("k <=> least").select("k", "s1", "s2", "cluster", "block", "blocks").dropDuplicates(["s1", "s2"])
+    with_text = picked.join(sought.withColumnRenamed("k", "sought"), F.col("k").eqNullSafe(F.col("sought")))
+    pairs = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "s1", "s2", "text")
+    dealt = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "s1", "s2")
+
+    def verify(batches):
+        group, names, held = None, [], []
+
+        def flush():
+            found = verified_links(shingle_sets(held, shingle), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([names[x[end]] for x in found], pa.int64()) for end in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for c, i, j, s1, s2, t in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
+                if (c, i, j) != group:
+                    if len(held) > 1:
+                        yield flush()
+                    group, names, held = (c, i, j), [], []
+                data = t.encode()
+                own = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(data.lower().split())), dtype=np.int64)
+                if (own[0], own[1]) == (s1, s2) and (not names or names[-1] != s1):
+                    names.append(s1)  # rows of the same key with another text don't belong here
+                    held.append(data)
+        if len(held) > 1:
+            yield flush()
+
+    linked = dealt.mapInArrow(verify, "a long, b long")
+    roots = connected_components(linked)
+    rooted = texts.join(roots, texts.s1 == roots.node, "left").withColumn("root", F.coalesce("root", "s1"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
+    found = rooted.join(firsts, "root").select("s1", "s2", "component_id")
+    return rows.join(found, ["s1", "s2"]).select(F.col("k").alias(key), "component_id")
+
+
+def drop_similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df without a near duplicate, and of each group the row with the smallest key; of equal keys one."""
+    found = staged(similar_documents(df, key, text, shingle, similarity), "groups")
+    goes = found.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("gone")).distinct()
+    stays = wrapped(df, k=F.col(key)).join(goes, F.col("k").eqNullSafe(F.col("gone")), "left_anti")
+    grouped = found.select(F.col(key).alias("member")).distinct()
+    marked = stays.join(grouped, F.col("k").eqNullSafe(F.col("member")), "left")
     one = Window.partitionBy("k").orderBy(F.xxhash64("row"))
-    return kept.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("row.*")
+    several = marked.filter("member IS NOT NULL").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return marked.filter("member IS NULL").select("row.*").unionByName(several.select("row.*"))
 
 
 def op4_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
