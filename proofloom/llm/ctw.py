@@ -26,12 +26,13 @@ from proofloom.llm.common import documents, staged, text_or_empty
 from proofloom.llm.textnum import Lookup, Tokens, distinct_counts, distinct_sums, slices
 
 DEPTH = 5  # bytes of context; a key holds them and the next byte in 48 bits
-CHUNK_BYTES = 32 << 20  # of a file split that make one chunk
-SLICE = 4 << 20  # text bytes handled at once
+CHUNK_BYTES = 8 << 20  # of a file split that make one chunk; of text, that make one request at most
+SLICE = 1 << 20  # text bytes handled at once
 END = 0xFF  # never a byte of UTF-8
 WORD = np.uint64(1 << 63)  # set in the keys of words
 END_WORD = np.uint64((1 << 64) - 1)
-TREE_ROWS = 1 << 20
+TREE_ROWS = 1 << 18
+MERGE_ROWS = 1 << 20
 HALF = math.log(0.5)
 
 
@@ -57,16 +58,21 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def chunk_requests(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of the texts and how often each stands in those to learn from."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+
+    def merge() -> None:
+        found[:] = [distinct_sums(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
+
     for learn in (True, False):
         own = [t for t, x in zip(texts, train, strict=True) if x == learn]
         for lo, hi in slices(own, SLICE):
             for keys in (gram_keys(own[lo:hi])[0], word_keys(own[lo:hi])[0]):
                 keys, counts = distinct_counts(keys)
                 found.append((keys, counts * learn))
-    if not found:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return distinct_sums(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+            if sum(len(k) for k, _ in found[1:]) > MERGE_ROWS:
+                merge()
+    merge()
+    return found[0]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -240,7 +246,7 @@ def score_texts(df: DataFrame, train, key: str = "doc_id", text: str = "text") -
                 texts.setdefault(c, []).append(data)
                 learn.setdefault(c, []).append(bool(x))
                 sizes[c] = sizes.get(c, 0) + len(data)
-                if sizes[c] > 2 * CHUNK_BYTES:
+                if sizes[c] > CHUNK_BYTES:  # a chunk may ask twice; its answers are made distinct when it is scored
                     yield flush(c)
         for c in list(texts):
             yield flush(c)
@@ -262,19 +268,19 @@ def score_texts(df: DataFrame, train, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shallow.log10_probability(keys, mixed).astype(np.float32))], ["key", "v"])
 
     known = trees.filter("tag = 0").select("key", "p").mapInArrow(probabilities, "key long, v float")
-    words = totals.filter("key < 0").select("key", F.log10((F.col("n") + 0.5) / F.lit(n_words + 0.5 * (v_words + 1))).cast("float").alias("v"), (F.col("n") > 0).alias("seen"))
-    values = known.withColumn("seen", F.lit(True)).unionByName(words)
-    answers = asked.select("chunk", "key").join(values, "key").select("chunk", "key", "v", "seen")
+    words = totals.filter("key < 0").select("key", F.log10((F.col("n") + 0.5) / F.lit(n_words + 0.5 * (v_words + 1))).cast("float").alias("v"))
+    answers = asked.select("chunk", "key").join(known.unionByName(words), "key").select("chunk", "key", "v")
+    unseen = float(np.float32(math.log10(0.5 / (n_words + 0.5 * (v_words + 1))))) if n_words else 0.0
     kind = picked.schema["k"].dataType.simpleString()
 
     def score(docs: pa.Table, given: pa.Table) -> pa.Table:
         keys = given.column("key").to_numpy().view(np.uint64)
-        keys, first = np.unique(keys, return_index=True)
-        values = given.column("v").to_numpy()[first].astype(np.float64)
-        seen = given.column("seen").to_numpy(zero_copy_only=False)[first]
+        order = np.argsort(keys)
+        keys, values = keys[order], given.column("v").to_numpy()[order]
+        first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
+        keys, values = keys[first], values[first]
         is_word = keys >= WORD
         grams, word_values = Lookup(keys[~is_word], values[~is_word]), Lookup(keys[is_word], values[is_word])
-        word_seen = Lookup(keys[is_word], seen[is_word])
         texts = [t.as_py().encode() for t in docs.column("text")]
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for lo, hi in slices(texts, SLICE):
@@ -283,8 +289,9 @@ def score_texts(df: DataFrame, train, key: str = "doc_id", text: str = "text") -
             score = np.bincount(doc, weights=grams.get(k), minlength=n)
             k, doc = word_keys(part)
             columns[0].append(np.bincount(doc, minlength=n))
-            columns[1].append(np.bincount(doc, weights=word_seen.get(k), minlength=n).astype(np.int64))
-            columns[2].append(np.bincount(doc, weights=word_values.get(k), minlength=n))
+            each = word_values.get(k)
+            columns[1].append(np.bincount(doc, weights=each > unseen + 1e-3, minlength=n).astype(np.int64))  # one occurrence is 0.47 more
+            columns[2].append(np.bincount(doc, weights=each, minlength=n))
             columns[3].append(score)
         n_tokens, n_known, base, score = (np.concatenate(c) if c else np.zeros(0) for c in columns)
         held = np.array([not x for x in docs.column("train").to_pylist()], dtype=bool)

@@ -85,7 +85,7 @@ class Lookup:
     """Open addressing over distinct 64-bit keys; get() raises KeyError for a key that is not there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 3).bit_length())
+        bits = max(4, int(len(keys) * 3 // 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
         self.used = np.zeros(1 << bits, dtype=bool)
