@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,12 @@ def raw_issues(docs: DataFrame, pack: Pack = LATIN, engines: tuple[str, ...] = E
     return reduce(DataFrame.unionByName, [made[e](part(e)) for e in engines])
 
 
-def audit(docs: DataFrame, pack: Pack = LATIN, engines: tuple[str, ...] = ENGINES, least: float = 0.6, rounds: int = 2) -> Report:
-    """Find, resolve, review, deduplicate, score. rounds 0 leaves the review out."""
+def audit(docs: DataFrame, pack: Pack = LATIN, engines: tuple[str, ...] = ENGINES, least: float = 0.6, rounds: int = 2, keep: bool = True) -> Report:
+    """Find, resolve, review, deduplicate, score. rounds 0 leaves the review out; keep holds the
+    engines' findings on executors' disks, where a lost part is made anew."""
     found = resolve.resolve_overlaps(raw_issues(docs, pack, engines))
+    if keep:
+        found = found.persist(StorageLevel.DISK_ONLY)  # four tables are made of it
     reviewed = resolve.critic(found, docs, rounds) if rounds else found
     final = resolve.reportable(resolve.deduplicate(reviewed), least)
     dims = score.dimension_scores(docs, final)
