@@ -14,6 +14,7 @@ import numpy as np
 
 from proofloom.llm import induced
 from proofloom.llm.induced import Scratch
+from proofloom.llm.textnum import mix
 
 MEMORY = 1 << 23  # entries of blocks kept in memory
 NAMES = 1 << 24  # names sorted in memory
@@ -60,12 +61,34 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return ((x[:-4] << np.uint64(32)) | x[4:])[: len(data)]
 
 
-def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, pair by pair; a differs from b."""
+def block_hashes(data: np.ndarray, width: int = 64) -> np.ndarray:
+    """Hash of the `width` bytes from each position that has so many; two adjacent words are folded at a time."""
+    x = words_at(data)
+    size = 8
+    while size < width:
+        x = mix(x[: max(0, len(x) - size)] * np.uint64(0x9E3779B97F4A7C15) ^ x[size:])
+        size *= 2
+    return x[: max(0, len(data) - width + 1)]
+
+
+def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, blocks: np.ndarray | None = None, enough: int | None = None) -> np.ndarray:
+    """Common prefix of the suffixes at a and b, pair by pair; a differs from b. From `enough` on it is not followed
+    further. blocks: hashes of 64 bytes, to skip equal stretches."""
     n = len(words)
     out = np.zeros(len(a), dtype=np.int64)
-    active = np.arange(len(a))
     x, y = a.astype(np.int64), b.astype(np.int64)
+    active = np.arange(len(a))
+    if blocks is not None and len(blocks):
+        last = len(blocks) - 1
+        while len(active):
+            same = (np.maximum(x, y) <= last) & (blocks[np.minimum(x, last)] == blocks[np.minimum(y, last)])
+            active, x, y = active[same], x[same] + 64, y[same] + 64
+            out[active] += 64
+            if enough is not None and len(active):
+                more = out[active] < enough
+                active, x, y = active[more], x[more], y[more]
+        active = np.arange(len(a)) if enough is None else np.flatnonzero(out < enough)
+        x, y = a[active].astype(np.int64) + out[active], b[active].astype(np.int64) + out[active]
     while len(active):
         inside = np.maximum(x, y) + 8 <= n
         same = inside & (words[np.minimum(x, n - 1)] == words[np.minimum(y, n - 1)])
@@ -79,6 +102,9 @@ def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
             out[active[rest]] += np.minimum(top, np.maximum(0, n - np.maximum(u, v)))
         active, x, y = active[same], x[same] + 8, y[same] + 8
         out[active] += 8
+        if enough is not None and len(active):
+            more = out[active] < enough
+            active, x, y = active[more], x[more], y[more]
     return out
 
 
@@ -142,7 +168,7 @@ def sort_names(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def star_order(text: bytes, words: np.ndarray, stars: np.ndarray, scratch: Scratch, names_in_memory: int) -> tuple[np.ndarray, np.ndarray]:
+def star_order(text: bytes, words: np.ndarray, stars: np.ndarray, scratch: Scratch, names_in_memory: int, blocks: np.ndarray | None, enough: int | None) -> tuple[np.ndarray, np.ndarray]:
     """S* positions in order of their suffixes, and common prefixes with the one before."""
     n = len(text)
     lengths = np.diff(np.r_[stars, n]) + 1
@@ -157,7 +183,7 @@ def star_order(text: bytes, words: np.ndarray, stars: np.ndarray, scratch: Scrat
         order = np.fromiter((x >> induced._BITS for x in induced._sort(dense.tolist(), scratch)), dtype=np.int64, count=len(names))
     pos = stars[order]
     common = np.zeros(len(pos), dtype=np.int64)
-    common[1:] = common_prefixes(words, pos[:-1], pos[1:])
+    common[1:] = common_prefixes(words, pos[:-1], pos[1:], blocks, enough)
     return pos, common
 
 
@@ -195,8 +221,9 @@ class _Dealer:
             self.queue.put(s, before[lo:hi], mins[lo:hi] + 1)
 
 
-def neighbours(text: bytes, memory: int = MEMORY, names_in_memory: int = NAMES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All suffixes in falling order, as blocks of (start, common prefix with the one before, which is larger)."""
+def neighbours(text: bytes, memory: int = MEMORY, names_in_memory: int = NAMES, enough: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes in falling order, as blocks of (start, common prefix with the one before, which is larger). A common
+    prefix below `enough` is exact, of others only that much is known."""
     n = len(text)
     if not n:
         return
@@ -204,11 +231,12 @@ def neighbours(text: bytes, memory: int = MEMORY, names_in_memory: int = NAMES)
     try:
         data = np.frombuffer(text, dtype=np.uint8)
         words = words_at(data)
+        blocks = block_hashes(data) if enough is not None else None
         ends = np.flatnonzero(np.r_[data[1:] != data[:-1], True])
         rises = np.r_[data[np.minimum(ends + 1, n - 1)[:-1]] > data[ends[:-1]], False]
         smaller = np.repeat(rises, np.diff(np.r_[-1, ends]))  # S suffixes
         stars = np.flatnonzero(np.r_[False, smaller[1:] & ~smaller[:-1]])
-        seeds, seed_common = star_order(text, words, stars, scratch, names_in_memory) if len(stars) else (stars, stars)
+        seeds, seed_common = star_order(text, words, stars, scratch, names_in_memory, blocks, enough) if len(stars) else (stars, stars)
         bounds = np.searchsorted(data[seeds], np.arange(257))
 
         queue = BlockQueue(scratch, memory)

@@ -25,9 +25,9 @@ from proofloom.llm.blocksort import neighbours
 from proofloom.llm.textnum import mix, powers, slices
 
 LENGTH = 400
-GRAM = 64
+GRAM = 128
 SLICE = 1 << 20
-SHARD = 1 << 21  # bytes sorted together, unless the pieces of one hash alone are more
+SHARD = 1 << 20  # bytes sorted together, unless the pieces of one hash alone are more
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(301, 557, dtype=np.uint64))
@@ -84,7 +84,7 @@ def repeated_spans(parts: list[bytes], length: int = LENGTH) -> list[list[tuple[
     text = b"\x01".join(p.translate(_SHIFT) for p in parts)
     again = np.zeros(len(text) + 1, dtype=np.int8)
     last = -1
-    for at, common in neighbours(text):
+    for at, common in neighbours(text, enough=length):
         close = common >= length
         again[at[close]] = 1
         again[np.r_[last, at[:-1]][close]] = 1
