@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.llm.common import documents, staged, text_or_empty
 from proofloom.llm.textnum import Lookup, Tokens, distinct_counts, distinct_sums, slices
 
-DEPTH = 5  # bytes of context; a key holds them and the next byte in 48 bits
-CHUNK_BYTES = 8 << 20  # of a file split that make one chunk; of text, that make one request at most
-SLICE = 1 << 20  # text bytes handled at once
+DEPTH = 4  # bytes of context; a key holds them and the next byte in 40 bits
+CHUNK_BYTES = 32 << 20  # of a file split that make one chunk; half of the text bytes that make one request
+SLICE = 1 << 19  # text bytes handled at once
 END = 0xFF  # never a byte of UTF-8
 WORD = np.uint64(1 << 63)  # set in the keys of words
 END_WORD = np.uint64((1 << 64) - 1)
@@ -246,7 +247,7 @@ def score_texts(df: DataFrame, train, key: str = "doc_id", text: str = "text") -
                 texts.setdefault(c, []).append(data)
                 learn.setdefault(c, []).append(bool(x))
                 sizes[c] = sizes.get(c, 0) + len(data)
-                if sizes[c] > CHUNK_BYTES:  # a chunk may ask twice; its answers are made distinct when it is scored
+                if sizes[c] > 2 * CHUNK_BYTES:  # a chunk may ask twice; its answers are made distinct when it is scored
                     yield flush(c)
         for c in list(texts):
             yield flush(c)
@@ -273,33 +274,49 @@ def score_texts(df: DataFrame, train, key: str = "doc_id", text: str = "text") -
     unseen = float(np.float32(math.log10(0.5 / (n_words + 0.5 * (v_words + 1))))) if n_words else 0.0
     kind = picked.schema["k"].dataType.simpleString()
 
-    def score(docs: pa.Table, given: pa.Table) -> pa.Table:
+    def pack(batches):
+        """Documents as compressed blobs of SLICE bytes of text: a third of the bytes to shuffle."""
+        for batch in batches:
+            for c in np.unique(batch.column(3).to_numpy(zero_copy_only=False)):
+                own = batch.filter(pc.equal(batch.column(3), pa.scalar(int(c)))).select(["k", "text", "train"])
+                sizes = pc.binary_length(own.column(1)).to_numpy(zero_copy_only=False)
+                cut = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1
+                for lo, hi in zip([0, *cut], [*cut, len(sizes)], strict=True):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema) as out:
+                        out.write_batch(own[lo:hi])
+                    raw = sink.getvalue()
+                    blob = len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(c)]), pa.array([blob], pa.binary())], ["chunk", "blob"])
+
+    def score(blobs: pa.Table, given: pa.Table) -> pa.Table:
         keys = given.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         keys, values = keys[order], given.column("v").to_numpy()[order]
         first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
         keys, values = keys[first], values[first]
         is_word = keys >= WORD
-        grams, word_values = Lookup(keys[~is_word], values[~is_word]), Lookup(keys[is_word], values[is_word])
-        texts = [t.as_py().encode() for t in docs.column("text")]
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for lo, hi in slices(texts, SLICE):
-            part, n = texts[lo:hi], hi - lo
-            k, doc = gram_keys(part)
-            score = np.bincount(doc, weights=grams.get(k), minlength=n)
-            k, doc = word_keys(part)
-            columns[0].append(np.bincount(doc, minlength=n))
-            each = word_values.get(k)
-            columns[1].append(np.bincount(doc, weights=each > unseen + 1e-3, minlength=n).astype(np.int64))  # one occurrence is 0.47 more
-            columns[2].append(np.bincount(doc, weights=each, minlength=n))
-            columns[3].append(score)
-        n_tokens, n_known, base, score = (np.concatenate(c) if c else np.zeros(0) for c in columns)
-        held = np.array([not x for x in docs.column("train").to_pylist()], dtype=bool)
-        arrays = [docs.column("k").combine_chunks(), pa.array(held), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(texts), n_words, dtype=np.int64)), pa.array(base), pa.array(score)]
-        return pa.Table.from_arrays(arrays, names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
+        grams, words_of = Lookup(keys[~is_word], values[~is_word]), Lookup(keys[is_word], values[is_word])
+        out = []
+        for blob in blobs.column("blob"):
+            data = blob.as_py()
+            docs = pa.ipc.open_stream(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")).read_all()
+            texts = [t.as_py().encode() for t in docs.column("text")]
+            n = len(texts)
+            k, doc = gram_keys(texts)
+            log_p = np.bincount(doc, weights=grams.get(k), minlength=n)
+            k, doc = word_keys(texts)
+            each = words_of.get(k)
+            known = np.bincount(doc, weights=each > unseen + 1e-3, minlength=n).astype(np.int64)  # one occurrence is 0.47 more
+            held = np.array([not x for x in docs.column("train").to_pylist()], dtype=bool)
+            arrays = [docs.column("k").combine_chunks(), pa.array(held), pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(np.full(n, n_words, dtype=np.int64)), pa.array(np.bincount(doc, weights=each, minlength=n)), pa.array(log_p)]
+            out.append(pa.Table.from_arrays(arrays, names=names))
+        return pa.concat_tables(out)
+
+    names = ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = picked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+    packed = picked.select("k", "text", "train", "chunk").mapInArrow(pack, "chunk long, blob binary")
+    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
     return scored.withColumnRenamed("k", key)
 
 
