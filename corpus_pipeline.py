@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from proofloom.llm import decontam, mixing, quality, sharding, simhash
-from proofloom.llm.common import staged
+from proofloom.llm.common import documents, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the pairwise ranker rejects. It learns from the labelled documents of this input."""
+    documents(spark, sf_dir)  # for its batch size
     ranker = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.score_documents(docs, ranker).filter("predicted = 1").select(*docs.columns)
 

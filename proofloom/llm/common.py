@@ -39,7 +39,14 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+TEXT_BATCH = 1000  # rows of an Arrow batch of texts
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; Python workers of the session then get texts in batches of TEXT_BATCH rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_BATCH:
+        spark.conf.set(key, str(TEXT_BATCH))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -28,7 +28,7 @@ RUN = 13
 SIMILARITY = 0.8
 MIN_WORDS = 5
 BITMAP_BITS = 26  # 8 MB, whatever the benchmark's size
-SLICE = 2 << 20
+SLICE = 1 << 19
 SIDE = RUN - 1  # words of context on both sides of a seed: every run that touches it
 WIDE = SIDE + SPAN + SIDE
 

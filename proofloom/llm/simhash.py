@@ -37,7 +37,7 @@ SHINGLES = 5  # words of a shingle that similarity is measured on
 SIMILARITY = 0.8
 WIDE_TAU = 11  # bits within which texts are candidates for that similarity
 BLOCK = 8192  # texts verified against each other in one task
-SLICE = 4 << 20
+SLICE = 1 << 19
 SAMPLE = 4096  # fingerprints that steer the allocation
 PROBE_COST = 40.0  # of a probe row, in comparisons of two fingerprints
 SMALL_GROUP = 256

@@ -26,7 +26,7 @@ from proofloom.llm.textnum import mix, powers, slices
 
 LENGTH = 400
 GRAM = 128
-SLICE = 1 << 20
+SLICE = 1 << 19
 SHARD = 1 << 20  # bytes sorted together, unless the pieces of one hash alone are more
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
