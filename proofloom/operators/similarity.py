@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.functions.hashing import combined_similarity, hamming, hash32, jaccard, minhash, minhash_similarity, simhash, simhash_similarity
+from proofloom.functions.hashing import combined_similarity, hamming, hash32, jaccard, minhash, minhash_fast, minhash_similarity, simhash, simhash_similarity
 from proofloom.functions.offsets import ngrams
 from proofloom.operators.parse import char_ngrams, tokens
 
@@ -18,12 +18,15 @@ def shingle_hashes(toks, k: int = 3):
     return F.array_distinct(F.transform(ngrams(toks, k, " "), hash32))
 
 
-def fingerprints(pieces: DataFrame, key: str, n: int = BANDS * ROWS) -> DataFrame:
-    """key, text, tokens, simhash, minhash, grams of each text (P11). Write it as a table: every mode below reads it."""
+def fingerprints(pieces: DataFrame, key: str, n: int = BANDS * ROWS, family: str = "xxhash64") -> DataFrame:
+    """key, text, tokens, simhash, minhash, grams of each text (P11). Write it as a table: every mode below reads it.
+
+    family lcg gives the signatures of the linear congruential coefficients, xxhash64 those of seeded hashes.
+    """
     rows = pieces.select(key, "text", tokens(F.col("text")).alias("tokens"))
     exploded = rows.select(key, F.explode("tokens").alias("token"))
     sims = simhash(exploded, key, "token")
-    signed = rows.withColumn("minhash", minhash(shingle_hashes(F.col("tokens")), n)).withColumn("grams", F.array_distinct(char_ngrams(F.col("text"), 3)))
+    signed = rows.withColumn("minhash", minhash(shingle_hashes(F.col("tokens")), n) if family == "lcg" else minhash_fast(shingle_hashes(F.col("tokens")), n)).withColumn("grams", F.array_distinct(char_ngrams(F.col("text"), 3)))
     return signed.join(sims, key, "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("bigint")))
 
 

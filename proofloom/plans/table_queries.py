@@ -1,2 +1,302 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the other tables, and over issues: similarity, consistency, versions, resolution, scores, history."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proofloom.functions.hashing import coefficients, hamming, minhash, simhash
+from proofloom.operators import academic, lifecycle, norm, parse, resolve, revise, score, similarity
+from proofloom.plans import audit
+from proofloom.plans.sql import PENALTY, TOKENS, WEIGHT, T, issues, q
+from proofloom.rules import DIMENSION_OF, DIMENSIONS, LATIN
+from proofloom.schema import make_issues
+
+RULES = (*LATIN.language, *LATIN.banned)
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(s, d):
+    return _t(s, d, "documents").select("doc_id", "text")
+
+
+def _issues(s, d):
+    return make_issues(norm.rule_hits(_docs(s, d), RULES), "norm")
+
+
+# consistency of figures, on the star schema
+
+
+def sum_consistency(s, d):
+    part = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    lines = _t(s, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    out = academic.header_line_sums(_t(s, d, "orders"), lines, "o_orderkey", "o_totalprice", part)
+    return out.select("o_orderkey", "stated", F.round("computed", 2).alias("computed"), F.round("off", 6).alias("off"))
+
+
+def share_consistency(s, d):
+    """Share of each nation in its region's balance."""
+    c = _t(s, d, "customer").join(_t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    n = c.groupBy("n_regionkey", "n_name").agg(F.sum(F.col("c_acctbal").cast("decimal(18,4)")).alias("part"))
+    r = c.groupBy("n_regionkey").agg(F.sum(F.col("c_acctbal").cast("decimal(18,4)")).alias("whole"))
+    return n.join(r, "n_regionkey").select("n_regionkey", "n_name", F.round(F.col("part").cast("double") / F.col("whole").cast("double") * 100, 6).alias("share"))
+
+
+def numbering_lines(s, d):
+    return academic.numbering_gaps(_t(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", "l_linenumber", "l_linenumber").select("l_orderkey", "l_linenumber", "expected")
+
+
+def numbering_turns(s, d):
+    return academic.numbering_gaps(_t(s, d, "conversations"), "conv_id", "turn", "turn").select("conv_id", "turn", "expected")
+
+
+def refs_missing(s, d):
+    o, c = _t(s, d, "orders").select(F.col("o_custkey").alias("k")), _t(s, d, "customer").select(F.col("c_custkey").alias("k"))
+    missing, orphan = academic.missing_and_orphans(o, c, ["k"])
+    return missing.withColumn("kind", F.lit("missing")).unionByName(orphan.withColumn("kind", F.lit("orphan")))
+
+
+def labels_unlisted(s, d):
+    missing, orphan = academic.missing_and_orphans(_t(s, d, "labels").select("doc_id"), _t(s, d, "documents").select("doc_id"), ["doc_id"])
+    return missing.withColumn("kind", F.lit("missing")).unionByName(orphan.withColumn("kind", F.lit("orphan")))
+
+
+def dup_titles(s, d):
+    items = _t(s, d, "part").select(F.lit("part").alias("grp"), "p_partkey", "p_name")
+    return academic.duplicate_items(items, "grp", "p_partkey", F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", ""))).select("p_partkey", "title_key", "first_of")
+
+
+# similarity
+
+
+def simhash_items(s, d):
+    toks = _t(s, d, "benchmark").select("item_id", F.explode(parse.tokens(parse.TEXT)).alias("token"))
+    return simhash(toks, "item_id", "token")
+
+
+def simhash_nearest(s, d):
+    """Nearest other item by SimHash, over the fixed list of items."""
+    a = simhash_items(s, d)
+    pairs = a.alias("a").join(F.broadcast(a.alias("b")), F.col("a.item_id") != F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), hamming(F.col("a.simhash"), F.col("b.simhash")).alias("bits"))
+    return pairs.groupBy("item_id").agg(F.min(F.struct("bits", "other")).alias("m")).select("item_id", "m.other", "m.bits")
+
+
+def minhash_items(s, d):
+    sig = minhash(similarity.shingle_hashes(parse.tokens(parse.TEXT)), 8)
+    return _t(s, d, "benchmark").select("item_id", F.posexplode(sig).alias("slot", "value"))
+
+
+def dup_cross(s, d):
+    """Documents that hold much of a benchmark item's shingles."""
+    out = similarity.shingle_overlap(_docs(s, d), _t(s, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
+    return out.withColumn("overlap", F.round("overlap", 9))
+
+
+def tfidf_topk(s, d):
+    return similarity.tfidf_topk(_t(s, d, "benchmark"), _docs(s, d), "item_id", "doc_id", 3)
+
+
+def cross_duplicates_lsh(s, d):
+    """Best benchmark item of each conversation turn by banded fingerprints."""
+    turns = _t(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), "text")
+    fp = similarity.fingerprints(turns, "turn_id")
+    corpus = similarity.fingerprints(_t(s, d, "benchmark").select("item_id", "text"), "item_id")
+    return similarity.cross_duplicates(fp, corpus, "turn_id", "item_id")
+
+
+# versions and candidates
+
+
+def _versions(s, d):
+    p = _t(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
+    new = p.filter("id % 7 != 0").withColumn("p_size", F.when(F.col("id") % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return p.filter("id % 11 != 0"), new
+
+
+def version_diff(s, d):
+    return lifecycle.diff_versions(*_versions(s, d), "id", ["p_name", "p_brand", "p_size"])
+
+
+def version_merge(s, d):
+    return lifecycle.merge_sets(*_versions(s, d))
+
+
+def version_checksum(s, d):
+    return lifecycle.checksum(_t(s, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+
+
+def candidates(s, d):
+    return lifecycle.candidates(_docs(s, d), LATIN.cues, stop=("theand",))
+
+
+def term_update(s, d):
+    known = _t(s, d, "benchmark").select(F.explode(parse.tokens(parse.TEXT)).alias("term"))
+    return lifecycle.run_update(candidates(s, d), known, 0.85).select("id", "term", "occurrences", "confidence", "status")
+
+
+def containment_dedup(s, d):
+    names = _t(s, d, "conversations").select(F.explode(parse.tokens(parse.TEXT)).alias("term")).filter("length(term) >= 6").distinct()
+    return lifecycle.drop_contained(names)
+
+
+def term_search(s, d):
+    terms = _t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term"), F.col("p_brand").alias("source"), F.col("p_type").alias("severity"))
+    return lifecycle.search_terms(terms, "1", columns=("term", "source")).select("id", "term")
+
+
+def loose_json(s, d):
+    props = lifecycle.unchecked_json(F.concat(F.lit("answer: ```"), "props", F.lit("```")), "map<string,string>")
+    return _t(s, d, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(props)), ",").alias("keys"))
+
+
+# issues
+
+
+def issue_overlap_resolved(s, d):
+    return resolve.resolve_overlaps(_issues(s, d)).select("doc_id", "rule_id", "start", "end")
+
+
+def critic_conflict(s, d):
+    return resolve.resolve_conflicts(_issues(s, d)).select("issue_id", "doc_id", "rule_id", "start", "end")
+
+
+def issue_dedup(s, d):
+    return resolve.deduplicate(_issues(s, d).unionByName(_issues(s, d))).select("issue_id", "doc_id", "severity")
+
+
+def issue_review(s, d):
+    return resolve.review(_issues(s, d), _docs(s, d)).select("issue_id", "doc_id", F.coalesce("rejected", F.lit("")).alias("rejected"))
+
+
+def second_round(s, d):
+    return resolve.reportable(resolve.second_round(_issues(s, d))).select("issue_id", "doc_id")
+
+
+def fact_checks(s, d):
+    return resolve.fact_checks(_issues(s, d)).groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+
+
+def dimension_scores(s, d):
+    out = score.dimension_scores(_docs(s, d), _issues(s, d))
+    return out.select("doc_id", "dimension", F.round("penalty", 3).alias("penalty"), F.round("score", 6).alias("score"), "n_fatal", "n_major", "n_minor", "n_info")
+
+
+def gate(s, d):
+    out = score.document_scores(score.dimension_scores(_docs(s, d), _issues(s, d)))
+    return out.select("doc_id", F.round("overall", 3).alias("overall"), "gate")
+
+
+def severity_pivot(s, d):
+    return score.severity_pivot(_issues(s, d))
+
+
+def score_rollup(s, d):
+    return score.score_rollup(_issues(s, d))
+
+
+def engine_trace(s, d):
+    return score.node_trace(_issues(s, d))
+
+
+def issue_summaries(s, d):
+    return score.summaries(_issues(s, d), 3)
+
+
+def issue_browser(s, d):
+    return score.browse(_issues(s, d), ("FATAL", "MAJOR"), ("language", "political")).select("issue_id", "doc_id", "severity", "category")
+
+
+def revised_text(s, d):
+    rule = [r for r in LATIN.language if r.id == "odd-suffix"]
+    found = make_issues(norm.rule_hits(_docs(s, d), rule), "norm")
+    out = revise.apply_edits(_docs(s, d), revise.edits_of(found))
+    return out.select("doc_id", F.md5("revised").alias("digest"), "n_applied", "n_skipped")
+
+
+def highlighted(s, d):
+    return revise.highlight(_docs(s, d), _issues(s, d)).select("doc_id", F.length("html").alias("n_chars"), F.md5("html").alias("digest"))
+
+
+def json_report(s, d):
+    found = _issues(s, d)
+    dims = score.dimension_scores(_docs(s, d), found)
+    return audit.render(audit.Report(found, dims, score.document_scores(dims), score.node_trace(found)), _docs(s, d), "json").select("doc_id", F.get_json_object("json", "$.gate").alias("gate"), F.size(F.from_json(F.get_json_object("json", "$.issues"), "array<string>")).alias("n_issues"))
+
+
+# history
+
+
+def history_latest(s, d):
+    return score.latest(_t(s, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
+
+
+def history_trend(s, d):
+    out = score.trend(_t(s, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "value", "event_id")
+    return out.select("user_id", "event_id", F.round("change", 6).alias("change"))
+
+
+NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, refs_missing, labels_unlisted, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, cross_duplicates_lsh, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
+QUERIES = {f.__name__: f for f in NAMES}
+
+_ISSUES = issues(RULES, "norm")
+_H64 = "('0x' || substr(md5(token), 1, 16))::UBIGINT"
+_SIM = f"""tok AS (SELECT item_id, lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS token FROM benchmark), tf AS (SELECT item_id, {_H64} AS h, count(*) AS w FROM tok GROUP BY item_id, token),
+votes AS (SELECT item_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN w ELSE -w END) AS v FROM tf, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY 1, 2),
+sim AS (SELECT item_id, sum(CASE WHEN v > 0 THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS u FROM votes GROUP BY 1)"""
+_SIGNED = "CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END"
+_COEFFS = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(coefficients(8)))
+_SHINGLES = lambda table, key: f"""(SELECT {key}, ('0x' || substr(md5(array_to_string(t[i:i+2], ' ')), 9, 8))::UBIGINT::BIGINT AS h FROM (SELECT {key}, t, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS i FROM (SELECT {key}, list_transform(regexp_extract_all({T}, {q(TOKENS)}), lambda x: lower(x)) AS t FROM {table}) WHERE len(t) > 0) GROUP BY ALL)"""
+_CANDS = f"""c0 AS ({" UNION ALL ".join(f"SELECT doc_id, lower(unnest(regexp_extract_all({T}, {q(c)}, 1))) AS term, {i} AS cue FROM documents" for i, c in enumerate(LATIN.cues))}),
+cands AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs, min(cue)::BIGINT AS first_cue, round(least(0.95, least(0.9, 0.55 + 0.04 * length(term)) + 0.05 * (count(*) - 1)), 6)::DOUBLE AS confidence FROM c0 WHERE length(term) >= 4 AND term <> 'theand' GROUP BY term)"""
+_VERSIONS = """o AS (SELECT p_partkey AS id, p_name, p_brand, p_size FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS id, p_name, p_brand, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0)"""
+_DIM_OF = "CASE category " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in DIMENSION_OF.items()) + " END"
+_DIMS = "dims AS (SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {s}, {w})" for k, (s, w) in DIMENSIONS.items()) + ") v(dimension, scale, weight))"
+_SCORES = f"""{_ISSUES}, {_DIMS}, sums AS (SELECT doc_id, {_DIM_OF} AS dimension, sum({PENALTY})::DOUBLE AS penalty, count(*) FILTER (severity = 'FATAL') AS f, count(*) FILTER (severity = 'MAJOR') AS m, count(*) FILTER (severity = 'MINOR') AS n, count(*) FILTER (severity = 'INFO') AS i FROM issues GROUP BY 1, 2),
+scored AS (SELECT d.doc_id, dims.dimension, weight, coalesce(penalty, 0.0) AS penalty, 100 * exp(-coalesce(penalty, 0.0) / scale) AS score, coalesce(f, 0) AS n_fatal, coalesce(m, 0) AS n_major, coalesce(n, 0) AS n_minor, coalesce(i, 0) AS n_info FROM documents d CROSS JOIN dims LEFT JOIN sums ON sums.doc_id = d.doc_id AND sums.dimension = dims.dimension)"""
+_GATES = f"""{_SCORES}, g AS (SELECT doc_id, sum(round(score, 1)::DECIMAL(10,1) * weight::DECIMAL(4,2))::DOUBLE AS overall, sum(n_fatal) AS f, sum(n_major) AS m FROM scored GROUP BY 1)"""
+_GATE = "CASE WHEN f > 0 THEN 'BLOCK' WHEN overall < 75 OR m > 5 THEN 'REVIEW' ELSE 'PASS' END"
+_ODD = next(r.pattern for r in LATIN.language if r.id == "odd-suffix")
+
+SQL = {
+    "sum_consistency": """WITH c AS (SELECT l_orderkey AS o_orderkey, sum((l_extendedprice * (1 - l_discount) * (1 + l_tax))::DECIMAL(38,6))::DOUBLE AS computed FROM lineitem GROUP BY 1), j AS (SELECT o.o_orderkey, o_totalprice AS stated, computed, abs(computed - o_totalprice) / abs(o_totalprice) AS off FROM orders o JOIN c ON c.o_orderkey = o.o_orderkey) SELECT o_orderkey, stated, round(computed, 2) AS computed, round(off, 6) AS off FROM j WHERE off > 0.01""",
+    "share_consistency": """WITH c AS (SELECT n_regionkey, n_name, sum(c_acctbal::DECIMAL(18,4)) AS part FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_regionkey::BIGINT AS n_regionkey, n_name, round(part::DOUBLE / (sum(part) OVER (PARTITION BY n_regionkey))::DOUBLE * 100, 6) AS share FROM c""",
+    "numbering_lines": """WITH w AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 1, 1)::BIGINT AS expected FROM lineitem) SELECT * FROM w WHERE l_linenumber <> expected""",
+    "numbering_turns": """WITH w AS (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, 1)::BIGINT AS expected FROM conversations) SELECT * FROM w WHERE turn <> expected""",
+    "refs_missing": """SELECT DISTINCT o_custkey AS k, 'missing' AS kind FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT DISTINCT c_custkey, 'orphan' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+    "labels_unlisted": """SELECT DISTINCT doc_id, 'missing' AS kind FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT DISTINCT doc_id, 'orphan' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "dup_titles": """WITH k AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS title_key FROM part), w AS (SELECT *, min(p_partkey) OVER (PARTITION BY title_key) AS first_of FROM k) SELECT * FROM w WHERE p_partkey <> first_of""",
+    "simhash_items": f"WITH {_SIM} SELECT item_id, {_SIGNED} AS simhash FROM sim",
+    "simhash_nearest": f"WITH {_SIM}, p AS (SELECT a.item_id, b.item_id AS other, bit_count(xor(a.u, b.u))::BIGINT AS bits FROM sim a, sim b WHERE a.item_id <> b.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bits, other) AS n FROM p) SELECT item_id, other, bits FROM r WHERE n = 1",
+    "minhash_items": f"WITH s AS {_SHINGLES('benchmark', 'item_id')}, k AS (SELECT * FROM (VALUES {_COEFFS}) v(slot, a, b)) SELECT item_id, slot::BIGINT AS slot, (min((a * h::HUGEINT + b) % 2305843009213693951) % 4294967296)::BIGINT AS value FROM s, k GROUP BY 1, 2",
+    "dup_cross": f"WITH l AS {_SHINGLES('documents', 'doc_id')}, r AS {_SHINGLES('benchmark', 'item_id')}, n AS (SELECT item_id, count(*) AS n FROM r GROUP BY 1), p AS (SELECT doc_id, item_id, count(*) AS shared FROM l JOIN r USING (h) GROUP BY 1, 2) SELECT doc_id, item_id, shared, round(shared / n::DOUBLE, 9) AS overlap FROM p JOIN n USING (item_id) WHERE shared / n::DOUBLE >= 0.45",
+    "tfidf_topk": f"""WITH d AS (SELECT doc_id, lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS token FROM documents), dt AS (SELECT doc_id, token, count(*) AS tf FROM d GROUP BY 1, 2), nn AS (SELECT count(*)::DOUBLE AS n FROM documents), idf AS (SELECT token, ln((1 + (SELECT n FROM nn)) / (1 + count(*))) + 1 AS idf FROM dt GROUP BY 1),
+  dw AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS w FROM dt JOIN idf USING (token)), b AS (SELECT item_id, lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS token FROM benchmark), qt AS (SELECT item_id, token, count(*) AS tf FROM b GROUP BY 1, 2), qw AS (SELECT item_id, token, (1 + ln(tf)) * coalesce(idf, ln(1 + (SELECT n FROM nn)) + 1) AS w FROM qt LEFT JOIN idf USING (token)),
+  dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1), dots AS (SELECT item_id, doc_id, sum(dw.w * qw.w) AS dot FROM dw JOIN qw USING (token) GROUP BY 1, 2), s AS (SELECT item_id, doc_id, round(dot / (dn.n * qn.n), 9) AS score FROM dots JOIN dn USING (doc_id) JOIN qn USING (item_id)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 3""",
+    "version_diff": f"""WITH {_VERSIONS}, j AS (SELECT coalesce(o.id, n.id) AS id, o.id AS oid, n.id AS nid, concat_ws(',', CASE WHEN o.p_name IS DISTINCT FROM n.p_name THEN 'p_name' END, CASE WHEN o.p_brand IS DISTINCT FROM n.p_brand THEN 'p_brand' END, CASE WHEN o.p_size IS DISTINCT FROM n.p_size THEN 'p_size' END) AS changed FROM o FULL JOIN n ON o.id = n.id) SELECT id, CASE WHEN oid IS NULL THEN 'added' WHEN nid IS NULL THEN 'removed' ELSE 'modified' END AS change, CASE WHEN oid IS NOT NULL AND nid IS NOT NULL THEN changed ELSE '' END AS columns FROM j WHERE oid IS NULL OR nid IS NULL OR changed <> ''""",
+    "version_merge": f"WITH {_VERSIONS} SELECT id, p_name, p_brand, p_size::BIGINT AS p_size FROM n UNION ALL SELECT id, p_name, p_brand, p_size::BIGINT FROM o WHERE id NOT IN (SELECT id FROM n)",
+    "version_checksum": "SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 16) AS version FROM (SELECT concat_ws('|', n_nationkey, n_name, n_regionkey) AS line FROM nation)",
+    "candidates": f"WITH {_CANDS} SELECT term, occurrences, n_docs, first_cue, confidence FROM cands",
+    "term_update": f"WITH {_CANDS} SELECT 'cand-' || substr(md5(term), 1, 10) AS id, term, occurrences, confidence, 'pending' AS status FROM cands WHERE confidence >= 0.85 AND term NOT IN (SELECT lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) FROM benchmark)",
+    "containment_dedup": f"WITH t AS (SELECT DISTINCT term FROM (SELECT lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS term FROM conversations) WHERE length(term) >= 6) SELECT a.term FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE length(b.term) > length(a.term) AND contains(b.term, a.term))",
+    "term_search": "SELECT p_partkey AS id, p_name AS term FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand)), '1')",
+    "loose_json": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events",
+    "critic_conflict": f"""WITH {_ISSUES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY {WEIGHT} DESC, confidence DESC, length(suggestion) DESC, issue_id) AS nth FROM issues) SELECT issue_id, doc_id, rule_id, start, "end" FROM r WHERE nth = 1""",
+    "issue_dedup": f"WITH {_ISSUES} SELECT DISTINCT issue_id, doc_id, severity FROM issues",
+    "issue_review": f"""WITH {_ISSUES} SELECT issue_id, doc_id, CASE WHEN suggestion <> '' AND suggestion = original THEN 'no-change' ELSE '' END AS rejected FROM issues""",
+    "second_round": f"WITH {_ISSUES} SELECT issue_id, doc_id FROM issues WHERE (severity IN ('FATAL', 'MAJOR') OR confidence >= 0.6) AND (severity <> 'INFO' OR confidence >= 0.6)",
+    "fact_checks": f"""WITH {_ISSUES} SELECT CASE WHEN category IN ('term', 'political') THEN 'term' ELSE 'other' END AS kind, CASE WHEN category IN ('term', 'political') THEN 'confirmed' ELSE 'unchecked' END AS verdict, count(*) AS n FROM issues GROUP BY 1, 2""",
+    "dimension_scores": f"WITH {_SCORES} SELECT doc_id, dimension, round(penalty, 3) AS penalty, round(score, 6) AS score, n_fatal, n_major, n_minor, n_info FROM scored",
+    "gate": f"WITH {_GATES} SELECT doc_id, round(overall, 3) AS overall, {_GATE} AS gate FROM g",
+    "severity_pivot": f"""WITH {_ISSUES} SELECT category, count(*) FILTER (severity = 'FATAL') AS "FATAL", count(*) FILTER (severity = 'MAJOR') AS "MAJOR", count(*) FILTER (severity = 'MINOR') AS "MINOR", count(*) FILTER (severity = 'INFO') AS "INFO" FROM issues GROUP BY 1""",
+    "score_rollup": f"WITH {_ISSUES} SELECT coalesce(dimension, 'ALL') AS dimension, coalesce(severity, 'ALL') AS severity, count(*) AS n FROM (SELECT {_DIM_OF} AS dimension, severity FROM issues) GROUP BY ROLLUP (dimension, severity)",
+    "engine_trace": f"WITH {_ISSUES} SELECT engine, count(*) AS n, 'FATAL ' || count(*) FILTER (severity = 'FATAL') || ', MAJOR ' || count(*) FILTER (severity = 'MAJOR') || ', MINOR ' || count(*) FILTER (severity = 'MINOR') || ', INFO ' || count(*) FILTER (severity = 'INFO') AS line FROM issues GROUP BY 1",
+    "issue_summaries": f"""WITH {_ISSUES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {WEIGHT} DESC, start, rule_id, message) AS nth FROM issues WHERE severity IN ('FATAL', 'MAJOR')) SELECT doc_id, string_agg(rule_id || ': ' || message, '; ' ORDER BY nth) AS summary FROM r WHERE nth <= 3 GROUP BY 1""",
+    "issue_browser": f"WITH {_ISSUES} SELECT issue_id, doc_id, severity, category FROM issues WHERE severity IN ('FATAL', 'MAJOR') AND category IN ('language', 'political')",
+    "revised_text": f"SELECT doc_id, md5(regexp_replace({T}, {q(_ODD)}, '\\1', 'g')) AS digest, len(regexp_extract_all({T}, {q(_ODD)}))::BIGINT AS n_applied, 0::BIGINT AS n_skipped FROM documents",
+    "json_report": f"WITH {_GATES}, n AS (SELECT doc_id, count(*) AS n_issues FROM issues GROUP BY 1) SELECT doc_id, {_GATE} AS gate, coalesce(n_issues, 0) AS n_issues FROM g LEFT JOIN n USING (doc_id)",
+    "history_latest": "WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id, value FROM r WHERE n = 1",
+    "history_trend": "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS change FROM events",
+}
