@@ -8,40 +8,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.functions.hashing import cosine
-from proofloom.functions.offsets import characters, find_all, let
+from proofloom.functions.offsets import characters, find_all, let, ngrams, prefix_sums
 from proofloom.operators.parse import TEXT, any_of, context, in_quote, is_negated, paragraphs, quote_spans
 from proofloom.rules import LATIN, Pack, term_rows
 from proofloom.schema import make_issues
 
 BROADCAST_PATTERNS = 50_000  # a pattern table above this size joins by shuffle
+SEARCHED_PATTERNS = 256  # up to so many patterns each text is searched for each of them
 
 
 def _small(patterns: DataFrame) -> DataFrame:
     return F.broadcast(patterns) if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else patterns
 
 
-def positions(docs: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id, ch (the text's code points), pos, gram: every place of a text with the `width` characters from it.
+def neighbourhoods(docs: DataFrame, reach: int, width: int = 2) -> DataFrame:
+    """doc_id, pos, gram, around: every place of a text with the `width` characters from it and `reach` on both sides.
 
-    The text is split once and neighbours are paired, which is linear; rows are never shuffled, the pattern table is
-    joined to them where they are made.
+    The text is split once; a row holds its neighbourhood and never the text, so rows grow with the text's length. They are
+    joined where they are made and not shuffled.
     """
-    grams = lambda ch: F.transform(F.sequence(F.lit(1), F.size(ch) - (width - 1)), lambda i: F.array_join(F.slice(ch, i, width), ""))
-    rows = docs.select("doc_id", characters(TEXT).alias("ch")).filter(F.size("ch") >= width)
-    return rows.select("doc_id", "ch", F.posexplode(grams(F.col("ch"))).alias("pos", "gram"))
+
+    def place(ch: Column, i: Column) -> Column:
+        lo = F.greatest(i - reach, F.lit(1))
+        return F.struct((i - 1).alias("pos"), F.array_join(F.slice(ch, i, width), "").alias("gram"), F.array_join(F.slice(ch, lo, i + width + reach - lo), "").alias("around"))
+
+    places = let(characters(TEXT), lambda ch: F.when(F.size(ch) >= width, F.transform(F.sequence(F.lit(1), F.size(ch) - (width - 1)), lambda i: place(ch, i))))
+    return docs.select("doc_id", F.explode(places).alias("x")).select("doc_id", "x.*")
+
+
+def occurrences(text: Column, pattern: Column) -> Column:
+    """Starts of all occurrences of a literal, overlapping ones too: the text is cut before each of them."""
+    cut = F.split(text, F.concat(F.lit(r"(?=\Q"), pattern, F.lit(r"\E)")), -1)
+    starts = let(cut, lambda c: prefix_sums(F.transform(c, F.length)))
+    return F.filter(starts, lambda at: (at > 0) | F.startswith(text, pattern))
 
 
 def exact_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, start, end, and the pattern's columns: all hits of all patterns, overlapping ones too.
 
-    A text without any pattern is left out by one search where the patterns are few; patterns of one character are
-    matched on their own.
+    Which patterns a text may hold is found first: by search while the patterns are few, else by joining the text's
+    distinct n-grams to the patterns' first ones. Only those are then located.
     """
-    keyed = patterns.withColumn("len", F.length("pattern")).withColumn("gram", F.substring("pattern", 1, 2))
-    long_hits = positions(docs).join(_small(keyed.filter("len >= 2")), "gram").filter(F.array_join(F.slice("ch", F.col("pos") + 1, F.col("len")), "") == F.col("pattern")).drop("ch", "gram")
-    one = docs.select("doc_id", F.posexplode(characters(TEXT)).alias("pos", "pattern")).join(_small(keyed.filter("len = 1").drop("gram")), "pattern")
-    hits = long_hits.unionByName(one)
-    return hits.withColumnRenamed("pos", "start").withColumn("end", F.col("start") + F.col("len")).drop("len")
+    n = patterns.limit(SEARCHED_PATTERNS + 1).count()
+    columns = [F.col(f"p.{c}").alias(c) for c in patterns.columns]
+    if n <= SEARCHED_PATTERNS:
+        table = F.broadcast(patterns.agg(F.collect_list(F.struct(*patterns.columns)).alias("table")))
+        pairs = docs.select("doc_id", TEXT.alias("text")).join(table).select("doc_id", "text", F.explode(F.filter("table", lambda p: F.contains("text", p["pattern"]))).alias("p"))
+    else:
+        width = patterns.agg(F.min(F.length("pattern"))).first()[0]
+        grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(characters(TEXT), width))).alias("gram"))
+        keyed = patterns.select(F.struct(*patterns.columns).alias("p"), F.substring("pattern", 1, width).alias("gram"))
+        pairs = grams.join(_small(keyed), "gram").select("doc_id", "p").join(docs.select("doc_id", TEXT.alias("text")), "doc_id")
+    placed = pairs.select("doc_id", "p", F.explode(occurrences(F.col("text"), F.col("p.pattern"))).alias("start"))
+    return placed.select("doc_id", "start", (F.col("start") + F.length("p.pattern")).alias("end"), *columns)
 
 
 def exact_issues(hits: DataFrame) -> DataFrame:
@@ -62,8 +81,10 @@ def fuzzy_hits(docs: DataFrame, surfaces: DataFrame, exact: DataFrame, max_dista
     long_enough = surfaces.filter(F.length("pattern") >= allow_short)
     grams = let(characters(F.col("pattern")), lambda ch: F.transform(F.sequence(F.lit(1), F.size(ch) - 1), lambda i: F.array_join(F.slice(ch, i, 2), "")))
     index = long_enough.select("term_id", F.col("pattern").alias("surface"), F.posexplode(grams).alias("offset", "gram"))
-    votes = positions(docs).join(_small(index), "gram").withColumn("start", F.col("pos") - F.col("offset")).withColumn("len", F.length("surface"))
-    windows = votes.filter("start >= 0 AND start + len <= size(ch)").withColumn("window", F.array_join(F.slice("ch", F.col("start") + 1, F.col("len")), "")).filter("window != surface")
+    reach = surfaces.agg(F.coalesce(F.max(F.length("pattern")), F.lit(2))).first()[0]
+    votes = neighbourhoods(docs, reach).join(_small(index), "gram").withColumn("start", F.col("pos") - F.col("offset")).withColumn("len", F.length("surface"))
+    inside = F.least(F.col("pos"), F.lit(reach)) - F.col("offset")  # of the window within the neighbourhood
+    windows = votes.filter(F.col("start") >= 0).withColumn("window", F.substring("around", inside + 1, F.col("len"))).filter("length(window) = len AND window != surface")
     close = windows.withColumn("distance", F.levenshtein("window", "surface", max_distance)).filter(F.col("distance") > 0).filter(1 - F.col("distance") / F.col("len") >= least)
     standards = F.broadcast(surfaces.filter("role = 'standard'").select(F.collect_set("pattern").alias("standards")))
     close = close.select("doc_id", "start", (F.col("start") + F.col("len")).alias("end"), "window", "surface", "term_id", "distance").distinct().crossJoin(standards)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,8 @@ def tfidf_topk(s, d):
 def cross_duplicates_lsh(s, d):
     """Best benchmark item of each conversation turn by banded fingerprints."""
     turns = _t(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), "text")
-    fp = similarity.fingerprints(turns, "turn_id")
-    corpus = similarity.fingerprints(_t(s, d, "benchmark").select("item_id", "text"), "item_id")
+    fp = similarity.fingerprints(turns, "turn_id").persist(StorageLevel.DISK_ONLY)
+    corpus = similarity.fingerprints(_t(s, d, "benchmark").select("item_id", "text"), "item_id").persist(StorageLevel.DISK_ONLY)
     return similarity.cross_duplicates(fp, corpus, "turn_id", "item_id")
 
 
