@@ -158,7 +158,7 @@ def figures(docs: DataFrame, pack: Pack = LATIN) -> tuple[DataFrame, DataFrame]:
 
 def mixed_citation_styles(docs: DataFrame) -> DataFrame:
     """Documents with both [n] and (Name, year) citations."""
-    return docs.filter(TEXT.rlike(r"\[\d{1,3}\]") & TEXT.rlike(r"[(（]\p{L}[\p{L} .&]{1,40}[,，]\s*(19|20)\d{2}[)）]")).select("doc_id")
+    return docs.filter(TEXT().rlike(r"\[\d{1,3}\]") & TEXT().rlike(r"[(（]\p{L}[\p{L} .&]{1,40}[,，]\s*(19|20)\d{2}[)）]")).select("doc_id")
 
 
 #: Letters of document types in references, and of carriers behind a slash.

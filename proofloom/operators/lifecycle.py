@@ -59,7 +59,7 @@ def strip_lead(term: Column, lead: Sequence[str], least: int = 4, rounds: int =
 def candidates(docs: DataFrame, cues: Sequence[str], lead: Sequence[str] = (), stop: Sequence[str] = (), least: int = 4) -> DataFrame:
     """term, occurrences, n_docs, first_cue, confidence: what cue patterns capture, cleaned and counted."""
     def captured(i: int, cue: str) -> Column:
-        return F.transform(F.regexp_extract_all(TEXT, F.lit(cue), F.lit(1)), lambda t: F.struct(t.alias("term"), F.lit(i).alias("cue")))
+        return F.transform(F.regexp_extract_all(TEXT(), F.lit(cue), F.lit(1)), lambda t: F.struct(t.alias("term"), F.lit(i).alias("cue")))
 
     found = F.flatten(F.array(*[captured(i, c) for i, c in enumerate(cues)]))
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", F.lower("x.term").alias("term"), "x.cue")

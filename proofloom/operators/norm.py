@@ -22,13 +22,15 @@ def _suggestion(rule: Rule, hit: Column) -> Column:
     return F.regexp_replace(hit, rule.pattern, rule.replacement)
 
 
-def rule_hits(docs: DataFrame, rules: Sequence[Rule], text: Column = TEXT) -> DataFrame:
+def rule_hits(docs: DataFrame, rules: Sequence[Rule], text: Column | None = None) -> DataFrame:
     """One row per match of each rule: doc_id, the rule's columns, span, original and suggestion.
 
     Rules are literals of the plan, so each pattern compiles once per task; a pattern that a document lacks costs one
     search. Replacement and advice are separate columns.
     """
 
+    text = TEXT() if text is None else text
+
     def one(rule: Rule) -> Column:
         found = F.transform(find_all(text, rule.pattern), lambda x: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"), F.lit(rule.message).alias("message"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("original"), _suggestion(rule, x["text"]).alias("suggestion"), F.lit(rule.advice).alias("explain"), F.lit(rule.confidence).alias("confidence")))
         return F.when(text.rlike(rule.pattern), found).otherwise(F.array()).cast(_HIT)
@@ -48,7 +50,7 @@ def banned_issues(docs: DataFrame, pack: Pack = LATIN, honour_context: bool = Fa
     hits = hits.withColumn("category", F.when(F.col("severity") == "FATAL", "political").otherwise("language"))
     allowed = {r.id: r.allow_context for r in pack.banned if r.allow_context}
     if honour_context and allowed:
-        around = hits.join(docs.select("doc_id", "text"), "doc_id").withColumn("around", context(TEXT, F.col("start"), F.col("end")))
+        around = hits.join(docs.select("doc_id", "text"), "doc_id").withColumn("around", context(TEXT(), F.col("start"), F.col("end")))
         fits = reduce(lambda a, b: a | b, [(F.col("rule_id") == r) & F.col("around").rlike(any_of(words)) for r, words in allowed.items()])
         hits = around.withColumn("severity", F.when(fits, "INFO").otherwise(F.col("severity"))).drop("text", "around")
     return make_issues(hits, "term")
@@ -97,7 +99,7 @@ def long_sentences(docs: DataFrame, pack: Pack = LATIN, longest: int = 90, comma
 
 def pair_balance(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, pair, n_open, n_close where the counts differ: a global finding with the span 0-0."""
-    counts = F.array(*[F.struct(F.lit(a + b).alias("pair"), (F.length(TEXT) - F.length(F.replace(TEXT, F.lit(a), F.lit("")))).alias("n_open"), (F.length(TEXT) - F.length(F.replace(TEXT, F.lit(b), F.lit("")))).alias("n_close")) for a, b in pack.pairs])
+    counts = F.array(*[F.struct(F.lit(a + b).alias("pair"), (F.length(TEXT()) - F.length(F.replace(TEXT(), F.lit(a), F.lit("")))).alias("n_open"), (F.length(TEXT()) - F.length(F.replace(TEXT(), F.lit(b), F.lit("")))).alias("n_close")) for a, b in pack.pairs])
     return docs.select("doc_id", F.explode(counts).alias("x")).select("doc_id", "x.*").filter("n_open != n_close")
 
 

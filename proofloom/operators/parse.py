@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from proofloom.functions.offsets import characters, find_all, let, prefix_sums, strip, tiles
 from proofloom.rules import LATIN, Pack
 
-TEXT = F.coalesce(F.col("text"), F.lit(""))
+def TEXT() -> Column:  # noqa: N802  a column needs a session, so it is made when it is used
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
 NO_SPACE = r"(?U)\s"
 
 
@@ -33,15 +36,15 @@ def doc_key(text: Column) -> Column:
 
 def doc_meta(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, doc_key, title, char_count, n_paragraphs, n_sentences."""
-    lines = F.filter(F.split(TEXT, "\n", -1), lambda x: strip(x) != "")
+    lines = F.filter(F.split(TEXT(), "\n", -1), lambda x: strip(x) != "")
     title = F.substring(strip(F.regexp_replace(F.get(lines, F.lit(0)), r"^\s*#+", "")), 1, 60)
-    sents = F.filter(F.regexp_extract_all(TEXT, F.lit(sentence_pattern(pack)), F.lit(0)), lambda x: strip(x) != "")
-    return docs.select("doc_id", doc_key(TEXT).alias("doc_key"), F.coalesce(title, F.lit("")).alias("title"), F.length(F.regexp_replace(TEXT, NO_SPACE, "")).cast("bigint").alias("char_count"), F.size(lines).cast("bigint").alias("n_paragraphs"), F.size(sents).cast("bigint").alias("n_sentences"))
+    sents = F.filter(F.regexp_extract_all(TEXT(), F.lit(sentence_pattern(pack)), F.lit(0)), lambda x: strip(x) != "")
+    return docs.select("doc_id", doc_key(TEXT()).alias("doc_key"), F.coalesce(title, F.lit("")).alias("title"), F.length(F.regexp_replace(TEXT(), NO_SPACE, "")).cast("bigint").alias("char_count"), F.size(lines).cast("bigint").alias("n_paragraphs"), F.size(sents).cast("bigint").alias("n_sentences"))
 
 
 def paragraphs(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, para_idx (dense), line (from 1), start, end, text, is_heading, in_ref."""
-    lines = let(F.split(TEXT, "\n", -1), lambda ls: F.zip_with(ls, prefix_sums(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("text"), at.alias("start"))))
+    lines = let(F.split(TEXT(), "\n", -1), lambda ls: F.zip_with(ls, prefix_sums(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("text"), at.alias("start"))))
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x["start"].alias("start"), x["text"].alias("text")))
     kept = let(numbered, lambda a: F.filter(a, lambda x: strip(x["text"]) != ""))
     rows = docs.select("doc_id", kept.alias("p"))
@@ -58,7 +61,7 @@ def sentence_pattern(pack: Pack) -> str:
 
 def sentences(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, sent_idx, start, end, text: segments that end with terminators and closers; blank ones are dropped."""
-    segments = F.regexp_extract_all(TEXT, F.lit(sentence_pattern(pack)), F.lit(0))
+    segments = F.regexp_extract_all(TEXT(), F.lit(sentence_pattern(pack)), F.lit(0))
     kept = let(let(segments, tiles), lambda a: F.filter(a, lambda x: strip(x["text"]) != ""))
     return docs.select("doc_id", F.posexplode(kept).alias("sent_idx", "x")).select("doc_id", "sent_idx", "x.start", "x.end", "x.text")
 
@@ -154,7 +157,7 @@ def body_text(text: Column, ref_start: Column) -> Column:
 
 def citations(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, num, pos: [n] in the body, at its first place."""
-    body = reference_start(docs, pack).select("doc_id", body_text(TEXT, F.col("ref_start")).alias("text"))
+    body = reference_start(docs, pack).select("doc_id", body_text(TEXT(), F.col("ref_start")).alias("text"))
     hits = body.select("doc_id", F.explode(find_all(F.col("text"), r"\[\d{1,4}\]")).alias("x"))
     return hits.groupBy("doc_id", F.regexp_extract("x.text", r"\d+", 0).cast("int").alias("num")).agg(F.min("x.start").alias("pos"))
 

@@ -17,20 +17,20 @@ from proofloom.schema import make_issues
 def profile(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """One row per document: sentence lengths, densities per character, share of paragraphs with a figure and of long
     paragraphs led by a summary (Y01, Y02). All of it is one projection over the text."""
-    sents = F.filter(F.transform(F.regexp_extract_all(TEXT, F.lit(sentence_pattern(pack)), F.lit(0)), strip), lambda s: F.length(s) >= 4)
+    sents = F.filter(F.transform(F.regexp_extract_all(TEXT(), F.lit(sentence_pattern(pack)), F.lit(0)), strip), lambda s: F.length(s) >= 4)
     lengths = F.transform(sents, F.length)
-    paras = F.filter(F.split(TEXT, "\n", -1), lambda p: strip(p) != "")
+    paras = F.filter(F.split(TEXT(), "\n", -1), lambda p: strip(p) != "")
     share = lambda a, cond: F.when(F.size(a) > 0, F.size(F.filter(a, cond)).cast("double") / F.size(a))
-    count = lambda name: F.regexp_count(TEXT, F.lit(any_of(pack.words[name])))
+    count = lambda name: F.regexp_count(TEXT(), F.lit(any_of(pack.words[name])))
     long_paras = F.filter(paras, lambda p: F.length(p) > 40)
     lead = any_of(pack.words["lead"])
-    n_chars = F.length(TEXT)
+    n_chars = F.length(TEXT())
     return docs.select(
         "doc_id",
         F.size(sents).cast("bigint").alias("n_sentences"),
         F.coalesce(F.aggregate(lengths, F.lit(0), lambda s, x: s + x).cast("double") / F.when(F.size(lengths) > 0, F.size(lengths)), F.lit(0.0)).alias("mean_sentence"),
         F.coalesce(F.array_max(lengths), F.lit(0)).cast("bigint").alias("max_sentence"),
-        F.coalesce(F.regexp_count(TEXT, F.lit(r"[$#%&*!|]")).cast("double") / F.when(n_chars > 0, n_chars), F.lit(0.0)).alias("symbol_density"),
+        F.coalesce(F.regexp_count(TEXT(), F.lit(r"[$#%&*!|]")).cast("double") / F.when(n_chars > 0, n_chars), F.lit(0.0)).alias("symbol_density"),
         F.coalesce(count("hedge").cast("double") / F.when(n_chars > 0, n_chars), F.lit(0.0)).alias("hedge_density"),
         F.coalesce(share(paras, lambda p: p.rlike(r"\d")), F.lit(0.0)).alias("data_ratio"),
         F.coalesce(share(long_paras, lambda p: F.substring(p, 1, 30).rlike(lead)), F.lit(1.0)).alias("lead_ratio"),
@@ -61,7 +61,7 @@ def metric_gaps(profiles: DataFrame, targets: DataFrame) -> DataFrame:
 
 def missing_sections(docs: DataFrame, sections: tuple[str, ...]) -> DataFrame:
     """doc_id, section for each required heading that a document lacks."""
-    return docs.select("doc_id", F.explode(F.filter(F.array(*[F.lit(s) for s in sections]), lambda s: ~F.contains(TEXT, s))).alias("section"))
+    return docs.select("doc_id", F.explode(F.filter(F.array(*[F.lit(s) for s in sections]), lambda s: ~F.contains(TEXT(), s))).alias("section"))
 
 
 def style_scores(profiles: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def neighbourhoods(docs: DataFrame, reach: int, width: int = 2) -> DataFrame:
         lo = F.greatest(i - reach, F.lit(1))
         return F.struct((i - 1).alias("pos"), F.array_join(F.slice(ch, i, width), "").alias("gram"), F.array_join(F.slice(ch, lo, i + width + reach - lo), "").alias("around"))
 
-    places = let(characters(TEXT), lambda ch: F.when(F.size(ch) >= width, F.transform(F.sequence(F.lit(1), F.size(ch) - (width - 1)), lambda i: place(ch, i))))
+    places = let(characters(TEXT()), lambda ch: F.when(F.size(ch) >= width, F.transform(F.sequence(F.lit(1), F.size(ch) - (width - 1)), lambda i: place(ch, i))))
     return docs.select("doc_id", F.explode(places).alias("x")).select("doc_id", "x.*")
 
 
@@ -53,12 +53,12 @@ def exact_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     columns = [F.col(f"p.{c}").alias(c) for c in patterns.columns]
     if n <= SEARCHED_PATTERNS:
         table = F.broadcast(patterns.agg(F.collect_list(F.struct(*patterns.columns)).alias("table")))
-        pairs = docs.select("doc_id", TEXT.alias("text")).join(table).select("doc_id", "text", F.explode(F.filter("table", lambda p: F.contains("text", p["pattern"]))).alias("p"))
+        pairs = docs.select("doc_id", TEXT().alias("text")).join(table).select("doc_id", "text", F.explode(F.filter("table", lambda p: F.contains("text", p["pattern"]))).alias("p"))
     else:
         width = patterns.agg(F.min(F.length("pattern"))).first()[0]
-        grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(characters(TEXT), width))).alias("gram"))
+        grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(characters(TEXT()), width))).alias("gram"))
         keyed = patterns.select(F.struct(*patterns.columns).alias("p"), F.substring("pattern", 1, width).alias("gram"))
-        pairs = grams.join(_small(keyed), "gram").select("doc_id", "p").join(docs.select("doc_id", TEXT.alias("text")), "doc_id")
+        pairs = grams.join(_small(keyed), "gram").select("doc_id", "p").join(docs.select("doc_id", TEXT().alias("text")), "doc_id")
     placed = pairs.select("doc_id", "p", F.explode(occurrences(F.col("text"), F.col("p.pattern"))).alias("start"))
     return placed.select("doc_id", "start", (F.col("start") + F.length("p.pattern")).alias("end"), *columns)
 
@@ -123,7 +123,7 @@ def ordering_issues(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     for t in pack.terms:
         if t.type != "ordering" or not t.segment:
             continue
-        segments = docs.select("doc_id", F.explode(find_all(TEXT, t.segment)).alias("x")).select("doc_id", "x.*")
+        segments = docs.select("doc_id", F.explode(find_all(TEXT(), t.segment)).alias("x")).select("doc_id", "x.*")
         order = F.array(*[F.lit(w) for w in t.order])
         placed = F.array_sort(F.filter(F.transform(order, lambda w: F.struct(F.instr(F.col("text"), w).alias("at"), w.alias("w"))), lambda p: p["at"] > 0))
         rows = segments.withColumn("present", F.transform(placed, lambda p: p["w"])).withColumn("expected", F.filter(order, lambda w: F.array_contains("present", w)))
@@ -141,7 +141,7 @@ def suppress(issues: DataFrame, docs: DataFrame, pack: Pack = LATIN, min_quote:
     """Issues with `suppressed` (long-quote, negated, reference or null) and severity INFO where a standard term covers
     them; ordering issues are not exempt in quotes (T17). One join by doc_id brings text, quotes and references."""
     sect = paragraphs(docs, pack).filter("in_ref").groupBy("doc_id").agg(F.min("start").alias("ref_from"))
-    facts = docs.select("doc_id", TEXT.alias("doc_text"), quote_spans(TEXT).alias("quotes")).join(sect, "doc_id", "left")
+    facts = docs.select("doc_id", TEXT().alias("doc_text"), quote_spans(TEXT()).alias("quotes")).join(sect, "doc_id", "left")
     rows = issues.join(facts, "doc_id")
     reason = F.when((F.col("category") != "order") & in_quote(F.col("quotes"), F.col("start"), min_quote), "long-quote").when(is_negated(F.col("doc_text"), F.col("start"), pack), "negated").when(F.col("start") >= F.col("ref_from"), "reference")
     return rows.withColumn("suppressed", reason).drop("doc_text", "quotes", "ref_from")

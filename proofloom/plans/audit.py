@@ -20,10 +20,10 @@ ENGINES = ("term", "norm", "logic", "academic", "style")
 
 def intake(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, n_chars, digit_density, n_refs, quote_ratio, is_academic, doc_type: one projection."""
-    n = F.length(TEXT)
-    ratio = lambda pattern: F.coalesce(F.regexp_count(TEXT, F.lit(pattern)).cast("double") / F.when(n > 0, n), F.lit(0.0))
-    refs = F.regexp_count(TEXT, F.lit(r"\[\d{1,3}\]"))
-    academic_like = (refs >= 2) | TEXT.rlike(pack.reference_head)
+    n = F.length(TEXT())
+    ratio = lambda pattern: F.coalesce(F.regexp_count(TEXT(), F.lit(pattern)).cast("double") / F.when(n > 0, n), F.lit(0.0))
+    refs = F.regexp_count(TEXT(), F.lit(r"\[\d{1,3}\]"))
+    academic_like = (refs >= 2) | TEXT().rlike(pack.reference_head)
     kind = F.when(academic_like, "paper").when(ratio(r"\d") > 0.05, "report").when(n < 400, "note").otherwise("article")
     return docs.select("doc_id", n.cast("bigint").alias("n_chars"), ratio(r"\d").alias("digit_density"), refs.cast("bigint").alias("n_refs"), ratio('["“”]').alias("quote_ratio"), academic_like.alias("is_academic"), kind.alias("doc_type"))
 
@@ -95,4 +95,4 @@ def mermaid(pack: Pack = LATIN) -> str:
 
 def mentions(docs: DataFrame, words: tuple[str, ...]) -> DataFrame:
     """Documents that hold one of the words."""
-    return docs.filter(TEXT.rlike(any_of(words)))
+    return docs.filter(TEXT().rlike(any_of(words)))

@@ -74,7 +74,7 @@ def dup_titles(s, d):
 
 
 def simhash_items(s, d):
-    toks = _t(s, d, "benchmark").select("item_id", F.explode(parse.tokens(parse.TEXT)).alias("token"))
+    toks = _t(s, d, "benchmark").select("item_id", F.explode(parse.tokens(parse.TEXT())).alias("token"))
     return simhash(toks, "item_id", "token")
 
 
@@ -86,7 +86,7 @@ def simhash_nearest(s, d):
 
 
 def minhash_items(s, d):
-    sig = minhash(similarity.shingle_hashes(parse.tokens(parse.TEXT)), 8)
+    sig = minhash(similarity.shingle_hashes(parse.tokens(parse.TEXT())), 8)
     return _t(s, d, "benchmark").select("item_id", F.posexplode(sig).alias("slot", "value"))
 
 
@@ -134,12 +134,12 @@ def candidates(s, d):
 
 
 def term_update(s, d):
-    known = _t(s, d, "benchmark").select(F.explode(parse.tokens(parse.TEXT)).alias("term"))
+    known = _t(s, d, "benchmark").select(F.explode(parse.tokens(parse.TEXT())).alias("term"))
     return lifecycle.run_update(candidates(s, d), known, 0.85).select("id", "term", "occurrences", "confidence", "status")
 
 
 def containment_dedup(s, d):
-    names = _t(s, d, "conversations").select(F.explode(parse.tokens(parse.TEXT)).alias("term")).filter("length(term) >= 6").distinct()
+    names = _t(s, d, "conversations").select(F.explode(parse.tokens(parse.TEXT())).alias("term")).filter("length(term) >= 6").distinct()
     return lifecycle.drop_contained(names)
 
 

@@ -43,7 +43,7 @@ def rule_positions(s, d):
     t = docs(s, d)
     found = norm.rule_hits(t, RULES).select("doc_id", "rule_id", "start", "end")
     placed = parse.locate(found, parse.paragraphs(t), "para_idx").join(t, "doc_id")
-    return placed.select("doc_id", "rule_id", "start", "end", "para_idx", parse.line_of(parse.TEXT, F.col("start")).alias("line"), parse.context(parse.TEXT, F.col("start"), F.col("end")).alias("around"))
+    return placed.select("doc_id", "rule_id", "start", "end", "para_idx", parse.line_of(parse.TEXT(), F.col("start")).alias("line"), parse.context(parse.TEXT(), F.col("start"), F.col("end")).alias("around"))
 
 
 def hit_sentences(s, d):
@@ -53,15 +53,15 @@ def hit_sentences(s, d):
 
 
 def quote_spans(s, d):
-    return docs(s, d).select("doc_id", F.explode(parse.quote_spans(parse.TEXT)).alias("x")).select("doc_id", "x.qs", "x.qe")
+    return docs(s, d).select("doc_id", F.explode(parse.quote_spans(parse.TEXT())).alias("x")).select("doc_id", "x.qs", "x.qe")
 
 
 def tokens_top(s, d):
-    return docs(s, d).select(F.explode(parse.tokens(parse.TEXT)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return docs(s, d).select(F.explode(parse.tokens(parse.TEXT())).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def char_ngram_stats(s, d):
-    return _table(s, d, "benchmark").select("item_id", F.explode(parse.char_ngrams(parse.TEXT, 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
+    return _table(s, d, "benchmark").select("item_id", F.explode(parse.char_ngrams(parse.TEXT(), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
 
 
 def html_strip(s, d):
@@ -160,7 +160,7 @@ def claim_sentences(s, d):
 
 
 def number_facts(s, d):
-    return docs(s, d).select("doc_id", F.explode(academic.number_facts(parse.TEXT)).alias("f")).select("doc_id", "f.label", "f.value", "f.unit", "f.start", "f.end")
+    return docs(s, d).select("doc_id", F.explode(academic.number_facts(parse.TEXT())).alias("f")).select("doc_id", "f.label", "f.value", "f.unit", "f.start", "f.end")
 
 
 def vague_comparisons(s, d):
