@@ -13,11 +13,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import documents, wrapped
+from proofloom.llm.common import documents, staged, wrapped
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
 MAX_RATE = 64.0  # above it the target asks for more than 64 copies of a text on average: refused
+BROADCAST_SOURCES = 2000  # sources, each with some 1,700 bytes, that are broadcast at most
 TAIL = 200  # steps of the inverted distribution: P(count > 200) < 1e-35 at the largest rate
 
 
@@ -60,9 +61,12 @@ def mix_sources(df: DataFrame, key: str = "doc_id", group: str = "source", size:
     df = df.drop("mix_copy", "mix_copies", "mix_order")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1 if size is None else size
     grp = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    rates = source_rates(df, grp, size, targets, temperature)
+    rates = staged(source_rates(df, grp, size, targets, temperature), "rates")
+    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a target asks for more than {MAX_RATE} copies of each document")).cast("double"))
     rates = rates.withColumn("cdf", poisson_cdf(checked))
+    # with few sources no row moves and a hot source is no hot partition; with more they join by shuffle
+    rates = F.broadcast(rates) if few else rates
     # u is computed below the join: above it, it would be folded into the search and hashed again at every step
     drawn = wrapped(df, grp=grp, k=F.col(key), u=uniform(seed, F.col(key))).join(rates, "grp").withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf")
     copies = drawn.select("row", "k", "n", F.posexplode(F.array_repeat(F.lit(True), F.col("n"))).alias("copy", "drawn"))
