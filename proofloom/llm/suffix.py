@@ -27,7 +27,7 @@ from proofloom.llm.textnum import mix, powers, slices
 LENGTH = 400
 GRAM = 128
 SLICE = 1 << 19
-SHARD = 1 << 20  # bytes sorted together, unless the pieces of one hash alone are more
+SHARD = 1 << 19  # bytes sorted together, unless the pieces of one hash alone are more
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(301, 557, dtype=np.uint64))
@@ -188,9 +188,6 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     spans = staged(repeated_substrings(df, text, length), "spans")
     named = wrapped(df, text=text_or_empty(text))
     named = named.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("\x02"), "text")).withColumn("hit", key_bitmap(spans, "t1")("t1"))
-    # texts without repeats, nearly all of them, are not shuffled
-    joined = named.filter("hit").join(spans, ["t1", "t2"], "left").select("row", "text", "spans")
-    joined = joined.unionByName(named.filter("NOT hit").select("row", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     kinds = "n_bytes long, n_removed long, n_spans long, kept binary"
 
     @F.pandas_udf(kinds)
@@ -208,7 +205,11 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
             rows.append((len(data), len(data) - len(left), len(found), left))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.withColumn("out", remove("text", "spans")).select("row.*", "out.*")
+    # texts without repeats, most of them, are neither shuffled nor sent to Python again
+    hit = named.filter("hit").join(spans, ["t1", "t2"], "left").withColumn("out", remove("text", "spans")).select("row.*", "out.*")
+    zero = F.lit(0).cast("long")
+    rest = named.filter("NOT hit").select("row.*", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
+    return hit.unionByName(rest)
 
 
 def op3_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
