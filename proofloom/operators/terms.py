@@ -21,21 +21,6 @@ def _small(patterns: DataFrame) -> DataFrame:
     return F.broadcast(patterns) if patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else patterns
 
 
-def neighbourhoods(docs: DataFrame, reach: int, width: int = 2) -> DataFrame:
-    """doc_id, pos, gram, around: every place of a text with the `width` characters from it and `reach` on both sides.
-
-    The text is split once; a row holds its neighbourhood and never the text, so rows grow with the text's length. They are
-    joined where they are made and not shuffled.
-    """
-
-    def place(ch: Column, i: Column) -> Column:
-        lo = F.greatest(i - reach, F.lit(1))
-        return F.struct((i - 1).alias("pos"), F.array_join(F.slice(ch, i, width), "").alias("gram"), F.array_join(F.slice(ch, lo, i + width + reach - lo), "").alias("around"))
-
-    places = let(characters(TEXT()), lambda ch: F.when(F.size(ch) >= width, F.transform(F.sequence(F.lit(1), F.size(ch) - (width - 1)), lambda i: place(ch, i))))
-    return docs.select("doc_id", F.explode(places).alias("x")).select("doc_id", "x.*")
-
-
 def occurrences(text: Column, pattern: Column) -> Column:
     """Starts of all occurrences of a literal, overlapping ones too: the text is cut before each of them."""
     cut = F.split(text, F.concat(F.lit(r"(?=\Q"), pattern, F.lit(r"\E)")), -1)
@@ -43,14 +28,11 @@ def occurrences(text: Column, pattern: Column) -> Column:
     return F.filter(starts, lambda at: (at > 0) | F.startswith(text, pattern))
 
 
-def exact_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, start, end, and the pattern's columns: all hits of all patterns, overlapping ones too.
-
-    Which patterns a text may hold is found first: by search while the patterns are few, else by joining the text's
+def located(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """doc_id, text, p (the pattern's row), start of every hit. Which patterns a text may hold is found first: by search while the patterns are few, else by joining the text's
     distinct n-grams to the patterns' first ones. Only those are then located.
     """
     n = patterns.limit(SEARCHED_PATTERNS + 1).count()
-    columns = [F.col(f"p.{c}").alias(c) for c in patterns.columns]
     if n <= SEARCHED_PATTERNS:
         table = F.broadcast(patterns.agg(F.collect_list(F.struct(*patterns.columns)).alias("table")))
         pairs = docs.select("doc_id", TEXT().alias("text")).join(table).select("doc_id", "text", F.explode(F.filter("table", lambda p: F.contains("text", p["pattern"]))).alias("p"))
@@ -59,8 +41,13 @@ def exact_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         grams = docs.select("doc_id", F.explode(F.array_distinct(ngrams(characters(TEXT()), width))).alias("gram"))
         keyed = patterns.select(F.struct(*patterns.columns).alias("p"), F.substring("pattern", 1, width).alias("gram"))
         pairs = grams.join(_small(keyed), "gram").select("doc_id", "p").join(docs.select("doc_id", TEXT().alias("text")), "doc_id")
-    placed = pairs.select("doc_id", "p", F.explode(occurrences(F.col("text"), F.col("p.pattern"))).alias("start"))
-    return placed.select("doc_id", "start", (F.col("start") + F.length("p.pattern")).alias("end"), *columns)
+    return pairs.select("doc_id", "text", "p", F.explode(occurrences(F.col("text"), F.col("p.pattern"))).alias("start"))
+
+
+def exact_hits(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """doc_id, start, end, and the pattern's columns: all hits of all patterns, overlapping ones too."""
+    columns = [F.col(f"p.{c}").alias(c) for c in patterns.columns]
+    return located(docs, patterns).select("doc_id", "start", (F.col("start") + F.length("p.pattern")).alias("end"), *columns)
 
 
 def exact_issues(hits: DataFrame) -> DataFrame:
@@ -73,18 +60,22 @@ def exact_issues(hits: DataFrame) -> DataFrame:
 def fuzzy_hits(docs: DataFrame, surfaces: DataFrame, exact: DataFrame, max_distance: int = 2, least: float = 0.86, allow_short: int = 4) -> DataFrame:
     """doc_id, start, end, window, surface, term_id, distance: same-length windows within an edit distance.
 
-    Candidates come from an inverted index of the surfaces' bigrams: a bigram at place i of a text that stands at offset
-    o of a surface votes for the window at i - o. Windows that start where an exact hit starts, equal their surface or a
-    standard term, or hold a standard term of six characters or more are left out; the nearest surface wins, then the
+    A window has its surface's length and shares a pair of neighbours with it in place. Candidates come from blocks of the
+    surfaces: cut into one block more than edits are allowed, one block must stand unchanged, at its place or, with two
+    edits, one off. Blocks are located like exact patterns. Windows that start where an exact hit starts, equal their surface
+    or a standard term, or hold a standard term of six characters or more are left out; the nearest surface wins, then the
     first in order.
     """
-    long_enough = surfaces.filter(F.length("pattern") >= allow_short)
-    grams = let(characters(F.col("pattern")), lambda ch: F.transform(F.sequence(F.lit(1), F.size(ch) - 1), lambda i: F.array_join(F.slice(ch, i, 2), "")))
-    index = long_enough.select("term_id", F.col("pattern").alias("surface"), F.posexplode(grams).alias("offset", "gram"))
-    reach = surfaces.agg(F.coalesce(F.max(F.length("pattern")), F.lit(2))).first()[0]
-    votes = neighbourhoods(docs, reach).join(_small(index), "gram").withColumn("start", F.col("pos") - F.col("offset")).withColumn("len", F.length("surface"))
-    inside = F.least(F.col("pos"), F.lit(reach)) - F.col("offset")  # of the window within the neighbourhood
-    windows = votes.filter(F.col("start") >= 0).withColumn("window", F.substring("around", inside + 1, F.col("len"))).filter("length(window) = len AND window != surface")
+    edits = F.least(F.lit(max_distance), F.floor((1 - least) * F.length("surface") + 1e-9)).cast("int")
+    sized = surfaces.filter(F.length("pattern") >= allow_short).select("term_id", F.col("pattern").alias("surface")).withColumn("edits", edits).filter("edits > 0")
+    block = lambda k: F.struct(F.floor(k * F.length("surface") / (F.col("edits") + 1)).cast("int").alias("lo"), F.floor((k + 1) * F.length("surface") / (F.col("edits") + 1)).cast("int").alias("hi"))
+    cut = sized.withColumn("b", F.explode(F.transform(F.sequence(F.lit(0), F.col("edits")), block)))
+    blocks = cut.select(F.expr("substring(surface, b.lo + 1, b.hi - b.lo)").alias("pattern"), "term_id", "surface", F.col("b.lo").alias("offset"), F.when(F.col("edits") > 1, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("shifts"))
+    votes = located(docs, blocks).select("doc_id", "text", "p.term_id", "p.surface", (F.col("start") - F.col("p.offset")).alias("at"), F.explode("p.shifts").alias("shift"))
+    votes = votes.withColumn("start", F.col("at") + F.col("shift")).withColumn("len", F.length("surface")).filter("start >= 0")
+    windows = votes.withColumn("window", F.expr("substring(text, start + 1, len)")).filter("length(window) = len AND window != surface").drop("text")
+    equal = F.zip_with(characters(F.col("window")), characters(F.col("surface")), lambda a, b: a == b)
+    windows = windows.filter(let(equal, lambda e: F.exists(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.element_at(e, i) & F.element_at(e, i + 1))))
     close = windows.withColumn("distance", F.levenshtein("window", "surface", max_distance)).filter(F.col("distance") > 0).filter(1 - F.col("distance") / F.col("len") >= least)
     standards = F.broadcast(surfaces.filter("role = 'standard'").select(F.collect_set("pattern").alias("standards")))
     close = close.select("doc_id", "start", (F.col("start") + F.col("len")).alias("end"), "window", "surface", "term_id", "distance").distinct().crossJoin(standards)
