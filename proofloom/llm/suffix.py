@@ -130,7 +130,9 @@ def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH,
     place = F.struct("t1", "t2", "start")
     contents = staged(cuts.groupBy("h", "c1", "c2").agg(F.count("*").alias("times"), F.min(place).alias("at"), F.first("n").alias("n"), F.max("own").alias("own")), "contents")
     twice = contents.filter("times > 1").select("h", "c1", "c2")
-    whole = cuts.join(twice, ["h", "c1", "c2"], "left_semi").select("t1", "t2", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))).alias("spans"))
+    # copies of a text have the same pieces: each is named once, or every copy would get the spans of all of them
+    again = cuts.join(twice, ["h", "c1", "c2"], "left_semi").select("t1", "t2", "start", "n").distinct()
+    whole = again.select("t1", "t2", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))).alias("spans"))
 
     open_hashes = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.max("own").alias("own")).filter("kinds > 1 OR own").select("h")
     asked = contents.join(open_hashes, "h", "left_semi").select("h", "c1", "c2", "times", "n", "at.*")
