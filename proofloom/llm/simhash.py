@@ -11,14 +11,16 @@ value, fingerprints are compared by arithmetic on whole arrays. A large group is
 one leaving the rest, so it yields a spanning forest and never all its pairs.
 
 `near_duplicates` links fingerprints; `similar_documents` takes fingerprints within WIDE_TAU bits as candidates and links
-texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Pairs of that similarity whose fingerprints
+lie further apart are found by a prefix filter: in any common order of the shingles, both texts have one of the first
+(1 - similarity) of their shingles, and one more, in common. The order puts shingles that a sample shows to be common last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ SEED = 42
 SHINGLES = 5  # words of a shingle that similarity is measured on
 SIMILARITY = 0.8
 WIDE_TAU = 11  # bits within which texts are candidates for that similarity
+PREFIX_TAU = 26  # bits within which texts that share a rare shingle are candidates
+ORDER_SAMPLE = 4096  # texts that show which shingles are common; they steer cost only, as any order finds every pair
+COMMON = 3  # of them that hold a common shingle
+COMMON_LIMIT = 1 << 19
 BLOCK = 8192  # texts verified against each other in one task
 SLICE = 1 << 19
 SAMPLE = 4096  # fingerprints that steer the allocation
@@ -203,28 +209,11 @@ def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.nda
     return a[different], b[different]
 
 
-def fingerprint_links(prints: DataFrame, tau: int = TAU, ratio: float = 0.0, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """prints: distinct fp, or (fp, size). Returns a, b: links that connect whatever is linked at tau bits or fewer.
+ROWS = "v long, probe boolean, fp long, size int"
 
-    With a ratio, rows are linked only if the smaller size is at least that share of the larger.
-    """
-    if "size" not in prints.columns:
-        prints = prints.select("fp", F.lit(0).alias("size"))
-    if plan is None:
-        picked = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-        plan = plan_partitions(picked, prints.count(), tau) if len(picked) else []
 
-    def signatures(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for number, (group, t) in enumerate(plan):
-                own = part_values(fp, group)
-                # values t bits apart meet half-way: at t // 2 flips of each, one of both flips once more if t is odd
-                for r in range((t + 1) // 2 + 1):
-                    for flips in combinations(range(len(group)), r):
-                        mask = np.uint64(sum(1 << f for f in flips))
-                        value = (own ^ mask) | np.uint64(number << 58)
-                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(fp), r > t // 2)), *batch.columns], ["v", "probe", "fp", "size"])
+def linked_rows(rows: DataFrame, tau: int, ratio: float) -> DataFrame:
+    """a, b: links that connect the fingerprints within tau bits among rows (v, probe, fp, size) of equal v."""
 
     def link(batches):
         held: list[list[np.ndarray]] = []
@@ -247,8 +236,33 @@ def fingerprint_links(prints: DataFrame, tau: int = TAU, ratio: float = 0.0, pla
         if count:
             yield emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    rows = prints.select("fp", F.col("size").cast("int")).mapInArrow(signatures, "v long, probe boolean, fp long, size int").repartition("v").sortWithinPartitions("v", "probe", "fp")
-    return rows.mapInArrow(link, "a long, b long")
+    return rows.repartition("v").sortWithinPartitions("v", "probe", "fp").mapInArrow(link, "a long, b long")
+
+
+def fingerprint_links(prints: DataFrame, tau: int = TAU, ratio: float = 0.0, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """prints: distinct fp, or (fp, size). Returns a, b: links that connect whatever is linked at tau bits or fewer.
+
+    With a ratio, rows are linked only if the smaller size is at least that share of the larger.
+    """
+    if "size" not in prints.columns:
+        prints = prints.select("fp", F.lit(0).alias("size"))
+    if plan is None:
+        picked = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+        plan = plan_partitions(picked, prints.count(), tau) if len(picked) else []
+
+    def signatures(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for number, (group, t) in enumerate(plan):
+                own = part_values(fp, group)
+                # values t bits apart meet half-way: at t // 2 flips of each, one of both flips once more if t is odd
+                for r in range((t + 1) // 2 + 1):
+                    for flips in combinations(range(len(group)), r):
+                        mask = np.uint64(sum(1 << f for f in flips))
+                        value = (own ^ mask) | np.uint64(number << 58)
+                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(fp), r > t // 2)), *batch.columns], ["v", "probe", "fp", "size"])
+
+    return linked_rows(prints.select("fp", F.col("size").cast("int")).mapInArrow(signatures, ROWS), tau, ratio)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
@@ -319,12 +333,69 @@ def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> li
     return links
 
 
+def rare_prefixes(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number of its set) of the first shingles of each set, by their counts (sorted common; others: 0) and
+    then by hash. Two sets whose Jaccard similarity is `similarity` or more share at least one of them."""
+    sizes = np.array([len(x) for x in sets])
+    keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    seen = np.zeros(len(keys), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        seen = np.where(common[at] == keys, counts[at], 0)
+    order = np.lexsort((keys, seen, owner))
+    nth = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken = np.array([n - ceil(similarity * n - 1e-9) + 1 for n in sizes.tolist()])
+    order = order[nth < taken[owner]]
+    return keys[order], owner[order]
+
+
+def prefix_links(picked: DataFrame, n: int, shingle: int, similarity: float, tau: int = PREFIX_TAU) -> DataFrame:
+    """a, b: fingerprints of rows (k, text), n of them different, that share a shingle of their rare prefixes, are within
+    tau bits and whose sizes fit."""
+
+    def sampled(batches):
+        for batch in batches:
+            texts = [t.as_py().encode() for t in batch.column(0)]
+            for lo, hi in slices(texts, SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(texts[lo:hi], shingle)).view(np.int64))], ["h"])
+
+    some = picked.filter(F.pmod(F.xxhash64("k"), F.lit(-(-n // ORDER_SAMPLE) or 1)) == 0).select("text")
+    often = some.mapInArrow(sampled, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    often = often.orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).toPandas()
+    common, counts = often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    order = np.argsort(common)
+    shared = picked.sparkSession.sparkContext.broadcast((common[order], counts[order]))
+
+    def prefixes(batches):
+        known: set[bytes] = set()  # texts equal but for case and blanks are sent once by a task
+        for batch in batches:
+            texts = [t.as_py().encode() for t in batch.column(0)]
+            for lo, hi in slices(texts, SLICE):
+                fresh, words = [], []
+                for t in texts[lo:hi]:
+                    w = t.lower().split()
+                    same = xxhash.xxh3_128_digest(b" ".join(w))
+                    if same not in known:
+                        known.add(same)
+                        fresh.append(t)
+                        words.append(w)
+                if not fresh:
+                    continue
+                fp = np.frombuffer(b"".join(words_fingerprint(w, SHINGLE, True) for w in words), dtype=">u8").astype(np.uint64).view(np.int64)
+                sets = shingle_sets(fresh, shingle)
+                v, owner = rare_prefixes(sets, *shared.value, similarity)
+                sizes = np.array([len(x) for x in sets], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.zeros(len(v), dtype=bool)), pa.array(fp[owner]), pa.array(sizes[owner])], ["v", "probe", "fp", "size"])
+
+    return linked_rows(picked.select("text").mapInArrow(prefixes, ROWS), tau, similarity)
+
+
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY, tau: int = WIDE_TAU) -> DataFrame:
     """key, component_id for the rows of df that have a near duplicate: linked if the Jaccard similarity of their sets
     of `shingle` words is `similarity` or more; component_id is the smallest key reachable over links.
 
-    Candidates are texts whose fingerprints are within tau bits and whose lengths fit; connected candidates form a
-    cluster, and each cluster is verified on whole texts, in pairs of blocks of BLOCK texts if it is larger. Texts
+    Candidates are texts whose fingerprints are within tau bits, or within PREFIX_TAU bits if they share a shingle of
+    their rare prefixes, and whose lengths fit; connected candidates form a cluster, and each cluster is verified on whole texts, in pairs of blocks of BLOCK texts if it is larger. Texts
     equal but for case and blanks collapse first. Null and empty texts are one group. Rows of equal key are one document
     with several texts.
     """
@@ -344,6 +415,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = staged(picked.mapInArrow(describe, f"k {kind}, fp long, size int, s1 long, s2 long"), "descriptions")
     texts = staged(rows.groupBy("s1", "s2").agg(F.min("k").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("copies")), "distinct-texts")
     links = fingerprint_links(texts.select("fp", "size").distinct(), tau, similarity)
+    links = links.unionByName(prefix_links(picked, texts.count(), shingle, similarity)).distinct()
     clusters = connected_components(links)
     clustered = texts.join(clusters, texts.fp == clusters.node, "left").select("s1", "s2", "least", F.coalesce("root", "fp").alias("cluster"))
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
