@@ -8,8 +8,11 @@ the same on every run and every retry, and no copy depends on another row. Copie
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,10 @@ from proofloom.llm.common import documents, staged, wrapped
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
-MAX_RATE = 64.0  # above it the target asks for more than 64 copies of a text on average: refused
-BROADCAST_SOURCES = 2000  # sources, each with some 1,700 bytes, that are broadcast at most
-TAIL = 200  # steps of the inverted distribution: P(count > 200) < 1e-35 at the largest rate
+MAX_RATE = 64.0  # above it a target that the caller gives asks for more than 64 copies of a text on average: refused
+BROADCAST_STEPS = 400_000  # steps of all sources' distributions, of 8 bytes each, that are broadcast at most
+TAIL = 200  # steps of the inverted distribution up to a rate of 64: P(count > 200) < 1e-35
+COPIES = 1 << 16  # of a row that are made at once
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -40,36 +44,50 @@ def source_rates(df: DataFrame, group: Column, size: Column, targets: Mapping[st
     return weighed.crossJoin(sums).select("grp", (F.col("w") / F.col("all_w") * F.col("all_size") / F.col("size")).alias("rate"))
 
 
-def poisson_cdf(rate: Column, steps: int = TAIL) -> Column:
-    """Array of P(count <= k) for k = 0 to steps."""
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_cdf(rate: float) -> tuple[int, np.ndarray]:
+    """first and the array of P(count <= k) for k = first, first + 1, ...: less than 1e-30 lies before or behind."""
+    reach = 12 * math.sqrt(rate) + 40
+    first = max(0, math.floor(rate - reach))
+    last = max(TAIL, math.ceil(rate + reach))
+    start = math.exp(first * math.log(rate) - rate - math.lgamma(first + 1)) if first else math.exp(-rate)
+    cdf = np.cumsum(np.cumprod(np.r_[start, rate / np.arange(first + 1, last + 1)]))
+    return first, cdf / cdf[-1] if first else cdf  # a large first number has no exact logarithm
 
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * rate / k.cast("double")
-        return F.struct(p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["cdf"])
+def with_cdf(rates: DataFrame) -> DataFrame:
+    """grp, first, cdf of rows (grp, rate)."""
+
+    def run(batches):
+        for batch in batches:
+            first, cdf = zip(*map(poisson_cdf, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int64()), pa.array([c.tolist() for c in cdf], pa.list_(pa.float64()))], ["grp", "first", "cdf"])
+
+    return rates.select("grp", "rate").mapInArrow(run, "grp string, first long, cdf array<double>")
 
 
 def mix_sources(df: DataFrame, key: str = "doc_id", group: str = "source", size: Column | None = None, targets: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
     """The rows of df, each as often as drawn, in globally shuffled order, plus mix_copy, mix_copies and mix_order.
 
     size weighs a row (default: 1 + UTF-8 bytes of text, so that empty and null texts count too). A null source is
-    the source ''. A row whose source has target 0 goes; repeated rows and rows of equal key draw the same count.
+    the source ''. Any rate is drawn, but a given target that asks for more than MAX_RATE copies of each document of a
+    source is an error. A row whose source has target 0 goes; repeated rows and rows of equal key draw the same count.
     Columns named mix_copy, mix_copies or mix_order are replaced. An empty table gives an empty one.
     """
     df = df.drop("mix_copy", "mix_copies", "mix_order")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1 if size is None else size
     grp = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    rates = staged(source_rates(df, grp, size, targets, temperature), "rates")
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a target asks for more than {MAX_RATE} copies of each document")).cast("double"))
-    rates = rates.withColumn("cdf", poisson_cdf(checked))
+    rates = source_rates(df, grp, size, targets, temperature)
+    if targets is not None:
+        checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a target asks for more than {MAX_RATE} copies of each document")).cast("double"))
+        rates = rates.withColumn("rate", checked)
+    rates = staged(with_cdf(rates), "rates")
+    few = rates.agg(F.coalesce(F.sum(F.size("cdf")), F.lit(0))).first()[0] <= BROADCAST_STEPS
     # with few sources no row moves and a hot source is no hot partition; with more they join by shuffle
     rates = F.broadcast(rates) if few else rates
     # u is computed below the join: above it, it would be folded into the search and hashed again at every step
-    drawn = wrapped(df, grp=grp, k=F.col(key), u=uniform(seed, F.col(key))).join(rates, "grp").withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).drop("cdf")
-    copies = drawn.select("row", "k", "n", F.posexplode(F.array_repeat(F.lit(True), F.col("n"))).alias("copy", "drawn"))
+    drawn = wrapped(df, grp=grp, k=F.col(key), u=uniform(seed, F.col(key))).join(rates, "grp").withColumn("n", (F.col("first") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).cast("int")).drop("cdf", "first")
+    blocks = drawn.filter("n > 0").select("row", "k", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))).alias("from"))
+    copies = blocks.select("row", "k", "n", F.explode(F.sequence("from", F.least(F.col("n") - 1, F.col("from") + (COPIES - 1)))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("k").cast("string"), F.lit("")), F.col("copy").cast("string")))
     placed = copies.select("row.*", F.col("copy").alias("mix_copy"), F.col("n").alias("mix_copies"), order.alias("mix_order"))
     return placed.repartitionByRange("mix_order").sortWithinPartitions("mix_order")

@@ -1,10 +1,12 @@
 """The whole job: cases that a shorter way would lose."""
 
+import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from proofloom.llm import simhash
+from proofloom.llm import lines, mixing, simhash
 
 
 def fresh(rng, n):
@@ -38,3 +40,24 @@ def test_prefixes_of_similar_sets_meet():
         v, owner = simhash.rare_prefixes([a, b], common, rng.integers(3, 9, len(common)), 0.8)
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             assert set(v[owner == 0].tolist()) & set(v[owner == 1].tolist())
+
+
+# 7
+
+
+def test_a_small_source_is_repeated_at_any_rate(spark):
+    rows = [(i, "big", 4_000_000) for i in range(40)] + [(100, None, 10), (101, "few", 500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    got = {r["doc_id"]: r["n"] for r in mixing.mix_sources(df, size=F.col("size")).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    sizes = {"big": 160_000_000, "": 10, "few": 500}
+    total, roots = sum(sizes.values()), sum(math.sqrt(x) for x in sizes.values())
+    for i, source in ((100, ""), (101, "few")):
+        rate = total / roots / math.sqrt(sizes[source])
+        u = int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, cdf = -1, 0.0
+        while True:
+            k += 1
+            cdf += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            if cdf > u:
+                break
+        assert rate > 64 and got[i] == k
