@@ -5,7 +5,7 @@ A line's key is the line without blanks at both ends, A-Z lower-cased; it is sto
   counts   (shard, h1, h2, n_docs): in how many documents each key stands, exactly;
   filters  (shard, filter): a cuckoo filter of the keys that stand in at least `min_docs` documents.
 Inserting or deleting documents adds to or takes from the counts; keys that cross the threshold enter or leave their
-shard's filter, so a deletion undoes an insertion. Dropping lines streams (document, key) rows through the filter of
+shard's filter, so a deletion undoes an insertion; a filter that is full is made anew, larger, of the exact counts. Dropping lines streams (document, key) rows through the filter of
 their shard; what it lets pass is checked against the exact counts, so a false positive of a filter drops nothing.
 A key in a third of all documents is spread over `SALTS` copies of its shard's filter.
 """
@@ -13,6 +13,7 @@ A key in a third of all documents is spread over `SALTS` copies of its shard's f
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,18 +163,18 @@ class LineIndex:
             kept = CuckooFilter.from_bytes(pdf.loc[blobs, "filter"].iloc[0]) if blobs.any() else CuckooFilter(int(pdf["n_hot"].fillna(8).max()))
             for k in down:
                 kept.delete(k)
-            overflow = []
-            for k in up:
-                if not kept.insert(k):
-                    overflow.append(k)
-            state = [(kept.to_bytes(), 0)]
-            if overflow:  # a second filter of the shard holds what the first has no room for
-                state.append((CuckooFilter.build(np.array(overflow, dtype=np.uint64)).to_bytes(), 1))
-            import pandas as pd
-
-            return pd.DataFrame({"shard": key[0], "part": [p for _, p in state], "filter": [b for b, _ in state]})
-
-        built = staged(rows.groupBy("shard").applyInPandas(rebuild, "shard int, part int, filter binary"), "line-filters")
+            full = not all(kept.insert(k) for k in up)
+            return pd.DataFrame({"shard": [key[0]], "filter": [None if full else kept.to_bytes()]})
+
+        def enlarge(key, pdf):
+            return pd.DataFrame({"shard": [key[0]], "filter": [CuckooFilter.build(pdf["h1"].to_numpy(np.int64).view(np.uint64)).to_bytes()]})
+
+        built = staged(rows.groupBy("shard").applyInPandas(rebuild, "shard int, filter binary"), "line-filters")
+        full = built.filter("filter IS NULL").select("shard")
+        if full.limit(1).count():  # a filter without room is made anew of the shard's exact counts
+            held = self.counts.filter(F.col("n_docs") >= bar).join(full, "shard", "left_semi").select("shard", "h1")
+            larger = held.groupBy("shard").applyInPandas(enlarge, "shard int, filter binary")
+            built = staged(built.filter("filter IS NOT NULL").unionByName(larger), "line-filters")
         self.filters = built
 
     def insert(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -42,6 +42,22 @@ def test_prefixes_of_similar_sets_meet():
             assert set(v[owner == 0].tolist()) & set(v[owner == 1].tolist())
 
 
+# 6
+
+
+def test_filters_grow_with_the_third_batch(docs, spark):
+    sizes = (20, 300, 3000)
+    batches = [docs(*["\n".join(f"line {i} {j}" for j in range(n))] * 2).withColumn("doc_id", F.col("doc_id") + 10 * i) for i, n in enumerate(sizes)]
+    index = lines.LineIndex(spark, 2, 2)
+    keys = [index.insert(b) for b in batches]
+    for k, n in zip(keys, sizes, strict=True):
+        assert index.hot_keys(k).count() == 2 * n
+    index.delete(batches[1])
+    assert [index.hot_keys(k).count() for k in keys] == [40, 0, 6000]
+    index.insert(batches[1])
+    assert [index.hot_keys(k).count() for k in keys] == [2 * n for n in sizes]
+
+
 # 7
 
 
