@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed looks at SPAN consecutive words through a fixed mask that ignores some of them, so words replaced at ignored
-places don't hide a copied passage. Hashes of the masked words of all training positions and of all benchmark
+A seed looks at a stretch of words through a fixed mask that ignores some of them, so words replaced at ignored places
+don't hide a copied passage: wherever as many words of a run are replaced as SIMILARITY admits, some mask sees none of
+them. Hashes of the masked words of all training positions and of all benchmark
 positions are joined; around each hit the words on the hit's diagonal are compared and the hit counts if some RUN of
-words (or the whole item, if shorter) holds at least SIMILARITY equal words. An item with fewer words than SPAN is sought
-whole, all words equal; below MIN_WORDS words an item matches nothing.
+words (or the whole item, if shorter) holds at least SIMILARITY equal words. An item with fewer words than RUN is sought
+whole, through masks of its own length; below MIN_WORDS words an item matches nothing.
 
 Training positions are many and benchmark positions few: a bitmap of the benchmark's hashes with a fixed number of bits
 drops nearly all training positions before the shuffle; what it passes wrongly the join drops. Rows of the join carry the
-hashes of the words around the position, so a hit is verified where it is found.
+hashes of the words around the position, so a hit is verified where it is found. Items that are equal around a seed share
+it; a verified hit then counts for each of them.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +26,10 @@ from pyspark.sql import functions as F
 from proofloom.llm.common import documents, staged, text_or_empty, wrapped
 from proofloom.llm.textnum import Tokens, mix, slices
 
-#: Fixed masks: 1 looks at a word, 0 ignores it.
-MASKS = ("110110010111", "111001101011", "101111000111", "111010110101")
+#: Fixed masks: 1 looks at a word, 0 ignores it. For any two words of a RUN one of them fits in and ignores both.
+MASKS = ("110110010111", "111001101011", "101111000111", "111010110101", "101110101001", "1000011111100", "0011101011100")
+#: Words that the masks of items of 5 to 12 words look at.
+WEIGHTS = {5: 4, 6: 4, 7: 4, 8: 4, 9: 6, 10: 6, 11: 6, 12: 7}
 SPAN = 12
 RUN = 13
 SIMILARITY = 0.8
@@ -37,6 +44,20 @@ def _offsets(mask: str) -> np.ndarray:
     return np.flatnonzero([c == "1" for c in mask])
 
 
+@cache
+def short_masks(size: int) -> tuple[np.ndarray, ...]:
+    """Offsets of masks for items of `size` words: for any words that SIMILARITY lets differ, one ignores them all."""
+    differ = size - int(np.ceil(SIMILARITY * size))
+    left = set(combinations(range(size), differ))
+    ignored = [(z, set(combinations(z, differ))) for z in combinations(range(size), size - WEIGHTS[size])]
+    out = []
+    while left:
+        z, covered = max(ignored, key=lambda x: len(x[1] & left))
+        left -= covered
+        out.append(np.setdiff1d(np.arange(size), z))
+    return tuple(out)
+
+
 _SALT = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -48,21 +69,25 @@ def _combine(hashes: np.ndarray, at: np.ndarray, offsets: np.ndarray, kind: int)
 
 
 def seeds(t: Tokens, short: tuple[int, ...] = (), whole_items: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, length) of every seed: all masks at every position with SPAN words of one text; for each length
-    in `short`, all words of every such stretch (with whole_items: only of texts of that length)."""
+    """(hash, position, length) of every seed: all masks at every position where they fit in one text, with length RUN;
+    for each length in `short`, its masks over every such stretch (with whole_items: only of texts of that length)."""
     n = len(t.hashes)
     found = []
+
+    def stretches(size: int) -> np.ndarray:
+        at = np.arange(max(0, n - size + 1))
+        return at[t.doc[at] == t.doc[at + size - 1]]
+
     for kind, mask in enumerate(MASKS):
-        at = np.arange(max(0, n - SPAN + 1))
-        at = at[t.doc[at] == t.doc[at + SPAN - 1]]
-        found.append((_combine(t.hashes, at, _offsets(mask), kind), at, np.full(len(at), SPAN)))
+        at = stretches(len(mask))
+        found.append((_combine(t.hashes, at, _offsets(mask), kind), at, np.full(len(at), RUN)))
     per_text = np.bincount(t.doc, minlength=t.n_docs)
     for size in short:
-        at = np.arange(max(0, n - size + 1))
-        at = at[t.doc[at] == t.doc[at + size - 1]]
+        at = stretches(size)
         if whole_items:
             at = at[per_text[t.doc[at]] == size]
-        found.append((_combine(t.hashes, at, np.arange(size), 64 + size), at, np.full(len(at), size)))
+        for number, offsets in enumerate(short_masks(size)):
+            found.append((_combine(t.hashes, at, offsets, 64 * size + number), at, np.full(len(at), size)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -107,10 +132,10 @@ def benchmark_seeds(bench: DataFrame, key: str = "item_id", text: str = "text")
             texts = [t.as_py().encode() for t in batch.column(1)]
             for lo, hi in slices(texts, SLICE):
                 t = Tokens(texts[lo:hi])
-                h, at, size = seeds(t, tuple(range(MIN_WORDS, SPAN)), whole_items=True)
+                h, at, size = seeds(t, tuple(range(MIN_WORDS, RUN)), whole_items=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + t.doc[at])), pa.array(h.view(np.int64)), pa.array(size.astype(np.int32)), _binary(surroundings(t, at, 1))], ["item", "h", "size", "around"])
 
-    return items.mapInArrow(run, f"item {kind}, h long, size int, around binary").dropDuplicates(["h", "around"])
+    return items.mapInArrow(run, f"item {kind}, h long, size int, around binary").distinct()
 
 
 def contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", bench_key: str = "item_id", bench_text: str = "text") -> DataFrame:
@@ -118,12 +143,13 @@ def contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str
 
     Null and empty texts share nothing; rows of equal key count together; an empty benchmark or table gives no rows.
     """
-    known = staged(benchmark_seeds(bench, bench_key, bench_text), "benchmark-seeds")
+    owned = staged(benchmark_seeds(bench, bench_key, bench_text).withColumn("near", F.xxhash64("around")), "benchmark-seeds")
+    known = owned.select("h", "near", "size", "around").dropDuplicates(["h", "near"])
     filled = known.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
     rows = filled.toPandas()  # 2**20 rows at most
     bitmap[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
-    short = tuple(sorted(r["size"] for r in known.select("size").filter(F.col("size") < SPAN).distinct().collect()))
+    short = tuple(sorted(r["size"] for r in known.select("size").filter(F.col("size") < RUN).distinct().collect()))
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     doc_type = df.schema[key].dataType.simpleString()
 
@@ -139,18 +165,18 @@ def contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str
                 h, at = h[hit], at[hit]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + t.doc[at])), pa.array(h.view(np.int64)), _binary(surroundings(t, at, 3))], ["doc", "h", "words"])
 
-    hits = df.select(F.col(key).alias("doc"), text_or_empty(text)).mapInArrow(probe, f"doc {doc_type}, h long, words binary").join(known, "h").select("doc", "item", "size", "words", "around")
-    item_type = known.schema["item"].dataType.simpleString()
+    hits = df.select(F.col(key).alias("doc"), text_or_empty(text)).mapInArrow(probe, f"doc {doc_type}, h long, words binary").join(known, "h").select("doc", "h", "near", "size", "words", "around")
 
     def verify(batches):
         for batch in batches:
-            train, around = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, WIDE) for i in (3, 4))
-            ok = verified(train, around, batch.column(2).to_numpy(zero_copy_only=False))
+            train, around = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, WIDE) for i in (4, 5))
+            ok = verified(train, around, batch.column(3).to_numpy(zero_copy_only=False))
             picked = batch.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1)], ["doc", "item"])
+            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), picked.column(2)], ["doc", "h", "near"])
 
-    found = hits.mapInArrow(verify, f"doc {doc_type}, item {item_type}")
-    return found.groupBy("doc", "item").agg(F.count("*").alias("n_hits")).groupBy("doc").agg(F.count("*").alias("n_items"), F.min("item").alias("first_item"), F.sum("n_hits").alias("n_hits"))
+    seen = hits.mapInArrow(verify, f"doc {doc_type}, h long, near long").groupBy("doc", "h", "near").agg(F.count("*").alias("n_hits"))
+    found = seen.join(owned.select("h", "near", "item"), ["h", "near"])
+    return found.groupBy("doc", "item").agg(F.sum("n_hits").alias("n_hits")).groupBy("doc").agg(F.count("*").alias("n_items"), F.min("item").alias("first_item"), F.sum("n_hits").alias("n_hits"))
 
 
 def flag_contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

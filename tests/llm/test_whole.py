@@ -1,12 +1,13 @@
 """The whole job: cases that a shorter way would lose."""
 
 import hashlib
+import itertools
 import math
 import random
 
 from pyspark.sql import functions as F
 
-from proofloom.llm import lines, mixing, simhash
+from proofloom.llm import decontam, lines, mixing, simhash
 
 
 def fresh(rng, n):
@@ -42,6 +43,34 @@ def test_prefixes_of_similar_sets_meet():
             assert set(v[owner == 0].tolist()) & set(v[owner == 1].tolist())
 
 
+# 5
+
+
+def test_masks_lose_no_admitted_replacement():
+    for places in itertools.combinations(range(decontam.RUN), 2):
+        fits = [{o + i for i, c in enumerate(m) if c == "1"} for m in decontam.MASKS for o in range(decontam.RUN - len(m) + 1)]
+        assert any(look.isdisjoint(places) for look in fits), places
+    for n in range(decontam.MIN_WORDS, decontam.RUN):
+        for places in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+            assert any(set(look.tolist()).isdisjoint(places) for look in decontam.short_masks(n)), (n, places)
+
+
+def test_changed_short_items_and_all_items_are_found(docs, spark):
+    rng = random.Random(23)
+    items = [fresh(rng, n) for n in range(5, 14)]
+    twins = fresh(rng, 60)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(20, " ".join(twins + ["one"])), (21, " ".join(twins + ["two"]))], "item_id bigint, text string")
+    texts = []
+    for w in items:
+        w = list(w)
+        for p in [0, 1][: len(w) - -(-len(w) * 4 // 5)]:
+            w[p] = "other"
+        texts.append(" ".join(fresh(rng, 20) + w + fresh(rng, 20)))
+    texts.append(" ".join(fresh(rng, 20) + twins[:40]))
+    got = {r["doc"]: (r["n_items"], r["first_item"]) for r in decontam.contaminated(docs(*texts), bench).collect()}
+    assert got == {i: (1, i) for i in range(len(items))} | {len(items): (2, 20)}
+
+
 # 6
 
 
