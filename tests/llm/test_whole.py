@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from proofloom.llm import decontam, lines, mixing, simhash
+from proofloom.llm import ctw, decontam, lines, mixing, simhash
 
 
 def fresh(rng, n):
@@ -43,6 +43,16 @@ def test_prefixes_of_similar_sets_meet():
             assert set(v[owner == 0].tolist()) & set(v[owner == 1].tolist())
 
 
+# 1
+
+
+def test_the_fifth_byte_back_decides(docs):
+    rng = random.Random(24)
+    texts = ["".join(rng.choice(["A1234x", "B1234y"]) for _ in range(50)) for _ in range(40)]
+    row = ctw.score_texts(docs(*texts), F.col("doc_id") > 0).filter("held_out").first()
+    assert row["score"] > -50 * math.log10(2) - 5
+
+
 # 5
 
 
