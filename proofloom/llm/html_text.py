@@ -1,17 +1,22 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one per block element; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are dropped with everything in them. Over the lines' text lengths (link text counts
-nothing) runs a sliding window of WINDOW lines. A surge point is where the window's sum first exceeds the bar, a dive
-point where it falls to nothing; the text between a surge and its dive is kept. Where the page marks its article, the
-distribution is taken over the article's lines with bar 0, so that short paragraphs at its ends stay; elsewhere the bar
-is SURGE characters.
+Markup is stripped into lines, one per block element. A line's length is that of its text without link text; lines in menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing, and neither do those outside of the
+article where the page marks one. Over the lengths of all lines of the page runs a window of WINDOW lines, from each line
+on. A surge point is a line with text of its own whose window's sum exceeds the bar; the dive point is the next line whose
+window's sum is nothing; lines from the surge to the dive are the main text, but for the kinds named. So a link amid
+paragraphs stays, and runs of links part the text. The bar is a quarter of the page's largest sum, SURGE characters at most;
+in a marked article it is nothing, so that its short paragraphs stay wherever they stand.
+
+An element that holds the article is never dropped, whatever its class; the end of an element ends those left open in it,
+and one that is left open to the page's end drops nothing, unless it is a footer.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,128 +33,159 @@ BLOCKS = frozenset(
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template svg canvas iframe object button select textarea title xmp noembed noframes dialog menu header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that mark an element as not part of the article.
+#: Words of a class, id or role that mark an element as not part of the article, and words that may stand beside them.
 CHROME = frozenset(
     "ad ads advert adverts advertisement advertising adsbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus respond replies reviews sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar related recommended recommendations widget pagination pager skip search searchbox complementary contentinfo".split()
 )
+BESIDE = frozenset("area bar block bottom box buttons center container content desktop form global group holder icons inner item items left link links list main mobile outer page panel post posts primary right row secondary section site sticky thread top unit wrap wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
+def _marks_chrome(token: str) -> bool:
+    """A whole token such as footer, or one made of such words and those of BESIDE only, such as sidebar-right."""
+    if token in CHROME:
+        return True
+    parts = _PARTS.split(token)
+    return len(parts) > 1 and any(p in CHROME for p in parts) and all(p in CHROME or p in BESIDE for p in parts)
+
+
+def _is_chrome(name: str, attributes: str) -> bool:
     if name in DROPPED:
-        return not (name == "header" and in_article)  # an article's own heading
+        return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    marks = {w for m in _NAMED.finditer(attributes) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower())}
-    return bool(marks & CHROME) or bool(_HIDDEN.search(attributes))
-
-
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length without link text, stands in an article or main element) of each block, in page order."""
-    lines: list[tuple[str, int, bool]] = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "style" and _UNSEEN.search(value):
+            return True
+        if key in ("class", "id", "role") and any(map(_marks_chrome, value.lower().split())):
+            return True
+    return False
+
+
+def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, length without link text, counts as part of the page's text, stands in an article or main element) of each
+    block, in page order."""
+    raw: list[tuple[str, str, int]] = []
     text: list[str] = []
     link_text: list[str] = []
-    stack: list[str] = []  # open elements but for dropped ones
-    articles = links = 0
+    names, parents, chrome = [""], [0], [False]  # of elements, each after its parent; 0 is the page
+    stack = [0]
+    open_names = Counter()
 
     def end_line() -> None:
-        line = _SPACE.sub(" ", html_lib.unescape("".join(text))).strip()
-        if line:
-            linked = _SPACE.sub(" ", html_lib.unescape("".join(link_text))).strip()
-            lines.append((line, max(0, len(line) - len(linked)), articles > 0))
-        text.clear()
-        link_text.clear()
+        if text:
+            raw.append(("".join(text), "".join(link_text), stack[-1]))
+            text.clear()
+            link_text.clear()
 
-    def add(piece: str) -> None:
-        text.append(piece)
-        if links:
-            link_text.append(piece)
+    def close(depth: int) -> None:
+        open_names.subtract(names[e] for e in stack[depth:])
+        del stack[depth:]
 
     at, size = 0, len(page)
-    skip, depth = "", 0
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None or m.end() == m.start():
-            if not skip:
-                add(page[at:])
-            break
-        if not skip:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            piece, at = page[at:], size
+        else:
+            piece, at = page[at : m.start()], m.end()
+        if piece:
+            text.append(piece)
+            if open_names["a"]:
+                link_text.append(piece)
+        if m is None or m.end() == m.start() or m[2] is None:
             continue
         closing, name = bool(m[1]), m[2].lower()
+        block = name in BLOCKS
         if name in RAW and not closing:
             end = re.compile(rf"</{name}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
-            if not skip and name in BLOCKS:
+            if block:
                 end_line()
             continue
-        if skip:
-            if name == skip and not m[4]:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            continue
-        if name in BLOCKS:
+        if block:
             end_line()
         elif name == "br":
-            add(" ")
+            text.append(" ")
         if closing:
-            if name in ("article", "main"):
-                articles = max(0, articles - 1)
-            elif name == "a":
-                links = max(0, links - 1)
+            for depth in range(len(stack) - 1, 0, -1) if open_names[name] else ():
+                if names[stack[depth]] == name:
+                    close(depth)
+                    break
+                if not block and names[stack[depth]] in BLOCKS:
+                    break  # an inline end does not end a block
             continue
-        if _is_chrome(name, m[3], articles > 0):
-            if name not in VOID and not m[4]:
-                end_line()
-                skip, depth = name, 1
+        if name in VOID or m[4]:
             continue
-        if name in ("article", "main"):
-            articles += 1
-        elif name == "a" and not m[4]:
-            links += 1
+        if name in ("p", "a", "li") and name in (names[e] for e in stack[-3:]):  # these end an open one of their kind
+            depth = max(d for d in range(len(stack)) if names[stack[d]] == name)
+            if all(names[e] not in BLOCKS for e in stack[depth + 1 :]):
+                close(depth)
+        names.append(name)
+        parents.append(stack[-1])
+        chrome.append(_is_chrome(name, m[3]))
+        stack.append(len(names) - 1)
+        open_names[name] += 1
     end_line()
+    for e in stack:  # what is left open to the page's end drops nothing, but for a footer
+        chrome[e] = chrome[e] and names[e] == "footer"
+
+    holds = [False] * len(names)
+    for e, name in enumerate(names):
+        if name in ("article", "main"):
+            while e and not holds[e]:
+                holds[e] = True
+                e = parents[e]
+    inside, out = [False] * len(names), [False] * len(names)
+    for e in range(1, len(names)):
+        up = parents[e]
+        inside[e] = inside[up] or names[e] in ("article", "main")
+        own_heading = names[e] == "header" and inside[up]
+        out[e] = out[up] or chrome[e] and not holds[e] and not own_heading
+    lines = []
+    for words, linked, e in raw:
+        line = _SPACE.sub(" ", html_lib.unescape(words)).strip()
+        if line:
+            own = len(line) - len(_SPACE.sub(" ", html_lib.unescape(linked)).strip()) if linked else len(line)
+            lines.append((line, max(0, own), not out[e], inside[e]))
     return lines
 
 
-def between_surges(lengths: list[int], bar: int, window: int = WINDOW) -> list[bool]:
-    """Which lines lie between a surge and its dive point of the window sums."""
+def between_surges(lengths: list[int], bar: float | None = None, window: int = WINDOW) -> list[bool]:
+    """Which lines lie between a surge and its dive point of the window sums; without a bar, a quarter of the largest sum
+    and SURGE at most."""
     keep = [False] * len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    if bar is None:
+        bar = min(SURGE, max(sums, default=0) / 4)
     i = 0
     while i < len(sums):
-        if sums[i] <= bar or (bar and not lengths[i]):
+        if not lengths[i] or sums[i] <= bar:
             i += 1
             continue
-        end = i
-        while end < len(sums) and sums[end] > 0:
-            end += 1
-        for k in range(i, end):
-            keep[k] = True
-        i = end
+        while i < len(sums) and sums[i] > 0:
+            keep[i] = True
+            i += 1
     return keep
 
 
-def main_text(page: str | None, surge: int = SURGE) -> str:
+def main_text(page: str | None) -> str:
     """Blocks of the main text joined by one newline; '' if the page has none."""
     lines = page_lines(page or "")
-    marked = [x for x in lines if x[2]]
-    if marked:
-        lines, bar = marked, 0
-        keep = between_surges([len(x[0]) for x in lines], bar)
-    else:
-        keep = between_surges([x[1] for x in lines], surge)
-    return "\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
+    marked = any(counts and inside for _, _, counts, inside in lines)
+    counted = [counts and (inside or not marked) for _, _, counts, inside in lines]
+    keep = between_surges([own if c else 0 for (_, own, _, _), c in zip(lines, counted, strict=True)], 0 if marked else None)
+    return "\n".join(x[0] for x, c, k in zip(lines, counted, keep, strict=True) if c and k)
 
 
 def extract_pages(df: DataFrame, html: str = "html") -> DataFrame:
-    """df without its html, with text (replaced if present). Null html gives ''; rows are independent of one another."""
+    """df without its html, with text (replaced if present). Null and empty html gives ''; rows are independent of one
+    another, pages may have any length, and an empty table gives an empty one."""
     others = [c for c in df.columns if c not in (html, "text")]
     picked = df.select(*[F.col(f"`{c}`") for c in others], text_or_empty(html).alias("text"))
 

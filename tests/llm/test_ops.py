@@ -222,9 +222,8 @@ def test_similar_documents(make, empty, monkeypatch):
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
     want = near(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     alone = {i for i, n in Counter(want).items() if n == 1}
-    for block in (8192, 4):  # one block, and pairs of blocks
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(make(*texts)).collect()}
+    for block in (1 << 20, 150):  # one block, and pairs of blocks
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(make(*texts), block_size=block).collect()}
         assert got == {i: r for i, r in enumerate(want) if r not in alone}
     kept = {r["doc_id"] for r in simhash.drop_similar_documents(make(*texts)).collect()}
     assert kept == set(want)
@@ -235,7 +234,7 @@ def test_similar_documents(make, empty, monkeypatch):
 def test_large_groups_yield_forests():
     rng = np.random.default_rng(1)
     fp = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 40, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 40, 900).astype(np.uint64)))
-    a, b = simhash._links_of(np.zeros(len(fp), dtype=np.int64), np.zeros(len(fp), dtype=bool), fp, np.zeros(len(fp), dtype=np.int32), 3, 0.0)
+    a, b = simhash._links_of(np.zeros(len(fp), dtype=np.int64), np.zeros(len(fp), dtype=bool), fp, np.zeros(len(fp), dtype=np.int32), fp, 3, 0.0, 64)
     assert len(a) < len(fp) and len(set(a) | set(b)) == len(fp)
 
 
@@ -343,13 +342,38 @@ def test_ranker_on_held_out_rows():
     bad = [" ".join(w + "###" for w in words(rng, 60, 900).split()) if i % 2 else words(rng, 60, 900).upper() + "!!" for i in range(60)]
     import pandas as pd
 
-    frame = pd.DataFrame({"features": [quality.text_features(t) for t in good + bad], "quality": [1] * 300 + [0] * 60})
+    x, grams = quality.features_of(good + bad)
+    frame = pd.DataFrame({"features": list(x), "grams": [g.tobytes() for g in grams], "quality": [1] * 300 + [0] * 60})
     ranker = quality.fit(frame.iloc[::2])
-    score = ranker.score(np.array(frame["features"].iloc[1::2].tolist()))
+    score = ranker.score(x[1::2], grams[1::2])
     assert ((score >= 0.3) == (frame["quality"].iloc[1::2] == 1)).mean() > 0.97
     assert quality.fit(frame[frame["quality"] == 1]) is None and len(quality.text_features("")) == len(quality.NAMES)
 
 
+def test_a_topic_decides_where_shapes_are_equal():
+    rng = random.Random(14)
+    text = lambda topic: " ".join(rng.choice(topic) + rng.choice("abcdefgh") for _ in range(60))
+    sides = [["rab", "tol", "mek", "sud"], ["bar", "lot", "kem", "dus"]]
+    texts = [text(sides[i % 2]) for i in range(400)]
+    import pandas as pd
+
+    x, grams = quality.features_of(texts)
+    frame = pd.DataFrame({"features": list(x), "grams": [g.tobytes() for g in grams], "quality": [i % 2 for i in range(400)]})
+    score = quality.fit(frame.iloc[:200]).score(x[200:], grams[200:])
+    assert ((score >= 0.3) == (np.arange(200, 400) % 2 == 1)).mean() > 0.97
+    assert (quality.gram_features([b"", b"a", b"ab cd"] * 3)[3:6] == quality.gram_features([b"", b"a", b"ab cd"])).all()
+
+
+def test_pair_gradient_is_that_of_differences():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 4)).astype(np.float32)
+    better, worse = rng.integers(0, 30, 200), rng.integers(0, 30, 200)
+    w, diff = np.zeros(4), x[better] - x[worse]
+    for _ in range(20000):
+        w += 0.5 * (diff.T @ (1 / (1 + np.exp(diff @ w))) / len(diff) - quality.RIDGE * w)
+    assert np.allclose(quality.fit_pairs(x, better, worse, 3000), w, atol=1e-3)
+
+
 def test_scores_of_odd_rows(make, empty, spark):
     df = make(None, "", "a" * 5000, "\n\n").withColumn("score", F.lit("clash"))
     out = quality.score_documents(df, None)
@@ -380,6 +404,54 @@ def test_pages_without_an_article():
     assert text.count("story") == 20 and "One" not in text and "Three" not in text
 
 
+def test_surges_and_dives_decide():
+    page = "<article><h1>T</h1><ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li><li><a>q</a></li></ul><p>Body</p><p><a>link</a></p><p>End</p></article>"
+    assert html_text.main_text(page) == "T\nBody\nlink\nEnd"
+    assert html_text.between_surges([0, 5, 0, 0, 0, 90, 3, 0, 7, 0]) == [False] * 5 + [True] * 4 + [False]
+    assert html_text.between_surges([]) == [] and html_text.between_surges([4]) == [True]
+
+
+def test_only_whole_marks_drop_text():
+    for page, text in (
+        ('<article><p>a</p><p class="social-history">b</p></article>', "a\nb"),
+        ('<p data-x="hidden">kept</p>', "kept"),
+        ("<p title='The hidden valley' style='overflow:hidden'>kept</p>", "kept"),
+        ('<p class="notice-of-war">x y</p>', "x y"),
+        ("<nav><a href=x>m</a><article><p>text here</p></article>", "text here"),
+        ("<p>Short.</p>", "Short."),
+        ('<div class="layout sidebar-right"><article><p>Art</p></article></div><div class="sidebar-right">no</div>', "Art"),
+        ("<body><div><nav>left open <a>l</a></div><p>Real text.</p>", "Real text."),
+        ("<p hidden>no</p><p style='display: none'>no</p><p>yes</p>", "yes"),
+    ):
+        assert html_text.main_text(page) == text, page
+
+
+def plain_article(page):
+    """Of pages with one article and no links in it: cut out, split at block tags, stripped of the others."""
+    import html
+    import re
+
+    body = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", page or "", re.S)
+    blocks = "|".join(sorted(html_text.BLOCKS, key=len, reverse=True))
+    parts = re.split(rf"</?(?:{blocks})(?:\s[^>]*)?>", re.sub(r"<br\s*/?>", " ", body[1]) if body else "")
+    return "\n".join(x for p in parts if (x := re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", p))).strip()))
+
+
+def test_all_pages_against_a_plain_reading(spark):
+    from tests.conftest import SF
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r["page_id"]: plain_article(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages).collect()}
+    assert got == want and all(want.values())
+
+
+def test_very_long_and_unclosed_pages():
+    inner = "".join(f"<p>Paragraph {i} of <i>many <b>more." for i in range(20_000))
+    for page in (f"<nav><a>x</a><div>{inner}", f"<article>{inner}", "<div>" * 5000 + inner):
+        assert html_text.main_text(page).count("\n") == 19_999
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", None, "old")], "page_id int, url string, html string, text string")
     assert [r["text"] == "" for r in html_text.extract_pages(df).collect()] == [False, True] and html_text.extract_pages(df.limit(0)).count() == 0
