@@ -14,6 +14,10 @@ one leaving the rest, so it yields a spanning forest and never all its pairs.
 texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Pairs of that similarity whose fingerprints
 lie further apart are found by a prefix filter: in any common order of the shingles, both texts have one of the first
 (1 - similarity) of their shingles, and one more, in common. The order puts shingles that a sample shows to be common last.
+
+Candidates of both ways must also be within BOTH_TAU of the 128 bits of two fingerprints, of three-word and of five-word
+shingles: of these, pairs of that similarity differ in 19 bits on average with a standard deviation of 4, others in 64 with
+one of 6. So clusters of candidates hold little else than similar texts, and no text is fetched for nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import documents, staged, text_or_empty, wrapped
+from proofloom.llm.common import documents, key_bitmap, staged, text_or_empty, wrapped
 from proofloom.llm.components import connected_components
 from proofloom.llm.textnum import Tokens, mix, slices
 
@@ -39,10 +43,12 @@ SHINGLES = 5  # words of a shingle that similarity is measured on
 SIMILARITY = 0.8
 WIDE_TAU = 11  # bits within which texts are candidates for that similarity
 PREFIX_TAU = 26  # bits within which texts that share a rare shingle are candidates
+BOTH_TAU = 42  # bits of two fingerprints together within which any texts are candidates
 ORDER_SAMPLE = 4096  # texts that show which shingles are common; they steer cost only, as any order finds every pair
 COMMON = 3  # of them that hold a common shingle
 COMMON_LIMIT = 1 << 19
-BLOCK = 8192  # texts verified against each other in one task
+BLOCK_SHINGLES = 1 << 20  # shingles of the texts of a cluster that are verified against each other at once
+LEADERS = 16  # texts of a large cluster that all its blocks are verified against first
 SLICE = 1 << 19
 SAMPLE = 4096  # fingerprints that steer the allocation
 PROBE_COST = 40.0  # of a probe row, in comparisons of two fingerprints
@@ -168,8 +174,16 @@ def _roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.ndarray, tau: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.ndarray, second: np.ndarray, tau: int, ratio: float, both: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among complete groups of equal value; rows are sorted by value, probes last."""
+
+    def linked(a, b):
+        far = np.bitwise_count(fp[a] ^ fp[b])
+        near = far <= tau
+        if ratio:
+            near &= (far + np.bitwise_count(second[a] ^ second[b]) <= both) & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
+        return near
+
     starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     sizes = np.diff(np.r_[starts, len(value)])
     left, right = [], []
@@ -181,7 +195,7 @@ def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.nda
     while len(own):
         own = own[own + step < ends[own]]
         a, b = own, own + step
-        close = (np.bitwise_count(fp[a] ^ fp[b]) <= tau) & (np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b]))
+        close = linked(a, b)
         left.append(a[close])
         right.append(b[close])
         step += 1
@@ -193,7 +207,7 @@ def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.nda
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 at = queue.pop()
-                close = (np.bitwise_count(fp[rest] ^ fp[at]) <= tau) & (np.minimum(size[rest], size[at]) >= ratio * np.maximum(size[rest], size[at]))
+                close = linked(rest, at)
                 if close.any():
                     found, rest = rest[close], rest[~close]
                     left.append(np.full(len(found), at))
@@ -209,23 +223,24 @@ def _links_of(value: np.ndarray, probe: np.ndarray, fp: np.ndarray, size: np.nda
     return a[different], b[different]
 
 
-ROWS = "v long, probe boolean, fp long, size int"
+ROWS = "v long, probe boolean, fp long, size int, second long"
 
 
-def linked_rows(rows: DataFrame, tau: int, ratio: float) -> DataFrame:
-    """a, b: links that connect the fingerprints within tau bits among rows (v, probe, fp, size) of equal v."""
+def linked_rows(rows: DataFrame, tau: int, ratio: float, both: int = BOTH_TAU) -> DataFrame:
+    """a, b: links that connect the fingerprints within tau bits among rows (v, probe, fp, size, second) of equal v; with a
+    ratio, both fingerprints must also be within `both` bits together and the sizes fit."""
 
     def link(batches):
         held: list[list[np.ndarray]] = []
         count = 0
 
         def emit(rows):
-            a, b = _links_of(*rows, tau, ratio)
+            a, b = _links_of(*rows, tau, ratio, both)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            v, probe, fp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            held.append([v, probe, fp.view(np.uint64), size])
+            v, probe, fp, size, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            held.append([v, probe, fp.view(np.uint64), size, second.view(np.uint64)])
             count += len(v)
             if count >= LINK_ROWS:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -240,12 +255,13 @@ def linked_rows(rows: DataFrame, tau: int, ratio: float) -> DataFrame:
 
 
 def fingerprint_links(prints: DataFrame, tau: int = TAU, ratio: float = 0.0, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """prints: distinct fp, or (fp, size). Returns a, b: links that connect whatever is linked at tau bits or fewer.
+    """prints: distinct fp, or (fp, size, second). Returns a, b: links that connect whatever is linked at tau bits or fewer.
 
-    With a ratio, rows are linked only if the smaller size is at least that share of the larger.
+    With a ratio, rows are linked only if the smaller size is at least that share of the larger and the second fingerprints
+    fit too.
     """
     if "size" not in prints.columns:
-        prints = prints.select("fp", F.lit(0).alias("size"))
+        prints = prints.select("fp", F.lit(0).alias("size"), F.lit(0).cast("long").alias("second"))
     if plan is None:
         picked = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
         plan = plan_partitions(picked, prints.count(), tau) if len(picked) else []
@@ -260,9 +276,9 @@ def fingerprint_links(prints: DataFrame, tau: int = TAU, ratio: float = 0.0, pla
                     for flips in combinations(range(len(group)), r):
                         mask = np.uint64(sum(1 << f for f in flips))
                         value = (own ^ mask) | np.uint64(number << 58)
-                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(fp), r > t // 2)), *batch.columns], ["v", "probe", "fp", "size"])
+                        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(fp), r > t // 2)), *batch.columns], ["v", "probe", "fp", "size", "second"])
 
-    return linked_rows(prints.select("fp", F.col("size").cast("int")).mapInArrow(signatures, ROWS), tau, ratio)
+    return linked_rows(prints.select("fp", F.col("size").cast("int"), "second").mapInArrow(signatures, ROWS), tau, ratio)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
@@ -349,9 +365,17 @@ def rare_prefixes(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray
     return keys[order], owner[order]
 
 
-def prefix_links(picked: DataFrame, n: int, shingle: int, similarity: float, tau: int = PREFIX_TAU) -> DataFrame:
-    """a, b: fingerprints of rows (k, text), n of them different, that share a shingle of their rare prefixes, are within
-    tau bits and whose sizes fit."""
+def set_print(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes: each bit that over half of them have."""
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[lo : lo + _CHUNK].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes)).view(np.uint64)[0])
+
+
+def common_shingles(picked: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of shingles that several of about ORDER_SAMPLE texts of rows (k, text) hold, COMMON_LIMIT of
+    them at most."""
 
     def sampled(batches):
         for batch in batches:
@@ -364,42 +388,13 @@ def prefix_links(picked: DataFrame, n: int, shingle: int, similarity: float, tau
     often = often.orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).toPandas()
     common, counts = often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(common)
-    shared = picked.sparkSession.sparkContext.broadcast((common[order], counts[order]))
+    return common[order], counts[order]
 
-    def prefixes(batches):
-        known: set[bytes] = set()  # texts equal but for case and blanks are sent once by a task
-        for batch in batches:
-            texts = [t.as_py().encode() for t in batch.column(0)]
-            for lo, hi in slices(texts, SLICE):
-                fresh, words = [], []
-                for t in texts[lo:hi]:
-                    w = t.lower().split()
-                    same = xxhash.xxh3_128_digest(b" ".join(w))
-                    if same not in known:
-                        known.add(same)
-                        fresh.append(t)
-                        words.append(w)
-                if not fresh:
-                    continue
-                fp = np.frombuffer(b"".join(words_fingerprint(w, SHINGLE, True) for w in words), dtype=">u8").astype(np.uint64).view(np.int64)
-                sets = shingle_sets(fresh, shingle)
-                v, owner = rare_prefixes(sets, *shared.value, similarity)
-                sizes = np.array([len(x) for x in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.zeros(len(v), dtype=bool)), pa.array(fp[owner]), pa.array(sizes[owner])], ["v", "probe", "fp", "size"])
-
-    return linked_rows(picked.select("text").mapInArrow(prefixes, ROWS), tau, similarity)
-
-
-def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY, tau: int = WIDE_TAU) -> DataFrame:
-    """key, component_id for the rows of df that have a near duplicate: linked if the Jaccard similarity of their sets
-    of `shingle` words is `similarity` or more; component_id is the smallest key reachable over links.
 
-    Candidates are texts whose fingerprints are within tau bits, or within PREFIX_TAU bits if they share a shingle of
-    their rare prefixes, and whose lengths fit; connected candidates form a cluster, and each cluster is verified on whole texts, in pairs of blocks of BLOCK texts if it is larger. Texts
-    equal but for case and blanks collapse first. Null and empty texts are one group. Rows of equal key are one document
-    with several texts.
-    """
-    kind = df.schema[key].dataType.simpleString()
+def described(picked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """k, fp, second, size, s1, s2, rare for rows (k, text): two fingerprints, number of distinct shingles, a digest of the
+    words, and the shingles of the rare prefix."""
+    shared = picked.sparkSession.sparkContext.broadcast(common_shingles(picked, picked.count(), shingle))
 
     def describe(batches):
         for batch in batches:
@@ -408,50 +403,102 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sh
                 words = [t.lower().split() for t in texts[lo:hi]]
                 fp = np.frombuffer(b"".join(words_fingerprint(w, SHINGLE, True) for w in words), dtype=">u8").astype(np.uint64).view(np.int64)
                 same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), dtype=np.int64).reshape(-1, 2)
-                sizes = [len(x) for x in shingle_sets(texts[lo:hi], shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(fp), pa.array(sizes, pa.int32()), pa.array(same[:, 0]), pa.array(same[:, 1])], ["k", "fp", "size", "s1", "s2"])
+                sets = shingle_sets(texts[lo:hi], shingle)
+                second = np.array([set_print(x) for x in sets], dtype=np.uint64).view(np.int64)
+                v, owner = rare_prefixes(sets, *shared.value, similarity)
+                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))].astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(v.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(fp), pa.array(second), pa.array([len(x) for x in sets], pa.int32()), pa.array(same[:, 0]), pa.array(same[:, 1]), rare], ["k", "fp", "second", "size", "s1", "s2", "rare"])
+
+    return picked.mapInArrow(describe, f"k {picked.schema['k'].dataType.simpleString()}, fp long, second long, size int, s1 long, s2 long, rare array<long>")
 
-    picked = df.select(F.col(key).alias("k"), text_or_empty(text).alias("text"))
-    rows = staged(picked.mapInArrow(describe, f"k {kind}, fp long, size int, s1 long, s2 long"), "descriptions")
-    texts = staged(rows.groupBy("s1", "s2").agg(F.min("k").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("copies")), "distinct-texts")
-    links = fingerprint_links(texts.select("fp", "size").distinct(), tau, similarity)
-    links = links.unionByName(prefix_links(picked, texts.count(), shingle, similarity)).distinct()
-    clusters = connected_components(links)
-    clustered = texts.join(clusters, texts.fp == clusters.node, "left").select("s1", "s2", "least", F.coalesce("root", "fp").alias("cluster"))
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = staged(clustered.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod("s1", F.col("blocks")).cast("int")), "clusters")
-    sought = rows.join(asked, ["s1", "s2"]).filter("k <=> least").select("k", "s1", "s2", "cluster", "block", "blocks").dropDuplicates(["s1", "s2"])
-    with_text = picked.join(sought.withColumnRenamed("k", "sought"), F.col("k").eqNullSafe(F.col("sought")))
-    pairs = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "s1", "s2", "text")
-    dealt = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "s1", "s2")
+
+def verified_work(picked: DataFrame, work: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: links (of s1) within each group of work (k, s1, s2, cluster, i, j), by the texts of picked that work names."""
+    asked = work.withColumnRenamed("k", "sought")
+    named = picked.filter(key_bitmap(asked.select(F.xxhash64("sought").alias("h")), "h")(F.xxhash64("k")))
+    rows = named.join(asked, F.col("k").eqNullSafe(F.col("sought"))).select("cluster", "i", "j", "s1", "s2", "text")
+    dealt = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "s1", "s2")
 
     def verify(batches):
         group, names, held = None, [], []
 
         def flush():
-            found = verified_links(shingle_sets(held, shingle), similarity)
+            found = verified_links(held, similarity)
             return pa.RecordBatch.from_arrays([pa.array([names[x[end]] for x in found], pa.int64()) for end in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for c, i, j, s1, s2, t in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
+            for c, i, j, s1, s2, t in zip(*(batch.column(x).to_pylist() for x in range(5)), batch.column(5), strict=True):
                 if (c, i, j) != group:
                     if len(held) > 1:
                         yield flush()
                     group, names, held = (c, i, j), [], []
-                data = t.encode()
+                data = t.as_py().encode()
                 own = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(data.lower().split())), dtype=np.int64)
                 if (own[0], own[1]) == (s1, s2) and (not names or names[-1] != s1):
                     names.append(s1)  # rows of the same key with another text don't belong here
-                    held.append(data)
+                    held += shingle_sets([data], shingle)
         if len(held) > 1:
             yield flush()
 
-    linked = dealt.mapInArrow(verify, "a long, b long")
-    roots = connected_components(linked)
+    return dealt.mapInArrow(verify, "a long, b long")
+
+
+def cluster_links(picked: DataFrame, clustered: DataFrame, shingle: int, similarity: float, block_size: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: links that connect all similar texts of each cluster. clustered: least, s1, s2, size, cluster; picked: k, text.
+
+    A cluster above block_size shingles is cut into blocks. Each block is verified by itself together with LEADERS texts of
+    the cluster; that joins what belongs to one family of copies, whatever its size. Only where a cluster then still falls
+    apart, the texts outside its largest part are verified against all others, in pairs of blocks.
+    """
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total")).filter("n > 1")
+    blocks = lambda total: F.ceil(total / F.lit(block_size)).cast("int")
+    asked = staged(clustered.join(sizes, "cluster").withColumn("blocks", blocks(F.col("total"))).select(F.col("least").alias("k"), "s1", "s2", "size", "cluster", "blocks", F.pmod("s1", F.col("blocks")).cast("int").alias("block")), "clusters")
+    work = asked.select("k", "s1", "s2", "cluster", F.col("block").alias("i"), F.lit(0).alias("j"))
+    large = asked.filter("blocks > 1")
+    if large.isEmpty():
+        return verified_work(picked, work, shingle, similarity)
+    heads = large.filter(F.col("block") < LEADERS).groupBy("cluster", "block").agg(F.min(F.struct("s1", "s2", "k")).alias("head"), F.first("blocks").alias("blocks"))
+    heads = heads.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("i != block").select("head.k", "head.s1", "head.s2", "cluster", "i", F.lit(0).alias("j"))
+    first = staged(verified_work(picked, work.unionByName(heads), shingle, similarity), "cluster-links")
+    roots = connected_components(first)
+    parts = staged(large.join(roots, large.s1 == roots.node, "left").withColumn("root", F.coalesce("root", "s1")).drop("node"), "cluster-parts")
+    each = parts.groupBy("cluster", "root").agg(F.sum(F.col("size").cast("long")).alias("of_root"))
+    main = each.groupBy("cluster").agg(F.max(F.struct("of_root", "root"))["root"].alias("main"), (F.sum("of_root") - F.max("of_root")).alias("rest")).filter("rest > 0").select("cluster", "main", blocks(F.col("rest")).alias("rests"))
+    split = parts.join(main, "cluster")
+    rest = split.filter("root != main").withColumn("own", F.pmod(F.xxhash64("s1"), F.col("rests")).cast("int"))
+    other = lambda n, first: F.explode(F.sequence(F.lit(first), F.col(n) - 1 + first))
+    columns = ("k", "s1", "s2", "cluster", "i", "j")
+    among = rest.withColumn("other", other("rests", 0)).withColumn("i", F.least("own", "other") + 1).withColumn("j", -F.greatest("own", "other") - 1)
+    with_main = rest.withColumn("i", F.col("own") + 1).withColumn("j", other("blocks", 0))
+    of_main = split.filter("root = main").withColumn("i", other("rests", 1)).withColumn("j", F.col("block"))
+    second = among.select(*columns).unionByName(with_main.select(*columns)).unionByName(of_main.select(*columns))
+    return first.unionByName(verified_work(picked, second, shingle, similarity))
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY, tau: int = WIDE_TAU, block_size: int = BLOCK_SHINGLES) -> DataFrame:
+    """key, component_id for the rows of df that have a near duplicate: linked if the Jaccard similarity of their sets
+    of `shingle` words is `similarity` or more; component_id is the smallest key reachable over links.
+
+    Candidates are texts whose fingerprints are within tau bits, or within PREFIX_TAU bits if they share a shingle of
+    their rare prefixes, and whose second fingerprints and sizes fit; connected candidates form a cluster, whose texts are
+    verified whole. Texts equal but for case and blanks collapse first. Null and empty texts are one group. Rows of equal
+    key are one document with several texts. Texts may have any length. An empty table gives an empty one.
+    """
+    picked = df.select(F.col(key).alias("k"), text_or_empty(text).alias("text"))
+    rows = staged(described(picked, shingle, similarity), "descriptions")
+    of_text = F.first(F.struct("fp", "second", "size", "rare"))
+    texts = staged(rows.groupBy("s1", "s2").agg(F.min("k").alias("least"), of_text.alias("t"), F.count("*").alias("copies")).select("s1", "s2", "least", "t.*", "copies"), "distinct-texts")
+    links = fingerprint_links(texts.select("fp", "size", "second").distinct(), tau, similarity)
+    by_prefix = texts.select(F.explode("rare").alias("v"), F.lit(False).alias("probe"), "fp", "size", "second")
+    links = links.unionByName(linked_rows(by_prefix, PREFIX_TAU, similarity)).distinct()
+    clusters = connected_components(links)
+    clustered = texts.join(clusters, texts.fp == clusters.node, "left").select("s1", "s2", "least", "size", F.coalesce("root", "fp").alias("cluster"))
+    roots = connected_components(cluster_links(picked, clustered, shingle, similarity, block_size))
     rooted = texts.join(roots, texts.s1 == roots.node, "left").withColumn("root", F.coalesce("root", "s1"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
     found = rooted.join(firsts, "root").select("s1", "s2", "component_id")
-    return rows.join(found, ["s1", "s2"]).select(F.col("k").alias(key), "component_id")
+    return rows.select("k", "s1", "s2").join(found, ["s1", "s2"]).select(F.col("k").alias(key), "component_id")
 
 
 def drop_similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY) -> DataFrame:
