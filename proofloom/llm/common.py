@@ -67,17 +67,23 @@ def input_bytes(df: DataFrame, column: str = "text") -> int:
 BITMAP_BITS = 26
 
 
+def filled_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """2**bits bits, each set if keys[column], a bigint hash, has a value with these upper bits. At most 2**(bits - 6)
+    aggregated rows come to the driver."""
+    x = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = keys.select(x.alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
 def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS):
     """A predicate for bigint columns of hashes: false only for values that keys[column] does not hold.
 
     It is backed by a broadcast bitmap of 2**bits bits (8 MB) whatever the number of keys; a fuller bitmap passes more
-    rows to the exact join that follows, never fewer. Built from at most 2**(bits - 6) aggregated rows.
+    rows to the exact join that follows, never fewer.
     """
-    x = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words = keys.select(x.alias("x")).select(F.shiftright("x", 6).alias("w"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+    shared = keys.sparkSession.sparkContext.broadcast(filled_bitmap(keys, column, bits))
 
     @F.pandas_udf("boolean")
     def may_hold(hashes: pd.Series) -> pd.Series:

@@ -7,11 +7,19 @@ another piece with other bytes (or that may repeat within themselves) need sorti
 by hash, and each shard is suffix-sorted by external induced sorting (`blocksort`, whose recursion is `induced`). A window is repeated if the common
 prefix with a neighbour in suffix order is LENGTH or more.
 
-Nothing is kept per byte outside a shard, and a passage in a third of all documents is one piece in its shard.
+Nothing is kept per byte outside a shard. A hash whose pieces exceed SHARD bytes together, such as that of a line in a third
+of all documents, is split: in equal windows the gram stands at the same place, so either half or more of the window's other
+bytes stand before it, or more than half behind it. Windows of the first kind are dealt by the bytes in that half before
+the gram, the others by those behind; what is still too large is split again about the longer string now known to be shared.
+After nine such steps the string is the window. No window meets fewer partners by it.
+
+Passages of WORDS words that stand in several documents are reported beside (`shared_passages`): they may be shorter than
+LENGTH bytes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import documents, key_bitmap, staged, text_or_empty, wrapped
 from proofloom.llm.blocksort import neighbours
-from proofloom.llm.textnum import mix, powers, slices
+from proofloom.llm.common import BITMAP_BITS, documents, drop_staged, filled_bitmap, key_bitmap, staged, text_or_empty, wrapped
+from proofloom.llm.textnum import Tokens, mix, powers, slices
 
 LENGTH = 400
 GRAM = 128
 SLICE = 1 << 19
-SHARD = 1 << 19  # bytes sorted together, unless the pieces of one hash alone are more
+SHARD = 1 << 19  # bytes sorted together, and the most of one hash that are not split
+WORDS = 51  # of a passage
+ANCHOR = 26  # words whose least hash stands for a passage
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(301, 557, dtype=np.uint64))
@@ -109,7 +119,78 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+PIECE = [*((c, pa.int64()) for c in ("h", "c1", "c2", "times", "t1", "t2")), ("start", pa.int32()), ("bytes", pa.binary())]
+
+
+def _batch(rows: list[tuple], columns: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(columns)], [name for name, _ in columns])
+
+
+def gram_segments(data: bytes, h: int, length: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """(first byte, end, place of the gram in it, its end there): a piece cut by which gram of the hash is the first in a
+    window."""
+    at = np.flatnonzero(gram_hashes(np.frombuffer(data, dtype=np.uint8), gram).view(np.int64) == h).tolist()
+    windows, out, first = len(data) - length + 1, [], 0
+    for g in at:
+        if first >= windows:
+            break
+        last = min(g, windows - 1)
+        out.append((first, last + length, g - first, g - first + gram))
+        first = last + 1
+    return out
+
+
+def halves(data: bytes, lo: int, hi: int, length: int) -> list[tuple[int, bytes, int, int]]:
+    """(first byte, bytes, lo, hi): the windows of data, which all hold its bytes lo to hi, by where most of their other
+    bytes stand; lo to hi are then the bytes that a window shares with all windows equal to it and their like."""
+    windows, other = len(data) - length + 1, length - (hi - lo)
+    if not other:
+        return [(0, data, lo, hi)]
+    half = -(-other // 2)
+    out = []
+    if lo >= half:
+        out.append((0, data[: min(lo - half, windows - 1) + length], lo - half, hi))
+    first = max(0, lo - half + 1)
+    if first < windows:
+        out.append((first, data[first:], lo - first, hi - first + other - half + 1))
+    return out
+
+
+def split_hot(parts: DataFrame, length: int, gram: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of which the hashes are too frequent, as (smaller pieces, spans that are repeated throughout)."""
+    kinds = f"{', '.join(f'{c} long' for c in ('h', 'c1', 'c2', 'times', 't1', 't2'))}, start int, bytes binary, lo int, hi int"
+
+    def split(batches):
+        for batch in batches:
+            rows = []
+            for h, times, t1, t2, start, data, lo, hi in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6, 7, 8, 9)), strict=True):
+                for at, end, a, b in gram_segments(data, h, length, gram) if lo < 0 else [(0, len(data), lo, hi)]:
+                    for more, piece, x, y in halves(data[at:end], a, b, length):
+                        key = xxhash.xxh3_64_intdigest(piece[x:y]) ^ (y - x)
+                        c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(piece), dtype=np.int64).tolist()
+                        rows.append((key - (1 << 64) if key >> 63 else key, c1, c2, times, t1, t2, start + at + more, piece, x, y))
+            yield _batch(rows, [*PIECE, ("lo", pa.int32()), ("hi", pa.int32())])
+
+    left = parts.withColumn("lo", F.lit(-1)).withColumn("hi", F.lit(-1))
+    done, whole = [], []
+    while True:
+        # pieces that equal another one are repeated throughout; one of them stays, for others that share part of it
+        cut = staged(left.mapInArrow(split, kinds), "hot-pieces")
+        equal = cut.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.max("times").alias("most")).withColumn("several", F.greatest("n", "most"))
+        again = cut.filter("times = 1").join(equal.filter("n > 1"), ["h", "c1", "c2"], "left_semi")
+        whole.append(again.select("t1", "t2", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.octet_length("bytes")).alias("hi"))).alias("spans")))
+        kept = cut.dropDuplicates(["h", "c1", "c2"]).drop("times").join(equal.select("h", "c1", "c2", F.col("several").alias("times")), ["h", "c1", "c2"])
+        sizes = cut.select("h", "c1", "c2", F.octet_length("bytes").cast("long").alias("size"), (F.col("hi") - F.col("lo")).alias("shared")).distinct().groupBy("h").agg(F.count("*").alias("kinds"), F.sum("size").alias("total"), F.max("shared").alias("shared")).filter("kinds > 1")
+        kept = staged(kept.join(sizes, "h"), "hot-kept")
+        large = (F.col("total") > shard) & (F.col("shared") < length)
+        done.append(kept.filter(~large).select(*[c for c, _ in PIECE]))
+        left = kept.filter(large).select(*[c for c, _ in PIECE], "lo", "hi")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, whole)
+
+
+def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """t1, t2, spans: for each text with repeated bytes (named by two hashes) its spans, possibly overlapping."""
     named = df.select(text_or_empty(text).alias("text")).select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("\x02"), "text").alias("t2"))
     long_ones = named.filter(F.octet_length("text") >= length)
@@ -134,9 +215,10 @@ def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH,
     again = cuts.join(twice, ["h", "c1", "c2"], "left_semi").select("t1", "t2", "start", "n").distinct()
     whole = again.select("t1", "t2", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))).alias("spans"))
 
-    open_hashes = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.max("own").alias("own")).filter("kinds > 1 OR own").select("h")
-    asked = contents.join(open_hashes, "h", "left_semi").select("h", "c1", "c2", "times", "n", "at.*")
-    per_text = staged(asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "c1", "c2", "times", "start", "n")).alias("want")), "wanted")
+    total = F.sum(F.col("n").cast("long") + F.lit(length - 1))
+    open_hashes = contents.groupBy("h").agg(F.count("*").alias("kinds"), F.max("own").alias("own"), (total > shard).alias("hot")).filter("kinds > 1 OR own").select("h", "hot")
+    asked = contents.join(open_hashes, "h").select("h", "hot", "c1", "c2", "times", "n", "at.*")
+    per_text = staged(asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "hot", "c1", "c2", "times", "start", "n")).alias("want")), "wanted")
     fetched = long_ones.filter(key_bitmap(per_text, "t1")("t1")).join(per_text, ["t1", "t2"])
 
     def fetch(batches):
@@ -146,12 +228,16 @@ def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH,
                 rows = []
                 for t1, t2, t, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
                     data = t.as_py().encode()
-                    rows += [(w["h"], w["c1"], w["c2"], w["times"], t1, t2, w["start"], data[w["start"] : w["start"] + w["n"] - 1 + length]) for w in want]
-                kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["h", "c1", "c2", "times", "t1", "t2", "start", "bytes"])
+                    rows += [(w["h"], w["c1"], w["c2"], w["times"], t1, t2, w["start"], data[w["start"] : w["start"] + w["n"] - 1 + length], w["hot"]) for w in want]
+                yield _batch(rows, [*PIECE, ("hot", pa.bool_())])
 
     # copies of a text all answer; one answer of each piece stays
-    parts = fetched.select("t1", "t2", "text", "want").mapInArrow(fetch, "h long, c1 long, c2 long, times long, t1 long, t2 long, start int, bytes binary").dropDuplicates(["h", "c1", "c2"])
+    kinds = "h long, c1 long, c2 long, times long, t1 long, t2 long, start int, bytes binary"
+    parts = fetched.select("t1", "t2", "text", "want").mapInArrow(fetch, f"{kinds}, hot boolean").dropDuplicates(["h", "c1", "c2"])
+    if not open_hashes.filter("hot").isEmpty():
+        parts = staged(parts, "parts")
+        split, also = split_hot(parts.filter("hot").drop("hot"), length, gram, shard)
+        parts, whole = parts.filter("NOT hot").drop("hot").unionByName(split), whole.unionByName(also)
     dealt = parts.repartition("h").sortWithinPartitions("h", "c1", "c2")
 
     def sort(batches):
@@ -166,7 +252,7 @@ def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH,
 
         for batch in batches:
             for h, times, t1, t2, start, data in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6, 7)), strict=True):
-                if h != last and size >= SHARD:
+                if h != last and size >= shard:
                     yield flush()
                     held.clear()
                     size = 0
@@ -180,14 +266,65 @@ def repeated_substrings(df: DataFrame, text: str = "text", length: int = LENGTH,
     return whole.unionByName(partly).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """df with n_bytes, n_removed, n_spans and kept (binary: the remaining bytes), which replace columns so named.
+def passage_windows(texts: list[bytes], words: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, least hash of `anchor` words in it) of each run of `words` words."""
+    t = Tokens(texts)
+    n = len(t.hashes) - words + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    prefix = np.zeros(len(t.hashes) + 1, dtype=np.uint64)
+    np.cumsum(t.hashes * powers(_BASE, len(t.hashes)), dtype=np.uint64, out=prefix[1:])
+    back = powers(_BACK, len(t.hashes))
+    runs = lambda k: mix((prefix[k:] - prefix[: len(prefix) - k]) * back[: len(prefix) - k])
+    inside = t.doc[:n] == t.doc[words - 1 :]
+    return t.doc[:n][inside], runs(words)[inside], sliding_min(runs(anchor), words - anchor + 1)[inside]
+
+
+def shared_passages(df: DataFrame, text: str = "text", words: int = WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """t1, t2: names of the texts with a run of `words` words, A-Z lower-cased, that another row's text has too.
+
+    Runs are compared only where the least hash among their stretches of `anchor` words stands at several places; equal
+    runs have equal ones.
+    """
+    named = df.select(text_or_empty(text).alias("text")).select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("\x02"), "text").alias("t2"))
+    long_ones = named.filter(F.octet_length("text") >= 2 * words - 1)
+
+    def found(batches, asked=None):
+        for batch in batches:
+            texts = [t.as_py().encode() for t in batch.column(0)]
+            for lo, hi in slices(texts, SLICE):
+                doc, run, least = passage_windows(texts[lo:hi], words, anchor)
+                if asked is None:
+                    new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+                    yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64))], ["a"])
+                    continue
+                place = least >> np.uint64(64 - BITMAP_BITS)
+                held = (asked[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                doc, run = doc[held], run[held]
+                once = np.unique(run ^ mix(doc.astype(np.uint64)), return_index=True)[1]
+                at = pa.array(lo + doc[once])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(run[once].view(np.int64))], ["t1", "t2", "run"])
+
+    anchors = long_ones.select("text").mapInArrow(found, "a long").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = df.sparkSession.sparkContext.broadcast(filled_bitmap(anchors, "a"))
+    runs = staged(long_ones.mapInArrow(lambda batches: found(batches, asked.value), "t1 long, t2 long, run long"), "runs")
+    again = runs.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
+    out = staged(runs.join(again, "run", "left_semi").select("t1", "t2").distinct(), "passages")
+    drop_staged(runs)
+    return out
+
+
+def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """df with n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) and shares_passage (whether another row has
+    WORDS words of the text in a run), which replace columns so named.
 
     Null text is empty; texts under `length` bytes lose nothing; equal texts lose everything if they have `length` bytes
-    or more. Other columns are kept. An empty table gives an empty one.
+    or more. Texts may have any length below 2 GiB, ids may be null or repeated. Other columns are kept. An empty table
+    gives an empty one.
     """
-    df = df.drop("n_bytes", "n_removed", "n_spans", "kept")
-    spans = staged(repeated_substrings(df, text, length), "spans")
+    df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "shares_passage")
+    passages = shared_passages(df, text).withColumn("shares_passage", F.lit(True))
+    spans = staged(repeated_substrings(df, text, length, shard=shard).join(passages, ["t1", "t2"], "full_outer"), "spans")
     named = wrapped(df, text=text_or_empty(text))
     named = named.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("\x02"), "text")).withColumn("hit", key_bitmap(spans, "t1")("t1"))
     kinds = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -208,12 +345,13 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     # texts without repeats, most of them, are neither shuffled nor sent to Python again
-    hit = named.filter("hit").join(spans, ["t1", "t2"], "left").withColumn("out", remove("text", "spans")).select("row.*", "out.*")
+    shares = F.coalesce("shares_passage", F.lit(False)).alias("shares_passage")
+    hit = named.filter("hit").join(spans, ["t1", "t2"], "left").withColumn("out", remove("text", "spans")).select("row.*", "out.*", shares)
     zero = F.lit(0).cast("long")
-    rest = named.filter("NOT hit").select("row.*", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
+    rest = named.filter("NOT hit").select("row.*", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.lit(False).alias("shares_passage"))
     return hit.unionByName(rest)
 
 
 def op3_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")

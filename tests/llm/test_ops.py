@@ -151,6 +151,61 @@ def test_suffix_orders(block):
         assert [p for p, _ in down] == order[::-1] and [c for _, c in down] == ([0] + [c for _, c in want[1:]][::-1] if t else [])
 
 
+def plain_passages(texts, n=suffix.WORDS):
+    seen = Counter()
+    runs = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        runs.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+        seen.update(runs[-1])
+    return [any(seen[r] > 1 for r in own) for own in runs]
+
+
+def test_halves_hold_each_window_once():
+    rng = random.Random(5)
+    for _ in range(300):
+        length = rng.randint(1, 30)
+        core = rng.randint(1, length)
+        lo = rng.randint(0, length - core)
+        windows = rng.randint(1, lo + 1)
+        lo = max(lo, windows - 1)
+        data = bytes(rng.randrange(256) for _ in range(windows + length - 1))
+        if lo + core > length:
+            continue
+        left = [(0, data, lo, lo + core)]
+        for _ in range(12):
+            for at, part, a, b in left:
+                assert data[at : at + len(part)] == part and all(w <= a and b <= w + length for w in range(len(part) - length + 1))
+            assert sorted(at + w for at, part, _, _ in left for w in range(len(part) - length + 1)) == list(range(windows))
+            left = [(at + more, x, a2, b2) for at, part, a, b in left for more, x, a2, b2 in suffix.halves(part, a, b, length)]
+        assert all(b - a == length == len(part) for _, part, a, b in left)
+
+
+def test_a_line_of_many_documents_is_split(make):
+    rng = random.Random(15)
+    line = words(rng, 60, 90)[:230]
+    long_line = words(rng, 200, 90)[:390]
+    texts = []
+    for i in range(60):
+        tail = words(rng, 12, 3) if i % 5 == 0 else words(rng, 60)
+        texts.append(words(rng, 60) + " " + (line if i % 2 else long_line) + " " + tail)
+    texts += [texts[0], "again " + texts[1][20:], ("xy" * 300) + line + ("xy" * 300), ("xy" * 300) + line + ("xy" * 301), line * 4]
+    length, data = suffix.LENGTH, [t.encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    passages = plain_passages(texts)
+    for shard in (1500, 1 << 19):
+        rows = suffix.without_repeats(make(*texts), shard=shard).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            d = data[r["doc_id"]]
+            gone = bytearray(len(d))
+            for i in range(len(d) - length + 1):
+                if seen[d[i : i + length]] > 1:
+                    gone[i : i + length] = b"\1" * length
+            assert bytes(r["kept"]) == bytes(b for b, g in zip(d, gone, strict=True) if not g), (shard, r["doc_id"])
+            assert r["shares_passage"] == passages[r["doc_id"]], r["doc_id"]
+
+
 def test_repeated_substrings(make, empty):
     rng = random.Random(4)
     shared = [words(rng, 120) for _ in range(3)]
@@ -159,7 +214,9 @@ def test_repeated_substrings(make, empty):
     df = make(*texts).withColumn("kept", F.lit(1))
     length, data = suffix.LENGTH, [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    passages = plain_passages(texts)
     for r in suffix.without_repeats(df).collect():
+        assert r["shares_passage"] == passages[r["doc_id"]]
         d = data[r["doc_id"]]
         gone = bytearray(len(d))
         for i in range(len(d) - length + 1):
