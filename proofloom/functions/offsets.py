@@ -3,21 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark.errors import utils as origins
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quickly(build: Callable) -> Callable:
+    """A builder of large expressions that notes no place in the caller's code for each of their parts: that takes longer
+    than making them."""
+
+    @wraps(build)
+    def run(*args, **kwargs):
+        before = getattr(origins, "_enable_debugging_cache", None)
+        if hasattr(origins, "_enable_debugging_cache"):
+            origins._enable_debugging_cache = False
+        try:
+            return build(*args, **kwargs)
+        finally:
+            if hasattr(origins, "_enable_debugging_cache"):
+                origins._enable_debugging_cache = before
+
+    return run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once: Catalyst copies a column into every place of a lambda that names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+BLOCK = 192  # entries that are folded one by one
+
+
+Step = Callable[[Column, Column], Column]
+
+
+def _fold(values: Column, zero: int, step: Step) -> Column:
+    start = F.struct(F.array().cast("array<int>").alias("before"), F.lit(zero).alias("at"))
+    grown = lambda acc, n: F.struct(F.array_append(acc["before"], acc["at"]).alias("before"), step(acc["at"], n).alias("at"))
+    return F.aggregate(values, start, grown)
+
+
+def scan(values: Column, zero: int, step: Step) -> Column:
+    """For an int array, what an associative step makes of zero and all entries before each one.
+
+    Each step of a fold copies what it has so far; so blocks of BLOCK entries are folded, then the blocks' results, and the
+    work stays near linear.
+    """
+
+    def blocks(a: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / F.lit(BLOCK)).cast("int"))), lambda i: _fold(F.slice(a, i * BLOCK + 1, BLOCK), zero, step))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, _fold(F.transform(p, lambda x: x["at"]), zero, step)["before"], lambda x, base: F.transform(x["before"], lambda s: step(base, s)))))
+
+    return let(values, blocks)
+
+
 def prefix_sums(lengths: Column) -> Column:
     """For an int array, the sum of all entries before each one."""
-    start = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at"))
-    step = lambda acc, n: F.struct(F.array_append(acc["sums"], acc["at"]).alias("sums"), (acc["at"] + n).alias("at"))
-    return F.aggregate(lengths, start, step, lambda acc: acc["sums"])
+    return scan(lengths, 0, lambda a, b: a + b)
+
+
+def first_of_runs(items: Column, same: Step) -> Column:
+    """Of a sorted array, the first entry of each run of entries that are the same as the one before."""
+    return let(items, lambda a: F.filter(a, lambda x, i: (i == 0) | ~same(F.get(a, i - 1), x)))
+
+
+def ranks(positions: Column, starts: Column) -> Column:
+    """For each of an int array of positions, how many of the starts are at or before it. One sort of both together."""
+    marked = F.concat(F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(0).alias("asked"), F.lit(0).alias("i"))), F.transform(positions, lambda p, i: F.struct(p.alias("at"), F.lit(1).alias("asked"), i.alias("i"))))
+    counted = let(F.array_sort(marked), lambda m: F.zip_with(m, prefix_sums(F.transform(m, lambda x: 1 - x["asked"])), lambda x, n: F.struct(x["asked"].alias("asked"), x["i"].alias("i"), n.alias("n"))))
+    return F.transform(F.array_sort(F.transform(F.filter(counted, lambda x: x["asked"] == 1), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))), lambda x: x["n"])
 
 
 def tiles(segments: Column) -> Column:
@@ -26,9 +82,10 @@ def tiles(segments: Column) -> Column:
     return F.zip_with(segments, starts, lambda s, at: F.struct(at.alias("start"), (at + F.length(s)).alias("end"), s.alias("text")))
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str | Column) -> Column:
     """All matches from left to right as array of (start, end, text). The pattern must not match the empty string."""
-    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    own = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    parts = F.struct(F.split(text, own, -1).alias("gaps"), F.regexp_extract_all(text, own, F.lit(0)).alias("hits"))
 
     def located(p: Column) -> Column:
         spans = F.zip_with(F.slice(p["gaps"], 1, F.greatest(F.size(p["hits"]), F.lit(0))), p["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("len"), h.alias("text")))

@@ -1,45 +1,56 @@
-"""Numbers, numbering, citations and references."""
+"""Numbers, numbering, citations and references.
+
+Checks are expressions over a document's paragraphs, sentences, references and citations, applied in its row.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.functions.offsets import find_all, strip
-from proofloom.operators.parse import TEXT, citations, paragraphs, references, sentences
+from proofloom.functions.offsets import find_all, let, prefix_sums, strip
+from proofloom.operators.parse import TEXT, any_of, body_text, citation_array, paragraph_array, paragraphs, reference_array, reference_offset, sentence_array
 from proofloom.rules import LATIN, Pack
-from proofloom.schema import make_issues
+from proofloom.schema import explode_issues, issue, issues_where, no_issues
 
+CHECKS = ("data", "format", "references")
 #: Magnitudes that are not part of a unit, words that make a number a total, a part or a share.
 MAGNITUDES = "万亿"
-NUMBER = r"([\p{L}]{0,12}[\p{L} ]{0,4}?)\s*(\d+(?:\.\d+)?)\s*(%|[万亿]?[\p{L}]{0,4})"
 TOTAL_CUE = r"(?i)(total|sum|合计|共计|总计|总额)"
 PART_CUE = r"(?i)(of which|namely|其中|包括|分别)"
 SHARE_CUE = r"(?i)(share|account|占比|占)"
 GROWTH_CUE = r"(?i)(grow|rise|increase|增长|提高)"
-LABEL_NOISE = r"(?i)^(the|a|an|of|and|is|was|were|为|达|约|共)\s*"
+LABEL_NOISE = r"(?i)^(?:(?:the|a|an|of|and|is|was|were)\b|为|达|约|共)\s*"
+_VALUE = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+
 
+def number_pattern(pack: Pack = LATIN) -> str:
+    """A word, a number with or without thousands groups, and its unit."""
+    return rf"(?:(\p{{L}}+) ?)?({_VALUE}) ?({pack.unit})?"
 
-def number_facts(text: Column) -> Column:
+
+def number_facts(text: Column, pack: Pack = LATIN) -> Column:
     """Array of (label, value, unit, start, end, vstart): numbers with the word before and the unit behind; bare years
     1900 to 2100 are left out (A01, A02)."""
-    hits = find_all(text, NUMBER)
+    pattern = number_pattern(pack)
 
     def fact(x: Column) -> Column:
-        raw = F.regexp_extract(x["text"], r"(\d+(?:\.\d+)?)", 1)
-        unit = F.translate(strip(F.regexp_extract(x["text"], r"\d(?:\.\d+)?\s*(%|[\p{L}]*)\z", 1)), MAGNITUDES, "")
-        label = strip(F.regexp_replace(strip(F.regexp_extract(x["text"], r"^([^\d]*)", 1)), LABEL_NOISE, ""))
-        return F.struct(label.alias("label"), raw.cast("double").alias("value"), unit.alias("unit"), x["start"].alias("start"), x["end"].alias("end"), (x["start"] + F.instr(x["text"], raw) - 1).alias("vstart"), raw.alias("raw"))
+        raw = F.regexp_extract(x["text"], pattern, 2)
+        unit = F.translate(F.regexp_extract(x["text"], pattern, 3), MAGNITUDES, "")
+        label = strip(F.regexp_replace(F.regexp_extract(x["text"], pattern, 1), LABEL_NOISE, ""))
+        return F.struct(label.alias("label"), F.replace(raw, F.lit(","), F.lit("")).cast("double").alias("value"), unit.alias("unit"), x["start"].alias("start"), x["end"].alias("end"), (x["start"] + F.instr(x["text"], raw) - 1).alias("vstart"), raw.alias("raw"))
 
     bare_year = lambda f: (F.length(f["raw"]) == 4) & f["raw"].rlike(r"^\d{4}$") & (f["unit"] == "") & f["value"].between(1900, 2100)
-    return F.filter(F.transform(hits, fact), lambda f: ~bare_year(f))
+    none = F.array().cast("array<struct<label:string,value:double,unit:string,start:int,end:int,vstart:int,raw:string>>")
+    return F.when(text.rlike(r"\d"), F.filter(F.transform(find_all(text, pattern), fact), lambda f: ~bare_year(f))).otherwise(none)
 
 
 def numeric_paragraphs(docs: DataFrame, pack: Pack = LATIN, least: int = 3) -> DataFrame:
     """Paragraphs outside headings and references with at least three numbers, with `facts`."""
-    rows = paragraphs(docs, pack).filter("NOT is_heading AND NOT in_ref").withColumn("facts", number_facts(F.col("text")))
+    rows = paragraphs(docs, pack).filter("NOT is_heading AND NOT in_ref").withColumn("facts", number_facts(F.col("text"), pack))
     return rows.filter(F.size("facts") >= least)
 
 
@@ -59,44 +70,83 @@ def find_total(text: Column, facts: Column) -> Column:
 
 def parts_of(text: Column, facts: Column, total: Column) -> Column:
     """Facts of the total's unit before it, after the last parts cue before it, no percentages, other in value."""
-    cues = F.filter(find_all(text, PART_CUE), lambda c: c["end"] <= total["start"])
+    cues = F.filter(find_all(text, PART_CUE), lambda c: c["end"] <= total["vstart"])
     after = F.coalesce(F.array_max(F.transform(cues, lambda c: c["end"])), F.lit(0))
-    return F.filter(facts, lambda f: (f["unit"] == total["unit"]) & (f["start"] < total["start"]) & (f["start"] >= after) & (f["unit"] != "%") & (f["value"] != total["value"]))
+    return let(F.struct(after.alias("at")), lambda c: F.filter(facts, lambda f: (f["unit"] == total["unit"]) & (f["vstart"] < total["vstart"]) & (f["vstart"] >= c["at"]) & (f["unit"] != "%") & (f["value"] != total["value"])))
 
 
-def _total(values: Column) -> Column:
+def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x["value"])
 
 
+def off_total(text: Column, facts: Column, tolerance: float = 0.01) -> Column:
+    """(start, end, stated, computed, severity) within a paragraph whose stated total is off the sum of two parts or more;
+    MAJOR if by over two hundredths (A05)."""
+
+    def judged(t: Column) -> Column:
+        def summed(p: Column) -> Column:
+            off = F.abs(_sum(p) - t["value"]) / F.greatest(F.abs(t["value"]), F.lit(1e-9))
+            made = F.struct(F.get(p, F.lit(0))["start"].alias("start"), t["end"].alias("end"), t["value"].alias("stated"), _sum(p).alias("computed"), F.when(off > 0.02, "MAJOR").otherwise("MINOR").alias("severity"))
+            return F.when((F.size(p) >= 2) & (_sum(p) != 0) & (off > tolerance), made)
+
+        return let(parts_of(text, facts, t), summed)
+
+    return let(find_total(text, facts), lambda t: F.when(t.isNotNull(), judged(t)))
+
+
+def shares_above(text: Column, facts: Column) -> Column:
+    """Array of the percentages over 100 in a share context, not in one of growth."""
+
+    def above(f: Column) -> Column:
+        lo = F.greatest(f["vstart"] - 45, F.lit(0))
+        around = F.substring(text, lo + 1, f["vstart"] - lo)
+        return (f["unit"] == "%") & (f["value"] > 100) & around.rlike(SHARE_CUE) & ~around.rlike(GROWTH_CUE)
+
+    return F.filter(facts, above)
+
+
+def off_share(text: Column, facts: Column, tolerance: float = 0.01) -> Column:
+    """(start, end, stated, computed): the first stated share behind the total against the parts' sum over the largest
+    earlier number of their unit that is none of them (A07)."""
+
+    def judged(t: Column) -> Column:
+        def shared(p: Column) -> Column:
+            base = F.array_max(F.transform(F.filter(facts, lambda f: (f["unit"] == t["unit"]) & (f["vstart"] < F.get(p, F.lit(0))["vstart"]) & (f["value"] > 0)), lambda f: f["value"]))
+            share = F.get(F.filter(facts, lambda f: (f["unit"] == "%") & (f["vstart"] > t["vstart"])), F.lit(0))
+
+            def against(x: Column) -> Column:
+                computed = 100 * _sum(p) / x["base"]
+                off = F.abs(computed - x["share"]["value"]) / F.greatest(x["share"]["value"], F.lit(1e-9))
+                made = F.struct(x["share"]["vstart"].alias("start"), x["share"]["end"].alias("end"), x["share"]["value"].alias("stated"), computed.alias("computed"))
+                return F.when(x["base"].isNotNull() & x["share"].isNotNull() & (off > max(tolerance, 0.02)), made)
+
+            return F.when(F.size(p) >= 2, let(F.struct(base.alias("base"), share.alias("share")), against))
+
+        return let(parts_of(text, facts, t), shared)
+
+    return let(find_total(text, facts), lambda t: F.when(t.isNotNull(), judged(t)))
+
+
+def _in_paragraph(paras: DataFrame, found: Column) -> DataFrame:
+    rows = paras.select("doc_id", "para_idx", F.col("start").alias("base"), found.alias("x")).filter("x IS NOT NULL")
+    rest = [f.name for f in rows.schema["x"].dataType if f.name not in ("start", "end")]
+    return rows.select("doc_id", "para_idx", (F.col("base") + F.col("x.start")).alias("start"), (F.col("base") + F.col("x.end")).alias("end"), *[f"x.{c}" for c in rest])
+
+
 def sum_consistency(paras: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Paragraphs whose stated total is off the sum of two parts or more; MAJOR if by over two hundredths."""
-    rows = paras.withColumn("total", find_total(F.col("text"), F.col("facts"))).filter("total IS NOT NULL")
-    rows = rows.withColumn("parts", parts_of(F.col("text"), F.col("facts"), F.col("total"))).filter("size(parts) >= 2")
-    rows = rows.withColumn("computed", _total(F.col("parts"))).withColumn("stated", F.col("total.value"))
-    off = F.abs(F.col("computed") - F.col("stated")) / F.greatest(F.abs(F.col("stated")), F.lit(1e-9))
-    rows = rows.withColumn("off", off).filter(F.col("off") > tolerance)
-    return rows.select("doc_id", "para_idx", (F.col("start") + F.col("total.start")).alias("start"), (F.col("start") + F.col("total.end")).alias("end"), "stated", "computed", F.when(F.col("off") > 0.02, "MAJOR").otherwise("MINOR").alias("severity"))
+    """A05 over rows of numeric_paragraphs."""
+    return _in_paragraph(paras, off_total(F.col("text"), F.col("facts"), tolerance))
 
 
 def share_range(paras: DataFrame) -> DataFrame:
-    """Percentages over 100 in a share context, not in one of growth."""
-    rows = paras.withColumn("f", F.explode("facts")).filter("f.unit = '%' AND f.value > 100")
-    lo = F.greatest(F.col("f.start") - 45, F.lit(0))
-    around = F.substring(F.col("text"), lo + 1, F.col("f.end") - lo)
-    rows = rows.filter(around.rlike(SHARE_CUE) & ~around.rlike(GROWTH_CUE))
-    return rows.select("doc_id", "para_idx", (F.col("start") + F.col("f.start")).alias("start"), (F.col("start") + F.col("f.end")).alias("end"), F.col("f.value").alias("stated"))
+    """A06 over rows of numeric_paragraphs."""
+    rows = paras.select("doc_id", "para_idx", "start", F.explode(shares_above(F.col("text"), F.col("facts"))).alias("f"))
+    return rows.select("doc_id", "para_idx", (F.col("start") + F.col("f.vstart")).alias("start"), (F.col("start") + F.col("f.end")).alias("end"), F.col("f.value").alias("stated"))
 
 
 def share_consistency(paras: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """A stated share against the parts' sum over the largest earlier number of their unit that is none of them."""
-    rows = paras.withColumn("total", find_total(F.col("text"), F.col("facts"))).filter("total IS NOT NULL")
-    rows = rows.withColumn("parts", parts_of(F.col("text"), F.col("facts"), F.col("total"))).filter("size(parts) >= 1")
-    base = F.array_max(F.transform(F.filter("facts", lambda f: (f["unit"] == F.col("total.unit")) & (f["start"] < F.get("parts", F.lit(0))["start"]) & (f["value"] > 0)), lambda f: f["value"]))
-    share = F.get(F.filter("facts", lambda f: (f["unit"] == "%") & (f["start"] > F.col("total.start"))), F.lit(0))
-    rows = rows.withColumn("base", base).withColumn("share", share).filter("base IS NOT NULL AND share IS NOT NULL")
-    rows = rows.withColumn("computed", 100 * _total(F.col("parts")) / F.col("base")).withColumn("stated", F.col("share.value"))
-    rows = rows.filter(F.abs(F.col("computed") - F.col("stated")) / F.greatest(F.col("stated"), F.lit(1e-9)) > max(tolerance, 0.02))
-    return rows.select("doc_id", "para_idx", (F.col("start") + F.col("share.start")).alias("start"), (F.col("start") + F.col("share.end")).alias("end"), "stated", "computed")
+    """A07 over rows of numeric_paragraphs."""
+    return _in_paragraph(paras, off_share(F.col("text"), F.col("facts"), tolerance))
 
 
 def header_line_sums(headers: DataFrame, lines: DataFrame, key: str, stated: str, part: Column, tolerance: float = 0.01) -> DataFrame:
@@ -106,10 +156,18 @@ def header_line_sums(headers: DataFrame, lines: DataFrame, key: str, stated: str
     return rows.withColumn("off", F.abs(F.col("computed") - F.col("stated")) / F.abs("stated")).filter(F.col("off") > tolerance)
 
 
-def vague_comparisons(sents: DataFrame) -> DataFrame:
-    """Year-on-year phrases without a figure."""
-    rows = sents.withColumn("phrase", F.regexp_extract("text", r"(?i)(year[- ]on[- ]year|month[- ]on[- ]month|同比|环比)[^,.，。;；]{0,12}", 0))
-    return rows.filter(r"phrase != '' AND NOT phrase RLIKE '[0-9]'")
+def comparison_pattern(pack: Pack = LATIN) -> str:
+    return any_of(pack.words["comparison"]) + "[^,.;，。；]{0,20}?" + any_of(pack.words["degree"])
+
+
+def vague_phrase(text: Column, pack: Pack = LATIN) -> Column:
+    """The first phrase of a sentence that compares two times by a word of degree and without a figure, else '' (A09)."""
+    return let(F.regexp_extract(text, comparison_pattern(pack), 0), lambda p: F.when(p.rlike("[0-9]"), "").otherwise(p))
+
+
+def vague_comparisons(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """A09 over rows of sentences."""
+    return sents.withColumn("phrase", vague_phrase(F.col("text"), pack)).filter("phrase != ''")
 
 
 CJK_DIGITS = "一二三四五六七八九"
@@ -131,12 +189,53 @@ def numbering_gaps(items: DataFrame, key: str, order: str, number: str) -> DataF
     return rows.filter(F.col(number) != F.col("expected"))
 
 
+_TOP = (r"^\s*#*\s*(\d{1,3})[.、](?!\d)|^\s*#*\s*(\d{1,3}) ", r"^\s*#*\s*第?([一二三四五六七八九十]{1,3})(?:、|章|节)")
+_SUB = (r"^\s*#*\s*\d{1,3}\.(\d{1,3})(?!\d)", r"^\s*#*\s*（([一二三四五六七八九十]{1,3})）")
+
+
+def heading_array(paras: Column) -> Column:
+    """Array of (start, end, text, level, num, parent) of numbered headings, in order: level 1 such as 3. or 三、, level 2
+    such as 3.2 or （二）; parent counts the headings of level 1 so far."""
+
+    def numbered(p: Column) -> Column:
+        t = p["text"]
+        one, other = F.concat(F.regexp_extract(t, _TOP[0], 1), F.regexp_extract(t, _TOP[0], 2)), F.regexp_extract(t, _TOP[1], 1)
+        sub, cjk_sub = F.regexp_extract(t, _SUB[0], 1), F.regexp_extract(t, _SUB[1], 1)
+        level = F.when((sub != "") | (cjk_sub != ""), 2).when((one != "") | (other != ""), 1)
+        num = F.when(sub != "", sub.cast("int")).when(cjk_sub != "", cjk_number(cjk_sub)).when(one != "", one.cast("int")).when(other != "", cjk_number(other))
+        return F.struct(p["start"].alias("start"), (p["start"] + F.length(t)).alias("end"), t.alias("text"), level.alias("level"), num.alias("num"))
+
+    found = F.filter(F.transform(F.filter(paras, lambda p: p["text"].rlike(r"^\s*#*\s*(?:\d|第?[一二三四五六七八九十]{1,3}(?:、|章|节)|（[一二三四五六七八九十])")), numbered), lambda x: x["level"].isNotNull())
+    tops = lambda a: prefix_sums(F.transform(a, lambda x: (x["level"] == 1).cast("int")))
+    return let(found, lambda a: F.zip_with(a, tops(a), lambda x, n: F.struct(*[x[c].alias(c) for c in ("start", "end", "text", "level", "num")], (n + (x["level"] == 1).cast("int")).alias("parent"))))
+
+
+def heading_gaps(headings: Column) -> Column:
+    """Array of headings whose number is not one more than the one before on their level and under their parent, or is not
+    1 as the first, with `expected`; counting goes on from what is there (A10)."""
+
+    def of_level(level: int) -> Column:
+        own = F.filter(headings, lambda x: x["level"] == level)
+
+        def gaps(a: Column) -> Column:
+            before = lambda x, i: F.get(a, i - 1)
+            same = lambda x, i: (i > 0) & (F.lit(level == 1) | (before(x, i)["parent"] == x["parent"]))
+            named = F.transform(a, lambda x, i: F.struct(*[x[c].alias(c) for c in ("start", "end", "text", "level", "num", "parent")], F.when(same(x, i), before(x, i)["num"] + 1).otherwise(F.lit(1)).alias("expected")))
+            return F.filter(named, lambda x: x["num"] != x["expected"])
+
+        return let(own, gaps)
+
+    return F.concat(of_level(1), of_level(2))
+
+
 def heading_numbers(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """Numbered headings: doc_id, para_idx, start, end, num."""
-    rows = paragraphs(docs, pack)
-    digits, cjk = F.regexp_extract("text", r"^\s*#*\s*(\d{1,3})[.、 ]", 1), F.regexp_extract("text", r"^\s*#*\s*(?:第)?([一二三四五六七八九十]{1,3})(?:、|章|节)", 1)
-    num = F.when(digits != "", digits.cast("int")).when(cjk != "", cjk_number(cjk))
-    return rows.select("doc_id", "para_idx", "start", "end", "text", num.alias("num")).filter("num IS NOT NULL")
+    """doc_id and the numbered headings."""
+    return docs.select("doc_id", F.explode(heading_array(paragraph_array(TEXT(), pack))).alias("x")).select("doc_id", "x.*")
+
+
+def numbering_jumps(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """doc_id and the headings out of sequence, with `expected` (A10)."""
+    return docs.select("doc_id", F.explode(let(heading_array(paragraph_array(TEXT(), pack)), heading_gaps)).alias("x")).select("doc_id", "x.*")
 
 
 def missing_and_orphans(refs: DataFrame, defs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -148,17 +247,28 @@ def missing_and_orphans(refs: DataFrame, defs: DataFrame, on: list[str]) -> tupl
 FIGURE_DEF, FIGURE_REF = r"(?i)^\s*(?:figure|table|图|表)\s*(\d{1,3})[:：. ]", r"(?i)(?:see|in|如|见)\s*(?:figure|table|图|表)\s*(\d{1,3})"
 
 
-def figures(docs: DataFrame, pack: Pack = LATIN) -> tuple[DataFrame, DataFrame]:
-    """(references, definitions) of figures as (doc_id, num); definitions are sought in every paragraph."""
-    paras = paragraphs(docs, pack)
-    defs = paras.select("doc_id", F.regexp_extract("text", FIGURE_DEF, 1).alias("num")).filter("num != ''")
-    refs = paras.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(FIGURE_REF), F.lit(1))).alias("num"))
+def figure_sides(body: Column, paras: Column) -> tuple[Column, Column]:
+    """(references: array of (num, start, end), definitions: array of numbers) of figures (A11); definitions are sought in
+    every paragraph, references in the body."""
+    refs = F.transform(find_all(body, FIGURE_REF), lambda x: F.struct(F.regexp_extract(x["text"], FIGURE_REF, 1).alias("num"), x["start"].alias("start"), x["end"].alias("end")))
+    defs = F.array_distinct(F.filter(F.transform(paras, lambda p: F.regexp_extract(p["text"], FIGURE_DEF, 1)), lambda n: n != ""))
     return refs, defs
 
 
+def figures(docs: DataFrame, pack: Pack = LATIN) -> tuple[DataFrame, DataFrame]:
+    """(references, definitions) of figures as (doc_id, num)."""
+    paras = paragraph_array(TEXT(), pack)
+    refs, defs = figure_sides(body_text(TEXT(), reference_offset(reference_array(paras))), paras)
+    return docs.select("doc_id", F.explode(F.transform(refs, lambda x: x["num"])).alias("num")), docs.select("doc_id", F.explode(defs).alias("num"))
+
+
+def _mixed(text: Column) -> Column:
+    return text.rlike(r"\[\d{1,3}\]") & text.rlike(r"[(（](?:\p{L}[\p{L} .&]{1,40}[,，]\s*(?:19|20)\d{2}|\d{1,3})[)）]")
+
+
 def mixed_citation_styles(docs: DataFrame) -> DataFrame:
-    """Documents with both [n] and (Name, year) citations."""
-    return docs.filter(TEXT().rlike(r"\[\d{1,3}\]") & TEXT().rlike(r"[(（]\p{L}[\p{L} .&]{1,40}[,，]\s*(19|20)\d{2}[)）]")).select("doc_id")
+    """Documents with both [n] and (n) or (Name, year) citations."""
+    return docs.filter(_mixed(TEXT())).select("doc_id")
 
 
 #: Letters of document types in references, and of carriers behind a slash.
@@ -166,27 +276,35 @@ TYPE_CODES = ("M", "C", "N", "J", "D", "R", "S", "P", "A", "Z", "DB", "CP", "EB"
 CARRIERS = ("OL", "CD", "DK", "MT")
 
 
-def reference_issues(refs: DataFrame, last_year: int, publishers: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, num, check for each fault of a reference item."""
-    text = F.col("text")
+#: Severity and confidence of each fault of a reference.
+FAULTS = {"type-code": ("MAJOR", 0.92), "year": ("MAJOR", 0.95), "pages": ("MINOR", 0.9), "authors": ("MINOR", 0.85), "doi": ("MINOR", 0.88), "publisher": ("INFO", 0.6)}
+
+
+def reference_faults(text: Column, last_year: int, publishers: Sequence[str] = ()) -> Column:
+    """Array of the faults of a reference item, by name."""
     code = F.regexp_extract(text, r"\[([A-Z]{1,2}(?:/[A-Z]{2})?)\]", 1)
     known = F.split_part(code, F.lit("/"), F.lit(1)).isin(*TYPE_CODES) & (~F.contains(code, F.lit("/")) | F.split_part(code, F.lit("/"), F.lit(2)).isin(*CARRIERS))
     years = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:1[5-9]|20|21)\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
     doi = F.regexp_extract(text, r"(?i)doi:?\s*(\S+)", 1)
     authors = F.regexp_extract(text, r"^\s*\[\d+\]\s*([^.。]*)", 1)
-    publisher = F.regexp_extract(text, r"\[M\][^:：]*[:：]\s*([^,，]+)", 1)
+    publisher = strip(F.regexp_extract(text, r"\[M\]\.?\s*([^:：,，]+)[:：,，]", 1))
     checks = {
         "type-code": (code == "") | ~known, "year": F.exists(years, lambda y: y > last_year), "pages": text.rlike(r"\d\s*[–—~～]\s*\d"),
         "authors": (F.regexp_count(authors, F.lit("[,，]")) >= 3) & ~text.rlike(r"(?i)et al|等"), "doi": (doi != "") & ~doi.rlike(r"^10\.\d{4,9}/\S+"),
         "publisher": (publisher != "") & ~publisher.isin(*publishers) if publishers else F.lit(False),
     }
-    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda c: c.isNotNull())
-    return refs.select("doc_id", "num", F.explode(found).alias("check"))
+    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda c: c.isNotNull())
+
+
+def reference_issues(refs: DataFrame, last_year: int, publishers: Sequence[str] = ()) -> DataFrame:
+    """doc_id, num, check for each fault of a reference item."""
+    return refs.select("doc_id", "num", F.explode(reference_faults(F.col("text"), last_year, publishers)).alias("check"))
 
 
 def empty_reference_sections(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """Documents with a reference section and no item in it."""
-    return paragraphs(docs, pack).filter("in_ref").select("doc_id").distinct().join(references(docs, pack).select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents with a reference section and no item in the whole text."""
+    lacks = let(paragraph_array(TEXT(), pack), lambda p: F.exists(p, lambda x: x["in_ref"]) & (F.size(reference_array(p)) == 0))
+    return docs.filter(lacks).select("doc_id")
 
 
 def title_key(text: Column) -> Column:
@@ -202,6 +320,14 @@ def duplicate_items(items: DataFrame, key: str, order: str, title: Column) -> Da
     return rows.filter(F.col(order) != F.col("first_of"))
 
 
+def repeated_references(refs: Column) -> Column:
+    """Array of (num, first_of, start, end): references with the title of one with a lower number."""
+    keyed = F.array_sort(F.transform(refs, lambda x: F.struct(title_key(x["text"]).alias("title"), x["num"].alias("num"), x["start"].alias("start"), x["end"].alias("end"))))
+    first = lambda a: F.transform(a, lambda x: F.struct(x["num"].alias("num"), F.get(F.filter(a, lambda y: y["title"] == x["title"]), F.lit(0))["num"].alias("first_of"), x["start"].alias("start"), x["end"].alias("end"), x["title"].alias("title")))
+    near = lambda a: F.filter(a, lambda x, i: (F.coalesce(F.get(a, i - 1)["title"] == x["title"], F.lit(False)) | F.coalesce(F.get(a, i + 1)["title"] == x["title"], F.lit(False))) & (x["title"] != ""))
+    return F.filter(let(let(keyed, near), first), lambda x: x["num"] != x["first_of"])
+
+
 def citation_order(cites: DataFrame) -> DataFrame:
     """Documents whose citations, by first appearance, are not in rising order."""
     nums = F.transform(F.array_sort(F.collect_list(F.struct("pos", "num"))), lambda x: x["num"])
@@ -213,27 +339,54 @@ def claim_sentences(sents: DataFrame, pack: Pack = LATIN, least: int = 18) -> Da
     return sents.filter((F.length(strip(F.col("text"))) >= least) & reduce(lambda a, b: a | b, [F.contains("text", F.lit(w)) for w in pack.words["claim"]]))
 
 
-def academic_issues(docs: DataFrame, pack: Pack = LATIN, last_year: int = 2030) -> DataFrame:
-    """The engine: figures, sums, numbering, citations and references as issues."""
-    paras = numeric_paragraphs(docs, pack)
-    glob = lambda df: df.withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
-    missing, orphan = missing_and_orphans(*figures(docs, pack), on=["doc_id", "num"])
-    refs = references(docs, pack)
-    uncited, unlisted = missing_and_orphans(refs, citations(docs, pack), on=["doc_id", "num"])
-    out = [
-        make_issues(sum_consistency(paras), "academic", rule_id="sum", category="data", message="parts don't add up", confidence=0.85),
-        make_issues(share_range(paras), "academic", rule_id="share-range", category="data", severity="MAJOR", message="share above 100 %", confidence=0.85),
-        make_issues(share_consistency(paras), "academic", rule_id="share", category="data", severity="MAJOR", message="share does not fit the parts", confidence=0.8),
-        make_issues(vague_comparisons(sentences(docs, pack)), "academic", rule_id="comparison", category="data", message="comparison without a figure", confidence=0.7),
-        make_issues(numbering_gaps(heading_numbers(docs, pack), "doc_id", "para_idx", "num"), "academic", rule_id="numbering", category="format", message="heading numbers jump"),
-        make_issues(glob(missing), "academic", rule_id=F.concat(F.lit("figure-missing-"), "num"), category="format", message="figure is missing"),
-        make_issues(glob(orphan), "academic", rule_id=F.concat(F.lit("figure-unused-"), "num"), category="format", severity="INFO", message="figure is never referred to"),
-        make_issues(glob(mixed_citation_styles(docs)), "academic", rule_id="citation-style", category="format", message="two citation styles"),
-        make_issues(glob(empty_reference_sections(docs, pack)), "academic", rule_id="no-references", category="format", message="empty reference section"),
-        make_issues(glob(uncited), "academic", rule_id=F.concat(F.lit("uncited-"), F.col("num").cast("string")), category="format", severity="INFO", message="reference is never cited"),
-        make_issues(glob(unlisted), "academic", rule_id=F.concat(F.lit("unlisted-"), F.col("num").cast("string")), category="format", severity="MAJOR", message="citation without a reference"),
-        make_issues(glob(reference_issues(refs, last_year)), "academic", rule_id=F.concat_ws("-", F.lit("ref"), "check", F.col("num").cast("string")), category="format", message=F.concat(F.lit("reference: "), "check")),
-        make_issues(glob(citation_order(citations(docs, pack))), "academic", rule_id="citation-order", category="format", message="citations out of order"),
-    ]
-    return reduce(DataFrame.unionByName, out)
-
+def _data_array(sents: Column, paras: Column, pack: Pack) -> Column:
+    def of_paragraph(p: Column) -> Column:
+        def checked(facts: Column) -> Column:
+            total = let(off_total(p["text"], facts), lambda x: issues_where(x.isNotNull(), issue("sum", p["start"] + x["start"], p["start"] + x["end"], "data", x["severity"], F.format_string("parts add up to %s, stated %s", x["computed"].cast("string"), x["stated"].cast("string")), confidence=0.93)))
+            above = F.transform(shares_above(p["text"], facts), lambda f: issue("share-range", p["start"] + f["vstart"], p["start"] + f["end"], "data", "MAJOR", "share above 100 %", confidence=0.96))
+            share = let(off_share(p["text"], facts), lambda x: issues_where(x.isNotNull(), issue("share", p["start"] + x["start"], p["start"] + x["end"], "data", "MAJOR", F.format_string("share by the parts %.2f, stated %s", x["computed"], x["stated"].cast("string")), confidence=0.9)))
+            return F.when(F.size(facts) >= 3, F.concat(total, above, share)).otherwise(no_issues())
+
+        return let(number_facts(p["text"], pack), checked)
+
+    body = F.filter(paras, lambda p: ~p["is_heading"] & ~p["in_ref"] & p["text"].rlike(r"\d.*\d.*\d"))
+    vague = F.filter(F.transform(sents, lambda s: F.struct(s["start"].alias("start"), s["text"].alias("text"), vague_phrase(s["text"], pack).alias("phrase"))), lambda s: s["phrase"] != "")
+    place = lambda s: s["start"] + F.instr(s["text"], s["phrase"]) - 1
+    return F.concat(F.flatten(F.transform(body, of_paragraph)), F.transform(vague, lambda s: issue("comparison", place(s), place(s) + F.length(s["phrase"]), "data", "MAJOR", "comparison without a figure", s["phrase"], confidence=0.85)))
+
+
+def _format_array(text: Column, body: Column, paras: Column) -> Column:
+    numbering = F.transform(let(heading_array(paras), heading_gaps), lambda x: issue("numbering", x["start"], x["end"], "format", "MINOR", F.format_string("heading is numbered %d, expected %d", x["num"], x["expected"]), F.substring(x["text"], 1, 60), confidence=0.9))
+    refs, defs = figure_sides(body, paras)
+    first = lambda f: F.filter(f["refs"], lambda x, i: ~F.array_contains(f["defs"], x["num"]) & ~F.exists(F.slice(f["refs"], F.lit(1), i), lambda y: y["num"] == x["num"]))
+    missing = lambda f: F.transform(first(f), lambda x: issue(F.concat(F.lit("figure-missing-"), x["num"]), x["start"], x["end"], "format", "MINOR", "figure is missing", confidence=0.85))
+    unused = lambda f: F.transform(F.array_except(f["defs"], F.transform(f["refs"], lambda x: x["num"])), lambda n: issue(F.concat(F.lit("figure-unused-"), n), 0, 0, "format", "INFO", "figure is never referred to", confidence=0.8))
+    both = let(F.struct(refs.alias("refs"), defs.alias("defs")), lambda f: F.concat(missing(f), unused(f)))
+    return F.concat(numbering, both, issues_where(_mixed(text), issue("citation-style", 0, 0, "format", "INFO", "two citation styles", confidence=0.8)))
+
+
+def _reference_array(paras: Column, refs: Column, cites: Column, pack: Pack, last_year: int) -> Column:
+    listed, cited = F.transform(refs, lambda x: x["num"]), F.transform(cites, lambda x: x["num"])
+    cut = lambda x: F.substring(x["text"], 1, 90)
+    fault = lambda name, i: F.create_map(*[F.lit(v) for k, f in FAULTS.items() for v in (k, f[i])])[name]
+    empty = issues_where((F.size(refs) == 0) & F.exists(paras, lambda p: p["in_ref"]), issue("no-references", 0, 0, "reference", "MINOR", "empty reference section", confidence=0.9))
+    unlisted = F.transform(F.filter(cites, lambda c: ~F.array_contains(listed, c["num"])), lambda c: issue(F.concat(F.lit("unlisted-"), c["num"].cast("string")), c["pos"], c["pos"] + F.length(c["num"].cast("string")) + 2, "reference", "MAJOR", "citation without a reference", confidence=0.95))
+    uncited = F.transform(F.filter(refs, lambda x: ~F.array_contains(cited, x["num"])), lambda x: issue(F.concat(F.lit("uncited-"), x["num"].cast("string")), x["start"], x["end"], "reference", "MINOR", "reference is never cited", cut(x), confidence=0.9))
+    faults = F.flatten(F.transform(refs, lambda x: F.transform(reference_faults(x["text"], last_year, pack.publishers), lambda n: issue(F.concat_ws("-", F.lit("ref"), n, x["num"].cast("string")), x["start"], x["end"], "reference", fault(n, 0), F.concat(F.lit("reference: "), n), cut(x), confidence=fault(n, 1)))))
+    again = F.transform(repeated_references(refs), lambda x: issue(F.concat(F.lit("ref-again-"), x["num"].cast("string")), x["start"], x["end"], "reference", "MINOR", F.format_string("listed before as %d", x["first_of"]), confidence=0.8))
+    order = issues_where((F.size(cited) > 0) & (F.to_json(cited) != F.to_json(F.array_sort(cited))), issue("citation-order", 0, 0, "reference", "MINOR", "citations out of order", F.array_join(cited, ","), confidence=0.85))
+    some = F.when(F.size(refs) > 0, F.concat(unlisted, uncited, faults, again, order)).otherwise(no_issues())
+    return F.concat(empty, some)
+
+
+def academic_array(text: Column, body: Column, sents: Column, paras: Column, refs: Column, pack: Pack = LATIN, checks: Sequence[str] = CHECKS, last_year: int = 2030) -> Column:
+    """The engine but for duplicates: issues of one document by the checks named."""
+    made = {"data": lambda: _data_array(sents, paras, pack), "format": lambda: _format_array(text, body, paras), "references": lambda: let(citation_array(body), lambda c: _reference_array(paras, refs, c, pack, last_year))}
+    return F.concat(no_issues(), *[made[c]() for c in checks if c in made])
+
+
+def academic_issues(docs: DataFrame, pack: Pack = LATIN, last_year: int = 2030, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """The engine over documents, as the fact table."""
+    rows = docs.select("doc_id", TEXT().alias("text"), sentence_array(TEXT(), pack).alias("sents"), paragraph_array(TEXT(), pack).alias("paras"))
+    rows = rows.withColumn("refs", reference_array(F.col("paras"))).withColumn("body", body_text(F.col("text"), reference_offset(F.col("refs"))))
+    return explode_issues(rows, "academic", academic_array(*[F.col(c) for c in ("text", "body", "sents", "paras", "refs")], pack, checks, last_year))

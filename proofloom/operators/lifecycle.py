@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.functions.offsets import let
-from proofloom.operators.parse import TEXT
+from proofloom.operators.parse import TEXT, any_of
 
 
 def merge_sets(core: DataFrame, ledger: DataFrame, key: str = "id") -> DataFrame:
@@ -48,12 +46,10 @@ def promote(versions: DataFrame, current: str, shadow: str, approved: bool) -> D
     return versions.filter(F.col("version") == (shadow if approved else current))
 
 
-def strip_lead(term: Column, lead: Sequence[str], least: int = 4, rounds: int = 4) -> Column:
-    """Leading filler words removed one after another while `least` characters stay."""
-    for _ in range(rounds):
-        cut = reduce(lambda acc, w: F.when(F.startswith(term, F.lit(w)) & (F.length(term) - len(w) >= least), F.substring(term, len(w) + 1, 200)).otherwise(acc), reversed(lead), F.lit(None).cast("string"))
-        term = F.coalesce(cut, term)
-    return term
+def strip_lead(term: Column, lead: Sequence[str], least: int = 4) -> Column:
+    """Leading filler words removed one after another, the first that fits in the list's order, while `least` characters
+    stay (U02)."""
+    return F.regexp_replace(term, rf"(?s)^(?:{any_of(lead)}(?=.{{{least}}}))+", "") if lead else term
 
 
 def candidates(docs: DataFrame, cues: Sequence[str], lead: Sequence[str] = (), stop: Sequence[str] = (), least: int = 4) -> DataFrame:
@@ -74,9 +70,11 @@ def candidates(docs: DataFrame, cues: Sequence[str], lead: Sequence[str] = (), s
 
 
 def drop_contained(terms: DataFrame, column: str = "term") -> DataFrame:
-    """Terms that no longer term holds (U03). Every substring of the longer terms is joined by equality, which replaces the
-    comparison of all pairs; terms are short, so their substrings are bounded."""
-    parts = let(F.col(column), lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(F.sequence(F.lit(1), F.length(t) - i + 1), lambda n: F.substring(t, i, n)))))
+    """Terms that no longer term holds (U03). The longer terms' substrings of lengths that terms have are joined by equality,
+    which replaces the comparison of all pairs: a term makes as many as its own length times the number of lengths."""
+    lengths = sorted(r[0] for r in terms.select(F.length(column)).distinct().collect())
+    sizes = lambda t: F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: (n > 0) & (n < F.length(t)))
+    parts = let(F.col(column), lambda t: F.flatten(F.transform(sizes(t), lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n)))))
     subs = terms.select(F.explode(F.array_distinct(parts)).alias("sub"), F.col(column).alias("of")).filter("sub != of").select("sub").distinct()
     return terms.join(subs, terms[column] == subs["sub"], "left_anti")
 

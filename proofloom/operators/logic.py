@@ -1,26 +1,25 @@
-"""Logic checks over sentence windows (L01-L08). Each takes sentences: doc_id, sent_idx, start, end, text."""
+"""Logic checks over sentences and the few before them.
+
+Each check is an expression over a sentence's columns (`parse.Sentence`); the audit applies it to the sentences of a
+document in its row, and the functions over DataFrames to rows of `parse.sentence_windows`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.offsets import strip
+from proofloom.functions.offsets import let, strip
 from proofloom.operators.norm import quoted_once
-from proofloom.operators.parse import any_of, paragraphs, sentences
+from proofloom.operators.parse import TEXT, Sentence, any_of, paragraph_array, sentence_array, sentence_of, sentence_row, window_array
 from proofloom.rules import LATIN, Pack
-from proofloom.schema import make_issues
+from proofloom.schema import explode_issues, issue, issues_where
 
 EVIDENCE = r"\d|%|（|\[|\("
-
-
-def before(n: int, including: bool) -> Column:
-    """The texts of the n sentences before, and of this one if including, as one."""
-    w = Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(-n, 0 if including else -1)
-    return F.array_join(F.collect_list("text").over(w), "")
+CHECKS = ("general", "claim", "leap", "absolute", "intensity", "vague", "quantity")
 
 
 def has_any(text: Column, words: Sequence[str]) -> Column:
@@ -32,80 +31,128 @@ def has_evidence(text: Column, pack: Pack = LATIN) -> Column:
     return text.rlike(EVIDENCE) | has_any(text, pack.words["evidence"])
 
 
-def overgeneralisation(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
+def is_general(s: Sentence, pack: Pack = LATIN) -> Column:
     """A conclusion about all in a sentence, with local scope in it or the three before."""
-    rows = sents.withColumn("scope", before(3, True)).filter(has_any(F.col("text"), pack.words["conclusion"]) & has_any(F.col("text"), pack.words["universal"]))
-    return rows.filter(has_any(F.col("scope"), pack.words["local"])).drop("scope")
+    local = has_any(s.text, pack.words["local"]) | has_any(s.before(3), pack.words["local"])
+    return has_any(s.text, pack.words["conclusion"]) & has_any(s.text, pack.words["universal"]) & local
+
+
+def is_unfounded(text: Column, is_heading: Column, pack: Pack = LATIN, least: int = 30) -> Column:
+    """A paragraph with a claim word and no evidence."""
+    return ~is_heading & (F.length(strip(text)) >= least) & has_any(text, pack.words["claim"]) & ~has_evidence(text, pack)
+
+
+def is_leap(s: Sentence, pack: Pack = LATIN) -> Column:
+    """A connective with no comma before it, no figure or bracket here or in the two sentences before, which have at least
+    ten characters (L03)."""
+    at = F.array_min(F.filter(F.array(*[F.instr(s.text, word) for word in pack.words["causal"]]), lambda i: i > 0))
+    prior = s.before(2)
+    return at.isNotNull() & ~F.substring(s.text, F.lit(1), F.coalesce(at, F.lit(1)) - 1).rlike("[,，]") & ~s.text.rlike(EVIDENCE) & ~prior.rlike(EVIDENCE) & (F.length(strip(prior)) >= 10)
+
+
+def absolute(s: Sentence, pack: Pack = LATIN) -> Column:
+    """(start, end, terms, n_hard, severity) of a sentence's absolute words, null if there is nothing to report.
+
+    Hard words alone count where there are any: MAJOR for two, or without evidence, else MINOR. Soft words are a hint, and
+    only without evidence. A sentence that opens with one of its words and a comma soon after is a figure of speech.
+    """
+    found = quoted_once(s.text, pack.words["absolute"])
+    opener = lambda w: F.startswith(strip(s.text), w) & F.substring(strip(s.text), F.lit(1), F.length(w) + 6).rlike("[,，]")
+    proof = s.text.rlike(EVIDENCE)
+
+    def judged(words: Column) -> Column:
+        hard = F.array_intersect(words, F.array(*[F.lit(w) for w in pack.words["hard"]]).cast("array<string>"))
+        severity = F.when(F.size(hard) > 0, F.when((F.size(hard) >= 2) | ~proof, "MAJOR").otherwise("MINOR")).when(~proof, "INFO")
+        terms = F.when(F.size(hard) > 0, hard).otherwise(words)
+        lo = F.array_min(F.transform(terms, lambda t: F.instr(s.text, t)))
+        hi = F.array_max(F.transform(terms, lambda t: F.instr(s.text, t) + F.length(t)))
+        made = F.struct((s.start + lo - 1).alias("start"), (s.start + hi - 1).alias("end"), F.array_join(terms, ",").alias("terms"), F.size(hard).alias("n_hard"), severity.alias("severity"))
+        return F.when((F.size(words) > 0) & severity.isNotNull() & ~F.exists(words, opener), made)
+
+    return let(found, judged)
+
+
+def intensity(s: Sentence, pack: Pack = LATIN) -> Column:
+    """(strong, weak): the absolute words and the hedges of a sentence, null unless it has both."""
+    made = F.struct(F.array_join(quoted_once(s.text, pack.words["absolute"]), ",").alias("strong"), F.array_join(quoted_once(s.text, pack.words["hedge"]), ",").alias("weak"))
+    return F.when(has_any(s.text, pack.words["absolute"]) & has_any(s.text, pack.words["hedge"]), made)
+
+
+def vague_word(s: Sentence, pack: Pack = LATIN) -> Column:
+    """The demonstrative that opens a sentence while none of the five before holds a noun it could mean, else '' (L06)."""
+    word = F.regexp_extract(strip(s.text), "^" + any_of(pack.words["vague"]), 0)
+    return F.when((word != "") & ~has_any(s.before(5), pack.words["noun"]), word).otherwise("")
+
+
+def quantity_conflicts(s: Sentence, pack: Pack = LATIN) -> Column:
+    """Array of (top, word, advice): quantity words whose range does not hold the sentence's largest percentage."""
+    top = F.array_max(F.transform(F.regexp_extract_all(s.text, F.lit(r"(\d+(?:\.\d+)?)%"), F.lit(1)), lambda x: x.cast("double")))
+    rules = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(advice).alias("advice")) for w, lo, hi, advice in pack.quantifiers])
+    broken = lambda t: F.transform(F.filter(rules, lambda r: F.contains(s.text, r["word"]) & ((t["top"] < r["lo"]) | (t["top"] > r["hi"]))), lambda r: F.struct(t["top"].alias("top"), r["word"].alias("word"), r["advice"].alias("advice")))
+    none = F.array().cast("array<struct<top:double,word:string,advice:string>>")
+    return F.coalesce(let(F.struct(top.alias("top")), broken), none) if pack.quantifiers else none
+
+
+def overgeneralisation(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """L01 over rows of sentences."""
+    return sents.filter(is_general(sentence_row(), pack))
 
 
 def claims_without_evidence(paras: DataFrame, pack: Pack = LATIN, least: int = 30) -> DataFrame:
-    """Paragraphs with a claim word and no evidence."""
-    text = F.col("text")
-    return paras.filter((~F.col("is_heading")) & (F.length(strip(text)) >= least) & has_any(text, pack.words["claim"]) & ~has_evidence(text, pack))
+    """L02 over rows of paragraphs."""
+    return paras.filter(is_unfounded(F.col("text"), F.col("is_heading"), pack, least))
 
 
 def causal_leaps(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """A connective with no comma before it and no evidence here or in the two sentences before, the last of them at
-    least ten characters long (L03)."""
-    text = F.col("text")
-    w = Window.partitionBy("doc_id").orderBy("sent_idx")
-    at = F.array_min(F.filter(F.array(*[F.instr(text, word) for word in pack.words["causal"]]), lambda i: i > 0))
-    rows = sents.withColumn("prior", before(2, False)).withColumn("last", F.lag("text").over(w)).withColumn("at", at).filter("at IS NOT NULL")
-    rows = rows.filter(~F.substring(text, F.lit(1), F.col("at") - 1).rlike("[,，]") & ~has_evidence(text, pack) & ~has_evidence(F.col("prior"), pack) & (F.length(strip(F.col("last"))) >= 10))
-    return rows.drop("prior", "last", "at")
+    """L03 over rows of sentences."""
+    return sents.filter(is_leap(sentence_row(), pack))
 
 
 def absolute_claims(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """Sentences with absolute words, but for those with an opener: terms, n_hard, severity; the span covers the first to
-    the last of them (L04)."""
-    text = F.col("text")
-    found = quoted_once(text, pack.words["absolute"])
-    rows = sents.filter(~reduce(lambda a, b: a | b, [F.startswith(strip(text), F.lit(o)) for o in pack.words["opener"]], F.lit(False)))
-    rows = rows.withColumn("found", found).filter("size(found) > 0")
-    hard = F.size(F.array_intersect("found", F.array(*[F.lit(w) for w in pack.words["hard"]])))
-    lo = F.array_min(F.transform("found", lambda t: F.instr(text, t)))
-    hi = F.array_max(F.transform("found", lambda t: F.instr(text, t) + F.length(t)))
-    severity = F.when((hard > 0) & ~has_evidence(text, pack), "MAJOR").when((F.size("found") > 1) | (hard > 0), "MINOR").otherwise("INFO")
-    return rows.select("doc_id", "sent_idx", (F.col("start") + lo - 1).alias("start"), (F.col("start") + hi - 1).alias("end"), F.array_join("found", ",").alias("terms"), hard.alias("n_hard"), severity.alias("severity"))
+    """doc_id, sent_idx, start, end, terms, n_hard, severity."""
+    return sents.select("doc_id", "sent_idx", absolute(sentence_row(), pack).alias("x")).filter("x IS NOT NULL").select("doc_id", "sent_idx", "x.*")
 
 
 def intensity_conflicts(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """An absolute word and a hedge in one sentence."""
-    rows = sents.withColumn("strong", F.array_join(quoted_once(F.col("text"), pack.words["absolute"]), ",")).withColumn("weak", F.array_join(quoted_once(F.col("text"), pack.words["hedge"]), ","))
-    return rows.filter("strong != '' AND weak != ''")
+    """doc_id, sent_idx, strong, weak."""
+    return sents.select("doc_id", "sent_idx", intensity(sentence_row(), pack).alias("x")).filter("x IS NOT NULL").select("doc_id", "sent_idx", "x.*")
 
 
 def vague_references(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """A sentence that opens with a demonstrative while none of the five before holds a noun it could mean."""
-    word = F.regexp_extract(strip(F.col("text")), "^" + any_of(pack.words["vague"]), 0)
-    rows = sents.withColumn("prior", before(5, False)).withColumn("word", word).filter("word != ''")
-    return rows.filter(~has_any(F.col("prior"), pack.words["noun"])).drop("prior")
+    """Rows of sentences with the word that refers to nothing."""
+    return sents.withColumn("word", vague_word(sentence_row(), pack)).filter("word != ''")
 
 
 def quantifier_conflicts(sents: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """A quantity word whose range does not hold the sentence's largest percentage."""
-    percents = F.transform(F.regexp_extract_all("text", F.lit(r"(\d+(?:\.\d+)?)%"), F.lit(1)), lambda x: x.cast("double"))
-    rules = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(advice).alias("advice")) for w, lo, hi, advice in pack.quantifiers])
-    rows = sents.withColumn("top", F.array_max(percents)).filter("top IS NOT NULL").withColumn("rule", F.explode(rules))
-    return rows.filter(F.contains("text", F.col("rule.word")) & ((F.col("top") < F.col("rule.lo")) | (F.col("top") > F.col("rule.hi")))).select("doc_id", "sent_idx", "start", "end", "text", "top", "rule.word", "rule.advice")
-
-
-def logic_issues(docs: DataFrame, pack: Pack = LATIN, checks: Sequence[str] = ("general", "claim", "leap", "absolute", "intensity", "vague", "quantity")) -> DataFrame:
-    """The engine: its checks by name."""
-    sents, paras = sentences(docs, pack), paragraphs(docs, pack)
-    made = {
-        "general": lambda: (overgeneralisation(sents, pack), "MAJOR", 0.75, "conclusion beyond its scope"),
-        "claim": lambda: (claims_without_evidence(paras, pack), "MINOR", 0.7, "claim without evidence"),
-        "leap": lambda: (causal_leaps(sents, pack), "MINOR", 0.7, "cause without grounds"),
-        "absolute": lambda: (absolute_claims(sents, pack), None, 0.8, "absolute claim"),
-        "intensity": lambda: (intensity_conflicts(sents, pack), "MINOR", 0.75, "strong and weak words conflict"),
-        "vague": lambda: (vague_references(sents, pack), "MINOR", 0.72, "unclear reference"),
-        "quantity": lambda: (quantifier_conflicts(sents, pack), "MAJOR", 0.85, "quantity word against the figure"),
-    }
-    out = []
-    for c in checks:
-        rows, severity, confidence, message = made[c]()
-        given = {"rule_id": f"logic-{c}", "category": "logic", "message": message, "confidence": confidence} | ({"severity": severity} if severity else {})
-        given["original"] = F.substring(F.col("text") if "text" in rows.columns else F.col("terms"), 1, 60)
-        out.append(make_issues(rows, "logic", **given))
-    return reduce(DataFrame.unionByName, out)
+    """doc_id, sent_idx, top, word, advice."""
+    return sents.select("doc_id", "sent_idx", F.explode(quantity_conflicts(sentence_row(), pack)).alias("x")).select("doc_id", "sent_idx", "x.*")
+
+
+def logic_array(windows: Column, paras: Column, pack: Pack = LATIN, checks: Sequence[str] = CHECKS) -> Column:
+    """The engine: issues of one document's sentences and paragraphs, by the checks named."""
+
+    def of_sentence(x: Column) -> Column:
+        s = sentence_of(x)
+        cut = F.substring(strip(s.text), 1, 80)
+        made = {
+            "general": lambda: issues_where(is_general(s, pack), issue("logic-general", s.start, s.end, "logic", "MAJOR", "conclusion beyond its scope", strip(s.text), confidence=0.88)),
+            "leap": lambda: issues_where(is_leap(s, pack), issue("logic-leap", s.start, s.end, "logic", "MINOR", "cause without grounds", strip(s.text), confidence=0.72)),
+            "absolute": lambda: let(absolute(s, pack), lambda a: issues_where(a.isNotNull(), issue("logic-absolute", a["start"], a["end"], "logic", a["severity"], F.concat(F.lit("absolute claim: "), a["terms"]), cut, confidence=F.when(a["severity"] == "INFO", 0.6).otherwise(0.8)))),
+            "intensity": lambda: let(intensity(s, pack), lambda a: issues_where(a.isNotNull(), issue("logic-intensity", s.start, s.end, "logic", "MINOR", F.concat(F.lit("strong and weak words conflict: "), a["strong"], F.lit("; "), a["weak"]), cut, confidence=0.7))),
+            "vague": lambda: let(vague_word(s, pack), lambda w: issues_where(w != "", issue("logic-vague", s.start + F.instr(s.text, w) - 1, s.start + F.instr(s.text, w) - 1 + F.length(w), "logic", "MINOR", "unclear reference", cut, confidence=0.72))),
+            "quantity": lambda: F.transform(quantity_conflicts(s, pack), lambda c: issue("logic-quantity", s.start, s.end, "logic", "MAJOR", F.concat(F.lit("quantity word against the figure: "), c["word"]), cut, explain=c["advice"], confidence=0.85)),
+        }
+        return F.concat(*[made[c]() for c in checks if c in made])
+
+    parts = []
+    if set(checks) - {"claim"}:
+        parts.append(F.flatten(F.transform(windows, of_sentence)))
+    if "claim" in checks:
+        claims = F.filter(paras, lambda p: is_unfounded(p["text"], p["is_heading"], pack))
+        parts.append(F.transform(claims, lambda p: issue("logic-claim", p["start"], p["start"] + F.length(p["text"]), "logic", "MINOR", "claim without evidence", F.substring(p["text"], 1, 70), confidence=0.75)))
+    return F.concat(*parts)
+
+
+def logic_issues(docs: DataFrame, pack: Pack = LATIN, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """The engine over documents, as the fact table."""
+    return explode_issues(docs, "logic", logic_array(window_array(sentence_array(TEXT(), pack)), paragraph_array(TEXT(), pack), pack, checks))

@@ -6,11 +6,12 @@ Everything here is a generator over one row: no operator shuffles. docs has doc_
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.offsets import characters, find_all, let, prefix_sums, strip, tiles
+from proofloom.functions.offsets import characters, find_all, let, prefix_sums, ranks, strip, tiles
 from proofloom.rules import LATIN, Pack
 
 def TEXT() -> Column:  # noqa: N802  a column needs a session, so it is made when it is used
@@ -42,16 +43,25 @@ def doc_meta(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     return docs.select("doc_id", doc_key(TEXT()).alias("doc_key"), F.coalesce(title, F.lit("")).alias("title"), F.length(F.regexp_replace(TEXT(), NO_SPACE, "")).cast("bigint").alias("char_count"), F.size(lines).cast("bigint").alias("n_paragraphs"), F.size(sents).cast("bigint").alias("n_sentences"))
 
 
+def paragraph_array(text: Column, pack: Pack = LATIN) -> Column:
+    """Array of (line, start, text, is_heading, in_ref) of the lines that are not blank."""
+    placed = lambda ls: F.zip_with(ls, prefix_sums(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("text"), at.alias("start")))
+    numbered = F.transform(let(F.split(text, "\n", -1), placed), lambda x, i: F.struct((i + 1).alias("line"), x["start"].alias("start"), x["text"].alias("text")))
+    short = lambda x: F.length(strip(x)) < 60
+    kinds = lambda x: F.struct(x["line"].alias("line"), x["start"].alias("start"), x["text"].alias("text"), (short(x["text"]) & x["text"].rlike(pack.heading)).alias("is_heading"), (short(x["text"]) & x["text"].rlike(pack.reference_head)).alias("is_head"))
+    kept = F.transform(F.filter(numbered, lambda x: x["text"].rlike(r"(?U)\S")), kinds)
+
+    def marked(ps: Column) -> Column:
+        head = F.array_min(F.transform(F.filter(ps, lambda x: x["is_head"]), lambda x: x["line"]))
+        return let(F.struct(head.alias("line")), lambda h: F.transform(ps, lambda x: F.struct(x["line"].alias("line"), x["start"].alias("start"), x["text"].alias("text"), x["is_heading"].alias("is_heading"), F.coalesce(x["line"] >= h["line"], F.lit(False)).alias("in_ref"))))
+
+    return let(kept, marked)
+
+
 def paragraphs(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, para_idx (dense), line (from 1), start, end, text, is_heading, in_ref."""
-    lines = let(F.split(TEXT(), "\n", -1), lambda ls: F.zip_with(ls, prefix_sums(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("text"), at.alias("start"))))
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x["start"].alias("start"), x["text"].alias("text")))
-    kept = let(numbered, lambda a: F.filter(a, lambda x: strip(x["text"]) != ""))
-    rows = docs.select("doc_id", kept.alias("p"))
-    head = F.array_min(F.transform(F.filter("p", lambda x: x["text"].rlike(pack.reference_head) & (F.length(strip(x["text"])) < 60)), lambda x: x["line"]))
-    rows = rows.select("doc_id", head.alias("head"), F.posexplode("p").alias("para_idx", "x"))
-    is_heading = F.col("x.text").rlike(pack.heading) & (F.length(strip(F.col("x.text"))) < 60)
-    return rows.select("doc_id", "para_idx", "x.line", "x.start", (F.col("x.start") + F.length("x.text")).alias("end"), "x.text", is_heading.alias("is_heading"), F.coalesce(F.col("x.line") >= F.col("head"), F.lit(False)).alias("in_ref"))
+    rows = docs.select("doc_id", F.posexplode(paragraph_array(TEXT(), pack)).alias("para_idx", "x"))
+    return rows.select("doc_id", "para_idx", "x.line", "x.start", (F.col("x.start") + F.length("x.text")).alias("end"), "x.text", "x.is_heading", "x.in_ref")
 
 
 def sentence_pattern(pack: Pack) -> str:
@@ -59,11 +69,52 @@ def sentence_pattern(pack: Pack) -> str:
     return f"[^{t}]*[{t}][{t}{c}]*|[^{t}]+\\z"
 
 
+def sentence_array(text: Column, pack: Pack = LATIN) -> Column:
+    """Array of (start, end, text): segments that end with terminators and closers; blank ones are dropped."""
+    segments = F.regexp_extract_all(text, F.lit(sentence_pattern(pack)), F.lit(0))
+    return F.filter(let(segments, tiles), lambda x: x["text"].rlike(r"(?U)\S"))
+
+
 def sentences(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """doc_id, sent_idx, start, end, text: segments that end with terminators and closers; blank ones are dropped."""
-    segments = F.regexp_extract_all(TEXT(), F.lit(sentence_pattern(pack)), F.lit(0))
-    kept = let(let(segments, tiles), lambda a: F.filter(a, lambda x: strip(x["text"]) != ""))
-    return docs.select("doc_id", F.posexplode(kept).alias("sent_idx", "x")).select("doc_id", "sent_idx", "x.start", "x.end", "x.text")
+    """doc_id, sent_idx, start, end, text."""
+    return docs.select("doc_id", F.posexplode(sentence_array(TEXT(), pack)).alias("sent_idx", "x")).select("doc_id", "sent_idx", "x.start", "x.end", "x.text")
+
+
+class Sentence(NamedTuple):
+    """A sentence's columns; prior holds the texts of up to PRIOR sentences before it."""
+
+    start: Column
+    end: Column
+    text: Column
+    prior: Column
+
+    def before(self, n: int) -> Column:
+        """The texts of the n sentences before, as one."""
+        return F.array_join(F.slice(self.prior, F.greatest(F.size(self.prior) - (n - 1), F.lit(1)), n), "")
+
+
+PRIOR = 5
+
+
+def window_array(sents: Column) -> Column:
+    """Array of (start, end, text, prior) of an array of sentences: each carries the few before it, so that checks of a
+    neighbourhood need neither a shuffle nor a window."""
+    prior = lambda a, i: F.transform(F.slice(a, F.greatest(i + 1 - PRIOR, F.lit(1)), F.least(i, F.lit(PRIOR))), lambda x: x["text"])
+    return let(sents, lambda a: F.transform(a, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), prior(a, i).alias("prior"))))
+
+
+def sentence_windows(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """doc_id, sent_idx, start, end, text, prior: the rows that checks of sentences take."""
+    rows = docs.select("doc_id", F.posexplode(window_array(sentence_array(TEXT(), pack))).alias("sent_idx", "x"))
+    return rows.select("doc_id", "sent_idx", "x.*")
+
+
+def sentence_of(x: Column) -> Sentence:
+    return Sentence(x["start"], x["end"], x["text"], x["prior"])
+
+
+def sentence_row() -> Sentence:
+    return Sentence(*[F.col(c) for c in Sentence._fields])
 
 
 def line_of(text: Column, pos: Column) -> Column:
@@ -71,14 +122,16 @@ def line_of(text: Column, pos: Column) -> Column:
     return F.regexp_count(F.substring(text, F.lit(1), pos), F.lit("\n")) + 1
 
 
-def locate(hits: DataFrame, pieces: DataFrame, index: str) -> DataFrame:
-    """hits (doc_id, start) with the index of the piece that contains it, -1 if none does.
+def piece_indices(positions: Column, pieces: Column) -> Column:
+    """For each position, the index of the piece (an array of structs with start and end) that holds it, -1 if none does
+    (D06, D07)."""
+    found = lambda p: F.zip_with(positions, ranks(positions, F.transform(p, lambda x: x["start"])), lambda at, n: F.when((n > 0) & (at < F.get(p, n - 1)["end"]), n - 1).otherwise(F.lit(-1)))
+    return let(pieces, found)
+
 
-    An equality on doc_id keeps the range join a hash or merge join within a document.
-    """
-    p = pieces.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col(index).alias("p_idx"))
-    on = (F.col("doc_id") == F.col("p_doc")) & (F.col("start") >= F.col("p_start")) & (F.col("start") < F.col("p_end"))
-    return hits.join(p, on, "left").withColumn(index, F.coalesce("p_idx", F.lit(-1))).drop("p_doc", "p_start", "p_end", "p_idx")
+def line_numbers(positions: Column, text: Column) -> Column:
+    """For each position its line, from 1."""
+    return F.transform(ranks(positions, F.transform(find_all(text, "\n"), lambda x: x["end"])), lambda n: n + 1)
 
 
 #: Quotation marks that open and close.
@@ -134,32 +187,59 @@ def context(text: Column, start: Column, end: Column, before: int = 15, after: i
     return F.substring(text, lo + 1, end + after - lo)
 
 
+def _last_of_run(items: Column, key: str) -> Column:
+    """Of a sorted array, the last entry of each run of equal keys."""
+    return let(items, lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)[key] != x[key], F.lit(True))))
+
+
+def reference_array(paras: Column) -> Column:
+    """Array of (num, start, end, text), by number: lines that open with [n] in the reference section, or, without one,
+    anywhere if there are two or more of them; the last of a number wins (D14)."""
+    num = lambda x: F.regexp_extract(x["text"], r"^\s*\[(\d{1,4})\]", 1)
+    items = F.transform(F.filter(paras, lambda x: num(x) != ""), lambda x: F.struct(num(x).cast("int").alias("num"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), strip(x["text"]).alias("text"), x["in_ref"].alias("in_ref")))
+    kept = lambda a: F.when(F.exists(a, lambda x: x["in_ref"]), F.filter(a, lambda x: x["in_ref"])).when(F.size(a) >= 2, a).otherwise(F.filter(a, lambda x: F.lit(False)))
+    return F.transform(_last_of_run(F.array_sort(let(items, kept)), "num"), lambda x: F.struct(x["num"].alias("num"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+
+
 def references(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """doc_id, num, text, start: lines that open with [n] in the reference section, or, without one, anywhere if there
-    are two or more of them; the last of a number wins (D14)."""
-    paras = paragraphs(docs, pack).withColumn("num", F.regexp_extract("text", r"^\s*\[(\d{1,4})\]", 1))
-    items = paras.filter("num != ''")
-    n = items.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("in_ref").alias("sect"))
-    kept = items.join(n, "doc_id").filter("in_ref OR (NOT sect AND n >= 2)")
-    last = kept.groupBy("doc_id", F.col("num").cast("int").alias("num")).agg(F.max_by("text", "start").alias("text"), F.max("start").alias("start"))
-    return last.withColumn("text", strip(F.col("text")))
+    """doc_id, num, start, end, text of each reference item."""
+    return docs.select("doc_id", F.explode(reference_array(paragraph_array(TEXT(), pack))).alias("x")).select("doc_id", "x.*")
+
+
+def reference_offset(items: Column) -> Column:
+    """Offset of the first reference item, -1 without one."""
+    return F.coalesce(F.array_min(F.transform(items, lambda x: x["start"])), F.lit(-1))
 
 
 def reference_start(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """doc_id, text, ref_start: offset of the first reference item, -1 without one."""
-    first = references(docs, pack).groupBy("doc_id").agg(F.min("start").alias("ref_start"))
-    return docs.join(first, "doc_id", "left").withColumn("ref_start", F.coalesce("ref_start", F.lit(-1)))
+    """docs with ref_start: offset of the first reference item, -1 without one."""
+    return docs.withColumn("ref_start", reference_offset(reference_array(paragraph_array(TEXT(), pack))))
+
+
+def reference_text(text: Column, ref_start: Column) -> Column:
+    """The part of a text from its first reference item on, '' without one."""
+    return F.when(ref_start >= 0, F.substring(text, ref_start + 1, F.length(text))).otherwise("")
+
+
+def in_reference_section(position: Column, ref_start: Column) -> Column:
+    """Whether a position lies in the references."""
+    return (ref_start >= 0) & (position >= ref_start)
 
 
 def body_text(text: Column, ref_start: Column) -> Column:
     return F.when(ref_start >= 0, F.substring(text, F.lit(1), ref_start)).otherwise(text)
 
 
+def citation_array(body: Column) -> Column:
+    """Array of (pos, num) of the numbers cited as [n], each at its first place, by place."""
+    hits = F.transform(find_all(body, r"\[\d{1,4}\]"), lambda x: F.struct(F.regexp_extract(x["text"], r"\d+", 0).cast("int").alias("num"), (-x["start"]).alias("pos")))
+    return F.array_sort(F.transform(_last_of_run(F.array_sort(hits), "num"), lambda x: F.struct((-x["pos"]).alias("pos"), x["num"].alias("num"))))
+
+
 def citations(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, num, pos: [n] in the body, at its first place."""
-    body = reference_start(docs, pack).select("doc_id", body_text(TEXT(), F.col("ref_start")).alias("text"))
-    hits = body.select("doc_id", F.explode(find_all(F.col("text"), r"\[\d{1,4}\]")).alias("x"))
-    return hits.groupBy("doc_id", F.regexp_extract("x.text", r"\d+", 0).cast("int").alias("num")).agg(F.min("x.start").alias("pos"))
+    rows = reference_start(docs, pack).select("doc_id", F.explode(citation_array(body_text(TEXT(), F.col("ref_start")))).alias("x"))
+    return rows.select("doc_id", "x.num", "x.pos")
 
 
 TOKEN = r"[\x{4e00}-\x{9fff}]+|[\p{L}]+|\d+(?:\.\d+)?%?"
@@ -168,9 +248,11 @@ TOKEN = r"[\x{4e00}-\x{9fff}]+|[\p{L}]+|\d+(?:\.\d+)?%?"
 def tokens(text: Column) -> Column:
     """Lower-cased words and numbers; runs of CJK characters as bigrams, a single one alone."""
     pieces = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    plain = F.transform(pieces, F.lower)
     is_cjk = lambda p: p.rlike("^[\\x{4e00}-\\x{9fff}]")
     pairs = lambda p: let(characters(p), lambda c: F.when(F.size(c) < 2, c).otherwise(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.array_join(F.slice(c, i, 2), ""))))
-    return F.flatten(F.transform(pieces, lambda p: F.when(is_cjk(p), pairs(p)).otherwise(F.array(F.lower(p)))))
+    mixed = F.flatten(F.transform(pieces, lambda p: F.when(is_cjk(p), pairs(p)).otherwise(F.array(F.lower(p)))))
+    return F.when(text.rlike("[\\x{4e00}-\\x{9fff}]"), mixed).otherwise(plain)
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:

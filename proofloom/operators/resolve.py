@@ -1,93 +1,178 @@
-"""Overlaps, conflicts, repeats, filters, positions of issues."""
+"""Overlaps, conflicts, repeats, filters, positions of issues.
+
+What holds within one document is an expression over its array of issues, so that no issue is shuffled; the functions over
+DataFrames are for issues that come as rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.operators.parse import line_of, locate
-from proofloom.schema import fingerprint, weight
+from proofloom.functions.offsets import first_of_runs, let, scan
+from proofloom.operators.parse import line_numbers, piece_indices
+from proofloom.rules import SEVERITY_ORDER
+from proofloom.schema import by_severity, fingerprint, weight
 
 
-def resolve_overlaps(issues: DataFrame, by: tuple[str, ...] = ("doc_id", "engine"), exempt_global: bool = False) -> DataFrame:
-    """Issues that are kept greedily: heavier first, then longer, then by rule, start and message; one that overlaps a
-    kept one goes (O01). A zero-length issue overlaps only what starts where it does.
+def severity_weight(x: Column) -> Column:
+    return by_severity(SEVERITY_ORDER, x["severity"])
+
+
+def _clash(a: Column, b: Column, exempt_global: bool) -> Column:
+    point = (a["start"] == a["end"]) | (b["start"] == b["end"])
+    hit = F.when(point, a["start"] == b["start"]).otherwise((a["start"] < b["end"]) & (b["start"] < a["end"]))
+    if exempt_global:
+        hit = hit & ~((a["start"] == 0) & (a["end"] == 0) | (b["start"] == 0) & (b["end"] == 0))
+    return hit
 
-    All that a group holds is folded in one row, which is right for issues of one document and engine. exempt_global
-    keeps issues with the span 0-0 apart, so that global findings don't hide each other.
+
+def resolve_array(issues: Column, exempt_global: bool = False) -> Column:
+    """Issues of one document and engine that are kept greedily: heavier first, then longer, then by rule, start and
+    message; one that overlaps a kept one goes (O01). A zero-length issue overlaps only what starts where it does.
+
+    Only issues of one connected run of spans can clash, so each run is folded by itself. exempt_global keeps issues with
+    the span 0-0 apart, so that global findings don't hide each other.
     """
+    placed = F.array_sort(F.transform(issues, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("row"))))
+    order = lambda x: F.struct((-severity_weight(x)).alias("o1"), (x["start"] - x["end"]).alias("o2"), x["rule_id"].alias("o3"), x["start"].alias("o4"), x["message"].alias("o5"), x.alias("row"))
+
+    def greedy(run: Column) -> Column:
+        ordered = F.transform(F.array_sort(F.transform(run, lambda x: order(x["row"]))), lambda x: x["row"])
+        return let(ordered, lambda a: F.aggregate(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1), lambda kept, x: F.when(F.exists(kept, lambda k: _clash(k, x, exempt_global)), kept).otherwise(F.array_append(kept, x))))
+
+    def runs(a: Column) -> Column:
+        reach = scan(F.transform(a, lambda x: x["end"]), -1, F.greatest)
+        opens = F.filter(F.zip_with(F.transform(a, lambda x, i: F.struct(i.alias("i"), x["start"].alias("start"))), reach, lambda x, r: F.when((x["i"] == 0) | ((x["start"] >= r) & (x["start"] != F.get(a, x["i"] - 1)["start"])), x["i"])), lambda i: i.isNotNull())
+        cut = lambda o: F.transform(o, lambda i, n: F.slice(a, i + 1, F.coalesce(F.get(o, n + 1), F.size(a)) - i))
+        return F.flatten(F.transform(let(opens, cut), lambda run: F.when(F.size(run) == 1, F.transform(run, lambda x: x["row"])).otherwise(greedy(run))))
+
+    return let(placed, lambda a: F.when(F.size(a) == 0, F.transform(a, lambda x: x["row"])).otherwise(runs(a)))
+
+
+def resolve_overlaps(issues: DataFrame, by: tuple[str, ...] = ("doc_id", "engine"), exempt_global: bool = False) -> DataFrame:
+    """O01 over rows of issues: those of one document and engine together."""
     columns = [c for c in issues.columns if c not in by]
-    packed = issues.withColumn("w", weight())
-    order = F.struct((-F.col("w")).alias("o1"), (F.col("start") - F.col("end")).alias("o2"), F.col("rule_id").alias("o3"), F.col("start").alias("o4"), F.col("message").alias("o5"), F.struct(*columns).alias("row"))
-    held = packed.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("items"))
+    held = issues.groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias("items"))
+    return held.select(*by, F.explode(resolve_array(F.col("items"), exempt_global)).alias("x")).select(*by, "x.*").select(*issues.columns)
+
+
+def annotate_array(issues: Column, text: Column, paras: Column) -> Column:
+    """Issues with line, paragraph (0 if none), the text their span covers as original, and what the rule gave in
+    `sentence`, if that was other (O02)."""
+    bounds = F.transform(paras, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end")))
+
+    def placed(a: Column) -> Column:
+        at = F.transform(a, lambda x: F.least(F.greatest(x["start"], F.lit(0)), F.length(text)))
+        where = let(at, lambda p: F.arrays_zip(line_numbers(p, text).alias("line"), piece_indices(p, bounds).alias("paragraph")))
+
+        def told(x: Column, w: Column) -> Column:
+            cut = F.substring(text, x["start"] + 1, x["end"] - x["start"])
+            real = (x["end"] > x["start"]) & (x["end"] <= F.length(text))
+            given = F.when(real & (x["original"] != "") & (x["original"] != cut), x["original"]).otherwise("")
+            return x.withField("original", F.when(real, cut).otherwise(x["original"])).withField("line", w["line"]).withField("paragraph", F.greatest(w["paragraph"], F.lit(0))).withField("sentence", given)
 
-    def clash(a: Column, b: Column) -> Column:
-        crossing = (a["start"] < b["end"]) & (b["start"] < a["end"])
-        point = (a["start"] == a["end"]) | (b["start"] == b["end"])
-        hit = F.when(point, a["start"] == b["start"]).otherwise(crossing)
-        if exempt_global:
-            both = (a["start"] == 0) & (a["end"] == 0) | (b["start"] == 0) & (b["end"] == 0)
-            hit = hit & ~both
-        return hit
+        return F.zip_with(a, where, told)
 
-    empty = F.array().cast(f"array<{issues.select(*columns).schema.simpleString()}>")
-    kept = F.aggregate("items", empty, lambda k, i: F.when(F.exists(k, lambda x: clash(x, i["row"])), k).otherwise(F.array_append(k, i["row"])))
-    return held.select(*by, F.explode(kept).alias("x")).select(*by, "x.*").select(*issues.columns)
+    return let(issues, placed)
 
 
-def annotate(issues: DataFrame, docs: DataFrame, paras: DataFrame) -> DataFrame:
-    """Issues with line, paragraph, the text their span covers as original, and what the rule gave in `sentence`."""
-    placed = locate(issues, paras, "para_idx").withColumnRenamed("para_idx", "paragraph")
-    rows = placed.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("doc_text")), "doc_id")
-    cut = F.substring("doc_text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.withColumn("sentence", F.col("original")).withColumn("original", F.when(F.col("end") > F.col("start"), cut).otherwise(F.col("original"))).withColumn("line", line_of(F.col("doc_text"), F.col("start"))).drop("doc_text")
+def annotate(issues: DataFrame, docs: DataFrame, paras: Column) -> DataFrame:
+    """O02 over rows of issues; paras: an expression over docs (`parse.paragraph_array`)."""
+    columns = [c for c in issues.columns if c != "doc_id"]
+    held = issues.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("items"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.join(held, docs["doc_id"].eqNullSafe(held["doc_id"])).select(docs["doc_id"], F.explode(annotate_array(F.col("items"), text, paras)).alias("x"))
+    return rows.select("doc_id", "x.*")
 
 
 #: Categories whose issues may have no span.
-GLOBAL_CATEGORIES = ("format", "style", "language")
+GLOBAL_CATEGORIES = ("format", "reference", "style", "logic")
 
 
-def reject_reason(text_length: Column) -> Column:
-    """Why an issue cannot stand: no change, empty span, out of range; null if it can."""
-    same = (F.col("suggestion") != "") & (F.col("suggestion") == F.col("original"))
-    empty = (F.col("end") <= F.col("start")) & ~F.col("category").isin(*GLOBAL_CATEGORIES)
-    return F.when(same, "no-change").when(empty, "empty-span").when((F.col("start") < 0) | (F.col("end") > text_length), "out-of-range")
+def reject_reason(x: Column, text: Column) -> Column:
+    """Why an issue (a struct) cannot stand: no change, empty span, out of range, drift of its original from the text; null
+    if it can (O06)."""
+    cut = F.trim(F.substring(text, x["start"] + 1, x["end"] - x["start"]))
+    own = F.trim(x["original"])
+    drift = (x["end"] > x["start"]) & (x["original"] != "") & ~F.contains(own, cut) & ~F.contains(cut, own)
+    same = (x["suggestion"] != "") & (x["suggestion"] == x["original"])
+    empty = (x["end"] <= x["start"]) & ~x["category"].isin(*GLOBAL_CATEGORIES)
+    return F.when(same, "no-change").when(empty, "empty-span").when((x["start"] < 0) | (x["end"] > F.length(text)), "out-of-range").when(drift, "drift")
 
 
 def review(issues: DataFrame, docs: DataFrame) -> DataFrame:
-    """All issues with `rejected`, the reason or null."""
-    return issues.join(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")), "doc_id").withColumn("rejected", reject_reason(F.col("n"))).drop("n")
+    """All issues with `rejected`, the reason or null (O06). For issues that come as rows: it joins the texts."""
+    texts = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("doc_text"))
+    rows = issues.join(texts, F.col("doc_id").eqNullSafe(F.col("d")))
+    return rows.withColumn("rejected", reject_reason(F.struct(*issues.columns), F.col("doc_text"))).drop("d", "doc_text")
 
 
-def resolve_conflicts(issues: DataFrame) -> DataFrame:
+def conflict_array(issues: Column) -> Column:
     """One issue per span, or per rule if it has no length: the heaviest, most confident, with the longest suggestion, the
     first of equals (O07)."""
+    keyed = F.transform(issues, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["start"] == x["end"], x["rule_id"]).otherwise("").alias("rule"), (-severity_weight(x)).alias("o1"), (-x["confidence"]).alias("o2"), (-F.length(x["suggestion"])).alias("o3"), i.alias("i"), x.alias("row")))
+    point = lambda x: x["start"] == x["end"]
+    same = lambda a, b: (point(a) & point(b) & (a["rule"] == b["rule"])) | (~point(a) & (a["start"] == b["start"]) & (a["end"] == b["end"]))
+    spans = first_of_runs(F.array_sort(F.filter(keyed, lambda x: ~point(x))), same)
+    points = first_of_runs(F.array_sort(F.transform(F.filter(keyed, point), lambda x: F.struct(x["rule"].alias("rule"), *[x[c].alias(c) for c in ("o1", "o2", "o3", "i", "start", "end", "row")]))), lambda a, b: a["rule"] == b["rule"])
+    return F.concat(F.transform(spans, lambda x: x["row"]), F.transform(points, lambda x: x["row"]))
+
+
+def resolve_conflicts(issues: DataFrame) -> DataFrame:
+    """O07 over rows of issues."""
     key = F.when(F.col("start") == F.col("end"), F.concat(F.lit("rule:"), "rule_id")).otherwise(F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string")))
     w = Window.partitionBy("doc_id", "key").orderBy(F.desc(weight()), F.desc("confidence"), F.desc(F.length("suggestion")), "issue_id")
     return issues.withColumn("key", key).withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("key", "nth")
 
 
+def is_grave(x: Column) -> Column:
+    return x["severity"].isin("FATAL", "MAJOR")
+
+
+def critic_array(issues: Column, text: Column, rounds: int = 2) -> Column:
+    """At most two rounds, unrolled: rejects and conflicts; then, where a grave issue remains, only grave or confident ones
+    stay (O06-O09)."""
+    kept = conflict_array(F.filter(issues, lambda x: reject_reason(x, text).isNull()))
+    if rounds < 2:
+        return kept
+    return let(kept, lambda a: F.when(F.exists(a, is_grave), F.filter(a, lambda x: is_grave(x) | (x["confidence"] >= 0.6))).otherwise(a))
+
+
+def dedup_array(issues: Column) -> Column:
+    """One issue per rule, span and original, the heaviest (O15), by place."""
+    keyed = F.array_sort(F.transform(issues, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rule_id"].alias("rule"), x["original"].alias("original"), (-severity_weight(x)).alias("o1"), (-x["confidence"]).alias("o2"), x.alias("row"))))
+    same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["rule"] == b["rule"]) & (a["original"] == b["original"])
+    return F.transform(first_of_runs(keyed, same), lambda x: x["row"])
+
+
+def reportable_array(issues: Column, least: float = 0.6) -> Column:
+    """Without informational issues that are not confident."""
+    return F.filter(issues, lambda x: (x["severity"] != "INFO") | (x["confidence"] >= least))
+
+
 def second_round(issues: DataFrame, least: float = 0.6) -> DataFrame:
     """What a second review keeps: grave or confident issues."""
     return issues.filter(F.col("severity").isin("FATAL", "MAJOR") | (F.col("confidence") >= least))
 
 
-def critic(issues: DataFrame, docs: DataFrame, rounds: int = 2) -> DataFrame:
-    """At most two rounds, unrolled: rejects and conflicts, then a second look at documents with a grave issue."""
-    kept = resolve_conflicts(review(issues, docs).filter("rejected IS NULL").drop("rejected"))
-    if rounds < 2:
-        return kept
-    w = Window.partitionBy("doc_id")
-    grave = F.max(F.col("severity").isin("FATAL", "MAJOR")).over(w)
-    return kept.withColumn("grave", grave).filter((~F.col("grave")) | F.col("severity").isin("FATAL", "MAJOR") | (F.col("confidence") >= 0.6)).drop("grave")
+def verdict_targets(issues: DataFrame, least: float = 0.92, top: int = 12) -> DataFrame:
+    """Issues that a judge is asked about: close and similar terms of confidence below `least`, and the `top` gravest of
+    each document (O10)."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc(weight()), F.desc("confidence"), "issue_id")
+    grave = issues.filter(F.col("severity").isin("FATAL", "MAJOR")).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top).drop("nth")
+    unsure = issues.filter(F.col("rule_id").rlike("^(fuzzy|semantic)-") & (F.col("confidence") < least))
+    return grave.unionByName(unsure).dropDuplicates(["doc_id", "issue_id"])
 
 
-def apply_verdicts(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """issues with the verdicts (issue_id, doc_id, accept, note) of a judge: a refused issue falls to INFO and is marked,
-    not dropped (O10, M01). Without a judge pass an empty table."""
-    rows = issues.join(verdicts, ["doc_id", "issue_id"], "left")
-    refused = F.col("accept") == F.lit(False)
-    return rows.withColumn("severity", F.when(refused, "INFO").otherwise(F.col("severity"))).withColumn("refused", F.coalesce(refused, F.lit(False))).drop("accept")
+def apply_verdicts(issues: DataFrame, verdicts: DataFrame, least: float = 0.92, top: int = 12) -> DataFrame:
+    """issues with the verdicts (issue_id, doc_id, accept, note) of a judge on verdict_targets: a refused issue falls to INFO
+    and is marked, not dropped; other verdicts count nothing (O10, M01). Without a judge pass an empty table."""
+    asked = verdict_targets(issues, least, top).select("doc_id", "issue_id")
+    heard = verdicts.join(asked, ["doc_id", "issue_id"], "left_semi")
+    rows = issues.join(heard, ["doc_id", "issue_id"], "left")
+    refused = F.coalesce(~F.col("accept"), F.lit(False))
+    return rows.withColumn("severity", F.when(refused, "INFO").otherwise(F.col("severity"))).withColumn("refused", refused).drop("accept")
 
 
 def fact_checks(issues: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.rules import DIMENSION_OF, DIMENSIONS, SEVERITY_ORDER
-from proofloom.schema import penalty, weight
+from proofloom.functions.offsets import let
+from proofloom.rules import DIMENSION_OF, DIMENSIONS, SEVERITY_ORDER, SEVERITY_SCORE
+from proofloom.schema import by_severity, penalty, weight
 
 SEVERITIES = list(SEVERITY_ORDER)
 
@@ -20,12 +21,43 @@ def dimension_scores(docs: DataFrame, issues: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in SEVERITIES]
     sums = issues.groupBy("doc_id", dimension_of(F.col("category")).alias("dimension")).agg(F.sum(penalty()).alias("penalty"), *counts)
     dims = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(s).alias("scale"), F.lit(w).alias("weight")) for d, (s, w) in DIMENSIONS.items()])
-    grid = docs.select("doc_id", F.explode(dims).alias("d")).select("doc_id", "d.*")
+    grid = docs.select("doc_id", F.explode(dims).alias("d")).select(F.col("doc_id").alias("id"), "d.*")
     zeros = {c: 0 for c in ("penalty", *(f"n_{s.lower()}" for s in SEVERITIES))}
-    rows = grid.join(sums, ["doc_id", "dimension"], "left").fillna(zeros)
+    rows = grid.join(sums, F.col("id").eqNullSafe(F.col("doc_id")) & (grid["dimension"] == sums["dimension"]), "left").drop(sums["dimension"], sums["doc_id"]).withColumnRenamed("id", "doc_id").fillna(zeros)
     return rows.withColumn("score", 100 * F.exp(-F.col("penalty") / F.col("scale")))
 
 
+def _is(severity: str):
+    return lambda x: x["severity"] == severity
+
+
+def _adding(name: str):
+    return lambda total, x: total + x[name]
+
+
+def score_array(issues: Column) -> Column:
+    """Array of (dimension, penalty, score, n_fatal, n_major, n_minor, n_info) of one document's issues, all dimensions
+    (O17)."""
+    def of(name: str, scale: float, share: float) -> Column:
+        def told(own: Column) -> Column:
+            counts = [F.size(F.filter(own, _is(s))).cast("bigint").alias(f"n_{s.lower()}") for s in SEVERITIES]
+            lost = F.aggregate(own, F.lit(0.0), lambda a, x: a + by_severity(SEVERITY_SCORE, x["severity"]))
+            return let(F.struct(lost.alias("x")), lambda p: F.struct(F.lit(name).alias("dimension"), p["x"].alias("penalty"), (100 * F.exp(-p["x"] / scale)).alias("score"), F.lit(share).alias("weight"), *counts))
+
+        kinds = [k for k, d in DIMENSION_OF.items() if d == name]
+        return let(F.filter(issues, lambda x: x["category"].isin(*kinds)), told)
+
+    return F.array(*[of(d, scale, w) for d, (scale, w) in DIMENSIONS.items()])
+
+
+def overall(dims: Column) -> Column:
+    """(overall, n_fatal, n_major, n_minor, n_info, gate) of an array of dimensions."""
+    total = F.aggregate(dims, F.lit(0).cast("decimal(20,3)"), lambda a, d: (a + F.round(d["score"], 1).cast("decimal(10,1)") * d["weight"].cast("decimal(4,2)")).cast("decimal(20,3)")).cast("double")
+    counts = {f"n_{s.lower()}": F.aggregate(dims, F.lit(0).cast("bigint"), _adding(f"n_{s.lower()}")) for s in SEVERITIES}
+    told = F.struct(total.alias("overall"), *[c.alias(k) for k, c in counts.items()])
+    return let(told, lambda x: x.withField("gate", gate(x["n_fatal"], x["n_major"], x["overall"])))
+
+
 def document_scores(dims: DataFrame) -> DataFrame:
     """doc_id, overall (weighted mean of scores rounded to one place), counts, gate."""
     counts = [F.sum(f"n_{s.lower()}").alias(f"n_{s.lower()}") for s in SEVERITIES]

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import math
+import re
+from collections import Counter
+from dataclasses import dataclass
+from functools import lru_cache, reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.functions.hashing import combined_similarity, hamming, hash32, jaccard, minhash, minhash_fast, minhash_similarity, simhash, simhash_similarity
-from proofloom.functions.offsets import ngrams
-from proofloom.operators.parse import char_ngrams, tokens
+from proofloom.functions.hashing import MERSENNE, coefficients, combined_similarity, hamming, hash32, jaccard, minhash, minhash_fast, minhash_similarity, simhash, simhash_similarity
+from proofloom.functions.offsets import let, ngrams, strip
+from proofloom.operators.parse import TEXT, TOKEN, char_ngrams, paragraph_array, tokens
+from proofloom.rules import LATIN, Pack
+from proofloom.schema import entries, issue
 
 MIN_CHARS = 40
 BANDS, ROWS = 32, 4
@@ -18,7 +29,7 @@ def shingle_hashes(toks, k: int = 3):
     return F.array_distinct(F.transform(ngrams(toks, k, " "), hash32))
 
 
-def fingerprints(pieces: DataFrame, key: str, n: int = BANDS * ROWS, family: str = "xxhash64") -> DataFrame:
+def fingerprints(pieces: DataFrame, key: str, n: int = BANDS * ROWS, family: str = "lcg") -> DataFrame:
     """key, text, tokens, simhash, minhash, grams of each text (P11). Write it as a table: every mode below reads it.
 
     family lcg gives the signatures of the linear congruential coefficients, xxhash64 those of seeded hashes.
@@ -30,6 +41,23 @@ def fingerprints(pieces: DataFrame, key: str, n: int = BANDS * ROWS, family: str
     return signed.join(sims, key, "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("bigint")))
 
 
+BROADCAST_ROWS = 1 << 20
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, marked to be broadcast if a count shows that they are at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def nearest(prints: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """key, other, bits: the nearest other row of (key, simhash), the first on a tie; all are compared, in blocks of `block`
+    rows that are broadcast one after the other (P03)."""
+    n = max(1, -(-prints.count() // block))
+    mine, others = prints.select(F.col(key).alias("key"), F.col("simhash").alias("own")), prints.select(F.col(key).alias("other"), "simhash", F.pmod(F.xxhash64(key), F.lit(n)).alias("block"))
+    best = [mine.join(F.broadcast(others.filter(F.col("block") == i)), F.col("key") != F.col("other")).groupBy("key").agg(F.min(F.struct(hamming(F.col("own"), F.col("simhash")).alias("bits"), "other")).alias("m")) for i in range(n)]
+    return reduce(DataFrame.unionByName, best).groupBy("key").agg(F.min("m").alias("m")).select(F.col("key").alias(key), "m.other", "m.bits")
+
+
 def compare(pairs: DataFrame) -> DataFrame:
     """Pairs of fingerprints (a_*, b_*) with sim, mins, grams and combined."""
     out = pairs.withColumn("sim", simhash_similarity(F.col("a_simhash"), F.col("b_simhash"))).withColumn("mins", minhash_similarity(F.col("a_minhash"), F.col("b_minhash"))).withColumn("gram", jaccard(F.col("a_grams"), F.col("b_grams")))
@@ -40,13 +68,117 @@ def _sided(fp: DataFrame, side: str) -> DataFrame:
     return fp.select(*[F.col(c).alias(f"{side}_{c}") for c in fp.columns])
 
 
-def intra_duplicates(fp: DataFrame, doc: str = "doc_id", idx: str = "para_idx", sim: float = 0.85, least: float = 0.9) -> DataFrame:
-    """Pairs of paragraphs of one document, earlier first, that are near duplicates (A13). fp needs doc, idx.
+@dataclass(frozen=True)
+class Fingerprint:
+    """SimHash, MinHash and 3-grams of one text, as `fingerprints` makes them, in Python."""
+
+    simhash: int
+    minhash: np.ndarray
+    grams: frozenset[str]
+
+
+_TOKEN = re.compile(TOKEN.replace(r"\x{4e00}", "\u4e00").replace(r"\x{9fff}", "\u9fff").replace(r"[\p{L}]+", r"[^\W\d_]+"))
+
+
+def _tokens(text: str) -> list[str]:
+    out: list[str] = []
+    for piece in _TOKEN.findall(text):
+        if "\u4e00" <= piece[0] <= "\u9fff":
+            out += [piece[i : i + 2] for i in range(len(piece) - 1)] if len(piece) > 1 else [piece]
+        else:
+            out.append(piece.lower())
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _hash64(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
+
+
+def _grams(text: str, n: int = 3) -> frozenset[str]:
+    letters = re.sub(r"[\W_]", "", text)
+    return frozenset(letters[i : i + n] for i in range(max(1, len(letters) - n + 1))) if letters else frozenset()
+
+
+def fingerprint_of(text: str, n: int = BANDS * ROWS, k: int = 3) -> Fingerprint:
+    toks = _tokens(text)
+    votes = np.zeros(64, dtype=np.int64)
+    for t, w in Counter(toks).items():
+        h = _hash64(t)
+        votes += w * (2 * ((h >> np.arange(64, dtype=object)) & 1).astype(np.int64) - 1)
+    sim = sum(1 << b for b in range(64) if votes[b] > 0)
+    shingles = {" ".join(toks[i : i + k]) for i in range(max(1, len(toks) - k + 1))} if toks else set()
+    low = [_hash64(s) & 0xFFFFFFFF for s in shingles]
+    mins = np.array([min((a * h + b) % MERSENNE for h in low) & 0xFFFFFFFF if low else 0 for a, b in coefficients(n)])
+    return Fingerprint(sim, mins, _grams(text))
+
+
+def scores_of(a: Fingerprint, b: Fingerprint) -> tuple[float, float, float, float]:
+    """SimHash, MinHash and 3-gram similarity and their weighted mean."""
+    sim = 1 - (a.simhash ^ b.simhash).bit_count() / 64
+    mins = float((a.minhash == b.minhash).mean())
+    both = len(a.grams | b.grams)
+    gram = len(a.grams & b.grams) / both if both else 0.0
+    return sim, mins, gram, 0.25 * sim + 0.35 * mins + 0.40 * gram
 
-    Candidates share one of four bands of their SimHash or a MinHash band, which loses no pair of combined >= 0.9 that
-    has 3 differing SimHash bits or fewer; others meet in a MinHash band with probability over 0.9999.
+
+def alike_pairs(texts: list[str], sim: float = 0.85, least: float = 0.9) -> list[tuple[int, int, float]]:
+    """(i, j, combined), i < j, of all pairs of texts that are near duplicates.
+
+    A mean of `least` needs a share of common 3-grams of at least (least - 0.6) / 0.4; of the sorted grams of two such texts
+    the first ones, as many as that share lets differ and one more, meet. Only pairs that meet are compared.
     """
-    return compare(_banded(_sided(fp, "a"), _sided(fp, "b"), [F.col(f"a_{doc}") == F.col(f"b_{doc}"), F.col(f"a_{idx}") < F.col(f"b_{idx}")])).filter((F.col("sim") >= sim) & (F.col("combined") >= least))
+    need = max(0.0, (least - 0.6) / 0.4)
+    grams = [_grams(t) for t in texts]
+    counts = Counter(g for own in grams for g in own)
+    held: dict[str, list[int]] = {}
+    made: dict[int, Fingerprint] = {}
+    out = []
+    for j, own in enumerate(grams):
+        order = sorted(own, key=lambda g: (counts[g], g))
+        first = order[: len(order) - math.ceil(need * len(order) - 1e-9) + 1]
+        for i in sorted({i for g in first for i in held.get(g, ())}):
+            if len(own & grams[i]) < need * len(own | grams[i]) - 1e-9:
+                continue
+            for x in (i, j):
+                made.setdefault(x, fingerprint_of(texts[x]))
+            s, _, _, mean = scores_of(made[i], made[j])
+            if s >= sim and mean >= least:
+                out.append((i, j, mean))
+        for g in first:
+            held.setdefault(g, []).append(j)
+    return out
+
+
+def body_paragraphs(paras: Column) -> Column:
+    """Paragraphs with their index as i, without headings, references and those under MIN_CHARS characters."""
+    return F.filter(F.transform(paras, lambda p, i: p.withField("i", i)), lambda p: ~p["is_heading"] & ~p["in_ref"] & (F.length(strip(p["text"])) >= MIN_CHARS))
+
+
+def in_python(rows: DataFrame, out: str, function, value: Column) -> DataFrame:
+    """rows with `out`, a Python function of a value. It is marked as not deterministic, which it is: else the optimizer would
+    move it into expressions over arrays, where it cannot run."""
+    return rows.withColumn(f"{out}given", value).withColumn(out, function.asNondeterministic()(F.col(f"{out}given"))).drop(f"{out}given")
+
+
+def with_repeats(rows: DataFrame, out: str = "repeats", sim: float = 0.85, least: float = 0.9) -> DataFrame:
+    """rows (paras) with an array of (first, second, start, end, score): paragraphs of one document that repeat an earlier one
+    (A13)."""
+
+    @F.pandas_udf("array<struct<i:int,j:int,score:double>>")
+    def pairs(rows: pd.Series) -> pd.Series:
+        return pd.Series([[{"i": i, "j": j, "score": s} for i, j, s in alike_pairs(list(texts), sim, least)] for texts in rows])
+
+    rows = rows.withColumn("own_", body_paragraphs(F.col("paras")))
+    several = F.when(F.size("own_") > 1, F.transform("own_", lambda p: p["text"])).otherwise(F.array().cast("array<string>"))
+    place = lambda n: F.get("own_", n)
+    told = F.transform("pairs_", lambda x: F.struct(place(x["i"])["i"].alias("first"), place(x["j"])["i"].alias("second"), place(x["j"])["start"].alias("start"), (place(x["j"])["start"] + F.length(place(x["j"])["text"])).alias("end"), x["score"].alias("score")))
+    return in_python(rows, "pairs_", pairs, several).withColumn(out, told).drop("own_", "pairs_")
+
+
+def intra_duplicates(docs: DataFrame, pack: Pack = LATIN, sim: float = 0.85, least: float = 0.9) -> DataFrame:
+    """doc_id, first, second, start, end, score of repeated paragraphs within documents."""
+    return entries(with_repeats(docs.select("doc_id", paragraph_array(TEXT(), pack).alias("paras")), "repeats", sim, least), F.col("repeats"))
 
 
 def _banded(a: DataFrame, b: DataFrame, also: list) -> DataFrame:
@@ -66,53 +198,109 @@ def _banded(a: DataFrame, b: DataFrame, also: list) -> DataFrame:
     return joined.drop("band").dropDuplicates(first)
 
 
-def cross_duplicates(fp: DataFrame, corpus: DataFrame, key: str, corpus_key: str, mode: str = "lsh", corpus_limit: int = 2048) -> DataFrame:
+def cross_duplicates(fp: DataFrame, corpus: DataFrame, key: str, corpus_key: str, mode: str = "exact", block: int = 2048) -> DataFrame:
     """Best match in the corpus of each text, if near enough; the first on a tie; MAJOR from 0.85.
 
-    mode lsh joins on bands; mode exact compares every pair and takes a corpus of at most corpus_limit rows.
+    mode exact compares all texts with the whole corpus, in blocks of `block` corpus rows that are sent to the texts one after
+    the other; mode lsh joins on bands and may lose pairs below 0.85 (at 0.45 of equal MinHash slots one in four).
     """
     a, b = _sided(fp, "a"), _sided(corpus, "b")
+    keep = ("sim >= 0.5 AND NOT (mins < 0.45 AND gram < 0.45) AND combined >= 0.72",)
     if mode == "exact":
-        if corpus.limit(corpus_limit + 1).count() > corpus_limit:
-            raise ValueError(f"exact mode takes at most {corpus_limit} corpus rows")
-        pairs = a.join(F.broadcast(b), 64 - hamming(F.col("a_simhash"), F.col("b_simhash")) >= 32)
+        n = max(1, -(-corpus.count() // block))
+        dealt = b.withColumn("block", F.pmod(F.xxhash64(f"b_{corpus_key}"), F.lit(n)))
+        apart = hamming(F.col("a_simhash"), F.col("b_simhash")) <= 32
+        near = reduce(DataFrame.unionByName, [compare(a.join(F.broadcast(dealt.filter(F.col("block") == i).drop("block")), apart)).filter(*keep) for i in range(n)])
     else:
-        pairs = _banded(a, b, [])
-    near = compare(pairs).filter("sim >= 0.5 AND NOT (mins < 0.45 AND gram < 0.45) AND combined >= 0.72")
-    w = Window.partitionBy(f"a_{key}").orderBy(F.desc("combined"), f"b_{corpus_key}")
-    best = near.withColumn("nth", F.row_number().over(w)).filter("nth = 1")
-    return best.select(F.col(f"a_{key}").alias(key), F.col(f"b_{corpus_key}").alias(corpus_key), "sim", "mins", "gram", "combined", F.when(F.col("combined") >= 0.85, "MAJOR").otherwise("MINOR").alias("severity"))
+        near = compare(_banded(a, b, [])).filter(*keep)
+    best = near.groupBy(f"a_{key}").agg(F.max(F.struct("combined", (-F.col(f"b_{corpus_key}") if dict(corpus.dtypes)[corpus_key] in ("int", "bigint") else F.lit(0)).alias("o"), "sim", "mins", "gram", f"b_{corpus_key}")).alias("x"))
+    return best.select(F.col(f"a_{key}").alias(key), F.col(f"x.b_{corpus_key}").alias(corpus_key), "x.sim", "x.mins", "x.gram", "x.combined", F.when(F.col("x.combined") >= 0.85, "MAJOR").otherwise("MINOR").alias("severity"))
+
+
+def with_published(rows: DataFrame, corpus: list[tuple[str, str]], out: str = "published", least: float = 0.72) -> DataFrame:
+    """rows (paras) with an array of (start, end, source, score): paragraphs of one document with the corpus text (source,
+    text) that they are most like, if near enough, the first on a tie (A14). The corpus comes with the plan; for one that is
+    a table use `cross_duplicates`."""
+    made = [(name, fingerprint_of(text)) for name, text in corpus]
+    sims, mins = np.array([f.simhash for _, f in made], dtype=np.uint64), np.stack([f.minhash for _, f in made])
+
+    @F.pandas_udf("array<struct<i:int,source:string,score:double>>")
+    def best(rows: pd.Series) -> pd.Series:
+        out = []
+        for texts in rows:
+            found = []
+            for i, text in enumerate(texts):
+                f = fingerprint_of(text)
+                close = np.flatnonzero(np.bitwise_count(sims ^ np.uint64(f.simhash)) <= 32)
+                # without a common 3-gram share of 0.3 or a fifth of equal slots the mean stays below
+                close = close[(mins[close] == f.minhash).mean(axis=1) >= (least - 0.65) / 0.35]
+                top = None
+                for c in close.tolist():
+                    s = scores_of(f, made[c][1])
+                    if not (s[1] < 0.45 and s[2] < 0.45) and s[3] >= least and (top is None or s[3] > top[1]):
+                        top = (c, s[3])
+                if top:
+                    found.append({"i": i, "source": made[top[0]][0], "score": top[1]})
+            out.append(found)
+        return pd.Series(out)
+
+    rows = rows.withColumn("own_", body_paragraphs(F.col("paras")))
+    place = lambda x: F.get("own_", x["i"])
+    told = F.transform("best_", lambda x: F.struct(place(x)["start"].alias("start"), (place(x)["start"] + F.length(place(x)["text"])).alias("end"), x["source"].alias("source"), x["score"].alias("score")))
+    return in_python(rows, "best_", best, F.transform("own_", lambda p: strip(p["text"]))).withColumn(out, told).drop("own_", "best_")
+
+
+def with_duplicates(rows: DataFrame, corpus: list[tuple[str, str]] = ()) -> DataFrame:
+    """rows (paras) with duplicates: issues of one document's paragraphs that repeat an earlier one or a text of the corpus
+    (A13, A14)."""
+    rows = with_repeats(rows, "repeats_")
+    inner = F.transform("repeats_", lambda x: issue("dup-internal", x["start"], x["end"], "duplicate", "MAJOR", F.format_string("paragraph %d is repeated", x["first"] + 1), confidence=F.round(x["score"], 3)))
+    if not corpus:
+        return rows.withColumn("duplicates", inner).drop("repeats_")
+    rows = with_published(rows, list(corpus), "published_")
+    outer = F.transform("published_", lambda x: issue("dup-cross", x["start"], x["end"], "duplicate", F.when(x["score"] >= 0.85, "MAJOR").otherwise("MINOR"), F.concat(F.lit("published before: "), x["source"]), source=x["source"], confidence=F.round(x["score"], 3)))
+    return rows.withColumn("duplicates", F.concat(inner, outer)).drop("repeats_", "published_")
 
 
 def shingle_overlap(left: DataFrame, right: DataFrame, lkey: str, rkey: str, k: int = 3, least: float = 0.45) -> DataFrame:
     """lkey, rkey, shared, overlap: pairs that share `least` of the right text's distinct k-token shingles (second tier of A14).
 
-    An inverted-index join on shingles; counts are exact. A shingle is joined once per text that holds it.
+    An inverted-index join on shingles; counts are exact. While the right side's shingles are few they are sent to the left
+    texts, so that of these only hits are shuffled.
     """
     l = left.select(lkey, F.explode(shingle_hashes(tokens(F.col("text")), k)).alias("h"))  # noqa: E741
     r = right.select(rkey, shingle_hashes(tokens(F.col("text")), k).alias("hs")).withColumn("n", F.size("hs"))
-    r = r.select(rkey, "n", F.explode("hs").alias("h"))
+    r = small(r.select(rkey, "n", F.explode("hs").alias("h")))
     pairs = l.join(r, "h").groupBy(lkey, rkey, "n").agg(F.count("*").alias("shared"))
     return pairs.withColumn("overlap", F.col("shared") / F.col("n")).filter(F.col("overlap") >= least).drop("n")
 
 
+def term_counts(text: Column) -> Column:
+    """Array of (token, tf) of a text, by token: counted in its row, without a shuffle."""
+    starts = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i - 1) != F.get(a, i)))
+    counted = lambda a: let(starts(a), lambda b: F.transform(b, lambda i, n: F.struct(F.get(a, i).alias("token"), (F.coalesce(F.get(b, n + 1), F.size(a)) - i).alias("tf"))))
+    return let(F.array_sort(tokens(text)), lambda a: F.when(F.size(a) > 0, counted(a)).otherwise(F.array().cast("array<struct<token:string,tf:int>>")))
+
+
 def tfidf_topk(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int = 3) -> DataFrame:
     """qkey, dkey, score, rank: cosine of (1 + ln tf) (ln((1 + N) / (1 + df)) + 1) weights, the k best a query (P10).
 
     Query weights use the corpus's document frequencies; terms of a query that the corpus lacks count in its norm only.
+    Documents are tokenised once for the frequencies and once for weights; norms and products come from one aggregation by
+    document, the frequencies being sent to the documents while they are few.
     """
     n = docs.select(F.count("*").cast("double").alias("n"))
-    tf = lambda df, key: df.select(key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    tf = lambda df, key: df.select(key, F.explode(term_counts(F.col("text"))).alias("t")).select(key, "t.token", "t.tf")
     d_tf, q_tf = tf(docs, dkey), tf(queries, qkey)
-    wanted = q_tf.select("token").distinct()
     df_counts = d_tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n)
     idf = df_counts.select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weigh = lambda t: t.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    dw = weigh(d_tf.join(idf, "token"))
-    unseen = q_tf.join(idf, "token", "left").crossJoin(n).withColumn("idf", F.coalesce("idf", F.log(1 + F.col("n")) + 1))
-    qw = weigh(unseen)
-    d_norm, q_norm = (x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")) for x, key in ((dw, dkey), (qw, qkey)))
-    dots = dw.join(wanted, "token", "left_semi").select(dkey, "token", F.col("w").alias("dw")).join(qw.select(qkey, "token", F.col("w").alias("qw")), "token").groupBy(qkey, dkey).agg(F.sum(F.col("dw") * F.col("qw")).alias("dot"))
-    scored = dots.join(d_norm.withColumnRenamed("norm", "dn"), dkey).join(q_norm.withColumnRenamed("norm", "qn"), qkey).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
+    qw = weigh(q_tf.join(idf, "token", "left").crossJoin(n).withColumn("idf", F.coalesce("idf", F.log(1 + F.col("n")) + 1)))
+    q_norm = qw.groupBy(qkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+    wanted = qw.groupBy("token").agg(F.collect_list(F.struct(F.col(qkey).alias("q"), F.col("w").alias("qw"))).alias("asked"))
+    dw = weigh(d_tf.join(small(idf.join(wanted, "token", "left")), "token"))
+    norm = dw.groupBy(dkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    dots = dw.filter("asked IS NOT NULL").select(dkey, "w", F.explode("asked").alias("a")).groupBy(F.col("a.q").alias(qkey), dkey).agg(F.sum(F.col("w") * F.col("a.qw")).alias("dot"))
+    scored = dots.join(norm, dkey).join(small(q_norm), qkey).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
     w = Window.partitionBy(qkey).orderBy(F.desc("score"), dkey)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qkey, dkey, "score", "rank")

@@ -2,46 +2,71 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.offsets import strip
-from proofloom.operators.norm import rule_hits
-from proofloom.operators.parse import TEXT, any_of, paragraphs, sentence_pattern
+from proofloom.functions.offsets import let, strip
+from proofloom.operators.norm import rule_array, rule_hits
+from proofloom.operators.parse import TEXT, any_of, paragraph_array, paragraphs, sentence_array
 from proofloom.rules import LATIN, Pack, Rule
-from proofloom.schema import make_issues
+from proofloom.schema import explode_issues, issue, make_issues, no_issues
 
+CHECKS = ("avoid", "metrics", "sections")
 
-def profile(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """One row per document: sentence lengths, densities per character, share of paragraphs with a figure and of long
-    paragraphs led by a summary (Y01, Y02). All of it is one projection over the text."""
-    sents = F.filter(F.transform(F.regexp_extract_all(TEXT(), F.lit(sentence_pattern(pack)), F.lit(0)), strip), lambda s: F.length(s) >= 4)
-    lengths = F.transform(sents, F.length)
-    paras = F.filter(F.split(TEXT(), "\n", -1), lambda p: strip(p) != "")
+
+def profile_struct(text: Column, sents: Column, paras: Column, pack: Pack = LATIN) -> Column:
+    """Struct of a document's metrics: sentence lengths, densities per character, share of paragraphs with a figure and of
+    long paragraphs led by a summary (Y01, Y02)."""
     share = lambda a, cond: F.when(F.size(a) > 0, F.size(F.filter(a, cond)).cast("double") / F.size(a))
-    count = lambda name: F.regexp_count(TEXT(), F.lit(any_of(pack.words[name])))
-    long_paras = F.filter(paras, lambda p: F.length(p) > 40)
+    n_chars = F.length(text)
+    density = lambda n: F.coalesce(n.cast("double") / F.when(n_chars > 0, n_chars), F.lit(0.0))
+    count = lambda name: F.regexp_count(text, F.lit(any_of(pack.words[name]))) if pack.words[name] else F.lit(0)
     lead = any_of(pack.words["lead"])
-    n_chars = F.length(TEXT())
-    return docs.select(
-        "doc_id",
-        F.size(sents).cast("bigint").alias("n_sentences"),
-        F.coalesce(F.aggregate(lengths, F.lit(0), lambda s, x: s + x).cast("double") / F.when(F.size(lengths) > 0, F.size(lengths)), F.lit(0.0)).alias("mean_sentence"),
-        F.coalesce(F.array_max(lengths), F.lit(0)).cast("bigint").alias("max_sentence"),
-        F.coalesce(F.regexp_count(TEXT(), F.lit(r"[$#%&*!|]")).cast("double") / F.when(n_chars > 0, n_chars), F.lit(0.0)).alias("symbol_density"),
-        F.coalesce(count("hedge").cast("double") / F.when(n_chars > 0, n_chars), F.lit(0.0)).alias("hedge_density"),
-        F.coalesce(share(paras, lambda p: p.rlike(r"\d")), F.lit(0.0)).alias("data_ratio"),
-        F.coalesce(share(long_paras, lambda p: F.substring(p, 1, 30).rlike(lead)), F.lit(1.0)).alias("lead_ratio"),
-        count("europeanised").cast("bigint").alias("europeanised"),
-    )
+    lengths = F.filter(F.transform(sents, lambda s: F.length(strip(s["text"]))), lambda n: n >= 4)
+
+    def told(n: Column) -> Column:
+        return F.struct(
+            F.size(n).cast("bigint").alias("n_sentences"),
+            F.coalesce(F.aggregate(n, F.lit(0), lambda s, x: s + x).cast("double") / F.when(F.size(n) > 0, F.size(n)), F.lit(0.0)).alias("mean_sentence"),
+            F.coalesce(F.array_max(n), F.lit(0)).cast("bigint").alias("max_sentence"),
+            density(F.regexp_count(text, F.lit(r"[$#%&*!|]"))).alias("symbol_density"),
+            density(count("hedge")).alias("hedge_density"),
+            F.coalesce(share(paras, lambda p: p["text"].rlike(r"\d")), F.lit(0.0)).alias("data_ratio"),
+            F.coalesce(share(F.filter(paras, lambda p: F.length(p["text"]) > 40), lambda p: F.substring(p["text"], 1, 30).rlike(lead)), F.lit(1.0)).alias("lead_ratio"),
+            count("europeanised").cast("bigint").alias("europeanised"),
+        )
+
+    return let(lengths, told)
+
+
+def profile(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """doc_id and the metrics, one row per document."""
+    rows = docs.select("doc_id", TEXT().alias("text"), sentence_array(TEXT(), pack).alias("sents"), paragraph_array(TEXT(), pack).alias("paras"))
+    return rows.select("doc_id", profile_struct(F.col("text"), F.col("sents"), F.col("paras"), pack).alias("p")).select("doc_id", "p.*")
+
+
+def avoid_rules(pack: Pack = LATIN) -> list[Rule]:
+    return [Rule(f"avoid-{w}", any_of((w,)), "MINOR", "style", "word to avoid", advice=advice_for(w)) for w in pack.words["avoid"]]
 
 
 def avoid_issues(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """Words to avoid."""
-    rules = [Rule(f"avoid-{w}", any_of((w,)), "MINOR", "style", "word to avoid", advice=advice_for(w)) for w in pack.words["avoid"]]
-    return make_issues(rule_hits(docs, rules), "style")
+    return make_issues(rule_hits(docs, avoid_rules(pack)), "style")
+
+
+def gap_array(metrics: Column, targets: Sequence[tuple[str, float, float]]) -> Column:
+    """Array of (metric, value, lo, hi, direction, excess, severity) for each metric of the struct outside its target."""
+    told = [F.struct(F.lit(m).alias("metric"), metrics[m].cast("double").alias("value"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for m, lo, hi in targets]
+
+    def judged(x: Column) -> Column:
+        bound = F.when(x["value"] < x["lo"], x["lo"]).otherwise(x["hi"])
+        excess = F.abs(x["value"] - bound)
+        return x.withField("direction", F.when(x["value"] < x["lo"], "low").otherwise("high")).withField("excess", excess).withField("severity", F.when(excess > 0.3 * F.abs(bound), "MINOR").otherwise("INFO"))
+
+    none = F.array().cast("array<struct<metric:string,value:double,lo:double,hi:double,direction:string,excess:double,severity:string>>")
+    return F.concat(none, F.transform(F.filter(F.array(*told), lambda x: (x["value"] < x["lo"]) | (x["value"] > x["hi"])), judged)) if told else none
 
 
 def metric_gaps(profiles: DataFrame, targets: DataFrame) -> DataFrame:
@@ -92,15 +117,18 @@ def advice_for(word: str) -> str:
     return WORD_ADVICE.get(word, "choose another word")
 
 
-def style_issues(docs: DataFrame, targets: DataFrame, pack: Pack = LATIN, preset: Column | None = None, sections: tuple[str, ...] = ()) -> DataFrame:
-    """The engine: words to avoid, metrics out of range, missing sections."""
-    profiles = profile(docs, pack).join(docs.select("doc_id", (preset if preset is not None else F.lit("default")).alias("preset")), "doc_id")
-    gaps = metric_gaps(profiles, targets)
-    glob = lambda df: df.withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
-    out = [avoid_issues(docs, pack), make_issues(glob(gaps), "style", rule_id=F.concat(F.lit("metric-"), "metric"), category="style", message=metric_advice(F.col("metric"), F.col("direction")), confidence=0.7)]
-    if sections:
-        out.append(make_issues(glob(missing_sections(docs, sections)), "style", rule_id=F.concat(F.lit("section-"), "section"), category="style", message="section is missing"))
-    return reduce(DataFrame.unionByName, out)
+def style_array(text: Column, sents: Column, paras: Column, pack: Pack = LATIN, checks: Sequence[str] = CHECKS) -> Column:
+    """The engine: words to avoid, metrics out of range, missing sections of one document, by the checks named."""
+    gaps = lambda: F.transform(let(profile_struct(text, sents, paras, pack), lambda m: gap_array(m, pack.metrics)), lambda g: issue(F.concat(F.lit("metric-"), g["metric"]), 0, 0, "style", g["severity"], metric_advice(g["metric"], g["direction"]), confidence=0.7))
+    lacks = lambda: F.transform(F.filter(F.array(*[F.lit(x) for x in pack.sections]).cast("array<string>"), lambda x: ~F.contains(text, x)), lambda x: issue(F.concat(F.lit("section-"), x), 0, 0, "style", "MINOR", "section is missing"))
+    made = {"avoid": lambda: rule_array(text, avoid_rules(pack)), "metrics": gaps, "sections": lacks}
+    return F.concat(no_issues(), *[made[c]() for c in checks])
+
+
+def style_issues(docs: DataFrame, pack: Pack = LATIN, checks: Sequence[str] = CHECKS) -> DataFrame:
+    """The engine over documents, as the fact table."""
+    rows = docs.select("doc_id", TEXT().alias("text"), sentence_array(TEXT(), pack).alias("sents"), paragraph_array(TEXT(), pack).alias("paras"))
+    return explode_issues(rows, "style", style_array(F.col("text"), F.col("sents"), F.col("paras"), pack, checks))
 
 
 def lead_paragraphs(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:

@@ -1,71 +1,171 @@
-"""The audit: intake, routing, engines, resolution, review, scores, revision."""
+"""The audit: intake, routing, engines, resolution, review, scores, revision.
+
+All that belongs to one document is made in its row: sentences, paragraphs and references once, each engine's issues as an
+array, then resolution, exemption of references, annotation, review and scores as expressions over these arrays. So the plan
+is one scan without a shuffle or a join, no text moves, and rows with equal or missing ids stay apart.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
-from functools import reduce
+import time
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.operators import academic, logic, norm, resolve, revise, score, style, terms
-from proofloom.operators.parse import TEXT, any_of
+from proofloom.functions.offsets import quickly
+from proofloom.operators import academic, logic, norm, resolve, revise, score, similarity, style, terms
+from proofloom.operators.parse import TEXT, any_of, body_text, paragraph_array, reference_array, reference_offset, sentence_array, window_array
 from proofloom.rules import LATIN, Pack
+from proofloom.schema import ISSUE_COLUMNS, entries, issue_id, no_issues
 from proofloom.sources import sinks
 
 ENGINES = ("term", "norm", "logic", "academic", "style")
+#: The checks of each engine; a subset turns the others off, and they then never enter the plan.
+CHECKS = {"term": terms.CHECKS, "norm": norm.CHECKS, "logic": logic.CHECKS, "academic": (*academic.CHECKS, "duplicates"), "style": style.CHECKS}
+
+
+def intake_struct(text: Column, pack: Pack = LATIN) -> Column:
+    """Struct of n_chars, digit_density, n_refs, quote_ratio, is_academic, doc_type."""
+    n = F.length(text)
+    ratio = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)).cast("double") / F.when(n > 0, n), F.lit(0.0))
+    refs = F.regexp_count(text, F.lit(r"\[\d{1,3}\]"))
+    academic_like = (refs >= 2) | text.rlike(pack.reference_head)
+    facts = F.struct(n.cast("bigint").alias("n_chars"), ratio(r"\d").alias("digit_density"), refs.cast("bigint").alias("n_refs"), ratio('["“”]').alias("quote_ratio"), academic_like.alias("is_academic"))
+    kind = lambda x: F.when(x["is_academic"], "paper").when(x["digit_density"] > 0.05, "report").when(x["n_chars"] < 400, "note").otherwise("article")
+    return F.element_at(F.transform(F.array(facts), lambda x: x.withField("doc_type", kind(x))), 1)
 
 
 def intake(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
-    """doc_id, n_chars, digit_density, n_refs, quote_ratio, is_academic, doc_type: one projection."""
-    n = F.length(TEXT())
-    ratio = lambda pattern: F.coalesce(F.regexp_count(TEXT(), F.lit(pattern)).cast("double") / F.when(n > 0, n), F.lit(0.0))
-    refs = F.regexp_count(TEXT(), F.lit(r"\[\d{1,3}\]"))
-    academic_like = (refs >= 2) | TEXT().rlike(pack.reference_head)
-    kind = F.when(academic_like, "paper").when(ratio(r"\d") > 0.05, "report").when(n < 400, "note").otherwise("article")
-    return docs.select("doc_id", n.cast("bigint").alias("n_chars"), ratio(r"\d").alias("digit_density"), refs.cast("bigint").alias("n_refs"), ratio('["“”]').alias("quote_ratio"), academic_like.alias("is_academic"), kind.alias("doc_type"))
+    """doc_id and the intake profile."""
+    return docs.select("doc_id", intake_struct(TEXT(), pack).alias("x")).select("doc_id", "x.*")
+
+
+def route(profile: Column, engine: str) -> Column:
+    """Whether an engine looks at a document of this profile."""
+    return {
+        "term": F.lit(True), "norm": F.lit(True), "logic": profile["n_chars"] >= 40, "academic": profile["is_academic"] | (profile["digit_density"] > 0),
+        "style": profile["n_chars"] >= 100,
+    }[engine]
 
 
 def routes(profile: DataFrame) -> DataFrame:
     """doc_id and a boolean run_<engine> for each engine."""
-    on: dict[str, Column] = {"term": F.lit(True), "norm": F.lit(True), "logic": F.col("n_chars") >= 40, "academic": F.col("is_academic") | (F.col("digit_density") > 0), "style": F.col("n_chars") >= 100}
-    return profile.select("doc_id", *[on[e].alias(f"run_{e}") for e in ENGINES])
+    x = F.struct("n_chars", "is_academic", "digit_density")
+    return profile.select("doc_id", *[route(x, e).alias(f"run_{e}") for e in ENGINES])
 
 
 def style_targets(spark: SparkSession, pack: Pack = LATIN) -> DataFrame:
     return spark.createDataFrame([("default", *m) for m in pack.metrics], "preset string, metric string, lo double, hi double")
 
 
+def parsed(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """doc_id, text, sents, paras, refs, ref_start, body, windows, profile: what the engines read, made once per document."""
+    rows = docs.select("doc_id", TEXT().alias("text"), sentence_array(TEXT(), pack).alias("sents"), paragraph_array(TEXT(), pack).alias("paras"), intake_struct(TEXT(), pack).alias("profile"))
+    rows = rows.withColumn("refs", reference_array(F.col("paras"))).withColumn("windows", window_array(F.col("sents")))
+    rows = rows.withColumn("ref_start", reference_offset(F.col("refs")))
+    return rows.withColumn("body", body_text(F.col("text"), F.col("ref_start")))
+
+
+def _with_engine(name: str):
+    return lambda x: x.withField("engine", F.lit(name))
+
+
+def engine_array(engine: str, pack: Pack, checks: Sequence[str]) -> Column:
+    """An engine's raw issues over a row of `parsed`."""
+    c = {n: F.col(n) for n in ("text", "sents", "paras", "refs", "body", "windows")}
+    if engine == "term":
+        return F.col("term_issues")
+    if engine == "norm":
+        return norm.norm_array(c["text"], c["body"], c["sents"], c["paras"], pack, checks)
+    if engine == "logic":
+        return logic.logic_array(c["windows"], c["paras"], pack, checks)
+    if engine == "academic":
+        found = academic.academic_array(c["text"], c["body"], c["sents"], c["paras"], c["refs"], pack, checks)
+        return F.concat(found, F.col("duplicates")) if "duplicates" in checks else found
+    return style.style_array(c["text"], c["sents"], c["paras"], pack, checks)
+
+
+@quickly
+def audited(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Sequence[tuple[str, str]] = (), least: float = 0.6, rounds: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, raw (number of issues by engine before resolution), suppressed, found (resolved
+    issues), issues (reviewed, without repeats, reportable), dimensions, and the document's scores."""
+    checks = {**CHECKS, **checks}
+    rows = parsed(docs, pack)
+    run = lambda e: route(F.col("profile"), e)
+    if "term" in engines:
+        rows = terms.with_terms(rows, pack, checks["term"])
+    else:
+        rows = rows.withColumn("suppressed", F.lit(0))
+    if "academic" in engines and "duplicates" in checks["academic"]:
+        rows = similarity.with_duplicates(rows, list(corpus))
+    made = {e: F.when(run(e), engine_array(e, pack, checks[e])).otherwise(no_issues()) for e in engines}
+    rows = rows.select("doc_id", "text", "paras", "ref_start", "suppressed", *[made[e].alias(f"raw_{e}") for e in engines])
+    raw = F.array(*[F.struct(F.lit(e).alias("engine"), F.size(f"raw_{e}").alias("n")) for e in engines])
+    rows = rows.withColumns({f"kept_{e}": resolve.resolve_array(F.col(f"raw_{e}")) for e in engines})
+    kept = {e: F.col(f"kept_{e}") for e in engines}
+    if "norm" in kept:
+        kept["norm"] = norm.outside_references(kept["norm"], F.col("ref_start"))
+    named = [F.transform(kept[e], _with_engine(e)) for e in engines]
+    rows = rows.select("doc_id", "text", "paras", "suppressed", raw.alias("raw"), F.concat(*named).alias("found"))
+    rows = rows.withColumn("found", resolve.annotate_array(F.col("found"), F.col("text"), F.col("paras")))
+    rows = rows.withColumn("reviewed", resolve.critic_array(F.col("found"), F.col("text"), rounds) if rounds else F.col("found"))
+    rows = rows.select("doc_id", "suppressed", "raw", "found", resolve.reportable_array(resolve.dedup_array(F.col("reviewed")), least).alias("issues"))
+    rows = rows.withColumn("dimensions", score.score_array(F.col("issues")))
+    return rows.withColumn("score", score.overall(F.col("dimensions")))
+
+
 @dataclass(frozen=True)
 class Report:
-    """The tables of an audit; each is lazy."""
+    """The tables of an audit; each is lazy. release() gives up what the executors hold."""
 
     issues: DataFrame
     dimensions: DataFrame
     scores: DataFrame
     trace: DataFrame
+    rows: DataFrame | None = field(default=None, repr=False)
+
+    def release(self) -> None:
+        if self.rows is not None:
+            self.rows.unpersist()
+
+
+def issue_rows(rows: DataFrame, column: str = "issues") -> DataFrame:
+    """The fact table of an array of annotated issues, with line, paragraph and sentence."""
+    x = entries(rows, F.col(column))
+    return x.withColumn("issue_id", issue_id(F.col("rule_id"), F.col("start"), F.col("end"))).select(*ISSUE_COLUMNS, "line", "paragraph", "sentence")
 
 
-def raw_issues(docs: DataFrame, pack: Pack = LATIN, engines: tuple[str, ...] = ENGINES) -> DataFrame:
-    """Issues of the engines, each over the documents routed to it, as one union."""
-    routed = docs.join(routes(intake(docs, pack)), "doc_id")
-    part = lambda e: routed.filter(f"run_{e}").select(*docs.columns)
-    made = {"term": lambda d: terms.term_issues(d, pack).unionByName(norm.banned_issues(d, pack)), "norm": lambda d: norm.outside_references(norm.norm_issues(d, pack), d, pack), "logic": lambda d: logic.logic_issues(d, pack), "academic": lambda d: academic.academic_issues(d, pack), "style": lambda d: style.style_issues(d, style_targets(d.sparkSession, pack), pack)}
-    return reduce(DataFrame.unionByName, [made[e](part(e)) for e in engines])
+def raw_issues(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS) -> DataFrame:
+    """Resolved and annotated issues of the engines, each over the documents routed to it."""
+    return issue_rows(audited(docs, pack, engines, checks), "found")
 
 
-def audit(docs: DataFrame, pack: Pack = LATIN, engines: tuple[str, ...] = ENGINES, least: float = 0.6, rounds: int = 2, keep: bool = True) -> Report:
-    """Find, resolve, review, deduplicate, score. rounds 0 leaves the review out; keep holds the
-    engines' findings on executors' disks, where a lost part is made anew."""
-    found = resolve.resolve_overlaps(raw_issues(docs, pack, engines))
+def audit(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, least: float = 0.6, rounds: int = 2, keep: bool = True, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Sequence[tuple[str, str]] = ()) -> Report:
+    """Find, resolve, review, deduplicate, score. rounds 0 leaves the review out; keep holds the documents' issues, without
+    their texts, on executors' disks until release(), where a lost part is made anew."""
+    rows = audited(docs, pack, engines, checks, corpus, least, rounds)
     if keep:
-        found = found.persist(StorageLevel.DISK_ONLY)  # four tables are made of it
-    reviewed = resolve.critic(found, docs, rounds) if rounds else found
-    final = resolve.reportable(resolve.deduplicate(reviewed), least)
-    dims = score.dimension_scores(docs, final)
-    return Report(final, dims, score.document_scores(dims), score.node_trace(found))
+        rows = rows.persist(StorageLevel.DISK_ONLY)  # four tables are made of it
+    dims = entries(rows, F.col("dimensions"))
+    found = entries(rows, F.col("found"))
+    return Report(issue_rows(rows), dims, rows.select("doc_id", "score.*"), score.node_trace(found), rows if keep else None)
+
+
+def traced(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS) -> list[dict]:
+    """One entry per engine, run one after the other: n, elapsed_ms, error; an engine that fails does not stop the others
+    (O22, O29)."""
+    out = []
+    for e in engines:
+        began, n, error = time.monotonic(), 0, ""
+        try:
+            n = audited(docs, pack, (e,), checks, rounds=0).agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+        except Exception as x:  # noqa: BLE001  it is reported in the trace
+            error = f"{type(x).__name__}: {str(x).splitlines()[0][:200]}"
+        out.append({"node": e, "n": int(n), "elapsed_ms": int(1000 * (time.monotonic() - began)), "error": error})
+    return out
 
 
 def revise_texts(docs: DataFrame, issues: DataFrame) -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.functions.hashing import coefficients, hamming, minhash, simhash
+from proofloom.functions.hashing import minhash, simhash
 from proofloom.operators import academic, lifecycle, norm, parse, resolve, revise, score, similarity
 from proofloom.plans import audit
 from proofloom.plans.sql import PENALTY, TOKENS, WEIGHT, T, issues, q
-from proofloom.rules import DIMENSION_OF, DIMENSIONS, LATIN
-from proofloom.schema import make_issues
+from proofloom.rules import LATIN
+from proofloom.schema import entries, make_issues
 
 RULES = (*LATIN.language, *LATIN.banned)
+CORPUS_ROWS = 10_000
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -80,9 +80,7 @@ def simhash_items(s, d):
 
 def simhash_nearest(s, d):
     """Nearest other item by SimHash, over the fixed list of items."""
-    a = simhash_items(s, d)
-    pairs = a.alias("a").join(F.broadcast(a.alias("b")), F.col("a.item_id") != F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), hamming(F.col("a.simhash"), F.col("b.simhash")).alias("bits"))
-    return pairs.groupBy("item_id").agg(F.min(F.struct("bits", "other")).alias("m")).select("item_id", "m.other", "m.bits")
+    return similarity.nearest(simhash_items(s, d), "item_id")
 
 
 def minhash_items(s, d):
@@ -100,12 +98,23 @@ def tfidf_topk(s, d):
     return similarity.tfidf_topk(_t(s, d, "benchmark"), _docs(s, d), "item_id", "doc_id", 3)
 
 
-def cross_duplicates_lsh(s, d):
-    """Best benchmark item of each conversation turn by banded fingerprints."""
-    turns = _t(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), "text")
-    fp = similarity.fingerprints(turns, "turn_id").persist(StorageLevel.DISK_ONLY)
-    corpus = similarity.fingerprints(_t(s, d, "benchmark").select("item_id", "text"), "item_id").persist(StorageLevel.DISK_ONLY)
-    return similarity.cross_duplicates(fp, corpus, "turn_id", "item_id")
+def _corpus(s, d):
+    """The benchmark as a corpus of published texts, which comes with the plan."""
+    rows = _t(s, d, "benchmark").select("item_id", parse.TEXT().alias("text")).orderBy("item_id").limit(CORPUS_ROWS + 1).collect()
+    if len(rows) > CORPUS_ROWS:
+        raise ValueError(f"the corpus has over {CORPUS_ROWS} texts: use similarity.cross_duplicates")
+    return [(str(r["item_id"]), r["text"]) for r in rows]
+
+
+def cross_duplicates(s, d):
+    """Paragraphs of documents with the benchmark item that they are most like."""
+    rows = similarity.with_published(_docs(s, d).select("doc_id", parse.paragraph_array(parse.TEXT()).alias("paras")), _corpus(s, d))
+    return entries(rows, F.col("published")).select("doc_id", "start", "end", F.col("source").alias("item_id"), F.round("score", 9).alias("score"))
+
+
+def intra_duplicates(s, d):
+    """Paragraphs of documents that repeat an earlier one."""
+    return similarity.intra_duplicates(_docs(s, d)).select("doc_id", "first", "second", F.round("score", 9).alias("score"))
 
 
 # versions and candidates
@@ -239,7 +248,7 @@ def history_trend(s, d):
     return out.select("user_id", "event_id", F.round("change", 6).alias("change"))
 
 
-NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, refs_missing, labels_unlisted, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, cross_duplicates_lsh, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
+NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, refs_missing, labels_unlisted, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, cross_duplicates, intra_duplicates, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _ISSUES = issues(RULES, "norm")
@@ -248,13 +257,14 @@ _SIM = f"""tok AS (SELECT item_id, lower(unnest(regexp_extract_all({T}, {q(TOKEN
 votes AS (SELECT item_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN w ELSE -w END) AS v FROM tf, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY 1, 2),
 sim AS (SELECT item_id, sum(CASE WHEN v > 0 THEN 1::UBIGINT << b ELSE 0 END)::UBIGINT AS u FROM votes GROUP BY 1)"""
 _SIGNED = "CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616)::BIGINT ELSE u::BIGINT END"
-_COEFFS = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(coefficients(8)))
+_COEFFS = """g AS (SELECT 1 AS i, (20260918::UHUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS x UNION ALL SELECT i + 1, (x * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM g WHERE i < 16),
+k AS (SELECT (p.i - 1) // 2 AS slot, (p.x >> 16)::HUGEINT | 1::HUGEINT AS a, (r.x >> 16)::HUGEINT AS b FROM g p JOIN g r ON r.i = p.i + 1 WHERE p.i % 2 = 1)"""
 _SHINGLES = lambda table, key: f"""(SELECT {key}, ('0x' || substr(md5(array_to_string(t[i:i+2], ' ')), 9, 8))::UBIGINT::BIGINT AS h FROM (SELECT {key}, t, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS i FROM (SELECT {key}, list_transform(regexp_extract_all({T}, {q(TOKENS)}), lambda x: lower(x)) AS t FROM {table}) WHERE len(t) > 0) GROUP BY ALL)"""
 _CANDS = f"""c0 AS ({" UNION ALL ".join(f"SELECT doc_id, lower(unnest(regexp_extract_all({T}, {q(c)}, 1))) AS term, {i} AS cue FROM documents" for i, c in enumerate(LATIN.cues))}),
 cands AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs, min(cue)::BIGINT AS first_cue, round(least(0.95, least(0.9, 0.55 + 0.04 * length(term)) + 0.05 * (count(*) - 1)), 6)::DOUBLE AS confidence FROM c0 WHERE length(term) >= 4 AND term <> 'theand' GROUP BY term)"""
 _VERSIONS = """o AS (SELECT p_partkey AS id, p_name, p_brand, p_size FROM part WHERE p_partkey % 11 <> 0), n AS (SELECT p_partkey AS id, p_name, p_brand, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0)"""
-_DIM_OF = "CASE category " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in DIMENSION_OF.items()) + " END"
-_DIMS = "dims AS (SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {s}, {w})" for k, (s, w) in DIMENSIONS.items()) + ") v(dimension, scale, weight))"
+_DIM_OF = "CASE WHEN category IN ('term', 'political') THEN 'terminology' WHEN category IN ('language', 'format') THEN 'language' WHEN category = 'logic' THEN 'logic' WHEN category IN ('data', 'duplicate', 'reference') THEN 'academic' WHEN category = 'style' THEN 'style' END"
+_DIMS = "dims AS (SELECT * FROM (VALUES ('terminology', 150.0, 0.35), ('language', 130.0, 0.18), ('logic', 200.0, 0.17), ('academic', 200.0, 0.25), ('style', 120.0, 0.05)) v(dimension, scale, weight))"
 _SCORES = f"""{_ISSUES}, {_DIMS}, sums AS (SELECT doc_id, {_DIM_OF} AS dimension, sum({PENALTY})::DOUBLE AS penalty, count(*) FILTER (severity = 'FATAL') AS f, count(*) FILTER (severity = 'MAJOR') AS m, count(*) FILTER (severity = 'MINOR') AS n, count(*) FILTER (severity = 'INFO') AS i FROM issues GROUP BY 1, 2),
 scored AS (SELECT d.doc_id, dims.dimension, weight, coalesce(penalty, 0.0) AS penalty, 100 * exp(-coalesce(penalty, 0.0) / scale) AS score, coalesce(f, 0) AS n_fatal, coalesce(m, 0) AS n_major, coalesce(n, 0) AS n_minor, coalesce(i, 0) AS n_info FROM documents d CROSS JOIN dims LEFT JOIN sums ON sums.doc_id = d.doc_id AND sums.dimension = dims.dimension)"""
 _GATES = f"""{_SCORES}, g AS (SELECT doc_id, sum(round(score, 1)::DECIMAL(10,1) * weight::DECIMAL(4,2))::DOUBLE AS overall, sum(n_fatal) AS f, sum(n_major) AS m FROM scored GROUP BY 1)"""
@@ -271,7 +281,7 @@ SQL = {
     "dup_titles": """WITH k AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS title_key FROM part), w AS (SELECT *, min(p_partkey) OVER (PARTITION BY title_key) AS first_of FROM k) SELECT * FROM w WHERE p_partkey <> first_of""",
     "simhash_items": f"WITH {_SIM} SELECT item_id, {_SIGNED} AS simhash FROM sim",
     "simhash_nearest": f"WITH {_SIM}, p AS (SELECT a.item_id, b.item_id AS other, bit_count(xor(a.u, b.u))::BIGINT AS bits FROM sim a, sim b WHERE a.item_id <> b.item_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bits, other) AS n FROM p) SELECT item_id, other, bits FROM r WHERE n = 1",
-    "minhash_items": f"WITH s AS {_SHINGLES('benchmark', 'item_id')}, k AS (SELECT * FROM (VALUES {_COEFFS}) v(slot, a, b)) SELECT item_id, slot::BIGINT AS slot, (min((a * h::HUGEINT + b) % 2305843009213693951) % 4294967296)::BIGINT AS value FROM s, k GROUP BY 1, 2",
+    "minhash_items": f"WITH RECURSIVE {_COEFFS}, s AS {_SHINGLES('benchmark', 'item_id')} SELECT item_id, slot::BIGINT AS slot, (min((a * h::HUGEINT + b) % 2305843009213693951) % 4294967296)::BIGINT AS value FROM s, k GROUP BY 1, 2",
     "dup_cross": f"WITH l AS {_SHINGLES('documents', 'doc_id')}, r AS {_SHINGLES('benchmark', 'item_id')}, n AS (SELECT item_id, count(*) AS n FROM r GROUP BY 1), p AS (SELECT doc_id, item_id, count(*) AS shared FROM l JOIN r USING (h) GROUP BY 1, 2) SELECT doc_id, item_id, shared, round(shared / n::DOUBLE, 9) AS overlap FROM p JOIN n USING (item_id) WHERE shared / n::DOUBLE >= 0.45",
     "tfidf_topk": f"""WITH d AS (SELECT doc_id, lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS token FROM documents), dt AS (SELECT doc_id, token, count(*) AS tf FROM d GROUP BY 1, 2), nn AS (SELECT count(*)::DOUBLE AS n FROM documents), idf AS (SELECT token, ln((1 + (SELECT n FROM nn)) / (1 + count(*))) + 1 AS idf FROM dt GROUP BY 1),
   dw AS (SELECT doc_id, token, (1 + ln(tf)) * idf AS w FROM dt JOIN idf USING (token)), b AS (SELECT item_id, lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS token FROM benchmark), qt AS (SELECT item_id, token, count(*) AS tf FROM b GROUP BY 1, 2), qw AS (SELECT item_id, token, (1 + ln(tf)) * coalesce(idf, ln(1 + (SELECT n FROM nn)) + 1) AS w FROM qt LEFT JOIN idf USING (token)),

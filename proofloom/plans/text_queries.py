@@ -23,7 +23,7 @@ def _table(spark, sf, name):
 
 
 def _sents(s, d):
-    return parse.sentences(docs(s, d))
+    return parse.sentence_windows(docs(s, d))
 
 
 def doc_meta(s, d):
@@ -40,16 +40,21 @@ def sentences(s, d):
 
 def rule_positions(s, d):
     """Hits of rules with their line, paragraph and surroundings."""
-    t = docs(s, d)
-    found = norm.rule_hits(t, RULES).select("doc_id", "rule_id", "start", "end")
-    placed = parse.locate(found, parse.paragraphs(t), "para_idx").join(t, "doc_id")
-    return placed.select("doc_id", "rule_id", "start", "end", "para_idx", parse.line_of(parse.TEXT(), F.col("start")).alias("line"), parse.context(parse.TEXT(), F.col("start"), F.col("end")).alias("around"))
+    rows = docs(s, d).select("doc_id", parse.TEXT().alias("text")).withColumn("hits", norm.rule_array(F.col("text"), RULES)).filter(F.size("hits") > 0)
+    at = F.transform("hits", lambda x: x["start"])
+    paras = F.transform(parse.paragraph_array(F.col("text")), lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end")))
+    rows = rows.withColumn("para", parse.piece_indices(at, paras)).withColumn("line", parse.line_numbers(at, F.col("text")))
+    around = F.transform("hits", lambda x: parse.context(F.col("text"), x["start"], x["end"]))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("hits", "para", "line", around.alias("around"))).alias("x"))
+    return rows.select("doc_id", "x.hits.rule_id", "x.hits.start", "x.hits.end", F.col("x.para").alias("para_idx"), "x.line", "x.around")
 
 
 def hit_sentences(s, d):
     """Sentence of each rule hit."""
-    t = docs(s, d)
-    return parse.locate(norm.rule_hits(t, RULES).select("doc_id", "rule_id", "start", "end"), parse.sentences(t), "sent_idx")
+    rows = docs(s, d).select("doc_id", parse.TEXT().alias("text")).withColumn("hits", norm.rule_array(F.col("text"), RULES)).filter(F.size("hits") > 0)
+    rows = rows.withColumn("sent", parse.piece_indices(F.transform("hits", lambda x: x["start"]), parse.sentence_array(F.col("text"))))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("hits", "sent")).alias("x"))
+    return rows.select("doc_id", "x.hits.rule_id", "x.hits.start", "x.hits.end", F.col("x.sent").alias("sent_idx"))
 
 
 def quote_spans(s, d):
@@ -190,8 +195,9 @@ def style_plan(s, d):
 
 
 def intake_routes(s, d):
-    p = audit.intake(docs(s, d))
-    return p.join(audit.routes(p), "doc_id").select("doc_id", "n_chars", F.round("digit_density", 9).alias("digit_density"), "n_refs", "is_academic", "doc_type", *[f"run_{e}" for e in audit.ENGINES])
+    x = F.col("x")
+    rows = docs(s, d).select("doc_id", audit.intake_struct(parse.TEXT()).alias("x"))
+    return rows.select("doc_id", "x.n_chars", F.round("x.digit_density", 9).alias("digit_density"), "x.n_refs", "x.is_academic", "x.doc_type", *[audit.route(x, e).alias(f"run_{e}") for e in audit.ENGINES])
 
 
 NAMES = [doc_meta, paragraphs, sentences, rule_positions, hit_sentences, quote_spans, tokens_top, char_ngram_stats, html_strip, exact_term_hits, term_variants, fuzzy_term_hits, semantic_nearest, ordering_violations, banned_patterns, dict_rules, punctuation, thousands_and_ellipsis, percent_precision, long_sentences, pair_balance, suppressed_terms, overgeneralisation, claims, causal_leap, absolute_terms, intensity_conflict, vague_reference, quantifier_conflict, claim_sentences, number_facts, vague_comparisons, style_profile, metric_gap, style_score, style_plan, intake_routes]
@@ -250,13 +256,14 @@ SQL = {
     "thousands_and_ellipsis": f'WITH {hits(PLAIN_PUNCTUATION)} SELECT doc_id, rule_id, start, "end", original FROM hits',
     "percent_precision": f"""WITH {LINES}, p AS (SELECT doc_id, start, "end", list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)?%'), lambda x: length(regexp_extract(x, '\\.(\\d+)%', 1))) AS d FROM paras) SELECT doc_id, start, "end" FROM p WHERE len(d) > 1 AND list_max(d) - list_min(d) > 1""",
     "long_sentences": f"""WITH {SEGMENTS} SELECT doc_id, start, "end" FROM sents WHERE length({strip("text")}) > 90 AND len(regexp_extract_all(text, '[,，、]')) >= 5 AND NOT starts_with({strip("text")}, '[')""",
-    "pair_balance": f"""WITH p AS (SELECT * FROM (VALUES ('()', '(', ')'), ('[]', '[', ']'), ('{{}}', '{{', '}}')) v(pair, a, b)), c AS (SELECT doc_id, pair, length({T}) - length(replace({T}, a, '')) AS n_open, length({T}) - length(replace({T}, b, '')) AS n_close FROM documents, p) SELECT * FROM c WHERE n_open <> n_close""",
+    "pair_balance": f"""WITH p AS (SELECT * FROM (VALUES {", ".join(f"({q(a + b)}, {q(a)}, {q(b)})" for a, b in LATIN.pairs)}) v(pair, a, b)), c AS (SELECT doc_id, pair, length({T}) - length(replace({T}, a, '')) AS n_open, length({T}) - length(replace({T}, b, '')) AS n_close FROM documents, p) SELECT * FROM c WHERE n_open <> n_close""",
     "overgeneralisation": f"""WITH {SEGMENTS}, w AS (SELECT *, string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS scope FROM sents) SELECT doc_id, sent_idx, start, "end" FROM w WHERE {any_contains("text", W["conclusion"])} AND {any_contains("text", W["universal"])} AND {any_contains("scope", W["local"])}""",
     "claims": f"WITH {LINES} SELECT doc_id, para_idx FROM paras WHERE NOT is_heading AND length({strip('text')}) >= 30 AND {any_contains('text', W['claim'])} AND NOT {_EVIDENCE('text')}",
-    "causal_leap": f"""WITH {SEGMENTS}, w AS (SELECT *, coalesce(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS prior, lag(text) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS last, list_min(list_filter([{", ".join(f"instr(text, {q(x)})" for x in W["causal"])}], lambda i: i > 0)) AS place FROM sents)
-  SELECT doc_id, sent_idx FROM w WHERE place IS NOT NULL AND NOT regexp_matches(substr(text, 1, place - 1), '[,，]') AND NOT {_EVIDENCE("text")} AND NOT {_EVIDENCE("prior")} AND length({strip("last")}) >= 10""",
-    "absolute_terms": f"""WITH {SEGMENTS}, w AS (SELECT *, {_LIST("absolute")} AS found FROM sents WHERE NOT starts_with({strip("text")}, {q(W["opener"][0])})), x AS (SELECT *, len(list_filter(found, lambda f: f IN ({", ".join(q(h) for h in W["hard"])})))::BIGINT AS n_hard FROM w WHERE len(found) > 0)
-  SELECT doc_id, sent_idx, start + list_min(list_transform(found, lambda f: instr(text, f))) - 1 AS start, start + list_max(list_transform(found, lambda f: instr(text, f) + length(f))) - 1 AS "end", array_to_string(found, ',') AS terms, n_hard, CASE WHEN n_hard > 0 AND NOT {_EVIDENCE("text")} THEN 'MAJOR' WHEN len(found) > 1 OR n_hard > 0 THEN 'MINOR' ELSE 'INFO' END AS severity FROM x""",
+    "causal_leap": f"""WITH {SEGMENTS}, w AS (SELECT *, coalesce(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS prior, list_min(list_filter([{", ".join(f"instr(text, {q(x)})" for x in W["causal"])}], lambda i: i > 0)) AS place FROM sents)
+  SELECT doc_id, sent_idx FROM w WHERE place IS NOT NULL AND NOT regexp_matches(substr(text, 1, place - 1), '[,，]') AND NOT regexp_matches(text, '\\d|%|（|\\[|\\(') AND NOT regexp_matches(prior, '\\d|%|（|\\[|\\(') AND length({strip("prior")}) >= 10""",
+    "absolute_terms": f"""WITH {SEGMENTS}, w AS (SELECT *, {strip("text")} AS body, {_LIST("absolute")} AS found, regexp_matches(text, '\\d|%|（|\\[|\\(') AS proof FROM sents), x AS (SELECT *, list_filter(found, lambda f: f IN ({", ".join(q(h) for h in W["hard"])})) AS hard FROM w WHERE len(found) > 0 AND len(list_filter(found, lambda f: starts_with(body, f) AND regexp_matches(substr(body, 1, length(f) + 6), '[,，]'))) = 0),
+  y AS (SELECT *, CASE WHEN len(hard) >= 2 OR (len(hard) = 1 AND NOT proof) THEN 'MAJOR' WHEN len(hard) = 1 THEN 'MINOR' WHEN NOT proof THEN 'INFO' END AS severity, CASE WHEN len(hard) > 0 THEN hard ELSE found END AS used FROM x)
+  SELECT doc_id, sent_idx, start + list_min(list_transform(used, lambda f: instr(text, f))) - 1 AS start, start + list_max(list_transform(used, lambda f: instr(text, f) + length(f))) - 1 AS "end", array_to_string(used, ',') AS terms, len(hard)::BIGINT AS n_hard, severity FROM y WHERE severity IS NOT NULL""",
     "intensity_conflict": f"""WITH {SEGMENTS} SELECT doc_id, sent_idx, array_to_string({_LIST("absolute")}, ',') AS strong, array_to_string({_LIST("hedge")}, ',') AS weak FROM sents WHERE len({_LIST("absolute")}) > 0 AND len({_LIST("hedge")}) > 0""",
     "vague_reference": f"""WITH {SEGMENTS}, w AS (SELECT *, coalesce(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS prior, regexp_extract({strip("text")}, {q("^" + _ANY("vague"))}) AS word FROM sents) SELECT doc_id, sent_idx, word FROM w WHERE word <> '' AND NOT {any_contains("prior", W["noun"])}""",
     "quantifier_conflict": f"""WITH {SEGMENTS}, w AS (SELECT *, list_max(list_transform(regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)%', 1), lambda x: x::DOUBLE)) AS top FROM sents), r AS (SELECT * FROM (VALUES {", ".join(f"({q(a)}, {lo}, {hi})" for a, lo, hi, _ in LATIN.quantifiers)}) v(word, lo, hi)) SELECT doc_id, sent_idx, top, word FROM w, r WHERE top IS NOT NULL AND contains(text, word) AND (top < lo OR top > hi)""",

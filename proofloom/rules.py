@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Severities with their weight in ordering and in scoring, categories with their dimension.
 SEVERITY_ORDER = {"FATAL": 100, "MAJOR": 20, "MINOR": 5, "INFO": 1}
 SEVERITY_SCORE = {"FATAL": 100.0, "MAJOR": 20.0, "MINOR": 5.0, "INFO": 0.5}
-DIMENSION_OF = {"term": "terminology", "political": "terminology", "language": "language", "logic": "logic", "data": "academic", "format": "academic", "duplicate": "academic", "style": "style"}
+DIMENSION_OF = {"term": "terminology", "political": "terminology", "language": "language", "format": "language", "logic": "logic", "data": "academic", "duplicate": "academic", "reference": "academic", "style": "style"}
 DIMENSIONS = {"terminology": (150.0, 0.35), "language": (130.0, 0.18), "logic": (200.0, 0.17), "academic": (200.0, 0.25), "style": (120.0, 0.05)}  # scale, weight
 
 
@@ -27,8 +27,9 @@ class Term:
     source: str = "core"
     tags: tuple[str, ...] = ()
     seeds: tuple[str, ...] = ()
-    confidence: float = 1.0
+    confidence: float = 0.95
     version: str = "1"
+    explain: str = ""
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,12 @@ class Rule:
     advice: str = ""
     confidence: float = 0.8
     allow_context: tuple[str, ...] = ()
+    fix: str = ""  # how a suggestion is made, see norm.FIXES; with a replacement: "replace"
+
+
+#: Marks that stand in pairs, and Latin words that may touch CJK characters, in lower case.
+PAIRS = (("(", ")"), ("[", "]"), ("{", "}"), ("“", "”"), ("‘", "’"), ("（", "）"), ("《", "》"), ("【", "】"))
+CLOSED_UP = ("api", "app", "cpu", "gpu", "html", "http", "https", "java", "json", "linux", "pdf", "python", "sql", "url", "web", "xml")
 
 
 @dataclass(frozen=True)
@@ -58,8 +65,13 @@ class Pack:
     words: dict[str, tuple[str, ...]] = field(default_factory=dict)
     quantifiers: tuple[tuple[str, float, float, str], ...] = ()
     metrics: tuple[tuple[str, float, float], ...] = ()
-    pairs: tuple[tuple[str, str], ...] = (("(", ")"), ("[", "]"), ("{", "}"))
+    repeats: tuple[Rule, ...] = ()  # suggestions are the first half of a match
+    pairs: tuple[tuple[str, str], ...] = PAIRS
     cues: tuple[str, ...] = ()
+    unit: str = r"%|\p{L}+"
+    closed_up: tuple[str, ...] = CLOSED_UP
+    sections: tuple[str, ...] = ()
+    publishers: tuple[str, ...] = ()
 
 
 LATIN = Pack(
@@ -90,8 +102,14 @@ LATIN = Pack(
     words={
         "universal": ("the", "and"), "conclusion": ("tion ", "ening "), "local": (" in ", " at "), "absolute": ("the", "was", "que"), "hard": ("was", "que"), "hedge": ("of", "and", "de"),
         "claim": ("with", "from"), "evidence": ("that",), "causal": ("for", "por", "par"), "vague": ("This", "That", "Which", "Those"), "noun": ("tion",), "opener": ("The ",), "europeanised": ("tion",), "lead": ("the",),
-        "avoid": ("this", "which"),
+        "avoid": ("this", "which"), "comparison": ("year-on-year", "month-on-month", "that the"), "degree": ("strongly", "slightly", "of"),
     },
+    repeats=(
+        Rule("doubled-word", r"(?i)\b(\p{L}{2,})\s+\1\b", "MAJOR", message="doubled word", confidence=0.85),
+        Rule("chain", r"(?:\bof\b[^,.;\n]{2,12}){3,}", "INFO", message="chain of attributes", confidence=0.85),
+        Rule("doubled-ending", r"(?:tion){2,}", "MINOR", message="doubled ending", confidence=0.85),
+        Rule("doubled-start", r"\b(?:the){2,}", "MAJOR", message="doubled article", confidence=0.85),
+    ),
     quantifiers=(("with", 0.0, 50.0, "a majority is above half"), ("the", 50.0, 100.0, "state the share")),
     metrics=(("mean_sentence", 20.0, 60.0), ("symbol_density", 0.0, 0.02), ("lead_ratio", 0.2, 1.0)),
     cues=(r"\bthe (\w{6,})", r"\bof (\w{6,})", r"\band (\w{6,})"),
@@ -106,19 +124,33 @@ ZH = Pack(
     negation=("不是", "并非", "不得"),
     terms=(Term("z1", "数据集成", ("数椐集成",), severity="MAJOR"), Term("z2", "次序", type="ordering", order=("春", "夏", "秋", "冬"), segment="[春夏秋冬、]{3,}")),
     language=(Rule("z-twice", r"(的)的", "MINOR", message="重复", replacement="$1"),),
-    words={"absolute": ("必然", "一定"), "hard": ("必然",), "hedge": ("可能", "或许"), "evidence": ("数据", "%"), "claim": ("表明",), "causal": ("因此",), "vague": ("这些",), "universal": ("全国",), "conclusion": ("说明",), "local": ("本市",), "noun": ("部门",), "opener": (), "avoid": ("搞",), "europeanised": ("被",), "lead": ("一是",)},
+    repeats=(
+        Rule("z-particle", "的的|了了|是是", "MAJOR", message="助词重复", confidence=0.85),
+        Rule("z-chain", "(?:的[^，。；]{2,10}){2,}的", "INFO", message="定语过长", confidence=0.85),
+        Rule("z-aspect", "进行(?:了)?了", "MINOR", message="助词重复", confidence=0.85),
+        Rule("z-word", "通过通过|从从|在在", "MAJOR", message="词语重复", confidence=0.85),
+    ),
+    unit="%|[万亿]?(?:人次|平方公里|平方米|公顷|公里|元|条|个|人|户|家|项|次|吨|亩|米|天|年|月)|[万亿]",
+    words={"absolute": ("必然", "一定"), "hard": ("必然",), "hedge": ("可能", "或许"), "evidence": ("数据", "%"), "claim": ("表明",), "causal": ("因此",), "vague": ("这些",), "universal": ("全国",), "conclusion": ("说明",), "local": ("本市",), "noun": ("部门",), "opener": (), "avoid": ("搞",), "europeanised": ("被",), "lead": ("一是",), "comparison": ("同比", "环比"), "degree": ("较快", "明显", "显著", "大幅", "有所", "平稳")},
 )
 
 PACKS = {p.name: p for p in (LATIN, ZH)}
 
 
-def term_rows(spark: SparkSession, pack: Pack) -> DataFrame:
-    """One row per pattern, the highest priority winning: pattern, role (variant or standard), and the term's columns."""
-    best: dict[str, tuple] = {}
+def pattern_rows(pack: Pack) -> list[dict]:
+    """A row for each pattern, the highest priority winning: pattern, role (variant or standard), and the term's columns."""
+    best: dict[str, dict] = {}
     for t in pack.terms:
         for role, patterns in (("standard", (t.term,)), ("variant", t.variants)):
             for p in patterns:
-                row = (p, role, t.id, t.term, t.type, t.severity, t.replaces or t.term, t.source, t.priority)
-                if p not in best or t.priority > best[p][-1]:
+                row = {"pattern": p, "role": role, "term_id": t.id, "term": t.term, "type": t.type, "severity": t.severity, "suggestion": t.replaces or t.term, "source": t.source, "priority": t.priority, "confidence": t.confidence, "explain": t.explain}
+                if p and (p not in best or t.priority > best[p]["priority"]):
                     best[p] = row
-    return spark.createDataFrame(sorted(best.values()), "pattern string, role string, term_id string, term string, type string, severity string, suggestion string, source string, priority int")
+    return [best[p] for p in sorted(best)]
+
+
+def term_rows(spark: SparkSession, pack: Pack) -> DataFrame:
+    """pattern_rows as a table."""
+    kinds = "pattern string, role string, term_id string, term string, type string, severity string, suggestion string, source string, priority int"
+    names = [k.split()[0] for k in kinds.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in pattern_rows(pack)], kinds)

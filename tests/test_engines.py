@@ -2,11 +2,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from proofloom.functions import hashing, offsets
 from proofloom.operators import academic, lifecycle, logic, norm, resolve, revise, score, similarity, style, terms
-from proofloom.operators.parse import sentences
+from proofloom.operators.parse import paragraph_array
+from proofloom.operators.parse import sentence_windows as sentences
 from proofloom.plans import audit
 from proofloom.rules import LATIN, ZH, Pack, Rule, Term, term_rows
-from proofloom.schema import make_issues
+from proofloom.schema import entries, make_issues
 
 
 def levenshtein(a, b):
@@ -69,6 +71,7 @@ def test_norm_pairs(docs):
     d = docs("1,234,567 wait!! the the end...", "fine text", "数据,集成 (中文)", '他说"中文"了', "abc中文 数据API中")
     rules = {(r["doc_id"], r["rule_id"], r["suggestion"]) for r in norm.punctuation_issues(d).collect()}
     assert (0, "thousands", "1234567") in rules and (0, "repeated-mark", "!") in rules and (0, "doubled-word", "the") in rules and (0, "ellipsis", "…") in rules
+    assert not any(r[1] == "cjk-latin-space" and r[0] == 4 and "API" in str(r) for r in rules)
     assert (2, "half-width", "，") in rules and (2, "full-parens", "（中文）") in rules and (3, "cjk-quotes", "“中文”") in rules
     assert any(r[0] == 4 and r[1] == "cjk-latin-space" for r in rules) and not any(r[0] == 1 for r in rules)
     assert {r["pair"] for r in norm.pair_balance(docs("(a", "[]")).collect()} == {"()"}
@@ -86,6 +89,11 @@ def test_logic_positive_and_negative(docs):
     assert {r["doc_id"] for r in logic.overgeneralisation(sents, ZH).collect()} == {0}
     sents = sentences(docs("这是必然的。", "可能必然如此。"), ZH)
     assert {r["doc_id"]: r["severity"] for r in logic.absolute_claims(sents, ZH).collect()} == {0: "MAJOR", 1: "MAJOR"}
+    rows = logic.absolute_claims(sentences(docs("必然一定如此。", "一定如此。", "一定有3项。", "一定，如此。", "我们必然有3项，必然。"), ZH), ZH).collect()
+    assert {r["doc_id"]: (r["severity"], r["terms"], r["start"], r["end"]) for r in rows} == {0: ("MAJOR", "必然", 0, 2), 1: ("INFO", "一定", 0, 2), 4: ("MINOR", "必然", 2, 4)}
+    sents = sentences(docs("一二三四五六七八九十。因此如此。", "一二三。因此如此。", "一二三四五六七八九十。我们看，因此如此。", "一二三四五六七八九十3。因此如此。", "一二三四五。六七八九十。因此如此。"), ZH)
+    assert {r["doc_id"] for r in logic.causal_leaps(sents, ZH).collect()} == {0, 4}
+    sents = sentences(docs("这是必然的。", "可能必然如此。"), ZH)
     assert {r["doc_id"] for r in logic.intensity_conflicts(sents, ZH).collect()} == {1}
     sents = sentences(docs("部门已定。这些要做。", "已经定了。这些要做。"), ZH)
     assert {r["doc_id"] for r in logic.vague_references(sents, ZH).collect()} == {1}
@@ -97,11 +105,20 @@ def test_sums_and_shares(docs):
     rows = {r["doc_id"]: r for r in academic.sum_consistency(paras).collect()}
     assert set(rows) == {0} and rows[0]["computed"] == 440 and rows[0]["stated"] == 430 and rows[0]["severity"] == "MAJOR"
     assert {r["doc_id"] for r in academic.share_range(paras).collect()} == {2}
+    facts = docs("1,200 units and 300 units, a total of 1,500 units, in 1998").select(academic.number_facts(F.col("text")).alias("f")).first()["f"]
+    assert [(f["value"], f["unit"], f["label"]) for f in facts] == [(1200.0, "units", ""), (300.0, "units", ""), (1500.0, "units", "")]
+    zh = docs("甲为312万条，乙为268万条，丙为196万条，三项合计776万条，占归集总量的95.8%。", "共820万条，其中甲312万条，乙268万条，丙196万条，合计776万条，占比80.5%。")
+    paras = academic.numeric_paragraphs(zh, ZH)
+    assert academic.sum_consistency(paras).count() == 0
+    row = academic.share_consistency(paras).collect()
+    assert [r["doc_id"] for r in row] == [1] and abs(row[0]["computed"] - 776 / 8.2) < 1e-9 and row[0]["stated"] == 80.5
 
 
 def test_numbering_figures_references(docs, spark):
     d = docs("1. A\n2. B\n4. C\n5. D", "一、甲\n三、乙", "see figure 3\nFigure 2: x")
-    assert {(r["doc_id"], r["num"]) for r in academic.numbering_gaps(academic.heading_numbers(d), "doc_id", "para_idx", "num").collect()} == {(0, 4), (1, 3)}
+    assert {(r["doc_id"], r["num"], r["expected"]) for r in academic.numbering_jumps(d).collect()} == {(0, 4, 3), (1, 3, 2)}
+    levels = docs("1. A\n1.1 a\n1.3 b\n2. B\n2.1 c\n2.2 d\n3. C\n3.2 e", "一、甲\n（一）子\n（二）丑\n二、乙\n（二）寅")
+    assert {(r["doc_id"], r["level"], r["num"], r["expected"]) for r in academic.numbering_jumps(levels).collect()} == {(0, 2, 3, 2), (0, 2, 2, 1), (1, 2, 2, 1)}
     missing, orphan = academic.missing_and_orphans(*academic.figures(d), on=["doc_id", "num"])
     assert [tuple(r) for r in missing.collect()] == [(2, "3")] and [tuple(r) for r in orphan.collect()] == [(2, "2")]
     refs = spark.createDataFrame([(0, 1, "[1] A, B, C, D. T[Q]. P: X, 2050: 1–3. doi:11.x"), (0, 2, "[2] A. T[EB/OL]. 2020. doi:10.1234/abc")], "doc_id int, num int, text string")
@@ -157,13 +174,63 @@ def test_versions_and_candidates(spark):
     assert [r["j"]["a"] if r["j"] else None for r in j.collect()] == [1, None]
 
 
-def test_near_duplicates_of_paragraphs(spark):
-    a = "the quick brown fox jumps over the lazy dog while the sun sets behind the distant hills of the valley"
-    rows = [(0, 0, a), (0, 1, a + " again"), (0, 2, "entirely different words are standing here without any relation to others at all")]
-    fp = similarity.fingerprints(spark.createDataFrame(rows, "doc_id int, para_idx int, text string").withColumn("pid", F.concat_ws("#", "doc_id", "para_idx")), "pid").withColumn("doc_id", F.split_part("pid", F.lit("#"), F.lit(1)).cast("int")).withColumn("para_idx", F.split_part("pid", F.lit("#"), F.lit(2)).cast("int"))
-    assert [(r["a_para_idx"], r["b_para_idx"]) for r in similarity.intra_duplicates(fp, least=0.8).collect()] == [(0, 1)]
-    best = similarity.cross_duplicates(fp, fp.withColumnRenamed("pid", "cid"), "pid", "cid", "exact").collect()
-    assert {r["pid"] for r in best} == {"0#0", "0#1", "0#2"}
+def test_fingerprints_agree_with_the_columns(spark):
+    texts = ["the quick brown fox jumps", "Zwei 数据集成 words 3.5% and more, 中 x", "", "a", "same same same same"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for r in similarity.fingerprints(df, "k", 16).collect():
+        f = similarity.fingerprint_of(texts[r["k"]], 16)
+        assert f.simhash == r["simhash"] & (2**64 - 1) and f.minhash.tolist() == r["minhash"] and f.grams == set(r["grams"]), texts[r["k"]]
+
+
+def plain_pairs(texts, sim=0.85, least=0.9):
+    prints = [similarity.fingerprint_of(t) for t in texts]
+    scored = {(i, j): similarity.scores_of(prints[i], prints[j]) for j in range(len(texts)) for i in range(j)}
+    return {k for k, s in scored.items() if s[0] >= sim and s[3] >= least}
+
+
+def test_repeated_paragraphs_against_all_pairs(docs):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 200))) for _ in range(5)]
+    texts = []
+    for _ in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            t[rng.randrange(len(t))] = "z"
+        texts.append("".join(t))
+    want = plain_pairs(texts)
+    assert {(i, j) for i, j, _ in similarity.alike_pairs(texts)} == want and len(want) > 20
+    paras = ["Short."] + [t.strip() for t in texts[:6]] + [texts[0].strip()]
+    rows = similarity.intra_duplicates(docs("\n".join(paras), "x", None)).collect()
+    own = [(i, t) for i, t in enumerate(paras) if len(t) >= similarity.MIN_CHARS]
+    alike = plain_pairs([t for _, t in own])
+    assert {(r["doc_id"], r["first"], r["second"]) for r in rows} == {(0, own[i][0], own[j][0]) for i, j in alike}
+
+
+def test_corpus_against_all_pairs(docs, spark):
+    rng = random.Random(10)
+    corpus = [("c%d" % i, " ".join(rng.choice("alpha beta gamma delta rho tau phi chi".split()) for _ in range(40))) for i in range(6)]
+    texts = []
+    for _ in range(30):
+        w = rng.choice(corpus)[1].split()
+        for _ in range(rng.choice([0, 2, 6, 15])):
+            w[rng.randrange(len(w))] = "other"
+        texts.append(" ".join(w))
+    want = {}
+    for i, t in enumerate(texts):
+        f = similarity.fingerprint_of(t)
+        best = None
+        for name, c in corpus:
+            s = similarity.scores_of(f, similarity.fingerprint_of(c))
+            if s[0] >= 0.5 and not (s[1] < 0.45 and s[2] < 0.45) and s[3] >= 0.72 and (best is None or s[3] > best[1]):
+                best = (name, s[3])
+        if best:
+            want[i] = best
+    rows = entries(similarity.with_published(docs(*texts).withColumn("paras", paragraph_array(F.col("text"))), corpus), F.col("published")).collect()
+    assert {r["doc_id"]: (r["source"], r["score"]) for r in rows} == want and 5 < len(want) < 30
+    fp = similarity.fingerprints(docs(*texts), "doc_id")
+    cp = similarity.fingerprints(spark.createDataFrame(corpus, "c string, text string"), "c")
+    rows = similarity.cross_duplicates(fp, cp, "doc_id", "c", block=2).collect()
+    assert {r["doc_id"]: (r["c"], round(r["combined"], 9)) for r in rows} == {k: (n, round(x, 9)) for k, (n, x) in want.items()}
 
 
 def test_style_and_gate(spark, docs):
@@ -175,10 +242,87 @@ def test_style_and_gate(spark, docs):
     assert [r["g"] for r in g.collect()] == ["BLOCK", "REVIEW", "REVIEW", "PASS"]
 
 
+def test_prefix_sums_and_ranks(spark):
+    rng = random.Random(11)
+    rows = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 191, 192, 193, 1000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, a array<int>")
+    out = {r["k"]: (r["s"], r["m"]) for r in df.select("k", offsets.prefix_sums(F.col("a")).alias("s"), offsets.scan(F.col("a"), -1, F.greatest).alias("m")).collect()}
+    for i, r in enumerate(rows):
+        assert out[i] == ([sum(r[:j]) for j in range(len(r))], [max([-1, *r[:j]]) for j in range(len(r))])
+    df = spark.createDataFrame([([5, 0, 9, 5], [0, 5, 7]), ([], [1]), ([3], [])], "p array<int>, s array<int>")
+    assert [r["r"] for r in df.select(offsets.ranks(F.col("p"), F.col("s")).alias("r")).collect()] == [[2, 1, 3, 2], [], [0]]
+
+
+def test_in_row_terms_equal_the_tables(docs, spark, monkeypatch):
+    rng = random.Random(12)
+    pack = Pack("t", ".", "", "x", "x", ("not",), terms=(Term("a", "abcdefghij klmnop", ("abcdef ghij",), confidence=0.9), Term("b", "qrstuvwxyz", ("qrstu", "tuv"))))
+    surfaces = ["abcdefghij klmnop", "abcdef ghij", "qrstuvwxyz", "qrstu", "tuv"]
+    texts = []
+    for _ in range(25):
+        t = []
+        for _ in range(4):
+            t += ["".join(c if rng.random() > 0.06 else rng.choice("mnz") for c in rng.choice(surfaces)), "".join(rng.choice("xyz ") for _ in range(5))]
+        texts.append("".join(t))
+    table, d = term_rows(spark, pack), docs(*texts)
+    want = {(r["doc_id"], r["start"], r["pattern"]) for r in terms.exact_hits(d, table).collect()}
+    got = lambda: {(r["doc_id"], r["x"]["start"], r["x"]["pattern"]) for r in terms.with_hits(d, pack).select("doc_id", F.explode_outer("hits").alias("x")).filter("x IS NOT NULL").collect()}
+    assert got() == want and len(want) > 30
+    near = {(r["doc_id"], r["start"], r["end"], r["surface"], r["distance"]) for r in terms.fuzzy_hits(d, table, terms.exact_hits(d, table)).collect()}
+    rows = d.withColumn("h", terms.exact_array(F.col("text"), pack)).withColumn("v", terms.fuzzy_votes(F.col("text"), pack))
+    rows = rows.select("doc_id", F.explode(terms.fuzzy_array(F.col("text"), F.col("v"), F.col("h"), pack)).alias("x")).select("doc_id", "x.*").collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["surface"], r["distance"]) for r in rows} == near and len(near) > 5
+    monkeypatch.setattr(terms, "SEARCHED_PATTERNS", 1)
+    assert got() == want
+
+
+def test_semantic_level(docs):
+    pack = Pack("t", ".", "", "x", r"^References$", ("not",), terms=(Term("s", "right words", type="semantic", seeds=("the wrong words of old", "quite other things")),))
+    texts = ["Here the wrong words of old stand. A calm sentence is here.", "References\nthe wrong words of old.", "wrong"]
+    found = {(r["doc_id"], r["rule_id"], r["start"], r["end"], r["suggestion"]) for r in terms.term_issues(docs(*texts), pack).collect()}
+    best = max(float(hashing.hashed_vector("Here the wrong words of old stand.") @ hashing.hashed_vector(seed)) for seed in pack.terms[0].seeds)
+    assert best >= 0.82 and found == {(0, "semantic-s", 5, 27, "right words")}
+    assert docs("ab", "").select(hashing.hashed_embedding(F.col("text"), 8).alias("e")).collect()[1]["e"] == [0.0] * 8
+
+
+def test_annotation_and_review(docs, spark):
+    d = docs("one two\n\nthree four")
+    rows = [(0, 9, 14, "a", "three"), (0, 0, 3, "b", "the whole sentence"), (0, 0, 0, "c", ""), (0, 4, 99, "d", "x")]
+    issues = make_issues(spark.createDataFrame(rows, "doc_id bigint, start int, end int, rule_id string, original string"), "norm")
+    out = {r["rule_id"]: r for r in resolve.annotate(issues, d, paragraph_array(F.col("text"))).collect()}
+    assert (out["a"]["line"], out["a"]["paragraph"], out["a"]["original"], out["a"]["sentence"]) == (3, 1, "three", "")
+    assert (out["b"]["line"], out["b"]["original"], out["b"]["sentence"]) == (1, "one", "the whole sentence")
+    why = {r["rule_id"]: r["rejected"] for r in resolve.review(issues, d).collect()}
+    assert why == {"a": None, "b": "drift", "c": "empty-span", "d": "out-of-range"}
+
+
+def test_verdicts_reach_only_what_was_asked(spark):
+    rows = [(0, i, i + 1, f"r{i}", "MAJOR", 0.9) for i in range(14)] + [(0, 50, 51, "fuzzy-a", "MINOR", 0.8), (0, 60, 61, "fuzzy-b", "MINOR", 0.95)]
+    issues = make_issues(spark.createDataFrame(rows, "doc_id bigint, start int, end int, rule_id string, severity string, confidence double"), "term")
+    assert resolve.verdict_targets(issues).count() == 13
+    verdicts = issues.select("doc_id", "issue_id", F.lit(False).alias("accept"), F.lit("").alias("note"))
+    out = resolve.apply_verdicts(issues, verdicts).collect()
+    assert len(out) == 16 and sum(r["refused"] for r in out) == 13 and {r["rule_id"] for r in out if r["refused"] and r["rule_id"].startswith("f")} == {"fuzzy-a"}
+
+
+def test_references_are_exempt_after_overlaps(docs):
+    pack = Pack("t", ".", "", "^$x", r"^References$", ("not",), language=(Rule("in", "bb", "MINOR"), Rule("wide", r"a+\n\[1\] bb", "MAJOR")), words=LATIN.words)
+    d = docs("aa\n[1] bb\n[2] bb")
+    found = {(r["rule_id"], r["start"]) for r in audit.raw_issues(d, pack, ("norm",)).collect()}
+    assert found == {("wide", 0)}  # it hides one hit first, and the other lies in the references
+
+
 def test_audit_end_to_end(docs):
     d = docs('bad!! token = "0123456789abcdef0123" word%%% here.', "A calm text.")
     report = audit.audit(d, LATIN, engines=("term", "norm"))
     gates = {r["doc_id"]: r["gate"] for r in report.scores.collect()}
     assert gates == {0: "BLOCK", 1: "PASS"}
     assert "BLOCK" in audit.render(report, d, "markdown").filter("doc_id = 0").first()["markdown"]
+    report.release()
+    twice = audit.audit(docs("bad!!", "bad!!", "calm").withColumn("doc_id", F.when(F.col("doc_id") < 2, 7)), LATIN, keep=False)
+    assert sorted((r["doc_id"] or 0, r["n_minor"]) for r in twice.scores.collect())[1:] == [(7, 1), (7, 1)] and twice.scores.count() == 3
+    assert {t["node"]: t["error"] for t in audit.traced(d, LATIN, ("norm", "logic"))} == {"norm": "", "logic": ""}
+    assert audit.audit(d, LATIN, checks={"norm": ()}, engines=("norm",), keep=False).issues.count() == 0
+    copied = "the same long paragraph stands here twice, word for word, to be found by the audit of duplicates"
+    rules = {r["rule_id"] for r in audit.audit(docs(f"Intro 1.\n{copied}\n{copied}"), LATIN, ("academic",), keep=False, corpus=[("old", copied)]).issues.collect()}
+    assert "dup-internal" in rules or "dup-cross" in rules
     assert audit.revise_texts(d, report.issues).filter("doc_id = 0").first()["revised"].startswith("bad! ")
