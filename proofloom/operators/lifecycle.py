@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofloom.functions.offsets import let
@@ -40,10 +40,31 @@ def diff_versions(old: DataFrame, new: DataFrame, key: str, compared: Sequence[s
     return rows.select(key, change.alias("change"), F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), changed).otherwise("").alias("columns")).filter("change IS NOT NULL")
 
 
-def promote(versions: DataFrame, current: str, shadow: str, approved: bool) -> DataFrame:
-    """The rows of the shadow version if approved, else of the current one: versions hold a version column, so that
-    promoting is a choice of pointer and never a rewrite (V05)."""
-    return versions.filter(F.col("version") == (shadow if approved else current))
+def stage(rows: DataFrame, path: str, version: str) -> None:
+    """Write a rule set as a version beside the others; none is changed."""
+    rows.drop("version").write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def promote(spark: SparkSession, path: str, version: str) -> None:
+    """Make a staged version the current one: a pointer is written beside and moved into place, so readers see the old or the
+    new one (V05)."""
+    jvm = spark.sparkContext._jvm
+    folder, name = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(name):
+        raise ValueError(f"there is no version {version}")
+    pointer, beside = (jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT{x}") for x in ("", ".new"))
+    out = fs.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    fs.delete(pointer, False)
+    fs.rename(beside, pointer)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the current version, with it as `version`."""
+    version = spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0]
+    return spark.read.parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
 
 def strip_lead(term: Column, lead: Sequence[str], least: int = 4) -> Column:

@@ -33,6 +33,8 @@ def profile_struct(text: Column, sents: Column, paras: Column, pack: Pack = LATI
             F.coalesce(F.array_max(n), F.lit(0)).cast("bigint").alias("max_sentence"),
             density(F.regexp_count(text, F.lit(r"[$#%&*!|]"))).alias("symbol_density"),
             density(count("hedge")).alias("hedge_density"),
+            density(count("absolute")).alias("absolute_density"),
+            density(count("avoid")).alias("colloquial_density"),
             F.coalesce(share(paras, lambda p: p["text"].rlike(r"\d")), F.lit(0.0)).alias("data_ratio"),
             F.coalesce(share(F.filter(paras, lambda p: F.length(p["text"]) > 40), lambda p: F.substring(p["text"], 1, 30).rlike(lead)), F.lit(1.0)).alias("lead_ratio"),
             count("europeanised").cast("bigint").alias("europeanised"),

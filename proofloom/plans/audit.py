@@ -179,7 +179,9 @@ def render(report: Report, docs: DataFrame, fmt: str = "json") -> DataFrame:
     if fmt == "markdown":
         return sinks.markdown_reports(report.scores, report.dimensions, report.issues, score.summaries(report.issues))
     if fmt == "html":
-        return sinks.html_reports(report.scores, docs, report.issues)
+        return sinks.html_reports(report.scores, docs, report.issues, report.dimensions, score.summaries(report.issues))
+    if fmt in ("docx", "pdf"):
+        return sinks.file_reports(render(report, docs, "markdown"), fmt)
     raise ValueError(f"unknown format {fmt}")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +35,54 @@ def markdown_reports(scores: DataFrame, dims: DataFrame, issues: DataFrame, summ
     return rows.select("doc_id", text.alias("markdown"))
 
 
-def html_reports(scores: DataFrame, docs: DataFrame, issues: DataFrame) -> DataFrame:
-    """doc_id, html: the score and the highlighted manuscript."""
+def sections(scores: DataFrame, dims: DataFrame, issues: DataFrame, summaries: DataFrame) -> DataFrame:
+    """doc_id, gate, overall, counts, and the parts that reports share: dims, lines and advice as arrays, summary."""
+    d = dims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("dimension", "score"))).alias("dims"))
+    line = F.struct((-weight()).alias("w"), "start", issue_lines().alias("line"))
+    i = issues.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"), F.array_sort(F.collect_set(F.when(F.col("explain") != "", F.col("explain")))).alias("advice"), F.array_sort(F.collect_set(F.struct("rule_id", "source"))).alias("rules"))
+    empty = F.array().cast("array<string>")
+    rows = scores.join(d, "doc_id", "left").join(i, "doc_id", "left").join(summaries, "doc_id", "left")
+    return rows.withColumn("lines", F.coalesce("lines", empty)).withColumn("advice", F.coalesce("advice", empty)).withColumn("summary", F.coalesce("summary", F.lit("nothing grave")))
+
+
+def html_reports(scores: DataFrame, docs: DataFrame, issues: DataFrame, dims: DataFrame, summaries: DataFrame) -> DataFrame:
+    """doc_id, html: eight sections: gate, dimensions, counts, summary, findings, advice, rules, manuscript."""
     marked = highlight(docs, issues).withColumnRenamed("html", "body")
-    rows = scores.join(marked, "doc_id")
-    head = F.format_string("<h1>%s</h1><p class=\"gate\">%s %.1f</p><pre>", escape_html(F.col("doc_id").cast("string")), "gate", "overall")
-    return rows.select("doc_id", F.concat(F.lit("<!DOCTYPE html><meta charset=\"utf-8\">"), head, "body", F.lit("</pre>")).alias("html"))
+    rows = sections(scores, dims, issues, summaries).join(marked, "doc_id")
+    items = lambda c: F.concat(F.lit("<ul>"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("<li>"), escape_html(x), F.lit("</li>"))), ""), F.lit("</ul>"))
+    table = F.concat(F.lit("<table>"), F.array_join(F.transform(F.coalesce("dims", F.array().cast("array<struct<dimension:string,score:double>>")), lambda x: F.format_string("<tr><td>%s</td><td>%.1f</td></tr>", x["dimension"], x["score"])), ""), F.lit("</table>"))
+    rules = F.transform(F.coalesce("rules", F.array().cast("array<struct<rule_id:string,source:string>>")), lambda x: F.concat(x["rule_id"], F.lit(": "), x["source"]))
+    parts = {
+        "Gate": F.format_string("<p class=\"gate\">%s %.1f</p>", "gate", "overall"), "Dimensions": table, "Counts": F.format_string("<p>fatal %d, major %d, minor %d, info %d</p>", "n_fatal", "n_major", "n_minor", "n_info"),
+        "Summary": F.concat(F.lit("<p>"), escape_html(F.col("summary")), F.lit("</p>")), "Findings": items(F.col("lines")), "Advice": items(F.col("advice")), "Rules": items(rules),
+        "Manuscript": F.concat(F.lit("<pre>"), "body", F.lit("</pre>")),
+    }
+    whole = [F.concat(F.lit(f"<section><h2>{n} {name}</h2>"), part, F.lit("</section>")) for n, (name, part) in enumerate(parts.items(), 1)]
+    head = F.format_string("<!DOCTYPE html><html><head><meta charset=\"utf-8\"></head><body><h1>Audit of %s</h1>", escape_html(F.col("doc_id").cast("string")))
+    return rows.select("doc_id", F.concat(head, *whole, F.lit("</body></html>")).alias("html"))
+
+
+def file_reports(markdown: DataFrame, kind: str) -> DataFrame:
+    """doc_id, content: reports (doc_id, markdown) as Word (docx) or PDF files."""
+    make = {"docx": docx_bytes, "pdf": pdf_bytes}[kind]
+
+    @F.pandas_udf("binary")
+    def content(texts: pd.Series) -> pd.Series:
+        return pd.Series([make(t.split("\n")) for t in texts])
+
+    return markdown.select("doc_id", content("markdown").alias("content"))
 
 
 def write_reports(reports: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Each format as text files in a folder of its name."""
+    """Each format in a folder of its name: doc_id and the report as Parquet rows, from which `report_of` picks one."""
     for name, df in reports.items():
-        df.select(df.columns[1]).write.mode(mode).option("lineSep", "\u001e\n").text(f"{path}/{name}")
+        df.select("doc_id", F.col(df.columns[1]).alias("report")).write.mode(mode).parquet(f"{path}/{name}")
+
+
+def report_of(spark, path: str, fmt: str, doc_id) -> str | bytes | None:
+    """The written report of one document."""
+    row = spark.read.parquet(f"{path}/{fmt}").filter(F.col("doc_id") == doc_id).first()
+    return row and row["report"]
 
 
 def docx_bytes(lines: list[str]) -> bytes:
@@ -65,14 +102,18 @@ def docx_bytes(lines: list[str]) -> bytes:
     return out.getvalue()
 
 
-def pdf_bytes(lines: list[str], per_page: int = 50) -> bytes:
-    """A plain PDF, Latin text only; other characters become ?."""
-    pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)] or [[]]
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
-    kids = []
-    for page in pages:
-        shown = "".join("(" + x.encode("latin-1", "replace").decode("latin-1").replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") + ") Tj T*\n" for x in page)
-        stream = f"BT /F1 10 Tf 12 TL 50 790 Td\n{shown}ET"
+def pdf_bytes(lines: list[str], per_page: int = 50, font: str = "STSong-Light") -> bytes:
+    """A plain PDF (K07). Texts beyond Latin are set in a font that PDF readers bring for CJK, by UCS-2 code."""
+    wide = any(ord(c) > 255 for line in lines for c in line)
+    if wide:
+        shown = lambda x: "<" + x.encode("utf-16-be", "replace").hex() + "> Tj T*\n"
+        font_of = f"<< /Type /Font /Subtype /Type0 /BaseFont /{font} /Encoding /UniGB-UCS2-H /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 /BaseFont /{font} /CIDSystemInfo << /Registry (Adobe) /Ordering (GB1) /Supplement 2 >> /DW 1000 >>] >>"
+    else:
+        shown = lambda x: "(" + x.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") + ") Tj T*\n"
+        font_of = "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+    objects, kids = ["<< /Type /Catalog /Pages 2 0 R >>", "", font_of], []
+    for at in range(0, max(1, len(lines)), per_page):
+        stream = "BT /F1 10 Tf 12 TL 50 790 Td\n" + "".join(map(shown, lines[at : at + per_page])) + "ET"
         objects.append(f"<< /Length {len(stream.encode('latin-1'))} >>\nstream\n{stream}\nendstream")
         objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {len(objects)} 0 R >>")
         kids.append(f"{len(objects)} 0 R")
