@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.plans import audit, table_queries, text_queries
+from proofloom.plans import audit, statement_queries, table_queries, text_queries
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -26,12 +26,12 @@ def _plain(query):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit report of each document: overall score, counts by severity, gate."""
-    return plain(audit.audit(text_queries.docs(spark, sf_dir)).scores)
+    return plain(audit.audit(text_queries.docs(spark, sf_dir), keep=False).scores)
 
 
 def queries() -> dict:
-    return {k: _plain(f) for k, f in (text_queries.QUERIES | table_queries.QUERIES).items()} | {"audit_report": flagship}
+    return {k: _plain(f) for k, f in (text_queries.QUERIES | table_queries.QUERIES | statement_queries.QUERIES).items()} | {"audit_report": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_queries.SQL | table_queries.SQL
+    return text_queries.SQL | table_queries.SQL | statement_queries.SQL

@@ -54,12 +54,6 @@ def numbering_turns(s, d):
     return academic.numbering_gaps(_t(s, d, "conversations"), "conv_id", "turn", "turn").select("conv_id", "turn", "expected")
 
 
-def refs_missing(s, d):
-    o, c = _t(s, d, "orders").select(F.col("o_custkey").alias("k")), _t(s, d, "customer").select(F.col("c_custkey").alias("k"))
-    missing, orphan = academic.missing_and_orphans(o, c, ["k"])
-    return missing.withColumn("kind", F.lit("missing")).unionByName(orphan.withColumn("kind", F.lit("orphan")))
-
-
 def labels_unlisted(s, d):
     missing, orphan = academic.missing_and_orphans(_t(s, d, "labels").select("doc_id"), _t(s, d, "documents").select("doc_id"), ["doc_id"])
     return missing.withColumn("kind", F.lit("missing")).unionByName(orphan.withColumn("kind", F.lit("orphan")))
@@ -147,6 +141,14 @@ def term_update(s, d):
     return lifecycle.run_update(candidates(s, d), known, 0.85).select("id", "term", "occurrences", "confidence", "status")
 
 
+def approvals(s, d):
+    """Pending parts approved into a ledger that holds some of them already."""
+    p = _t(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("term"))
+    ledger = p.filter("CAST(id AS BIGINT) % 3 = 0").withColumn("status", F.lit("approved"))
+    chosen = p.filter("CAST(id AS BIGINT) % 2 = 0").withColumn("status", F.lit("pending"))
+    return lifecycle.approve(chosen, ledger).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("bigint")).alias("ids"))
+
+
 def containment_dedup(s, d):
     names = _t(s, d, "conversations").select(F.explode(parse.tokens(parse.TEXT())).alias("term")).filter("length(term) >= 6").distinct()
     return lifecycle.drop_contained(names)
@@ -248,7 +250,7 @@ def history_trend(s, d):
     return out.select("user_id", "event_id", F.round("change", 6).alias("change"))
 
 
-NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, refs_missing, labels_unlisted, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, cross_duplicates, intra_duplicates, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
+NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, labels_unlisted, approvals, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, cross_duplicates, intra_duplicates, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _ISSUES = issues(RULES, "norm")
@@ -276,7 +278,6 @@ SQL = {
     "share_consistency": """WITH c AS (SELECT n_regionkey, n_name, sum(c_acctbal::DECIMAL(18,4)) AS part FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_regionkey::BIGINT AS n_regionkey, n_name, round(part::DOUBLE / (sum(part) OVER (PARTITION BY n_regionkey))::DOUBLE * 100, 6) AS share FROM c""",
     "numbering_lines": """WITH w AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 1, 1)::BIGINT AS expected FROM lineitem) SELECT * FROM w WHERE l_linenumber <> expected""",
     "numbering_turns": """WITH w AS (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, 1)::BIGINT AS expected FROM conversations) SELECT * FROM w WHERE turn <> expected""",
-    "refs_missing": """SELECT DISTINCT o_custkey AS k, 'missing' AS kind FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT DISTINCT c_custkey, 'orphan' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "labels_unlisted": """SELECT DISTINCT doc_id, 'missing' AS kind FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT DISTINCT doc_id, 'orphan' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "dup_titles": """WITH k AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS title_key FROM part), w AS (SELECT *, min(p_partkey) OVER (PARTITION BY title_key) AS first_of FROM k) SELECT * FROM w WHERE p_partkey <> first_of""",
     "simhash_items": f"WITH {_SIM} SELECT item_id, {_SIGNED} AS simhash FROM sim",
@@ -291,6 +292,7 @@ SQL = {
     "version_checksum": "SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 16) AS version FROM (SELECT concat_ws('|', n_nationkey, n_name, n_regionkey) AS line FROM nation)",
     "candidates": f"WITH {_CANDS} SELECT term, occurrences, n_docs, first_cue, confidence FROM cands",
     "term_update": f"WITH {_CANDS} SELECT 'cand-' || substr(md5(term), 1, 10) AS id, term, occurrences, confidence, 'pending' AS status FROM cands WHERE confidence >= 0.85 AND term NOT IN (SELECT lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) FROM benchmark)",
+    "approvals": "SELECT 'approved' AS status, count(*) AS n, sum(p_partkey)::BIGINT AS ids FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0",
     "containment_dedup": f"WITH t AS (SELECT DISTINCT term FROM (SELECT lower(unnest(regexp_extract_all({T}, {q(TOKENS)}))) AS term FROM conversations) WHERE length(term) >= 6) SELECT a.term FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE length(b.term) > length(a.term) AND contains(b.term, a.term))",
     "term_search": "SELECT p_partkey AS id, p_name AS term FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand)), '1')",
     "loose_json": "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events",

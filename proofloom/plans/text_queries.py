@@ -11,7 +11,6 @@ from proofloom.plans.sql import LINES, SEGMENTS, TOKENS, T, any_contains, hits,
 from proofloom.rules import LATIN, term_rows
 
 RULES = (*LATIN.language, *LATIN.banned)
-PLAIN_PUNCTUATION = tuple(r for r in norm.PUNCTUATION if r.id in ("ellipsis", "thousands"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,22 +108,10 @@ def punctuation(s, d):
     return norm.punctuation_issues(docs(s, d)).select("doc_id", "rule_id", "start", "end", "original", "suggestion")
 
 
-def thousands_and_ellipsis(s, d):
-    return norm.rule_hits(docs(s, d), PLAIN_PUNCTUATION).select("doc_id", "rule_id", "start", "end", "original")
-
-
-def percent_precision(s, d):
-    return norm.percent_precision(docs(s, d)).select("doc_id", "start", "end")
-
-
 def long_sentences(s, d):
     return norm.long_sentences(docs(s, d)).select("doc_id", "start", "end")
 
 
-def pair_balance(s, d):
-    return norm.pair_balance(docs(s, d))
-
-
 def suppressed_terms(s, d):
     """Variants with the reason for which they are not reported."""
     t = docs(s, d)
@@ -200,7 +187,7 @@ def intake_routes(s, d):
     return rows.select("doc_id", "x.n_chars", F.round("x.digit_density", 9).alias("digit_density"), "x.n_refs", "x.is_academic", "x.doc_type", *[audit.route(x, e).alias(f"run_{e}") for e in audit.ENGINES])
 
 
-NAMES = [doc_meta, paragraphs, sentences, rule_positions, hit_sentences, quote_spans, tokens_top, char_ngram_stats, html_strip, exact_term_hits, term_variants, fuzzy_term_hits, semantic_nearest, ordering_violations, banned_patterns, dict_rules, punctuation, thousands_and_ellipsis, percent_precision, long_sentences, pair_balance, suppressed_terms, overgeneralisation, claims, causal_leap, absolute_terms, intensity_conflict, vague_reference, quantifier_conflict, claim_sentences, number_facts, vague_comparisons, style_profile, metric_gap, style_score, style_plan, intake_routes]
+NAMES = [doc_meta, paragraphs, sentences, rule_positions, hit_sentences, quote_spans, tokens_top, char_ngram_stats, html_strip, exact_term_hits, term_variants, fuzzy_term_hits, semantic_nearest, ordering_violations, banned_patterns, dict_rules, punctuation, long_sentences, suppressed_terms, overgeneralisation, claims, causal_leap, absolute_terms, intensity_conflict, vague_reference, quantifier_conflict, claim_sentences, number_facts, vague_comparisons, style_profile, metric_gap, style_score, style_plan, intake_routes]
 QUERIES = {f.__name__: f for f in NAMES}
 
 W = LATIN.words
@@ -215,6 +202,7 @@ _TERM_COLUMNS = {t.id: (t.severity, t.replaces or t.term, t.type) for t in LATIN
 _TERM_DIM = "dim AS (SELECT * FROM (VALUES " + ", ".join(f"({q(i)}, {q(a)}, {q(b)}, {q(c)})" for i, (a, b, c) in _TERM_COLUMNS.items()) + ") v(term_id, severity, suggestion, type))"
 _VARIANTS = f"""{_TERM_HITS}, {_TERM_DIM},
 variants AS (SELECT doc_id, 'term-' || found.term_id AS rule_id, severity, CASE WHEN type = 'deprecated' THEN 'deprecated term' ELSE 'term variant' END AS message, start, "end", pattern AS original, suggestion, t FROM found JOIN dim USING (term_id) WHERE role = 'variant' AND pattern <> suggestion)"""
+_NUMBER = academic.number_pattern(LATIN)
 _FOUND = "(" + ", ".join(q(w) for w in W["absolute"]) + ")"
 _LIST = lambda name: "list_filter([" + ", ".join(q(w) for w in W[name]) + "], lambda w: contains(text, w))"
 _METRICS = ", ".join(f"({q(m)}, {lo}, {hi})" for m, lo, hi in LATIN.metrics)
@@ -253,10 +241,7 @@ SQL = {
   b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, seed) AS n FROM c) SELECT key, seed, round(score, 6) AS score FROM b WHERE n = 1 AND score >= 0.3""",
     "banned_patterns": f"""WITH {hits(LATIN.banned)} SELECT rule_id || '#' || substr(md5(rule_id || '|' || start || '|' || "end"), 1, 10) AS issue_id, doc_id, CASE WHEN severity = 'FATAL' THEN 'political' ELSE 'language' END AS category, severity, rule_id, start, "end", original FROM hits""",
     "dict_rules": f'WITH {hits(LATIN.language)} SELECT doc_id, rule_id, severity, category, message, start, "end", original, suggestion, explain, confidence FROM hits',
-    "thousands_and_ellipsis": f'WITH {hits(PLAIN_PUNCTUATION)} SELECT doc_id, rule_id, start, "end", original FROM hits',
-    "percent_precision": f"""WITH {LINES}, p AS (SELECT doc_id, start, "end", list_transform(regexp_extract_all(text, '\\d+(?:\\.\\d+)?%'), lambda x: length(regexp_extract(x, '\\.(\\d+)%', 1))) AS d FROM paras) SELECT doc_id, start, "end" FROM p WHERE len(d) > 1 AND list_max(d) - list_min(d) > 1""",
     "long_sentences": f"""WITH {SEGMENTS} SELECT doc_id, start, "end" FROM sents WHERE length({strip("text")}) > 90 AND len(regexp_extract_all(text, '[,，、]')) >= 5 AND NOT starts_with({strip("text")}, '[')""",
-    "pair_balance": f"""WITH p AS (SELECT * FROM (VALUES {", ".join(f"({q(a + b)}, {q(a)}, {q(b)})" for a, b in LATIN.pairs)}) v(pair, a, b)), c AS (SELECT doc_id, pair, length({T}) - length(replace({T}, a, '')) AS n_open, length({T}) - length(replace({T}, b, '')) AS n_close FROM documents, p) SELECT * FROM c WHERE n_open <> n_close""",
     "overgeneralisation": f"""WITH {SEGMENTS}, w AS (SELECT *, string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS scope FROM sents) SELECT doc_id, sent_idx, start, "end" FROM w WHERE {any_contains("text", W["conclusion"])} AND {any_contains("text", W["universal"])} AND {any_contains("scope", W["local"])}""",
     "claims": f"WITH {LINES} SELECT doc_id, para_idx FROM paras WHERE NOT is_heading AND length({strip('text')}) >= 30 AND {any_contains('text', W['claim'])} AND NOT {_EVIDENCE('text')}",
     "causal_leap": f"""WITH {SEGMENTS}, w AS (SELECT *, coalesce(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS prior, list_min(list_filter([{", ".join(f"instr(text, {q(x)})" for x in W["causal"])}], lambda i: i > 0)) AS place FROM sents)
@@ -268,6 +253,12 @@ SQL = {
     "vague_reference": f"""WITH {SEGMENTS}, w AS (SELECT *, coalesce(string_agg(text, '') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS prior, regexp_extract({strip("text")}, {q("^" + _ANY("vague"))}) AS word FROM sents) SELECT doc_id, sent_idx, word FROM w WHERE word <> '' AND NOT {any_contains("prior", W["noun"])}""",
     "quantifier_conflict": f"""WITH {SEGMENTS}, w AS (SELECT *, list_max(list_transform(regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)%', 1), lambda x: x::DOUBLE)) AS top FROM sents), r AS (SELECT * FROM (VALUES {", ".join(f"({q(a)}, {lo}, {hi})" for a, lo, hi, _ in LATIN.quantifiers)}) v(word, lo, hi)) SELECT doc_id, sent_idx, top, word FROM w, r WHERE top IS NOT NULL AND contains(text, word) AND (top < lo OR top > hi)""",
     "claim_sentences": f"WITH {SEGMENTS} SELECT doc_id, sent_idx FROM sents WHERE length({strip('text')}) >= 18 AND {any_contains('text', W['claim'])}",
+    "vague_comparisons": f"WITH {SEGMENTS}, w AS (SELECT doc_id, sent_idx, regexp_extract(text, {q(academic.comparison_pattern())}) AS phrase FROM sents) SELECT doc_id, sent_idx, phrase FROM w WHERE phrase <> '' AND NOT regexp_matches(phrase, '[0-9]')",
+    "number_facts": f"""WITH m AS (SELECT doc_id, regexp_extract_all({T}, {q(_NUMBER)}) AS h, regexp_split_to_array({T}, {q(_NUMBER)}) AS g FROM documents WHERE regexp_matches({T}, '\\d')),
+  f AS (SELECT doc_id, h[i] AS x, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(h[1:i-1], lambda v: length(v))), 0) AS start FROM (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS i FROM m)),
+  n AS (SELECT doc_id, trim(regexp_replace(regexp_extract(x, {q(_NUMBER)}, 1), '(?i)^(?:(?:the|a|an|of|and|is|was|were)\\b|为|达|约|共)\\s*', '')) AS label, regexp_extract(x, {q(_NUMBER)}, 2) AS raw, regexp_extract(x, {q(_NUMBER)}, 3) AS unit, start::BIGINT AS start, (start + length(x))::BIGINT AS "end" FROM f)
+  SELECT doc_id, label, replace(raw, ',', '')::DOUBLE AS value, unit, start, "end" FROM n WHERE NOT (regexp_full_match(raw, '\\d{{4}}') AND unit = '' AND raw::DOUBLE BETWEEN 1900 AND 2100)""",
+    "style_plan": f"""WITH {_GAPS} SELECT doc_id, string_agg(CASE metric || '/' || direction WHEN 'mean_sentence/high' THEN 'split sentences' WHEN 'mean_sentence/low' THEN 'join sentences' WHEN 'symbol_density/high' THEN 'drop symbols' WHEN 'lead_ratio/low' THEN 'open paragraphs with their point' ELSE 'adjust ' || metric END || ' (' || format('{{:,.2f}}', value) || ')', '; ' ORDER BY metric) AS plan FROM gaps GROUP BY 1""",
     "style_profile": f"WITH {_PROFILE} SELECT doc_id, n_sentences, round(mean_sentence, 6) AS mean_sentence, max_sentence, round(symbol_density, 9) AS symbol_density, round(hedge_density, 9) AS hedge_density, round(data_ratio, 9) AS data_ratio, round(lead_ratio, 9) AS lead_ratio, europeanised FROM profile",
     "metric_gap": f"WITH {_GAPS} SELECT doc_id, metric, round(value, 9) AS value, direction, round(excess, 9) AS excess, CASE WHEN excess > 0.3 * abs(bound) THEN 'MINOR' ELSE 'INFO' END AS severity FROM gaps",
     "style_score": f"WITH {_GAPS}, l AS (SELECT doc_id, sum(least(12.0, 12.0 * excess / greatest(hi - lo, 1e-9))) AS lost FROM gaps GROUP BY 1) SELECT doc_id, round(greatest(0.0, 100.0 - coalesce(lost, 0.0)), 6) AS style_score FROM profile LEFT JOIN l USING (doc_id)",
