@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,20 +25,42 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+_open: list[list[tuple[SparkSession, str]]] = []  # staged tables of the blocks of `temporary` that are open
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors. Within a block
+    of `temporary` the table goes at its end; with keep, at the end of the next outer one, if there is one."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """What is staged in this block is deleted at its end, but for tables that are kept."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            _delete(spark, path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.staged_path)
 
 
 TEXT_BATCH = 1000  # rows of an Arrow batch of texts

@@ -9,10 +9,11 @@ with a third of all rows is spread over `SALTS` groups and no task ranks the who
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofloom.llm.common import documents, wrapped
@@ -60,26 +61,42 @@ def _cell(df: DataFrame, name: str, bits: int):
     return F.when(F.col(name).isNull(), F.lit(0)).otherwise(cell).cast("long")
 
 
+TABLE_BITS = 14  # up to so many bits together, curve indices are looked up in an array of the plan
+
+
+def curve_index(cells: Sequence[Column], bits: int) -> Column:
+    """hilbert_index of columns of cell numbers: by an array of all points while there are few, else in Arrow batches."""
+    dims = len(cells)
+    if bits * dims <= TABLE_BITS:
+        points = np.unravel_index(np.arange(1 << (bits * dims)), (1 << bits,) * dims)
+        table = F.split(F.lit(",".join(map(str, hilbert_index(list(points), bits)))), ",").cast("array<long>")
+        place = reduce(lambda a, c: a * F.lit(1 << bits) + c, cells, F.lit(0).cast("long"))
+        return F.get(table, place.cast("int"))
+
+    @F.pandas_udf("long")
+    def curve(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(hilbert_index([rows[c].to_numpy() for c in rows.columns], bits))
+
+    return curve(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]))
+
+
 def hilbert_shards(df: DataFrame, dims: Sequence[str], key: str, n_shards: int = SHARDS, bits: int = BITS, salts: int = SALTS) -> DataFrame:
     """All columns of df, plus hilbert (curve index), shard (0 to n_shards - 1) and slot (gapless within a shard).
 
     Columns of df named hilbert, shard or slot are replaced. Nulls in a dimension fall into cell 0, a null key is
-    ordered first, repeated rows each get their own slot, and an empty table gives an empty result.
+    ordered first, rows of equal key by a hash of the whole row, repeated rows each get their own slot, and an empty table
+    gives an empty result. Texts may have any length: they are only carried.
     """
     df = df.drop("hilbert", "shard", "slot")
 
-    @F.pandas_udf("long")
-    def curve(cells: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_index([cells[c].to_numpy() for c in cells.columns], bits))
-
-    cells = F.struct(*[_cell(df, name, bits).alias(f"c{i}") for i, name in enumerate(dims)])
-    keyed = wrapped(df, key=F.col(key), h=curve(cells), salt=F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
+    keyed = wrapped(df, key=F.col(key), h=curve_index([_cell(df, name, bits) for name in dims], bits)).withColumn("tie", F.xxhash64("row"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("key", "tie"), F.lit(salts)).cast("int"))
     counts = keyed.groupBy("h", "salt").agg(F.count("*").alias("n"))
     before_cell = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     before_salt = Window.partitionBy("h").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cell_start = counts.groupBy("h").agg(F.sum("n").alias("n_cell")).select("h", F.coalesce(F.sum("n_cell").over(before_cell), F.lit(0)).alias("cell_start"), F.sum("n_cell").over(Window.partitionBy()).alias("total"))
     starts = counts.withColumn("salt_start", F.coalesce(F.sum("n").over(before_salt), F.lit(0))).join(cell_start, "h").select("h", "salt", (F.col("cell_start") + F.col("salt_start")).alias("start"), "total")
-    within = Window.partitionBy("h", "salt").orderBy(F.col("key").asc_nulls_first())
+    within = Window.partitionBy("h", "salt").orderBy(F.col("key").asc_nulls_first(), "tie")
     ranked = keyed.withColumn("r", F.row_number().over(within) - 1).join(starts, ["h", "salt"]).withColumn("rank", F.col("start") + F.col("r"))
     shard = F.expr(f"(rank * {int(n_shards)}) div total")
     first = F.expr(f"(shard * total + {int(n_shards) - 1}) div {int(n_shards)}")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import documents, key_bitmap, staged, text_or_empty, wrapped
+from proofloom.llm.common import documents, key_bitmap, staged, temporary, text_or_empty, wrapped
 from proofloom.llm.components import connected_components
 from proofloom.llm.textnum import Tokens, mix, slices
 
@@ -287,12 +287,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     Null and empty texts have fingerprint zero and are linked like others; a null key is never the smallest unless
     all keys of a component are null. Repeated rows share their component. An empty table gives an empty one.
     """
-    prints = staged(fingerprints(df, key, text, shingle), "fingerprints")
-    smallest = staged(prints.groupBy("fp").agg(F.min("k").alias("least")), "distinct-fingerprints")
-    roots = connected_components(fingerprint_links(smallest, tau))
-    rooted = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(firsts, "root").select("fp", "component_id")
+    with temporary():
+        prints = staged(fingerprints(df, key, text, shingle), "fingerprints", keep=True)
+        smallest = staged(prints.groupBy("fp").agg(F.min("k").alias("least")), "distinct-fingerprints")
+        roots = connected_components(fingerprint_links(smallest, tau))
+        rooted = smallest.join(roots, smallest.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_print = staged(rooted.join(firsts, "root").select("fp", "component_id"), "components", keep=True)
     return prints.join(by_print, "fp").select(F.col("k").alias(key), "fp", "component_id")
 
 
@@ -503,7 +504,8 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def drop_similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLES, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df without a near duplicate, and of each group the row with the smallest key; of equal keys one."""
-    found = staged(similar_documents(df, key, text, shingle, similarity), "groups")
+    with temporary():
+        found = staged(similar_documents(df, key, text, shingle, similarity), "groups", keep=True)
     goes = found.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("gone")).distinct()
     stays = wrapped(df, k=F.col(key)).join(goes, F.col("k").eqNullSafe(F.col("gone")), "left_anti")
     grouped = found.select(F.col(key).alias("member")).distinct()

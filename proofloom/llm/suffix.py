@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.llm.blocksort import neighbours
-from proofloom.llm.common import BITMAP_BITS, documents, drop_staged, filled_bitmap, key_bitmap, staged, text_or_empty, wrapped
+from proofloom.llm.common import BITMAP_BITS, documents, drop_staged, filled_bitmap, key_bitmap, staged, temporary, text_or_empty, wrapped
 from proofloom.llm.textnum import Tokens, mix, powers, slices
 
 LENGTH = 400
@@ -323,8 +323,9 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, sha
     gives an empty one.
     """
     df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "shares_passage")
-    passages = shared_passages(df, text).withColumn("shares_passage", F.lit(True))
-    spans = staged(repeated_substrings(df, text, length, shard=shard).join(passages, ["t1", "t2"], "full_outer"), "spans")
+    with temporary():
+        passages = shared_passages(df, text).withColumn("shares_passage", F.lit(True))
+        spans = staged(repeated_substrings(df, text, length, shard=shard).join(passages, ["t1", "t2"], "full_outer"), "spans", keep=True)
     named = wrapped(df, text=text_or_empty(text))
     named = named.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("\x02"), "text")).withColumn("hit", key_bitmap(spans, "t1")("t1"))
     kinds = "n_bytes long, n_removed long, n_spans long, kept binary"
