@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of documents;
 the last adds shard and slot. Stages are written as Parquet between one another. No stage but the mixing is free of
-learned weights, trees or hashes of words that SQL lacks, so the whole has no SQL; each is tested by brute force.
+learned weights, trees or hashes of words that SQL lacks, so the whole has no SQL; each is tested against a plain version.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from proofloom.llm import decontam, mixing, quality, sharding, simhash
-from proofloom.llm.common import documents, staged
+from proofloom.llm.common import documents, drop_staged, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = staged(docs, f"stage-{number}")
+            if before is not None:
+                drop_staged(before)
+            before = docs
     return docs
