@@ -18,6 +18,17 @@ def TEXT() -> Column:  # noqa: N802  a column needs a session, so it is made whe
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+SMALL_PART = 32 << 20  # bytes of input for each core below which a table is dealt out anew
+
+
+def spread(docs: DataFrame, least: int = SMALL_PART) -> DataFrame:
+    """docs, dealt out over all cores if the table is so small that its files would not occupy them: one row group of a file
+    is one task. Larger tables are read as they lie, without an exchange."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return docs.repartition(cores) if 1 < cores and size < cores * least else docs
+
+
 NO_SPACE = r"(?U)\s"
 
 

@@ -21,7 +21,7 @@ def _t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(s, d):
-    return _t(s, d, "documents").select("doc_id", "text")
+    return parse.spread(_t(s, d, "documents").select("doc_id", "text"))
 
 
 def _issues(s, d):

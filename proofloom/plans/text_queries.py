@@ -14,7 +14,7 @@ RULES = (*LATIN.language, *LATIN.banned)
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    return parse.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def _table(spark, sf, name):
