@@ -25,7 +25,7 @@ def spread(docs: DataFrame, least: int = SMALL_PART) -> DataFrame:
     """docs, dealt out over all cores if the table is so small that its files would not occupy them: one row group of a file
     is one task. Larger tables are read as they lie, without an exchange."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return docs.repartition(cores) if 1 < cores and size < cores * least else docs
 
 

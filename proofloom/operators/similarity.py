@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.functions.hashing import MERSENNE, coefficients, combined_similarity, hamming, hash32, jaccard, minhash, minhash_fast, minhash_similarity, simhash, simhash_similarity
-from proofloom.functions.offsets import let, ngrams, strip
+from proofloom.functions.offsets import ngrams, strip
 from proofloom.operators.parse import TEXT, TOKEN, char_ngrams, paragraph_array, tokens
 from proofloom.rules import LATIN, Pack
 from proofloom.schema import entries, issue
@@ -109,8 +109,20 @@ def fingerprint_of(text: str, n: int = BANDS * ROWS, k: int = 3) -> Fingerprint:
     sim = sum(1 << b for b in range(64) if votes[b] > 0)
     shingles = {" ".join(toks[i : i + k]) for i in range(max(1, len(toks) - k + 1))} if toks else set()
     low = [_hash64(s) & 0xFFFFFFFF for s in shingles]
-    mins = np.array([min((a * h + b) % MERSENNE for h in low) & 0xFFFFFFFF if low else 0 for a, b in coefficients(n)])
-    return Fingerprint(sim, mins, _grams(text))
+    return Fingerprint(sim, min_slots(low, n), _grams(text))
+
+
+def min_slots(low: list[int], n: int) -> np.ndarray:
+    """hashing.minhash of 32-bit hashes in numpy: a is cut in halves of 24 bits; times 2**24 is a rotation modulo 2**61 - 1."""
+    if not low:
+        return np.zeros(n, dtype=np.int64)
+    a, b = np.array(coefficients(n), dtype=np.uint64).T[:, :, None]
+    h, m = np.array(low, dtype=np.uint64), np.uint64(MERSENNE)
+    folded = lambda x: (x & m) + (x >> np.uint64(61))
+    upper = folded((a >> np.uint64(24)) * h)
+    turned = ((upper & np.uint64((1 << 37) - 1)) << np.uint64(24)) | (upper >> np.uint64(37))
+    value = folded(folded(turned + (a & np.uint64(0xFFFFFF)) * h + b))
+    return (np.where(value >= m, value - m, value).min(axis=1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def scores_of(a: Fingerprint, b: Fingerprint) -> tuple[float, float, float, float]:
@@ -222,7 +234,13 @@ def with_published(rows: DataFrame, corpus: list[tuple[str, str]], out: str = "p
     text) that they are most like, if near enough, the first on a tie (A14). The corpus comes with the plan; for one that is
     a table use `cross_duplicates`."""
     made = [(name, fingerprint_of(text)) for name, text in corpus]
-    sims, mins = np.array([f.simhash for _, f in made], dtype=np.uint64), np.stack([f.minhash for _, f in made])
+    sizes = np.array([len(f.grams) for _, f in made])
+    places: dict[str, list[int]] = {}
+    for i, (_, f) in enumerate(made):
+        for g in f.grams:
+            places.setdefault(g, []).append(i)
+    held = {g: np.array(x, dtype=np.int32) for g, x in places.items()}
+    need = (least - 0.6) / 0.4  # of common 3-grams, without which the mean stays below
 
     @F.pandas_udf("array<struct<i:int,source:string,score:double>>")
     def best(rows: pd.Series) -> pd.Series:
@@ -230,14 +248,16 @@ def with_published(rows: DataFrame, corpus: list[tuple[str, str]], out: str = "p
         for texts in rows:
             found = []
             for i, text in enumerate(texts):
-                f = fingerprint_of(text)
-                close = np.flatnonzero(np.bitwise_count(sims ^ np.uint64(f.simhash)) <= 32)
-                # without a common 3-gram share of 0.3 or a fifth of equal slots the mean stays below
-                close = close[(mins[close] == f.minhash).mean(axis=1) >= (least - 0.65) / 0.35]
-                top = None
-                for c in close.tolist():
+                grams = _grams(text)
+                met = [held[g] for g in grams if g in held]
+                if not met:
+                    continue
+                shared = np.bincount(np.concatenate(met), minlength=len(made))
+                close = np.flatnonzero((shared > 0) & (shared >= need * (sizes + len(grams) - shared) - 1e-9)).tolist()
+                f, top = fingerprint_of(text) if close else None, None
+                for c in close:
                     s = scores_of(f, made[c][1])
-                    if not (s[1] < 0.45 and s[2] < 0.45) and s[3] >= least and (top is None or s[3] > top[1]):
+                    if s[0] >= 0.5 and not (s[1] < 0.45 and s[2] < 0.45) and s[3] >= least and (top is None or s[3] > top[1]):
                         top = (c, s[3])
                 if top:
                     found.append({"i": i, "source": made[top[0]][0], "score": top[1]})
@@ -275,22 +295,14 @@ def shingle_overlap(left: DataFrame, right: DataFrame, lkey: str, rkey: str, k:
     return pairs.withColumn("overlap", F.col("shared") / F.col("n")).filter(F.col("overlap") >= least).drop("n")
 
 
-def term_counts(text: Column) -> Column:
-    """Array of (token, tf) of a text, by token: counted in its row, without a shuffle."""
-    starts = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i - 1) != F.get(a, i)))
-    counted = lambda a: let(starts(a), lambda b: F.transform(b, lambda i, n: F.struct(F.get(a, i).alias("token"), (F.coalesce(F.get(b, n + 1), F.size(a)) - i).alias("tf"))))
-    return let(F.array_sort(tokens(text)), lambda a: F.when(F.size(a) > 0, counted(a)).otherwise(F.array().cast("array<struct<token:string,tf:int>>")))
-
-
 def tfidf_topk(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int = 3) -> DataFrame:
     """qkey, dkey, score, rank: cosine of (1 + ln tf) (ln((1 + N) / (1 + df)) + 1) weights, the k best a query (P10).
 
     Query weights use the corpus's document frequencies; terms of a query that the corpus lacks count in its norm only.
-    Documents are tokenised once for the frequencies and once for weights; norms and products come from one aggregation by
-    document, the frequencies being sent to the documents while they are few.
+    Documents are tokenised once: the exchange of their counts serves the frequencies, the norms and the products.
     """
     n = docs.select(F.count("*").cast("double").alias("n"))
-    tf = lambda df, key: df.select(key, F.explode(term_counts(F.col("text"))).alias("t")).select(key, "t.token", "t.tf")
+    tf = lambda df, key: df.select(key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
     d_tf, q_tf = tf(docs, dkey), tf(queries, qkey)
     df_counts = d_tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n)
     idf = df_counts.select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -298,9 +310,9 @@ def tfidf_topk(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int
     qw = weigh(q_tf.join(idf, "token", "left").crossJoin(n).withColumn("idf", F.coalesce("idf", F.log(1 + F.col("n")) + 1)))
     q_norm = qw.groupBy(qkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     wanted = qw.groupBy("token").agg(F.collect_list(F.struct(F.col(qkey).alias("q"), F.col("w").alias("qw"))).alias("asked"))
-    dw = weigh(d_tf.join(small(idf.join(wanted, "token", "left")), "token"))
+    dw = weigh(d_tf.join(idf, "token").join(wanted, "token", "left"))
     norm = dw.groupBy(dkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     dots = dw.filter("asked IS NOT NULL").select(dkey, "w", F.explode("asked").alias("a")).groupBy(F.col("a.q").alias(qkey), dkey).agg(F.sum(F.col("w") * F.col("a.qw")).alias("dot"))
-    scored = dots.join(norm, dkey).join(small(q_norm), qkey).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
+    scored = dots.join(norm, dkey).join(q_norm, qkey).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
     w = Window.partitionBy(qkey).orderBy(F.desc("score"), dkey)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qkey, dkey, "score", "rank")
