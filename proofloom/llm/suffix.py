@@ -281,36 +281,45 @@ def passage_windows(texts: list[bytes], words: int, anchor: int) -> tuple[np.nda
 
 
 def shared_passages(df: DataFrame, text: str = "text", words: int = WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """t1, t2: names of the texts with a run of `words` words, A-Z lower-cased, that another row's text has too.
+    """t1: names of the texts with a run of `words` words, A-Z lower-cased, that another row's text has too.
 
     Runs are compared only where the least hash among their stretches of `anchor` words stands at several places; equal
-    runs have equal ones.
+    runs have equal ones. A task tells the runs of equal texts once; those are known by their number.
     """
-    named = df.select(text_or_empty(text).alias("text")).select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("\x02"), "text").alias("t2"))
-    long_ones = named.filter(F.octet_length("text") >= 2 * words - 1)
+    long_ones = df.select(text_or_empty(text).alias("text")).select("text", F.xxhash64("text").alias("t1")).filter(F.octet_length("text") >= 2 * words - 1)
 
     def found(batches, asked=None):
+        known: set[int] = set()
         for batch in batches:
-            texts = [t.as_py().encode() for t in batch.column(0)]
+            names = batch.column(1).to_numpy(zero_copy_only=False)
+            fresh = []
+            for i, name in enumerate(names.tolist()):
+                if name not in known:
+                    known.add(name)
+                    fresh.append(i)
+            texts = [batch.column(0)[i].as_py().encode() for i in fresh]
+            own = names[fresh]
             for lo, hi in slices(texts, SLICE):
                 doc, run, least = passage_windows(texts[lo:hi], words, anchor)
+                new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
                 if asked is None:
-                    new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
-                    yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64))], ["a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[lo + doc[new]]), pa.array(least[new].view(np.int64))], ["t1", "a"])
                     continue
                 place = least >> np.uint64(64 - BITMAP_BITS)
                 held = (asked[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                doc, run = doc[held], run[held]
-                once = np.unique(run ^ mix(doc.astype(np.uint64)), return_index=True)[1]
-                at = pa.array(lo + doc[once])
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(run[once].view(np.int64))], ["t1", "t2", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[lo + doc[held]]), pa.array(run[held].view(np.int64))], ["t1", "run"])
 
-    anchors = long_ones.select("text").mapInArrow(found, "a long").groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+    several = [F.min("t1").alias("first"), F.max("t1").alias("last")]
+    places = staged(long_ones.mapInArrow(found, "t1 long, a long"), "anchors")
+    anchors = places.groupBy("a").agg(*several).filter("first != last")
     asked = df.sparkSession.sparkContext.broadcast(filled_bitmap(anchors, "a"))
-    runs = staged(long_ones.mapInArrow(lambda batches: found(batches, asked.value), "t1 long, t2 long, run long"), "runs")
-    again = runs.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
-    out = staged(runs.join(again, "run", "left_semi").select("t1", "t2").distinct(), "passages")
-    drop_staged(runs)
+    runs = staged(long_ones.mapInArrow(lambda batches: found(batches, asked.value), "t1 long, run long"), "runs")
+    again = staged(runs.groupBy("run").agg(*several).filter("first != last").select("run"), "repeated-runs")
+    copied = long_ones.groupBy("t1").agg(F.count("*").alias("n")).filter("n > 1").join(places.select("t1").distinct(), "t1", "left_semi").select("t1")
+    told = runs.filter(key_bitmap(again, "run")("run")).join(again, "run", "left_semi").select("t1")
+    out = staged(told.unionByName(copied).distinct(), "passages")
+    for t in (places, runs, again):
+        drop_staged(t)
     return out
 
 
@@ -325,7 +334,7 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, sha
     df = df.drop("n_bytes", "n_removed", "n_spans", "kept", "shares_passage")
     with temporary():
         passages = shared_passages(df, text).withColumn("shares_passage", F.lit(True))
-        spans = staged(repeated_substrings(df, text, length, shard=shard).join(passages, ["t1", "t2"], "full_outer"), "spans", keep=True)
+        spans = staged(repeated_substrings(df, text, length, shard=shard).join(passages, "t1", "full_outer"), "spans", keep=True)
     named = wrapped(df, text=text_or_empty(text))
     named = named.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("\x02"), "text")).withColumn("hit", key_bitmap(spans, "t1")("t1"))
     kinds = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -347,7 +356,8 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, sha
 
     # texts without repeats, most of them, are neither shuffled nor sent to Python again
     shares = F.coalesce("shares_passage", F.lit(False)).alias("shares_passage")
-    hit = named.filter("hit").join(spans, ["t1", "t2"], "left").withColumn("out", remove("text", "spans")).select("row.*", "out.*", shares)
+    told = spans.select(F.col("t1").alias("s1"), F.col("t2").alias("s2"), "spans", "shares_passage")
+    hit = named.filter("hit").join(told, (F.col("t1") == F.col("s1")) & F.coalesce(F.col("t2") == F.col("s2"), F.lit(True)), "left").withColumn("out", remove("text", "spans")).select("row.*", "out.*", shares)
     zero = F.lit(0).cast("long")
     rest = named.filter("NOT hit").select("row.*", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.lit(False).alias("shares_passage"))
     return hit.unionByName(rest)

@@ -116,3 +116,33 @@ def test_a_small_source_is_repeated_at_any_rate(spark):
             if cdf > u:
                 break
         assert rate > 64 and got[i] == k
+
+
+def test_contamination_of_all_documents_against_all_alignments(spark):
+    import numpy as np
+
+    from tests.conftest import SF
+
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    number = {}
+    ids = lambda t: np.array([number.setdefault(w, len(number) + 1) for w in (t or "").encode().lower().split()], dtype=np.int64)
+    items = {r["item_id"]: ids(r["text"]) for r in bench.collect()}
+    want = {}
+    for r in docs.collect():
+        words = np.r_[np.full(12, -1), ids(r["text"]), np.full(12, -1)]
+        for item, own in items.items():
+            if len(own) < decontam.MIN_WORDS or not np.intersect1d(words, own).size:
+                continue
+            padded = np.r_[np.full(12, -2), own, np.full(12, -2)]
+            equal = words[:, None] == padded[None, :]
+            need = 11 if len(own) >= decontam.RUN else math.ceil(0.8 * len(own))
+            for k in range(-len(words) + 1, len(padded)):
+                line = equal.diagonal(k).astype(np.int64)
+                if line.sum() < need:
+                    continue
+                runs = np.convolve(line, np.ones(decontam.RUN, dtype=np.int64)) if len(own) >= decontam.RUN else line.sum()
+                if np.max(runs) >= need:
+                    want.setdefault(r["doc_id"], set()).add(item)
+                    break
+    got = {r["doc"]: (r["n_items"], r["first_item"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {d: (len(x), min(x)) for d, x in want.items()} and got
