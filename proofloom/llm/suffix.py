@@ -316,7 +316,7 @@ def shared_passages(df: DataFrame, text: str = "text", words: int = WORDS, ancho
     runs = staged(long_ones.mapInArrow(lambda batches: found(batches, asked.value), "t1 long, run long"), "runs")
     again = staged(runs.groupBy("run").agg(*several).filter("first != last").select("run"), "repeated-runs")
     copied = long_ones.groupBy("t1").agg(F.count("*").alias("n")).filter("n > 1").join(places.select("t1").distinct(), "t1", "left_semi").select("t1")
-    told = runs.filter(key_bitmap(again, "run")("run")).join(again, "run", "left_semi").select("t1")
+    told = runs.join(again, "run", "left_semi").select("t1")
     out = staged(told.unionByName(copied).distinct(), "passages")
     for t in (places, runs, again):
         drop_staged(t)
