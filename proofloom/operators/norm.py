@@ -141,9 +141,13 @@ def long_sentences(docs: DataFrame, pack: Pack = LATIN, longest: int = 90, comma
 
 def pair_array(body: Column, pack: Pack = LATIN) -> Column:
     """Array of (pair, n_open, n_close) where the counts differ."""
-    count = lambda mark: F.length(body) - F.length(F.replace(body, F.lit(mark), F.lit("")))
-    counts = F.array(*[F.struct(F.lit(a + b).alias("pair"), count(a).alias("n_open"), count(b).alias("n_close")) for a, b in pack.pairs])
-    return F.filter(counts, lambda x: x["n_open"] != x["n_close"])
+
+    def counted(b: Column) -> Column:
+        count = lambda mark: F.length(b) - F.length(F.replace(b, F.lit(mark), F.lit("")))
+        counts = F.array(*[F.struct(F.lit(x + y).alias("pair"), count(x).alias("n_open"), count(y).alias("n_close")) for x, y in pack.pairs])
+        return F.filter(counts, lambda x: x["n_open"] != x["n_close"])
+
+    return let(body, counted)
 
 
 def pair_balance(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
