@@ -33,12 +33,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors. Within a block
-    of `temporary` the table goes at its end; with keep, at the end of the next outer one, if there is one."""
+def staged(df: DataFrame, name: str, keep: bool = False, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df as Parquet, with the writer's options, into the shared folder and read it again: cuts lineage and survives lost
+    executors. Within a block of `temporary` the table goes at its end; with keep, at the end of the next outer one, if there is
+    one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     owners = _open[:-1] if keep else _open
     if owners:
         owners[-1].append((spark, path))

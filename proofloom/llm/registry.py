@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofloom.llm import ctw, decontam, html_text, lines, mixing, ogg, quality, sharding, simhash, suffix
+from proofloom.llm import ctw, decontam, html_text, impact_index, lempel_ziv, lines, mixing, ogg, quality, resampling, sharding, simhash, suffix
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_bradley_terry": quality.op8_bradley_terry,
         "op9_html_line_blocks": html_text.op9_html_line_blocks,
         "op10_ogg_media": ogg.op10_ogg_media,
+        "op11_relative_lempel_ziv": lempel_ziv.op11_relative_lempel_ziv,
+        "op12_overlap_chunking": resampling.op12_overlap_chunking,
+        "op13_impact_search": impact_index.op13_impact_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.OP6_SQL, "op7_poisson_mixing": mixing.OP7_SQL}
+    return {
+        "op6_line_dedup": lines.OP6_SQL,
+        "op7_poisson_mixing": mixing.OP7_SQL,
+        "op11_relative_lempel_ziv": lempel_ziv.OP11_SQL,
+        "op12_overlap_chunking": resampling.OP12_SQL,
+        "op13_impact_search": impact_index.OP13_SQL,
+    }

@@ -34,13 +34,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Tokens:
-    """Words of texts, A-Z lower-cased, split at blanks. hashes: 64 bits of each word; doc: number of its text."""
+    """Words of texts, A-Z lower-cased if `lower`, split at the bytes that `blank` marks, those of a line feed among them.
+    hashes: 64 bits of each word; doc: number of its text."""
 
-    def __init__(self, texts: Sequence[bytes]):
+    def __init__(self, texts: Sequence[bytes], lower: bool = True, blank: np.ndarray = _BLANK):
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        joined = b"\n".join(texts).lower() + b"\n"
-        data = np.frombuffer(joined, dtype=np.uint8)
-        blank = _BLANK[data]
+        joined = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
+        blank = blank[data]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if len(blank) and not blank[0]:
             edge = np.r_[0, edge]
