@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
-import re
-from collections import Counter
-from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.functions.hashing import MERSENNE, coefficients, combined_similarity, hamming, hash32, jaccard, minhash, minhash_fast, minhash_similarity, simhash, simhash_similarity
+from proofloom.functions.hashing import combined_similarity, hamming, hash32, jaccard, minhash, minhash_fast, minhash_similarity, simhash, simhash_similarity
 from proofloom.functions.offsets import ngrams, strip
-from proofloom.operators.parse import TEXT, TOKEN, char_ngrams, paragraph_array, tokens
+from proofloom.operators.alike import alike_classes, fingerprint_of, grams_of, scores_of
+from proofloom.operators.parse import TEXT, char_ngrams, paragraph_array, tokens
 from proofloom.rules import LATIN, Pack
 from proofloom.schema import entries, issue
 
@@ -68,100 +64,6 @@ def _sided(fp: DataFrame, side: str) -> DataFrame:
     return fp.select(*[F.col(c).alias(f"{side}_{c}") for c in fp.columns])
 
 
-@dataclass(frozen=True)
-class Fingerprint:
-    """SimHash, MinHash and 3-grams of one text, as `fingerprints` makes them, in Python."""
-
-    simhash: int
-    minhash: np.ndarray
-    grams: frozenset[str]
-
-
-_TOKEN = re.compile(TOKEN.replace(r"\x{4e00}", "\u4e00").replace(r"\x{9fff}", "\u9fff").replace(r"[\p{L}]+", r"[^\W\d_]+"))
-
-
-def _tokens(text: str) -> list[str]:
-    out: list[str] = []
-    for piece in _TOKEN.findall(text):
-        if "\u4e00" <= piece[0] <= "\u9fff":
-            out += [piece[i : i + 2] for i in range(len(piece) - 1)] if len(piece) > 1 else [piece]
-        else:
-            out.append(piece.lower())
-    return out
-
-
-@lru_cache(maxsize=1 << 16)
-def _hash64(text: str) -> int:
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
-
-
-def _grams(text: str, n: int = 3) -> frozenset[str]:
-    letters = re.sub(r"[\W_]", "", text)
-    return frozenset(letters[i : i + n] for i in range(max(1, len(letters) - n + 1))) if letters else frozenset()
-
-
-def fingerprint_of(text: str, n: int = BANDS * ROWS, k: int = 3) -> Fingerprint:
-    toks = _tokens(text)
-    votes = np.zeros(64, dtype=np.int64)
-    for t, w in Counter(toks).items():
-        h = _hash64(t)
-        votes += w * (2 * ((h >> np.arange(64, dtype=object)) & 1).astype(np.int64) - 1)
-    sim = sum(1 << b for b in range(64) if votes[b] > 0)
-    shingles = {" ".join(toks[i : i + k]) for i in range(max(1, len(toks) - k + 1))} if toks else set()
-    low = [_hash64(s) & 0xFFFFFFFF for s in shingles]
-    return Fingerprint(sim, min_slots(low, n), _grams(text))
-
-
-def min_slots(low: list[int], n: int) -> np.ndarray:
-    """hashing.minhash of 32-bit hashes in numpy: a is cut in halves of 24 bits; times 2**24 is a rotation modulo 2**61 - 1."""
-    if not low:
-        return np.zeros(n, dtype=np.int64)
-    a, b = np.array(coefficients(n), dtype=np.uint64).T[:, :, None]
-    h, m = np.array(low, dtype=np.uint64), np.uint64(MERSENNE)
-    folded = lambda x: (x & m) + (x >> np.uint64(61))
-    upper = folded((a >> np.uint64(24)) * h)
-    turned = ((upper & np.uint64((1 << 37) - 1)) << np.uint64(24)) | (upper >> np.uint64(37))
-    value = folded(folded(turned + (a & np.uint64(0xFFFFFF)) * h + b))
-    return (np.where(value >= m, value - m, value).min(axis=1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def scores_of(a: Fingerprint, b: Fingerprint) -> tuple[float, float, float, float]:
-    """SimHash, MinHash and 3-gram similarity and their weighted mean."""
-    sim = 1 - (a.simhash ^ b.simhash).bit_count() / 64
-    mins = float((a.minhash == b.minhash).mean())
-    both = len(a.grams | b.grams)
-    gram = len(a.grams & b.grams) / both if both else 0.0
-    return sim, mins, gram, 0.25 * sim + 0.35 * mins + 0.40 * gram
-
-
-def alike_pairs(texts: list[str], sim: float = 0.85, least: float = 0.9) -> list[tuple[int, int, float]]:
-    """(i, j, combined), i < j, of all pairs of texts that are near duplicates.
-
-    A mean of `least` needs a share of common 3-grams of at least (least - 0.6) / 0.4; of the sorted grams of two such texts
-    the first ones, as many as that share lets differ and one more, meet. Only pairs that meet are compared.
-    """
-    need = max(0.0, (least - 0.6) / 0.4)
-    grams = [_grams(t) for t in texts]
-    counts = Counter(g for own in grams for g in own)
-    held: dict[str, list[int]] = {}
-    made: dict[int, Fingerprint] = {}
-    out = []
-    for j, own in enumerate(grams):
-        order = sorted(own, key=lambda g: (counts[g], g))
-        first = order[: len(order) - math.ceil(need * len(order) - 1e-9) + 1]
-        for i in sorted({i for g in first for i in held.get(g, ())}):
-            if len(own & grams[i]) < need * len(own | grams[i]) - 1e-9:
-                continue
-            for x in (i, j):
-                made.setdefault(x, fingerprint_of(texts[x]))
-            s, _, _, mean = scores_of(made[i], made[j])
-            if s >= sim and mean >= least:
-                out.append((i, j, mean))
-        for g in first:
-            held.setdefault(g, []).append(j)
-    return out
-
-
 def body_paragraphs(paras: Column) -> Column:
     """Paragraphs with their index as i, without headings, references and those under MIN_CHARS characters."""
     return F.filter(F.transform(paras, lambda p, i: p.withField("i", i)), lambda p: ~p["is_heading"] & ~p["in_ref"] & (F.length(strip(p["text"])) >= MIN_CHARS))
@@ -174,22 +76,22 @@ def in_python(rows: DataFrame, out: str, function, value: Column) -> DataFrame:
 
 
 def with_repeats(rows: DataFrame, out: str = "repeats", sim: float = 0.85, least: float = 0.9) -> DataFrame:
-    """rows (paras) with an array of (first, second, start, end, score): paragraphs of one document that repeat an earlier one
-    (A13)."""
+    """rows (paras) with an array of (class, first, second, start, end, score): paragraphs of one document that repeat an
+    earlier one, the first such, and the first paragraph of all that such links join (A13). One entry a paragraph."""
 
-    @F.pandas_udf("array<struct<i:int,j:int,score:double>>")
-    def pairs(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"i": i, "j": j, "score": s} for i, j, s in alike_pairs(list(texts), sim, least)] for texts in rows])
+    @F.pandas_udf("array<struct<c:int,i:int,j:int,score:double>>")
+    def classes(rows: pd.Series) -> pd.Series:
+        return pd.Series([[{"c": c, "i": i, "j": j, "score": s} for c, i, j, s in alike_classes(list(texts), sim, least)] for texts in rows])
 
     rows = rows.withColumn("own_", body_paragraphs(F.col("paras")))
     several = F.when(F.size("own_") > 1, F.transform("own_", lambda p: p["text"])).otherwise(F.array().cast("array<string>"))
     place = lambda n: F.get("own_", n)
-    told = F.transform("pairs_", lambda x: F.struct(place(x["i"])["i"].alias("first"), place(x["j"])["i"].alias("second"), place(x["j"])["start"].alias("start"), (place(x["j"])["start"] + F.length(place(x["j"])["text"])).alias("end"), x["score"].alias("score")))
-    return in_python(rows, "pairs_", pairs, several).withColumn(out, told).drop("own_", "pairs_")
+    told = F.transform("pairs_", lambda x: F.struct(place(x["c"])["i"].alias("class"), place(x["i"])["i"].alias("first"), place(x["j"])["i"].alias("second"), place(x["j"])["start"].alias("start"), (place(x["j"])["start"] + F.length(place(x["j"])["text"])).alias("end"), x["score"].alias("score")))
+    return in_python(rows, "pairs_", classes, several).withColumn(out, told).drop("own_", "pairs_")
 
 
 def intra_duplicates(docs: DataFrame, pack: Pack = LATIN, sim: float = 0.85, least: float = 0.9) -> DataFrame:
-    """doc_id, first, second, start, end, score of repeated paragraphs within documents."""
+    """doc_id, class, first, second, start, end, score of repeated paragraphs within documents."""
     return entries(with_repeats(docs.select("doc_id", paragraph_array(TEXT(), pack).alias("paras")), "repeats", sim, least), F.col("repeats"))
 
 
@@ -248,7 +150,7 @@ def with_published(rows: DataFrame, corpus: list[tuple[str, str]], out: str = "p
         for texts in rows:
             found = []
             for i, text in enumerate(texts):
-                grams = _grams(text)
+                grams = grams_of(text)
                 met = [held[g] for g in grams if g in held]
                 if not met:
                     continue
@@ -264,20 +166,26 @@ def with_published(rows: DataFrame, corpus: list[tuple[str, str]], out: str = "p
             out.append(found)
         return pd.Series(out)
 
+    own = F.transform(body_paragraphs(F.col("paras")), lambda p: strip(p["text"]))
+    return located(in_python(rows, "best_", best, own), "best_", out)
+
+
+def located(rows: DataFrame, found: str, out: str) -> DataFrame:
+    """rows (paras, an array `found` of i, source, score with i among the body paragraphs) with out: start, end, source, score."""
     rows = rows.withColumn("own_", body_paragraphs(F.col("paras")))
     place = lambda x: F.get("own_", x["i"])
-    told = F.transform("best_", lambda x: F.struct(place(x)["start"].alias("start"), (place(x)["start"] + F.length(place(x)["text"])).alias("end"), x["source"].alias("source"), x["score"].alias("score")))
-    return in_python(rows, "best_", best, F.transform("own_", lambda p: strip(p["text"]))).withColumn(out, told).drop("own_", "best_")
+    told = F.transform(found, lambda x: F.struct(place(x)["start"].alias("start"), (place(x)["start"] + F.length(place(x)["text"])).alias("end"), x["source"].alias("source"), x["score"].alias("score")))
+    return rows.withColumn(out, told).drop("own_", found)
 
 
-def with_duplicates(rows: DataFrame, corpus: list[tuple[str, str]] = ()) -> DataFrame:
-    """rows (paras) with duplicates: issues of one document's paragraphs that repeat an earlier one or a text of the corpus
-    (A13, A14)."""
+def with_duplicates(rows: DataFrame, corpus: list[tuple[str, str]] = (), found: str = "") -> DataFrame:
+    """rows (paras) with duplicates: issues of one document's paragraphs that repeat an earlier one or a text of the corpus,
+    which comes with the plan, or by the array `found` that `corpus.published` made of a table (A13, A14)."""
     rows = with_repeats(rows, "repeats_")
     inner = F.transform("repeats_", lambda x: issue("dup-internal", x["start"], x["end"], "duplicate", "MAJOR", F.format_string("paragraph %d is repeated", x["first"] + 1), confidence=F.round(x["score"], 3)))
-    if not corpus:
+    if not corpus and not found:
         return rows.withColumn("duplicates", inner).drop("repeats_")
-    rows = with_published(rows, list(corpus), "published_")
+    rows = with_published(rows, list(corpus), "published_") if corpus else located(rows, found, "published_")
     outer = F.transform("published_", lambda x: issue("dup-cross", x["start"], x["end"], "duplicate", F.when(x["score"] >= 0.85, "MAJOR").otherwise("MINOR"), F.concat(F.lit("published before: "), x["source"]), source=x["source"], confidence=F.round(x["score"], 3)))
     return rows.withColumn("duplicates", F.concat(inner, outer)).drop("repeats_", "published_")
 

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from proofloom.functions.offsets import quickly
 from proofloom.operators import academic, logic, norm, resolve, revise, score, similarity, style, terms
+from proofloom.operators.corpus import FingerprintStore, with_matches
 from proofloom.operators.parse import TEXT, any_of, body_text, paragraph_array, reference_array, reference_offset, sentence_array, window_array
 from proofloom.rules import LATIN, Pack
 from proofloom.schema import ISSUE_COLUMNS, entries, issue_id, no_issues
 from proofloom.sources import sinks
 
+Corpus = DataFrame | FingerprintStore | Sequence[tuple[str, str]]
 ENGINES = ("term", "norm", "logic", "academic", "style")
 #: The checks of each engine; a subset turns the others off, and they then never enter the plan.
 CHECKS = {"term": terms.CHECKS, "norm": norm.CHECKS, "logic": logic.CHECKS, "academic": (*academic.CHECKS, "duplicates"), "style": style.CHECKS}
@@ -89,9 +91,10 @@ def engine_array(engine: str, pack: Pack, checks: Sequence[str]) -> Column:
 
 
 @quickly
-def audited(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Sequence[tuple[str, str]] = (), least: float = 0.6, rounds: int = 2) -> DataFrame:
+def audited(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Corpus = (), least: float = 0.6, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, raw (number of issues by engine before resolution), suppressed, found (resolved
-    issues), issues (reviewed, without repeats, reportable), dimensions, and the document's scores."""
+    issues), issues (reviewed, without repeats, reportable), dimensions, and the document's scores. corpus: texts published before,
+    as a table (source, text) or a FingerprintStore of any size, or as pairs that come with the plan."""
     checks = {**CHECKS, **checks}
     rows = parsed(docs, pack)
     run = lambda e: route(F.col("profile"), e)
@@ -100,7 +103,12 @@ def audited(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINE
     else:
         rows = rows.withColumn("suppressed", F.lit(0))
     if "academic" in engines and "duplicates" in checks["academic"]:
-        rows = similarity.with_duplicates(rows, list(corpus))
+        if isinstance(corpus, DataFrame):
+            corpus = FingerprintStore.of(corpus)
+        if isinstance(corpus, FingerprintStore):
+            rows = similarity.with_duplicates(with_matches(rows, docs, corpus, "matches_", pack), found="matches_")
+        else:
+            rows = similarity.with_duplicates(rows, list(corpus))
     made = {e: F.when(run(e), engine_array(e, pack, checks[e])).otherwise(no_issues()) for e in engines}
     rows = rows.select("doc_id", "text", "paras", "ref_start", "suppressed", *[made[e].alias(f"raw_{e}") for e in engines])
     raw = F.array(*[F.struct(F.lit(e).alias("engine"), F.size(f"raw_{e}").alias("n")) for e in engines])
@@ -143,7 +151,7 @@ def raw_issues(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENG
     return issue_rows(audited(docs, pack, engines, checks), "found")
 
 
-def audit(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, least: float = 0.6, rounds: int = 2, keep: bool = True, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Sequence[tuple[str, str]] = ()) -> Report:
+def audit(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, least: float = 0.6, rounds: int = 2, keep: bool = True, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Corpus = ()) -> Report:
     """Find, resolve, review, deduplicate, score. rounds 0 leaves the review out; keep holds the documents' issues, without
     their texts, on executors' disks until release(), where a lost part is made anew."""
     rows = audited(docs, pack, engines, checks, corpus, least, rounds)

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.functions.hashing import minhash, simhash
-from proofloom.operators import academic, lifecycle, norm, parse, resolve, revise, score, similarity
+from proofloom.operators import academic, corpus, lifecycle, norm, parse, resolve, revise, score, similarity
 from proofloom.plans import audit
 from proofloom.plans.sql import PENALTY, TOKENS, WEIGHT, T, issues, q
 from proofloom.rules import LATIN
 from proofloom.schema import entries, make_issues
 
 RULES = (*LATIN.language, *LATIN.banned)
-CORPUS_ROWS = 10_000
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -92,23 +91,18 @@ def tfidf_topk(s, d):
     return similarity.tfidf_topk(_t(s, d, "benchmark"), _docs(s, d), "item_id", "doc_id", 3)
 
 
-def _corpus(s, d):
-    """The benchmark as a corpus of published texts, which comes with the plan."""
-    rows = _t(s, d, "benchmark").select("item_id", parse.TEXT().alias("text")).orderBy("item_id").limit(CORPUS_ROWS + 1).collect()
-    if len(rows) > CORPUS_ROWS:
-        raise ValueError(f"the corpus has over {CORPUS_ROWS} texts: use similarity.cross_duplicates")
-    return [(str(r["item_id"]), r["text"]) for r in rows]
-
-
 def cross_duplicates(s, d):
     """Paragraphs of documents with the benchmark item that they are most like."""
-    rows = similarity.with_published(_docs(s, d).select("doc_id", parse.paragraph_array(parse.TEXT()).alias("paras")), _corpus(s, d))
+    store = corpus.FingerprintStore.of(_t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("source"), "text"))
+    docs = _docs(s, d)
+    rows = docs.select("doc_id", parse.TEXT().alias("text"), parse.paragraph_array(parse.TEXT()).alias("paras"))
+    rows = similarity.located(corpus.with_matches(rows, docs, store, "matches"), "matches", "published")
     return entries(rows, F.col("published")).select("doc_id", "start", "end", F.col("source").alias("item_id"), F.round("score", 9).alias("score"))
 
 
 def intra_duplicates(s, d):
     """Paragraphs of documents that repeat an earlier one."""
-    return similarity.intra_duplicates(_docs(s, d)).select("doc_id", "first", "second", F.round("score", 9).alias("score"))
+    return similarity.intra_duplicates(_docs(s, d)).select("doc_id", "class", "first", "second", F.round("score", 9).alias("score"))
 
 
 # versions and candidates

@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofloom.functions import hashing, offsets
-from proofloom.operators import academic, lifecycle, logic, norm, resolve, revise, score, similarity, style, terms
+from proofloom.operators import academic, alike, lifecycle, logic, norm, resolve, revise, score, similarity, style, terms
+from proofloom.operators import corpus as corpora
 from proofloom.operators.parse import paragraph_array
 from proofloom.operators.parse import sentence_windows as sentences
 from proofloom.plans import audit
@@ -178,32 +180,58 @@ def test_fingerprints_agree_with_the_columns(spark):
     texts = ["the quick brown fox jumps", "Zwei 数据集成 words 3.5% and more, 中 x", "", "a", "same same same same"]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     for r in similarity.fingerprints(df, "k", 16).collect():
-        f = similarity.fingerprint_of(texts[r["k"]], 16)
+        f = alike.fingerprint_of(texts[r["k"]], 16)
         assert f.simhash == r["simhash"] & (2**64 - 1) and f.minhash.tolist() == r["minhash"] and f.grams == set(r["grams"]), texts[r["k"]]
 
 
-def plain_pairs(texts, sim=0.85, least=0.9):
-    prints = [similarity.fingerprint_of(t) for t in texts]
-    scored = {(i, j): similarity.scores_of(prints[i], prints[j]) for j in range(len(texts)) for i in range(j)}
-    return {k for k, s in scored.items() if s[0] >= sim and s[3] >= least}
+def plain_classes(texts, sim=0.85, least=0.9):
+    """(class, first, second) by all pairs."""
+    prints = [alike.fingerprint_of(t) for t in texts]
+    scored = {(i, j): alike.scores_of(prints[i], prints[j]) for j in range(len(texts)) for i in range(j)}
+    links = [k for k, s in scored.items() if s[0] >= sim and s[3] >= least]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return {(root[j], min(a for a, b in links if b == j), j) for _, j in links}
 
 
-def test_repeated_paragraphs_against_all_pairs(docs):
-    rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 200))) for _ in range(5)]
-    texts = []
-    for _ in range(40):
+def variants(rng, base, n, changes):
+    out = []
+    for _ in range(n):
         t = list(rng.choice(base))
-        for _ in range(rng.choice([0, 0, 1, 3])):
+        for _ in range(rng.choice(changes)):
             t[rng.randrange(len(t))] = "z"
-        texts.append("".join(t))
-    want = plain_pairs(texts)
-    assert {(i, j) for i, j, _ in similarity.alike_pairs(texts)} == want and len(want) > 20
-    paras = ["Short."] + [t.strip() for t in texts[:6]] + [texts[0].strip()]
+        out.append("".join(t))
+    return out
+
+
+@pytest.mark.parametrize("sim,least", [(0.85, 0.9), (0.7, 0.75), (0.5, 0.55)])
+def test_repeated_paragraphs_against_all_pairs(sim, least):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(40, 200))) for _ in range(5)] + ["!?!? ....", "数据集成平台的建设与数据集成平台的管理"]
+    texts = variants(rng, base, 70, [0, 0, 1, 2, 3, 5])
+    want = plain_classes(texts, sim, least)
+    got = alike.alike_classes(texts, sim, least)
+    assert {x[:3] for x in got} == want and len(got) == len(want) > 15
+    assert alike.alike_classes([]) == alike.alike_classes(["one"]) == []
+
+
+def test_many_alike_paragraphs_take_linear_output():
+    template = " ".join(f"w{i}" for i in range(60))
+    found = alike.alike_classes([f"{template} number {i}" for i in range(3000)])
+    assert len(found) == 2999 and {c for c, *_ in found} == {0} and all(i < j for _, i, j, _ in found)
+
+
+def test_repeats_name_their_paragraphs(docs):
+    rng = random.Random(4)
+    texts = [t.strip() for t in variants(rng, ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(2)], 7, [0, 1])]
+    paras = ["Short.", *texts, texts[0]]
     rows = similarity.intra_duplicates(docs("\n".join(paras), "x", None)).collect()
     own = [(i, t) for i, t in enumerate(paras) if len(t) >= similarity.MIN_CHARS]
-    alike = plain_pairs([t for _, t in own])
-    assert {(r["doc_id"], r["first"], r["second"]) for r in rows} == {(0, own[i][0], own[j][0]) for i, j in alike}
+    want = {(0, *(own[x][0] for x in c)) for c in plain_classes([t for _, t in own])}
+    assert {(r["doc_id"], r["class"], r["first"], r["second"]) for r in rows} == want and want
+    assert all("\n".join(paras)[r["start"] : r["end"]] == paras[r["second"]] for r in rows)
 
 
 def test_corpus_against_all_pairs(docs, spark):
@@ -217,16 +245,19 @@ def test_corpus_against_all_pairs(docs, spark):
         texts.append(" ".join(w))
     want = {}
     for i, t in enumerate(texts):
-        f = similarity.fingerprint_of(t)
+        f = alike.fingerprint_of(t)
         best = None
         for name, c in corpus:
-            s = similarity.scores_of(f, similarity.fingerprint_of(c))
+            s = alike.scores_of(f, alike.fingerprint_of(c))
             if s[0] >= 0.5 and not (s[1] < 0.45 and s[2] < 0.45) and s[3] >= 0.72 and (best is None or s[3] > best[1]):
                 best = (name, s[3])
         if best:
             want[i] = best
     rows = entries(similarity.with_published(docs(*texts).withColumn("paras", paragraph_array(F.col("text"))), corpus), F.col("published")).collect()
     assert {r["doc_id"]: (r["source"], r["score"]) for r in rows} == want and 5 < len(want) < 30
+    table = spark.createDataFrame([(n, c) for n, c in corpus] + [("x", None), ("z", corpus[0][1])], "source string, text string")
+    rows = corpora.closest(docs(*texts, None), corpora.FingerprintStore.of(table)).join(corpora.named(docs(*texts)), ["t", "u"]).collect()
+    assert {r["doc_id"]: (r["source"], round(r["score"], 9)) for r in rows} == {k: (n, round(x, 9)) for k, (n, x) in want.items()}
     fp = similarity.fingerprints(docs(*texts), "doc_id")
     cp = similarity.fingerprints(spark.createDataFrame(corpus, "c string, text string"), "c")
     rows = similarity.cross_duplicates(fp, cp, "doc_id", "c", block=2).collect()
