@@ -36,7 +36,7 @@ MOST = 32  # windows of a piece
 BLOCK = 1 << 18  # words of an anchor beyond which its block is dealt anew; blocks are indexed together up to this size
 HOT = 4096  # keys that may hold more than a 4096th of all rows
 SALTS = 32
-BITS = 24  # of the bitmaps that spare shuffles: 2 MB each
+BITS = 25  # of the bitmaps that spare shuffles: 4 MB each
 SLICE = 1 << 19
 BLANKS = " \t\n\x0b\x0c\r"
 _BASE = 0xD1342543DE82EF95
@@ -168,8 +168,8 @@ def _cut(named: DataFrame, kind: str, window: int, gram: int, shared=None, hot:
     return named.select("doc", "t", "text").mapInArrow(run, columns)
 
 
-def _fetch(fetched: DataFrame, kind: str, window: int, whole: bool) -> DataFrame:
-    """Words of the wanted pieces; of those in large blocks their windows' hashes instead."""
+def _fetch(fetched: DataFrame, kind: str, window: int) -> DataFrame:
+    """The wanted pieces of texts: their words; for those in large blocks a row for each window instead, with its hash and place."""
 
     def run(batches):
         for batch in batches:
@@ -177,23 +177,17 @@ def _fetch(fetched: DataFrame, kind: str, window: int, whole: bool) -> DataFrame
             for i, (data, want) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 words = data.as_py().encode().split()
                 for w in want:
-                    if w["large"] == whole:
-                        continue
                     part = words[w["start"] : w["start"] + w["n"] + window - 1]
-                    if whole:
-                        rows.append((w["h"], w["c"], i, b" ".join(part)))
-                    else:
-                        digests = b"".join(xxhash.xxh3_64_digest(b" ".join(part[k : k + window])) for k in range(w["n"]))
-                        rows += [(w["h"], w["c"], i, x, k) for k, x in enumerate(np.frombuffer(digests, dtype=np.int64).tolist())]
-            doc = batch.column(0).take(pa.array([r[2] for r in rows], pa.int64()))
-            arrays = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), doc]
-            if whole:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[3] for r in rows], pa.binary())], ["h", "c", "doc", "words"])
-            else:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int32())], ["h", "c", "doc", "w", "k"])
-
-    more = "words binary" if whole else "w long, k int"
-    return fetched.select("doc", "text", "want").mapInArrow(run, f"h long, c long, doc {kind}, {more}")
+                    if not w["large"]:
+                        rows.append((i, w["h"], w["c"], b" ".join(part), None, 0))
+                        continue
+                    digests = b"".join(xxhash.xxh3_64_digest(b" ".join(part[k : k + window])) for k in range(w["n"]))
+                    rows += [(i, w["h"], w["c"], None, x, k) for k, x in enumerate(np.frombuffer(digests, dtype=np.int64).tolist())]
+            doc = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = [("h", pa.int64()), ("c", pa.int64()), ("words", pa.binary()), ("w", pa.int64()), ("k", pa.int32())]
+            yield pa.RecordBatch.from_arrays([doc, *[pa.array([r[n] for r in rows], t) for n, (_, t) in enumerate(kinds, 1)]], ["doc", *[n for n, _ in kinds]])
+
+    return fetched.select("doc", "text", "want").mapInArrow(run, f"doc {kind}, h long, c long, words binary, w long, k int")
 
 
 def _factored(parts: DataFrame, window: int, block: int) -> DataFrame:
@@ -246,9 +240,10 @@ def duplicate_spans(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     fetched = named.filter(key_bitmap(wanted, "t", BITS)("t")).join(wanted, ["doc", "t"])
 
     # rows of one id and text answer more than once; one answer of each piece stays
-    told = [_factored(_fetch(fetched, kind, window, True).dropDuplicates(["h", "c"]), window, block)]
-    if not wanted.filter(F.exists("want", lambda w: w["large"])).isEmpty():
-        windows = staged(_fetch(fetched, kind, window, False).dropDuplicates(["h", "c", "k"]), "windows")
+    parts = staged(_fetch(fetched, kind, window).dropDuplicates(["h", "c", "k"]), "parts")
+    windows = parts.filter("words IS NULL")
+    told = [_factored(parts.filter("words IS NOT NULL").select("h", "c", "doc", "words"), window, block)]
+    if not windows.isEmpty():
         least = windows.groupBy("h", "w").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h", "w", "a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         again = windows.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(least, ["h", "w", "salt"]).filter("doc > a")
         told.append(again.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("lo"), (F.col("k") + F.lit(window)).cast("int").alias("hi"))).alias("spans")))
