@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from proofloom import demo, models
 from proofloom.operators import lifecycle, resolve
 from proofloom.plans import audit
-from proofloom.rules import LATIN, PACKS, Pack
+from proofloom.rules import EN, PACKS, Pack
 from proofloom.sources import packs, readers, sinks
 
 
-DEFAULTS = {"pack": "latin", "preset": "", "files": {"terms": "", "banned": "", "ledger": "", "resources": "", "references": ""}, "engines": ",".join(audit.ENGINES), "least": 0.6, "rounds": 2, "model": {"url": "", "model": "local-model", "wire": "openai_compatible", "key": ""}}
+DEFAULTS = {"pack": "en", "preset": "", "files": {"terms": "", "banned": "", "ledger": "", "resources": "", "references": ""}, "engines": ",".join(audit.ENGINES), "least": 0.6, "rounds": 2, "model": {"url": "", "model": "local-model", "wire": "openai_compatible", "key": ""}}
 
 
 class Proofloom:
     """One session, one rule pack, and settings."""
 
-    def __init__(self, spark: SparkSession, pack: Pack = LATIN, settings: Mapping | None = None):
+    def __init__(self, spark: SparkSession, pack: Pack = EN, settings: Mapping | None = None):
         self.spark, self.pack, self.settings = spark, pack, dict(settings or DEFAULTS)
 
     @classmethod
@@ -114,7 +114,7 @@ def main(argv: list[str] | None = None) -> int:
     """Exit code 0 if every document passed, 1 if one did not, 2 if the input cannot be read."""
     args = parser().parse_args(argv)
     if args.command in ("info", "graph"):
-        pack = PACKS[args.pack or "latin"]
+        pack = PACKS[args.pack or "en"]
         print(json.dumps(dict(audit.describe(pack)), default=list) if args.command == "info" else audit.mermaid(pack))
         return 0
     spark = SparkSession.builder.appName("proofloom").getOrCreate()

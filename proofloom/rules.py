@@ -115,26 +115,114 @@ LATIN = Pack(
     cues=(r"\bthe (\w{6,})", r"\bof (\w{6,})", r"\band (\w{6,})"),
 )
 
+#: Words that count or measure, by what they measure; one of the large numbers may stand before them.
+MEASURES = {
+    "shares": ("%", "‰", "个百分点"),
+    "things": ("个", "件", "台", "套", "条", "项", "座", "辆", "本", "份", "次"),
+    "people": ("人", "人次", "名", "位", "户"),
+    "money": ("元", "美元", "欧元", "日元"),
+    "lengths": ("米", "千米", "厘米", "海里"),
+    "areas": ("平方米", "平方千米", "亩"),
+    "weights": ("克", "千克", "吨"),
+    "volumes": ("升", "毫升", "立方米"),
+    "times": ("秒", "分钟", "小时", "天", "周", "个月", "年"),
+    "energy": ("度", "千瓦", "千瓦时", "焦耳"),
+}
+LARGE = ("万", "亿")
+
+
+def measured(measures: dict[str, tuple[str, ...]] = MEASURES, large: tuple[str, ...] = LARGE) -> str:
+    """A pattern of units: the longest word first, with or without a large number, or such a number alone."""
+    words = sorted({w for group in measures.values() for w in group}, key=lambda w: (-len(w), w))
+    many = "|".join(large)
+    return f"(?:{many})?(?:{'|'.join(words)})|{many}"
+
+
 ZH = Pack(
     name="zh",
     terminators="。！？；!?;\\n",
     closers="”’」』）)\"'",
     heading=r"^\s*(#{1,6}\s|第[一二三四五六七八九十百\d]+[章节部分]|[一二三四五六七八九十]+、)",
     reference_head=r"^\s*#*\s*(参考文献|引用文献)",
-    negation=("不是", "并非", "不得"),
-    terms=(Term("z1", "数据集成", ("数椐集成",), severity="MAJOR"), Term("z2", "次序", type="ordering", order=("春", "夏", "秋", "冬"), segment="[春夏秋冬、]{3,}")),
-    language=(Rule("z-twice", r"(的)的", "MINOR", message="重复", replacement="$1"),),
+    negation=("不是", "并非", "不得", "没有", "未曾"),
+    terms=(
+        Term("z1", "数据集成", ("数椐集成", "数据集诚"), severity="MAJOR"),
+        Term("z2", "次序", type="ordering", order=("春", "夏", "秋", "冬"), segment="[春夏秋冬、]{3,}"),
+        Term("z3", "人工智能", ("人工智慧",), severity="MINOR"),
+        Term("z4", "互联网", ("互连网", "因特网"), severity="MINOR"),
+        Term("z5", "账号", ("帐号",), severity="MINOR"),
+    ),
+    language=(
+        Rule("z-twice", r"(的)的", "MINOR", message="重复", replacement="$1"),
+        Rule("z-spelling", "既使", "MAJOR", message="错别字", replacement="即使"),
+        Rule("z-spelling-2", "做为", "MINOR", message="错别字", replacement="作为"),
+        Rule("z-about", "大约[^，。；]{0,12}左右", "MINOR", message="约数重复", advice="去掉一个"),
+    ),
+    banned=(
+        Rule("z-mail", r"[\w.]+@[\w.]+\w", "MAJOR", "language", "出现邮箱地址", advice="删去"),
+        Rule("z-phone", r"\b1[3-9]\d{9}\b", "MAJOR", "language", "出现手机号码", advice="删去"),
+    ),
     repeats=(
-        Rule("z-particle", "的的|了了|是是", "MAJOR", message="助词重复", confidence=0.85),
-        Rule("z-chain", "(?:的[^，。；]{2,10}){2,}的", "INFO", message="定语过长", confidence=0.85),
-        Rule("z-aspect", "进行(?:了)?了", "MINOR", message="助词重复", confidence=0.85),
-        Rule("z-word", "通过通过|从从|在在", "MAJOR", message="词语重复", confidence=0.85),
+        Rule("z-mark-word", r"([的地得着过吧吗呢与及])\1", "MAJOR", message="虚词连用", confidence=0.85),
+        Rule("z-same-word", r"([一-鿿]{3,8})\1", "MAJOR", message="词语连写两遍", confidence=0.85),
+        Rule("z-attributes", "[一-鿿]{1,9}的[一-鿿]{1,9}的[一-鿿]{1,9}的", "INFO", message="一句三个定语", confidence=0.85),
+    ),
+    unit=measured(),
+    words={
+        "absolute": ("必然", "一定", "毫无疑问", "无一例外", "史无前例"), "hard": ("必然", "毫无疑问"), "hedge": ("可能", "或许", "似乎", "大概"), "evidence": ("数据", "%", "调查", "统计"), "claim": ("表明", "可见", "证明"),
+        "causal": ("因此", "所以", "由此可见"), "vague": ("这些", "那些", "上述"), "universal": ("全国", "所有"), "conclusion": ("说明", "表明"), "local": ("本市", "本县", "本校"), "noun": ("部门",), "opener": (), "avoid": ("搞", "弄"),
+        "europeanised": ("被", "对于"), "lead": ("一是", "二是", "首先"), "comparison": ("同比", "环比"), "degree": ("较快", "明显", "大幅", "略有", "稳定"),
+    },
+    quantifiers=(("大多数", 50.0, 100.0, "多数应过半"), ("少数", 0.0, 50.0, "少数应不足一半")),
+    metrics=(("mean_sentence", 15.0, 50.0), ("symbol_density", 0.0, 0.03)),
+    cues=(r"所谓“([^”]{2,12})”", r"([一-鿿]{2,8})（简称"),
+)
+
+#: English prose in general. LATIN is made to find something in invented prose, for queries and tests.
+EN = Pack(
+    name="en",
+    terminators=".!?;\\n",
+    closers="\"')\\]”’",
+    heading=r"^\s*(#{1,6}\s|\p{Lu}[^.!?]*$)",
+    reference_head=r"(?i)^\s*#*\s*(references|bibliography|works cited|sources)\s*$",
+    negation=("not", "no", "never", "without", "hardly"),
+    terms=(
+        Term("e1", "open source", ("opensource",), severity="MINOR"),
+        Term("e2", "website", ("web-cite", "websight"), severity="MINOR"),
+        Term("e3", "machine learning", ("machine learing", "maschine learning"), severity="MAJOR"),
+        Term("e4", "seasons", type="ordering", order=("spring", "summer", "autumn", "winter"), segment=r"(?:\b(?:spring|summer|autumn|winter)\b(?:, and |, | and )?){2,}"),
+        Term("e5", "fax machine", ("telefax apparatus",), type="deprecated", severity="INFO", replaces="scanner"),
+    ),
+    language=(
+        Rule("double-mark", r"[!?]{2,}", "MINOR", message="repeated mark", replacement="!", advice="use one mark"),
+        Rule("could-of", r"\b(could|should|would) of\b", "MAJOR", message="of instead of have", replacement="$1 have"),
+        Rule("alot", r"\balot\b", "MINOR", message="two words", replacement="a lot"),
+        Rule("receive", r"\b([Rr])ecieve", "MINOR", message="spelling", replacement="$1eceive"),
+        Rule("separate", r"\b([Ss])eperat", "MINOR", message="spelling", replacement="$1eparat"),
+        Rule("reason-because", r"\breason\b[^.]{0,40}\bis because\b", "INFO", message="says the reason twice", advice="write 'is that'", confidence=0.6),
+    ),
+    banned=(
+        Rule("mail", r"[\w.+-]+@[\w-]+\.[\w.]+\w", "MAJOR", "language", "a mail address", advice="remove it"),
+        Rule("ip", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "MAJOR", "language", "a network address", advice="remove it"),
+        Rule("secret", r"(?i)\b(?:password|api[_ ]?key|token)\s*[:=]\s*\S{8,}", "FATAL", "political", "a secret stands in the text", advice="remove it"),
+    ),
+    words={
+        "universal": ("all ", "every ", "everyone", "nobody"), "conclusion": ("shows that", "proves that", "means that"), "local": ("in our town", "at our site", "in this school"),
+        "absolute": ("always", "never", "undoubtedly", "certainly", "without exception"), "hard": ("undoubtedly", "without exception"), "hedge": ("perhaps", "may ", "might", "possibly", "seems"),
+        "claim": ("we argue", "it is clear", "this proves"), "evidence": ("%", "per cent", "survey", "figures", "measured", "according to"), "causal": ("therefore", "hence", "consequently"),
+        "vague": ("This ", "That ", "These ", "Those "), "noun": ("study", "report", "method", "result", "committee"), "opener": ("There is ", "There are ", "It is "), "europeanised": ("in order to", "with regard to", "the fact that"),
+        "lead": ("First", "Second", "Finally", "In short"), "avoid": ("utilize", "leverage", "going forward", "synergy"), "comparison": ("year-on-year", "year on year", "month-on-month"), "degree": ("strongly", "slightly", "markedly", "considerably"),
+    },
+    repeats=(
+        Rule("doubled-word", r"(?i)\b(\p{L}{2,})\s+\1\b", "MAJOR", message="doubled word", confidence=0.85),
+        Rule("chain", r"(?:\bof\b[^,.;\n]{2,20}){4,}", "INFO", message="chain of attributes", confidence=0.85),
     ),
-    unit="%|[万亿]?(?:人次|平方公里|平方米|公顷|公里|元|条|个|人|户|家|项|次|吨|亩|米|天|年|月)|[万亿]",
-    words={"absolute": ("必然", "一定"), "hard": ("必然",), "hedge": ("可能", "或许"), "evidence": ("数据", "%"), "claim": ("表明",), "causal": ("因此",), "vague": ("这些",), "universal": ("全国",), "conclusion": ("说明",), "local": ("本市",), "noun": ("部门",), "opener": (), "avoid": ("搞",), "europeanised": ("被",), "lead": ("一是",), "comparison": ("同比", "环比"), "degree": ("较快", "明显", "显著", "大幅", "有所", "平稳")},
+    quantifiers=(("the majority", 50.0, 100.0, "a majority is above half"), ("a minority", 0.0, 50.0, "a minority is below half"), ("nearly all", 85.0, 100.0, "state the share")),
+    metrics=(("mean_sentence", 40.0, 160.0), ("symbol_density", 0.0, 0.02)),
+    cues=(r"\b(?:so-called|known as|termed) “([^”]{3,40})”", r"\bthe term “([^”]{3,40})”"),
 )
 
-PACKS = {p.name: p for p in (LATIN, ZH)}
+PACKS = {p.name: p for p in (EN, LATIN, ZH)}
 
 
 def pattern_rows(pack: Pack) -> list[dict]:

@@ -9,7 +9,7 @@ from proofloom.operators import corpus as corpora
 from proofloom.operators.parse import paragraph_array
 from proofloom.operators.parse import sentence_windows as sentences
 from proofloom.plans import audit
-from proofloom.rules import LATIN, ZH, Pack, Rule, Term, term_rows
+from proofloom.rules import EN, LATIN, ZH, Pack, Rule, Term, term_rows
 from proofloom.schema import entries, make_issues
 
 
@@ -357,3 +357,15 @@ def test_audit_end_to_end(docs):
     rules = {r["rule_id"] for r in audit.audit(docs(f"Intro 1.\n{copied}\n{copied}"), LATIN, ("academic",), keep=False, corpus=[("old", copied)]).issues.collect()}
     assert "dup-internal" in rules or "dup-cross" in rules
     assert audit.revise_texts(d, report.issues).filter("doc_id = 0").first()["revised"].startswith("bad! ")
+
+
+def test_neutral_packs_on_real_phrasing(docs):
+    """Each pack finds its faults in prose and nothing in prose without any."""
+    bad = docs("We could of left.", "The the cat slept.", "Write to me@example.org now.", "We play in summer, spring and winter.", "The result is undoubtedly right, perhaps.", "machine learing works.", "Calm prose stands here, and it is short.")
+    found = {(r["doc_id"], r["rule_id"]) for r in audit.raw_issues(bad, EN, ("term", "norm", "logic")).collect()}
+    assert {(0, "could-of"), (1, "doubled-word"), (2, "mail"), (3, "order-e4"), (5, "term-e3")} <= found and 6 not in {d for d, _ in found} and 4 in {d for d, _ in found}
+    bad = docs("我的的书在桌上。", "数椐集成很重要。", "既使下雨也去。", "秋、春、夏是季节。", "电话13912345678。", "重要会议重要会议开始了。", "他在家里看书。")
+    found = {(r["doc_id"], r["rule_id"]) for r in audit.raw_issues(bad, ZH, ("term", "norm")).collect()}
+    assert {(0, "z-mark-word"), (1, "term-z1"), (2, "z-spelling"), (3, "order-z2"), (5, "z-same-word")} <= found and 6 not in {d for d, _ in found}
+    facts = docs("共3万平方千米，2亿元，5个百分点，7万").select(academic.number_facts(F.col("text"), ZH).alias("f")).first()["f"]
+    assert [(f["value"], f["unit"]) for f in facts] == [(3.0, "平方千米"), (2.0, "元"), (5.0, "个百分点"), (7.0, "")]
