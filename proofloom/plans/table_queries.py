@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.functions.hashing import minhash, simhash
-from proofloom.operators import academic, corpus, lifecycle, norm, parse, resolve, revise, score, similarity
+from proofloom.operators import academic, corpus, indexes, lifecycle, norm, parse, resolve, revise, score, similarity
 from proofloom.plans import audit
 from proofloom.plans.sql import PENALTY, TOKENS, WEIGHT, T, issues, q
 from proofloom.rules import LATIN
@@ -73,7 +73,7 @@ def simhash_items(s, d):
 
 def simhash_nearest(s, d):
     """Nearest other item by SimHash, over the fixed list of items."""
-    return similarity.nearest(simhash_items(s, d), "item_id")
+    return indexes.nearest(simhash_items(s, d), "item_id")
 
 
 def minhash_items(s, d):
@@ -91,6 +91,11 @@ def tfidf_topk(s, d):
     return similarity.tfidf_topk(_t(s, d, "benchmark"), _docs(s, d), "item_id", "doc_id", 3)
 
 
+def tfidf_search(s, d):
+    """The same by an index that is built once, searched by bounds (P10)."""
+    return indexes.temporary_index(_docs(s, d), "doc_id").search(_t(s, d, "benchmark"), "item_id", "doc_id", 3)
+
+
 def cross_duplicates(s, d):
     """Paragraphs of documents with the benchmark item that they are most like."""
     store = corpus.FingerprintStore.of(_t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("source"), "text"))
@@ -244,7 +249,7 @@ def history_trend(s, d):
     return out.select("user_id", "event_id", F.round("change", 6).alias("change"))
 
 
-NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, labels_unlisted, approvals, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, cross_duplicates, intra_duplicates, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
+NAMES = [sum_consistency, share_consistency, numbering_lines, numbering_turns, labels_unlisted, approvals, dup_titles, simhash_items, simhash_nearest, minhash_items, dup_cross, tfidf_topk, tfidf_search, cross_duplicates, intra_duplicates, version_diff, version_merge, version_checksum, candidates, term_update, containment_dedup, term_search, loose_json, issue_overlap_resolved, critic_conflict, issue_dedup, issue_review, second_round, fact_checks, dimension_scores, gate, severity_pivot, score_rollup, engine_trace, issue_summaries, issue_browser, revised_text, highlighted, json_report, history_latest, history_trend]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _ISSUES = issues(RULES, "norm")
@@ -307,3 +312,4 @@ SQL = {
     "history_latest": "WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id, value FROM r WHERE n = 1",
     "history_trend": "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS change FROM events",
 }
+SQL["tfidf_search"] = SQL["tfidf_topk"]
