@@ -14,7 +14,8 @@ from proofloom import demo, models
 from proofloom.operators import lifecycle, resolve
 from proofloom.plans import audit
 from proofloom.rules import EN, PACKS, Pack
-from proofloom.sources import packs, readers, sinks
+from proofloom.sources import files, packs, readers, sinks
+from proofloom.sources.tables import written
 
 
 DEFAULTS = {"pack": "en", "preset": "", "files": {"terms": "", "banned": "", "ledger": "", "resources": "", "references": ""}, "engines": ",".join(audit.ENGINES), "least": 0.6, "rounds": 2, "model": {"url": "", "model": "local-model", "wire": "openai_compatible", "key": ""}}
@@ -57,6 +58,12 @@ class Proofloom:
     def export(self, report: audit.Report, docs: DataFrame, path: str, formats: tuple[str, ...] = ("json", "markdown")) -> None:
         sinks.write_reports({f: self.render(report, docs, f) for f in formats}, path)
 
+    def export_files(self, report: audit.Report, docs: DataFrame, path: str, formats: tuple[str, ...] = ("docx", "pdf")) -> None:
+        """One file a document and format, in a folder of the format's name."""
+        for f in formats:
+            source = {"docx": "markdown", "pdf": "markdown", "md": "markdown"}.get(f, f)
+            files.write_files(self.render(report, docs, source), f"{path}/{f}", f)
+
     def update_terms(self, sources: Sequence[Mapping] | DataFrame, path: str | None = None, version: str = "next", approved: bool = False, known: DataFrame | None = None) -> DataFrame:
         """New candidates of sources ({id, type, path or url}) or of documents. With a path, the pack's terms and the candidates
         are staged there as a version, which becomes the current one if approved (U04, V05)."""
@@ -64,6 +71,7 @@ class Proofloom:
         found = lifecycle.candidates(sources, self.pack.cues) if isinstance(sources, DataFrame) else readers.source_candidates(self.spark, sources, self.pack.cues)
         fresh = lifecycle.run_update(found, known)
         if path:
+            fresh = written(fresh, "fresh")  # sources are read once
             sinks.write_pending(fresh, f"{path}/pending")
             lifecycle.stage(known.unionByName(fresh.select("id", "term", "confidence"), allowMissingColumns=True), path, version)
             if approved:
@@ -104,9 +112,7 @@ def _terms(loom: Proofloom, args: argparse.Namespace) -> int:
         loom.update_terms(given, args.path, "next", args.auto_promote).orderBy(F.desc("confidence"), "term").show(50, truncate=False)
         return 0
     pending = loom.spark.read.parquet(f"{args.path}/pending")
-    done = loom.approve(pending, pending.limit(0), args.ids)
-    done.write.mode("append").parquet(f"{args.path}/ledger")
-    print(f"approved {done.count()}")
+    print(f"approved {lifecycle.approve_into(loom.spark, pending, f'{args.path}/ledger', args.ids)}")
     return 0
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,32 +44,108 @@ def diff_versions(old: DataFrame, new: DataFrame, key: str, compared: Sequence[s
 
 
 def stage(rows: DataFrame, path: str, version: str) -> None:
-    """Write a rule set as a version beside the others; none is changed."""
-    rows.drop("version").write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
-def promote(spark: SparkSession, path: str, version: str) -> None:
-    """Make a staged version the current one: a pointer is written beside and moved into place, so readers see the old or the
-    new one (V05)."""
-    jvm = spark.sparkContext._jvm
-    folder, name = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(name):
+    """Write a rule set as a version beside the others; none is changed, and one that is there stays."""
+    rows.drop("version").write.mode("error").parquet(f"{path}/version={version}")
+
+
+class CommitLog:
+    """Numbered entries of a folder. An entry is made only if its number is free, so of two writers that saw the same state one
+    fails and looks again; readers list the folder and see whole entries (V05, U05)."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.root = self.path(path)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark = spark
+
+    def entries(self) -> list[tuple[int, str]]:
+        """(number, what it says) of all entries, the oldest first."""
+        if not self.fs.exists(self.root):
+            return []
+        names = [f.getPath() for f in self.fs.listStatus(self.root)]
+        told = sorted((int(n.getName().split(".")[0]), n.toString()) for n in names if n.getName().endswith(".entry"))
+        if not told:
+            return []
+        texts = {r["p"].rsplit("/", 1)[-1]: r["value"] for r in self.spark.read.text([p for _, p in told], wholetext=True).select("value", F.input_file_name().alias("p")).collect()}
+        return [(n, texts.get(p.rsplit("/", 1)[-1], "")) for n, p in told]
+
+    def latest(self) -> str | None:
+        found = self.entries()
+        return found[-1][1] if found else None
+
+    def add(self, text: str, seen: int) -> bool:
+        """Write entry seen + 1 unless someone has; False if so. It is written beside and moved to its name, which a store
+        refuses if the name is taken, so that no reader sees half of it."""
+        self.fs.mkdirs(self.root)
+        name = self.path(self.root, f"{seen + 1:012d}.entry")
+        beside = self.path(self.root, f"_{uuid.uuid4().hex}")
+        out = self.fs.create(beside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        claim = self.path(self.root, f"{seen + 1:012d}.claim")
+        won = self._free(claim) and not self.fs.exists(name) and self.fs.rename(beside, name)
+        if not won:
+            self.fs.delete(beside, False)
+        return won
+
+    def _free(self, claim) -> bool:
+        """Whether this writer is the first to ask for a number: file creation without overwriting is atomic."""
+        try:
+            self.fs.create(claim, False).close()
+        except Exception as e:  # noqa: BLE001  the store's own exception crosses from the JVM
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+
+def promote(spark: SparkSession, path: str, version: str, tries: int = 20) -> int:
+    """Make a staged version the current one by an entry of the log; its number. Readers see the old or the new one."""
+    log = CommitLog(spark, f"{path}/log")
+    if not log.fs.exists(log.path(f"{path}/version={version}/_SUCCESS")):
         raise ValueError(f"there is no version {version}")
-    pointer, beside = (jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT{x}") for x in ("", ".new"))
-    out = fs.create(beside, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(beside, pointer)
+    for _ in range(tries):
+        seen = max([n for n, _ in log.entries()], default=0)
+        if log.add(version, seen):
+            return seen + 1
+        time.sleep(0.05)
+    raise RuntimeError(f"others kept writing to {path}/log")
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the current version, with it as `version`."""
-    version = spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0]
+    version = CommitLog(spark, f"{path}/log").latest()
+    if version is None:
+        raise ValueError(f"no version of {path} was promoted")
     return spark.read.parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
 
 
+def ledger(spark: SparkSession, path: str, schema: str = "id string, term string, confidence double, status string") -> DataFrame:
+    """The approved entries: the tables that the log names, together; of one id the first."""
+    told = [t for _, t in CommitLog(spark, f"{path}/log").entries()]
+    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{t}" for t in told]) if told else spark.createDataFrame([], schema)
+    return rows.dropDuplicates(["id"]) if told else rows
+
+
+def approve_into(spark: SparkSession, pending: DataFrame, path: str, ids: Sequence[str] | None = None, tries: int = 20) -> int:
+    """Approve pending entries into the ledger at path; how many it lacked (U05). What another one approved meanwhile is not
+    approved again: its entry takes the number, and this one looks anew."""
+    log = CommitLog(spark, f"{path}/log")
+    for _ in range(tries):
+        seen = max([n for n, _ in log.entries()], default=0)
+        held = ledger(spark, path)
+        chosen = pending if ids is None else pending.filter(F.col("id").isin(*ids))
+        new = chosen.filter(F.col("id").isNotNull()).dropDuplicates(["id"]).join(held.select("id"), "id", "left_anti").withColumn("status", F.lit("approved"))
+        name = f"entries-{uuid.uuid4().hex}"
+        new.write.parquet(f"{path}/{name}")
+        n = spark.read.parquet(f"{path}/{name}").count()
+        if not n or log.add(name, seen):
+            return n
+        time.sleep(0.05)
+    raise RuntimeError(f"others kept writing to {path}/log")
+
+
 def strip_lead(term: Column, lead: Sequence[str], least: int = 4) -> Column:
     """Leading filler words removed one after another, the first that fits in the list's order, while `least` characters
     stay (U02)."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import zipfile
-from xml.sax.saxutils import escape
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.operators.revise import escape_html, highlight
 from proofloom.schema import weight
+from proofloom.sources.files import docx_bytes, pdf_bytes
 
 ISSUE_FIELDS = ("issue_id", "engine", "category", "severity", "rule_id", "message", "start", "end", "original", "suggestion", "explain", "confidence")
 
@@ -85,47 +83,6 @@ def report_of(spark, path: str, fmt: str, doc_id) -> str | bytes | None:
     return row and row["report"]
 
 
-def docx_bytes(lines: list[str]) -> bytes:
-    """A minimal Word file, a paragraph a line."""
-    import io
-
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in lines)
-    parts = {
-        "[Content_Types].xml": '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-        "_rels/.rels": '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in parts.items():
-            z.writestr(name, data)
-    return out.getvalue()
-
-
-def pdf_bytes(lines: list[str], per_page: int = 50, font: str = "STSong-Light") -> bytes:
-    """A plain PDF (K07). Texts beyond Latin are set in a font that PDF readers bring for CJK, by UCS-2 code."""
-    wide = any(ord(c) > 255 for line in lines for c in line)
-    if wide:
-        shown = lambda x: "<" + x.encode("utf-16-be", "replace").hex() + "> Tj T*\n"
-        font_of = f"<< /Type /Font /Subtype /Type0 /BaseFont /{font} /Encoding /UniGB-UCS2-H /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 /BaseFont /{font} /CIDSystemInfo << /Registry (Adobe) /Ordering (GB1) /Supplement 2 >> /DW 1000 >>] >>"
-    else:
-        shown = lambda x: "(" + x.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") + ") Tj T*\n"
-        font_of = "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
-    objects, kids = ["<< /Type /Catalog /Pages 2 0 R >>", "", font_of], []
-    for at in range(0, max(1, len(lines)), per_page):
-        stream = "BT /F1 10 Tf 12 TL 50 790 Td\n" + "".join(map(shown, lines[at : at + per_page])) + "ET"
-        objects.append(f"<< /Length {len(stream.encode('latin-1'))} >>\nstream\n{stream}\nendstream")
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {len(objects)} 0 R >>")
-        kids.append(f"{len(objects)} 0 R")
-    objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>"
-    out, places = b"%PDF-1.4\n", []
-    for n, o in enumerate(objects, 1):
-        places.append(len(out))
-        out += f"{n} 0 obj\n{o}\nendobj\n".encode("latin-1")
-    table = "".join(f"{p:010d} 00000 n \n" for p in places)
-    return out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer << /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode("latin-1")
-
-
 def append_history(rows: DataFrame, path: str) -> None:
     """Append to a history of JSON lines."""
     rows.write.mode("append").json(path)

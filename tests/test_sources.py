@@ -125,7 +125,7 @@ def test_update_from_sources(spark, tmp_path, server):
     sources = [{"id": "f", "type": "file", "path": str(tmp_path / "s.txt")}, {"id": "n", "type": "file", "path": str(tmp_path / "none")}, {"id": "u", "type": "url_text", "url": f"{server}/page"}, {"id": "j", "type": "json_api", "url": f"{server}/terms"}, {"id": "x", "type": "url_text", "url": f"{server}/gone"}, {"id": "off", "type": "url_text", "url": "bad", "enabled": False}]
     found = {r["term"]: r for r in readers.source_candidates(spark, sources, LATIN.cues).collect()}
     assert set(found) == {"wonders", "kingdoms", "given term", ""} and "404" in found[""]["reason"] and found["given term"]["confidence"] == 0.9
-    loom, path = api.Proofloom(spark), str(tmp_path / "versions")
+    loom, path = api.Proofloom(spark, LATIN), str(tmp_path / "versions")
     fresh = loom.update_terms(sources, path, "v1", approved=True)
     assert {r["term"] for r in fresh.collect()} == {"wonders", "kingdoms", "given term"}
     now = lifecycle.current(spark, path)
@@ -148,7 +148,7 @@ def test_reports_of_every_kind(spark, tmp_path):
     assert json.loads(sinks.report_of(spark, str(tmp_path / "out"), "json", 1))["gate"] == "BLOCK" and sinks.report_of(spark, str(tmp_path / "out"), "json", 99) is None
     marks = spark.createDataFrame([(1, "# A\nline"), (2, "中文 (x)\\")], "doc_id int, markdown string")
     words = {r["doc_id"]: bytes(r["content"]) for r in sinks.file_reports(marks, "docx").collect()}
-    assert readers.docx_text(words[1]) == "# A\nline" and readers.docx_text(words[2]) == "中文 (x)\\"
+    assert readers.docx_text(words[1]) == "A\nline" and readers.docx_text(words[2]) == "中文 (x)\\"
     pages = {r["doc_id"]: bytes(r["content"]) for r in sinks.file_reports(marks, "pdf").collect()}
     assert b"(line) Tj" in pages[1] and "中文 (x)\\".encode("utf-16-be").hex().encode() in pages[2]
 
