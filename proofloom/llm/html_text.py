@@ -5,8 +5,9 @@ headers, footers, sidebars, notices, adverts, forms and reader comments weigh no
 article where the page marks one. Over the lengths of all lines of the page runs a window of WINDOW lines, from each line
 on. A surge point is a line with text of its own whose window's sum exceeds the bar; the dive point is the next line whose
 window's sum is nothing; lines from the surge to the dive are the main text, but for the kinds named. So a link amid
-paragraphs stays, and runs of links part the text. The bar is a quarter of the page's largest sum, SURGE characters at most;
-in a marked article it is nothing, so that its short paragraphs stay wherever they stand.
+paragraphs stays, and runs of links part the text. The bar is a quarter of the page's largest sum, SURGE characters at most,
+and a shorter line goes only if links alone stand on both of its sides. In a marked article the bar is nothing, so that its short
+paragraphs stay wherever they stand, and link text is text but in list items, whose runs of links are menus.
 
 An element that holds the article is never dropped, whatever its class; the end of an element ends those left open in it,
 and one that is left open to the page's end drops nothing, unless it is a footer.
@@ -37,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME = frozenset(
     "ad ads advert adverts advertisement advertising adsbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus respond replies reviews sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar related recommended recommendations widget pagination pager skip search searchbox complementary contentinfo".split()
 )
-BESIDE = frozenset("area bar block bottom box buttons center container content desktop form global group holder icons inner item items left link links list main mobile outer page panel post posts primary right row secondary section site sticky thread top unit wrap wrapper".split())
+BESIDE = frozenset("area bar block bottom box buttons center container content desktop form global group holder icons inner item items left link links list main mobile outer page panel post posts primary right row secondary section site slot sticky thread top unit wrap wrapper".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -46,11 +47,11 @@ _SPACE = re.compile(r"\s+")
 
 
 def _marks_chrome(token: str) -> bool:
-    """A whole token such as footer, or one made of such words and those of BESIDE only, such as sidebar-right."""
+    """A whole token such as footer, or one made of such words, numbers and those of BESIDE only, such as sidebar-right."""
     if token in CHROME:
         return True
     parts = _PARTS.split(token)
-    return len(parts) > 1 and any(p in CHROME for p in parts) and all(p in CHROME or p in BESIDE for p in parts)
+    return len(parts) > 1 and any(p in CHROME for p in parts) and all(p in CHROME or p in BESIDE or p.isdecimal() for p in parts)
 
 
 def _is_chrome(name: str, attributes: str) -> bool:
@@ -68,8 +69,8 @@ def _is_chrome(name: str, attributes: str) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length without link text, counts as part of the page's text, stands in an article or main element) of each
-    block, in page order."""
+    """(text, length without link text that may be a menu, counts as part of the page's text, stands in an article or main
+    element) of each block, in page order."""
     raw: list[tuple[str, str, int]] = []
     text: list[str] = []
     link_text: list[str] = []
@@ -141,17 +142,18 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             while e and not holds[e]:
                 holds[e] = True
                 e = parents[e]
-    inside, out = [False] * len(names), [False] * len(names)
+    inside, listed, out = ([False] * len(names) for _ in range(3))
     for e in range(1, len(names)):
         up = parents[e]
         inside[e] = inside[up] or names[e] in ("article", "main")
+        listed[e] = listed[up] or names[e] == "li"
         own_heading = names[e] == "header" and inside[up]
         out[e] = out[up] or chrome[e] and not holds[e] and not own_heading
     lines = []
     for words, linked, e in raw:
         line = _SPACE.sub(" ", html_lib.unescape(words)).strip()
         if line:
-            own = len(line) - len(_SPACE.sub(" ", html_lib.unescape(linked)).strip()) if linked else len(line)
+            own = len(line) - len(_SPACE.sub(" ", html_lib.unescape(linked)).strip()) if linked and (listed[e] or not inside[e]) else len(line)
             lines.append((line, max(0, own), not out[e], inside[e]))
     return lines
 
@@ -174,13 +176,24 @@ def between_surges(lengths: list[int], bar: float | None = None, window: int = W
     return keep
 
 
+def beside_text(lengths: list[int], keep: list[bool]) -> list[bool]:
+    """keep, and the other lines with text of their own but for those between lines of links on both sides."""
+    last = len(lengths) - 1
+    apart = lambda i: 0 < i < last and not lengths[i - 1] and not lengths[i + 1]
+    return [k or n > 0 and not apart(i) for i, (n, k) in enumerate(zip(lengths, keep, strict=True))]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text joined by one newline; '' if the page has none."""
     lines = page_lines(page or "")
     marked = any(counts and inside for _, _, counts, inside in lines)
-    counted = [counts and (inside or not marked) for _, _, counts, inside in lines]
-    keep = between_surges([own if c else 0 for (_, own, _, _), c in zip(lines, counted, strict=True)], 0 if marked else None)
-    return "\n".join(x[0] for x, c, k in zip(lines, counted, keep, strict=True) if c and k)
+    whole = [own if counts and (inside or not marked) else 0 for _, own, counts, inside in lines]
+    keep = between_surges(whole, 0 if marked else None)
+    shown = [(line[0], own, k) for line, own, k in zip(lines, whole, keep, strict=True) if line[2] and (line[3] or not marked)]
+    if not marked:
+        stay = beside_text([own for _, own, _ in shown], [k for _, _, k in shown])
+        shown = [(text, own, s) for (text, own, _), s in zip(shown, stay, strict=True)]
+    return "\n".join(text for text, _, k in shown if k)
 
 
 def extract_pages(df: DataFrame, html: str = "html") -> DataFrame:
