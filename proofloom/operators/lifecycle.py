@@ -122,8 +122,8 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str, schema: str = "id string, term string, confidence double, status string") -> DataFrame:
-    """The approved entries: the tables that the log names, together; of one id the first."""
-    told = [t for _, t in CommitLog(spark, f"{path}/log").entries()]
+    """The approved entries: the batches that the log names, together; of one id one."""
+    told = [t for _, t in CommitLog(spark, f"{path}/_log").entries()]
     rows = spark.read.option("mergeSchema", "true").parquet(*[f"{path}/{t}" for t in told]) if told else spark.createDataFrame([], schema)
     return rows.dropDuplicates(["id"]) if told else rows
 
@@ -131,17 +131,20 @@ def ledger(spark: SparkSession, path: str, schema: str = "id string, term string
 def approve_into(spark: SparkSession, pending: DataFrame, path: str, ids: Sequence[str] | None = None, tries: int = 20) -> int:
     """Approve pending entries into the ledger at path; how many it lacked (U05). What another one approved meanwhile is not
     approved again: its entry takes the number, and this one looks anew."""
-    log = CommitLog(spark, f"{path}/log")
+    log = CommitLog(spark, f"{path}/_log")
     for _ in range(tries):
         seen = max([n for n, _ in log.entries()], default=0)
         held = ledger(spark, path)
         chosen = pending if ids is None else pending.filter(F.col("id").isin(*ids))
         new = chosen.filter(F.col("id").isNotNull()).dropDuplicates(["id"]).join(held.select("id"), "id", "left_anti").withColumn("status", F.lit("approved"))
-        name = f"entries-{uuid.uuid4().hex}"
+        name = f"batch={uuid.uuid4().hex}"
         new.write.parquet(f"{path}/{name}")
         n = spark.read.parquet(f"{path}/{name}").count()
-        if not n or log.add(name, seen):
+        if n and log.add(name, seen):
             return n
+        log.fs.delete(log.path(f"{path}/{name}"), True)
+        if not n:
+            return 0
         time.sleep(0.05)
     raise RuntimeError(f"others kept writing to {path}/log")
 
