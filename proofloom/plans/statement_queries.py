@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.functions.offsets import let
-from proofloom.operators import academic, norm, parse, style
+from proofloom.operators import academic, citations, norm, parse, style
 from proofloom.plans.sql import hits
 from proofloom.rules import LATIN
 from proofloom.schema import entries
@@ -16,6 +16,28 @@ BASE = 90_000
 LAST_YEAR = 2030
 
 
+def order_references(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, num, text: a reference item of each order, of five kinds and in two scripts; each seventh one lacks its year."""
+    o = s.read.parquet(f"{d}/orders.parquet").withColumn("k", F.col("o_orderkey").cast("string")).withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    key, year = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy")
+    dated = F.when(key % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), year))
+    volume = F.when(key % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), (key % 90 + 1).cast("string")))
+    tails = [
+        F.concat(F.lit("[J]. Acta of Trade, Part B"), dated, volume, F.lit(": "), (key % 50 + 1).cast("string"), F.lit("-"), (key % 50 + 9).cast("string"), F.lit(".")),
+        F.concat(F.lit("[M]. Bern: Hill & Sons"), dated, F.lit(". doi: 10.5555/"), "k", F.lit(".")), F.concat(F.lit("[D]. 上海：某大学"), dated, F.lit("。")),
+        F.concat(F.lit("[N]. 晚报, "), "day", F.lit("(7).")), F.concat(F.lit("[EB/OL]. ("), "day", F.lit("). https://example.org/o/"), "k", F.lit(".")),
+    ]
+    tail = F.element_at(F.array(*tails), (key % 5 + 1).cast("int"))
+    names = F.when(key % 3 == 0, F.lit("Ames A, 王明, Orr B, et al")).otherwise(F.lit("Ames A; Orr B"))
+    return o.select(key.alias("doc_id"), F.lit(1).alias("num"), F.concat(F.lit("[1] "), names, F.lit(". Order "), "k", F.lit(" of "), "o_orderpriority", tail).alias("text"))
+
+
+def reference_fields(s, d):
+    """Reference items read into fields."""
+    out = citations.parsed_references(order_references(s, d))
+    return out.select("doc_id", "kind", F.array_join("authors", "|").alias("authors"), "et_al", "title", "container", "place", "publisher", "year", "date", "volume", "issue", "pages", "url", "doi", F.array_join("missing", "|").alias("missing"))
+
+
 def statements(s: SparkSession, d: str) -> DataFrame:
     """doc_id, text: one statement of each order."""
     lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("l"))
@@ -108,7 +130,7 @@ def avoided_words(s, d):
     return style.avoid_issues(docs).select("doc_id", "rule_id", "start", "end", "original", "explain")
 
 
-NAMES = [statement_numbers, statement_sums, statement_shares, statement_share_range, statement_marks, statement_numbering, statement_figures, statement_references, statement_citations, statement_faults, statement_twins, statement_findings, statement_order, avoided_words]
+NAMES = [statement_numbers, statement_sums, statement_shares, statement_share_range, statement_marks, statement_numbering, statement_figures, statement_references, statement_citations, statement_faults, statement_twins, statement_findings, statement_order, reference_fields, avoided_words]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _O = f"""o AS (SELECT l_orderkey AS o, list(l_quantity::INT ORDER BY l_linenumber) AS q FROM lineitem GROUP BY 1),
@@ -138,5 +160,10 @@ SQL = {
   UNION ALL SELECT 'unlisted-3', 'reference', 'MAJOR' FROM o WHERE o % 2 = 0 UNION ALL SELECT 'uncited-2', 'reference', 'MINOR' FROM o WHERE o % 2 = 0 UNION ALL SELECT 'citation-order', 'reference', 'MINOR' FROM o WHERE o % 2 = 1)
   SELECT rule_id, category, severity, count(*) AS n FROM f GROUP BY 1, 2, 3""",
     "statement_order": f"WITH {_O} SELECT o AS doc_id, '2,1' AS nums FROM o WHERE o % 2 = 1",
+    "reference_fields": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind, year(o_orderdate) AS y, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS p FROM orders)
+  SELECT k AS doc_id, ['J', 'M', 'D', 'N', 'EB'][kind + 1] AS kind, CASE WHEN k % 3 = 0 THEN 'Ames A|王明|Orr B' ELSE 'Ames A|Orr B' END AS authors, k % 3 = 0 AS et_al, 'Order ' || k || ' of ' || p AS title,
+  CASE WHEN kind = 0 THEN 'Acta of Trade, Part B' WHEN kind = 3 THEN '晚报' END AS container, CASE WHEN kind = 1 THEN 'Bern' WHEN kind = 2 THEN '上海' END AS place, CASE WHEN kind = 1 THEN 'Hill & Sons' WHEN kind = 2 THEN '某大学' END AS publisher,
+  CASE WHEN kind >= 3 OR k % 7 <> 0 THEN y END AS year, CASE WHEN kind >= 3 THEN day END AS date, CASE WHEN kind = 0 AND k % 7 <> 0 THEN '' || (k % 90 + 1) END AS volume, CASE WHEN kind = 3 THEN '7' END AS issue, CASE WHEN kind = 0 THEN (k % 50 + 1) || '-' || (k % 50 + 9) END AS pages,
+  CASE WHEN kind = 4 THEN 'https://example.org/o/' || k END AS url, CASE WHEN kind = 1 THEN '10.5555/' || k END AS doi, CASE WHEN kind < 3 AND k % 7 = 0 THEN 'year' ELSE '' END AS missing FROM o""",
     "avoided_words": f"""WITH {hits(style.avoid_rules(LATIN))} SELECT doc_id, rule_id, start, "end", original, explain FROM hits""",
 }
