@@ -349,8 +349,11 @@ def term_issues(docs: DataFrame, pack: Pack = LATIN, checks: Sequence[str] = CHE
     return explode_issues(with_terms(rows, pack, checks), "term", F.col("term_issues"))
 
 
+LEVELS = ("term", "fuzzy", "semantic", "order")
+
+
 def level_counts(issues: DataFrame) -> DataFrame:
     """Issues per document and level."""
     level = F.split_part("rule_id", F.lit("-"), F.lit(1))
-    named = [F.count_if(level == k).alias(k) for k in ("term", "fuzzy", "semantic", "order")]
-    return issues.filter("engine = 'term'").groupBy("doc_id").agg(*named, F.count_if(~level.isin("term", "fuzzy", "semantic", "order")).alias("banned"), F.count("*").alias("final"))
+    named = [F.count_if(level == k).alias(k) for k in LEVELS]
+    return issues.filter("engine = 'term'").groupBy("doc_id").agg(*named, F.count_if(~level.isin(*LEVELS)).alias("banned"), F.count("*").alias("final"))

@@ -8,11 +8,12 @@ is one scan without a shuffle or a join, no text moves, and rows with equal or m
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.functions.offsets import quickly
@@ -127,13 +128,18 @@ def audited(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINE
 
 @dataclass(frozen=True)
 class Report:
-    """The tables of an audit; each is lazy. release() gives up what the executors hold."""
+    """The tables of an audit; each is lazy. release() gives up what the executors hold. metrics() waits for the first action
+    and has what it counted (`trace_metrics`): numbers of the run itself, without another one."""
 
     issues: DataFrame
     dimensions: DataFrame
     scores: DataFrame
     trace: DataFrame
     rows: DataFrame | None = field(default=None, repr=False)
+    seen: Observation | None = field(default=None, repr=False)
+
+    def metrics(self) -> dict[str, int]:
+        return {} if self.seen is None else dict(self.seen.get)
 
     def release(self) -> None:
         if self.rows is not None:
@@ -154,26 +160,53 @@ def raw_issues(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENG
 def audit(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, least: float = 0.6, rounds: int = 2, keep: bool = True, checks: Mapping[str, Sequence[str]] = CHECKS, corpus: Corpus = ()) -> Report:
     """Find, resolve, review, deduplicate, score. rounds 0 leaves the review out; keep holds the documents' issues, without
     their texts, on executors' disks until release(), where a lost part is made anew."""
-    rows = audited(docs, pack, engines, checks, corpus, least, rounds)
+    rows, seen = observed(audited(docs, pack, engines, checks, corpus, least, rounds), engines)
     if keep:
         rows = rows.persist(StorageLevel.DISK_ONLY)  # four tables are made of it
     dims = entries(rows, F.col("dimensions"))
     found = entries(rows, F.col("found"))
-    return Report(issue_rows(rows), dims, rows.select("doc_id", "score.*"), score.node_trace(found), rows if keep else None)
+    return Report(issue_rows(rows), dims, rows.select("doc_id", "score.*"), score.node_trace(found), rows if keep else None, seen)
+
+
+def trace_metrics(engines: Sequence[str]) -> list[Column]:
+    """Metrics over rows of `audited`: documents, each engine's issues before and after resolution, and the term engine's by
+    level (O22, T19)."""
+    found = lambda keep: F.coalesce(F.sum(F.size(F.filter("found", keep))), F.lit(0))
+    of_engine = lambda e: lambda x: x["engine"] == e
+    of_level = lambda name: lambda x: (x["engine"] == "term") & (F.split_part(x["rule_id"], F.lit("-"), F.lit(1)) == name)
+    out = [F.count("*").alias("documents")]
+    for n, e in enumerate(engines):
+        out.append(F.coalesce(F.sum(F.get("raw", F.lit(n))["n"]), F.lit(0)).alias(f"raw_{e}"))
+        out.append(found(of_engine(e)).alias(f"found_{e}"))
+    for name in terms.LEVELS if "term" in engines else ():
+        out.append(found(of_level(name)).alias(f"level_{name}"))
+    return out
+
+
+def observed(rows: DataFrame, engines: Sequence[str] = ENGINES) -> tuple[DataFrame, Observation]:
+    """rows of `audited` that count themselves while an action runs; the observation's `get` has the metrics afterwards."""
+    seen = Observation(f"audit-{uuid.uuid4().hex}")
+    return rows.observe(seen, *trace_metrics(engines)), seen
+
+
+def trace_of(metrics: Mapping[str, int], engines: Sequence[str], elapsed_ms: int) -> list[dict]:
+    """One entry per engine of a run's metrics; the engines share the run's time."""
+    return [{"node": e, "n": int(metrics[f"found_{e}"]), "raw": int(metrics[f"raw_{e}"]), "elapsed_ms": elapsed_ms, "error": ""} for e in engines]
 
 
 def traced(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS) -> list[dict]:
-    """One entry per engine, run one after the other: n, elapsed_ms, error; an engine that fails does not stop the others
-    (O22, O29)."""
-    out = []
-    for e in engines:
-        began, n, error = time.monotonic(), 0, ""
-        try:
-            n = audited(docs, pack, (e,), checks, rounds=0).agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
-        except Exception as x:  # noqa: BLE001  it is reported in the trace
-            error = f"{type(x).__name__}: {str(x).splitlines()[0][:200]}"
-        out.append({"node": e, "n": int(n), "elapsed_ms": int(1000 * (time.monotonic() - began)), "error": error})
-    return out
+    """One entry per engine: n, raw, elapsed_ms, error, all of one run that counts itself. Only if that run fails does each
+    engine run alone, so that the one that fails is known and does not stop the others (O22, O29)."""
+    began = time.monotonic()
+    passed = lambda: int(1000 * (time.monotonic() - began))
+    try:
+        rows, seen = observed(audited(docs, pack, engines, checks, rounds=0), engines)
+        rows.write.format("noop").mode("overwrite").save()
+        return trace_of(seen.get, engines, passed())
+    except Exception as x:  # noqa: BLE001  it is reported in the trace
+        if len(engines) == 1:
+            return [{"node": engines[0], "n": 0, "raw": 0, "elapsed_ms": passed(), "error": f"{type(x).__name__}: {str(x).splitlines()[0][:200]}"}]
+    return [entry for e in engines for entry in traced(docs, pack, (e,), checks)]
 
 
 def revise_texts(docs: DataFrame, issues: DataFrame) -> DataFrame:
