@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofloom.functions.hashing import minhash, simhash
 from proofloom.operators import academic, corpus, indexes, lifecycle, norm, parse, resolve, revise, score, similarity
 from proofloom.plans import audit
-from proofloom.plans.sql import PENALTY, TOKENS, WEIGHT, T, issues, q
+from proofloom.plans.sql import LINES, PENALTY, TOKENS, WEIGHT, T, issues, q, strip
 from proofloom.rules import LATIN
 from proofloom.schema import entries, make_issues
 
@@ -313,3 +313,25 @@ SQL = {
     "history_trend": "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS change FROM events",
 }
 SQL["tfidf_search"] = SQL["tfidf_topk"]
+_ALL_COEFFS = _COEFFS.replace("i < 16", "i < 256")
+SQL["intra_duplicates"] = f"""WITH RECURSIVE {LINES}, {_ALL_COEFFS},
+b AS (SELECT doc_id, para_idx AS i, text, regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS l FROM paras WHERE NOT is_heading AND NOT in_ref AND length({strip("text")}) >= {similarity.MIN_CHARS}),
+gr AS (SELECT DISTINCT doc_id, i, substr(l, at0::BIGINT, 3) AS gram FROM (SELECT doc_id, i, l, unnest(range(1, greatest(length(l) - 2, 1) + 1)) AS at0 FROM b WHERE l <> '')),
+n AS (SELECT doc_id, i, count(*) AS n FROM gr GROUP BY 1, 2),
+pr AS (SELECT x.doc_id, x.i, y.i AS j, count(*) AS met FROM gr x JOIN gr y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i GROUP BY 1, 2, 3),
+jc AS (SELECT pr.doc_id, pr.i, pr.j, met::DOUBLE / (a.n + c.n - met) AS gram FROM pr JOIN n a ON a.doc_id = pr.doc_id AND a.i = pr.i JOIN n c ON c.doc_id = pr.doc_id AND c.i = pr.j WHERE met::DOUBLE / (a.n + c.n - met) >= 0.7499),
+ask AS (SELECT doc_id, i FROM jc UNION SELECT doc_id, j FROM jc),
+tk AS (SELECT doc_id, i, list_transform(regexp_extract_all(text, {q(TOKENS)}), lambda x: lower(x)) AS t FROM b JOIN ask USING (doc_id, i)),
+tf AS (SELECT doc_id, i, ('0x' || substr(md5(token), 1, 16))::UBIGINT AS h, count(*) AS w FROM (SELECT doc_id, i, unnest(t) AS token FROM tk) GROUP BY doc_id, i, token),
+vt AS (SELECT doc_id, i, nth_bit, sum(CASE WHEN (h >> nth_bit) & 1 = 1 THEN w ELSE -w END) AS v FROM tf, (SELECT unnest(range(0, 64))::UBIGINT AS nth_bit) GROUP BY 1, 2, 3),
+sm AS (SELECT doc_id, i, sum(CASE WHEN v > 0 THEN 1::UBIGINT << nth_bit ELSE 0 END)::UBIGINT AS u FROM vt GROUP BY 1, 2),
+sh AS (SELECT DISTINCT doc_id, i, ('0x' || substr(md5(array_to_string(t[at0:at0+2], ' ')), 9, 8))::UBIGINT::HUGEINT AS h FROM (SELECT doc_id, i, t, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS at0 FROM tk WHERE len(t) > 0)),
+sl AS (SELECT doc_id, i, slot, min((a * h + k.b) % 2305843009213693951) % 4294967296 AS v FROM sh, k GROUP BY 1, 2, 3),
+mh AS (SELECT jc.doc_id, jc.i, jc.j, count(*) FILTER (x.v = y.v) / 128.0::DOUBLE AS mins FROM jc JOIN sl x ON x.doc_id = jc.doc_id AND x.i = jc.i JOIN sl y ON y.doc_id = jc.doc_id AND y.i = jc.j AND y.slot = x.slot GROUP BY 1, 2, 3),
+sc AS (SELECT jc.doc_id, jc.i, jc.j, 1 - bit_count(xor(x.u, y.u)) / 64.0::DOUBLE AS sim, mins, gram FROM jc JOIN mh USING (doc_id, i, j) JOIN sm x ON x.doc_id = jc.doc_id AND x.i = jc.i JOIN sm y ON y.doc_id = jc.doc_id AND y.i = jc.j),
+ln AS (SELECT doc_id, i, j, 0.25::DOUBLE * sim + 0.35::DOUBLE * mins + 0.40::DOUBLE * gram AS score FROM sc WHERE sim >= 0.85 AND 0.25::DOUBLE * sim + 0.35::DOUBLE * mins + 0.40::DOUBLE * gram >= 0.9),
+both_ways AS (SELECT doc_id, i AS x, j AS y FROM ln UNION SELECT doc_id, j, i FROM ln),
+reach AS (SELECT doc_id, x, x AS y FROM both_ways UNION SELECT r.doc_id, r.x, w.y FROM reach r JOIN both_ways w ON w.doc_id = r.doc_id AND w.x = r.y),
+cl AS (SELECT doc_id, x AS j, min(y) AS class FROM reach GROUP BY 1, 2),
+fi AS (SELECT *, row_number() OVER (PARTITION BY doc_id, j ORDER BY i) AS nth FROM ln)
+SELECT fi.doc_id, cl.class, fi.i AS first, fi.j AS second, round(fi.score, 9) AS score FROM fi JOIN cl USING (doc_id, j) WHERE nth = 1"""
