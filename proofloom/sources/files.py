@@ -185,13 +185,20 @@ class _Writer(DataSourceWriter):
     def _store(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
+    def opened(self) -> _Writer:
+        """The job's staging folder is made before any task runs and taken away at its end: a task that is still at work when
+        the job is given up finds no place to write."""
+        store, root = self._store()
+        store.create_dir(f"{root}/{STAGING}/{self.job}", recursive=True)
+        return self
+
     def write(self, iterator) -> Written:
         """Files of one task, each attempt in a folder of its own: one that fails leaves nothing that commit would move."""
         store, root = self._store()
         folder, seen, make = f"{STAGING}/{self.job}/{uuid.uuid4().hex}", {}, MAKERS[self.kind]
         for row in iterator:
             if not seen:
-                store.create_dir(f"{root}/{folder}", recursive=True)
+                store.create_dir(f"{root}/{folder}", recursive=False)
             with store.open_output_stream(f"{root}/{folder}/{file_name(row[0], seen, self.kind)}") as out:
                 out.write(make((row[1] or "").split("\n")))
         return Written(folder if seen else "", sum(seen.values()))
@@ -228,7 +235,7 @@ class ReportFiles(DataSource):
         return "proofloom_files"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], self.options.get("kind", "md"), overwrite)
+        return _Writer(self.options["path"], self.options.get("kind", "md"), overwrite).opened()
 
 
 def write_files(reports: DataFrame, path: str, kind: str, mode: str = "append") -> None:
