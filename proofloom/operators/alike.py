@@ -85,10 +85,15 @@ class Fingerprint:
     grams: frozenset[str]
 
 
-def fingerprint_of(text: str, n: int = SLOTS, k: int = 3) -> Fingerprint:
+def signature_of(text: str, n: int = SLOTS, k: int = 3) -> tuple[int, np.ndarray]:
+    """SimHash and MinHash of one text."""
     toks = tokens_of(text)
     shingles = {" ".join(toks[i : i + k]) for i in range(max(1, len(toks) - k + 1))} if toks else set()
-    return Fingerprint(sim_bits(Counter(toks)), min_slots([_hash64(s) & 0xFFFFFFFF for s in shingles], n), grams_of(text))
+    return sim_bits(Counter(toks)), min_slots([_hash64(s) & 0xFFFFFFFF for s in shingles], n)
+
+
+def fingerprint_of(text: str, n: int = SLOTS, k: int = 3) -> Fingerprint:
+    return Fingerprint(*signature_of(text, n, k), grams_of(text))
 
 
 def mean_of(sim, mins, gram):
@@ -125,16 +130,15 @@ class Prints:
     """Fingerprints of texts in columns; grams are numbers of this collection."""
 
     def __init__(self, texts: list[str], grams: list[frozenset[str]]):
-        made: dict[str, Fingerprint] = {}
+        made: dict[str, tuple[int, np.ndarray]] = {}
         for t in texts:
             if t not in made:
-                made[t] = fingerprint_of(t)
-        own = [made[t] for t in texts]
-        self.sim = np.array([f.simhash for f in own], dtype=np.uint64)
-        self.slots = np.stack([f.minhash for f in own]).astype(np.uint32)
+                made[t] = signature_of(t)
+        self.sim = np.array([made[t][0] for t in texts], dtype=np.uint64)
+        self.slots = np.stack([made[t][1] for t in texts]).astype(np.uint32)
         self.brief = self.slots.astype(np.uint16)  # as many slots are equal at least
         self.sizes = np.array([len(g) for g in grams], dtype=np.int64)
-        names = {g: i for i, g in enumerate(sorted({g for s in grams for g in s}))}
+        names = {g: i for i, g in enumerate({g for s in grams for g in s})}
         self.ids = np.array([names[g] for s in grams for g in s], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.mark = np.zeros(len(names), dtype=bool)
