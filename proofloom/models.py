@@ -36,6 +36,7 @@ class Wire:
     read: Callable[[dict], str]
     vector: Callable[[dict], list]
     text_field: str
+    vectors: Callable[[dict], list] | None = None  # of many texts in one call, where the format knows it
 
 
 def _ask_messages(model: str, messages: list, temperature: float, tokens: int, as_json: bool) -> dict:
@@ -47,7 +48,7 @@ def _ask_options(model: str, messages: list, temperature: float, tokens: int, as
 
 
 WIRES = {
-    "openai_compatible": Wire("/models", "/chat/completions", "/embeddings", _ask_messages, lambda d: d["choices"][0]["message"]["content"], lambda d: d["data"][0]["embedding"], "input"),
+    "openai_compatible": Wire("/models", "/chat/completions", "/embeddings", _ask_messages, lambda d: d["choices"][0]["message"]["content"], lambda d: d["data"][0]["embedding"], "input", lambda d: [x["embedding"] for x in sorted(d["data"], key=lambda x: x.get("index", 0))]),
     "ollama": Wire("/api/tags", "/api/chat", "/api/embeddings", _ask_options, lambda d: d["message"]["content"], lambda d: d["embedding"], "prompt"),
 }
 
@@ -99,9 +100,20 @@ class Client:
 
     def embed(self, text: str) -> np.ndarray:
         """The model's unit vector of a text."""
+        return self.embed_all([text])[0]
+
+    def embed_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The model's unit vectors of several texts: one call where the wire format takes many, else one each."""
         wire = WIRES[self.wire]
-        v = np.array(wire.vector(self._send(wire.embed, {"model": self.model, wire.text_field: text}, 15.0)), dtype=np.float64)
-        return v / (np.linalg.norm(v) or 1.0)
+        ask = lambda given: self._send(wire.embed, {"model": self.model, wire.text_field: given}, 15.0)
+        try:
+            made = wire.vectors(ask(list(texts))) if wire.vectors and len(texts) > 1 else [wire.vector(ask(t)) for t in texts]
+        except (KeyError, IndexError, TypeError) as e:
+            raise ModelError(f"no vectors in the answer: {type(e).__name__}: {e}") from e
+        if len(made) != len(texts):
+            raise ModelError(f"{len(made)} vectors for {len(texts)} texts")
+        rows = [np.array(v, dtype=np.float64) for v in made]
+        return [v / (np.linalg.norm(v) or 1.0) for v in rows]
 
     def stats(self) -> dict:
         """Number of calls and their mean time in ms."""
@@ -125,6 +137,9 @@ class Offline(Client):
     def embed(self, text: str) -> np.ndarray:
         return hashed_vector(text)
 
+    def embed_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [hashed_vector(t) for t in texts]
+
 
 def connect(settings: Mapping | None) -> Client:
     """The client that settings name (url, model, wire, key, ...), the offline one without a url or, unless `required` is set,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,6 +18,7 @@ from proofloom.operators.parse import TEXT, any_of, context, in_quote, is_negate
 from proofloom.operators.similarity import in_python
 from proofloom.rules import LATIN, Pack, Term, pattern_rows
 from proofloom.schema import explode_issues, issue, make_issues, no_issues
+from proofloom.sources.tables import shared_folder
 
 CHECKS = ("exact", "fuzzy", "semantic", "ordering", "banned")
 
@@ -95,14 +97,27 @@ def fuzzy_hits(docs: DataFrame, surfaces: DataFrame, exact: DataFrame, max_dista
 def semantic_hits(vectors: DataFrame, seeds: DataFrame, least: float = 0.82, seeds_limit: int = 4096) -> DataFrame:
     """key, term, seed, score: for each vector and term the nearest seed by cosine, if near enough.
 
-    vectors: key, vec. seeds: term, seed, vec, at most seeds_limit of them, so that comparing all is linear in vectors.
+    vectors: key, vec. seeds: term, seed, vec. Vectors meet all seeds, which are a stated set: up to seeds_limit of them are
+    broadcast at once. More come in blocks by hash, each of about half as many; a block's hits are written before the next
+    one's, so neither the plan nor what is broadcast grows with the seeds. On equal scores the smaller seed wins; a zero vector
+    is near nothing (score 0), a null one has no score.
     """
-    n = seeds.limit(seeds_limit + 1).count()
-    if n > seeds_limit:
-        raise ValueError(f"more than {seeds_limit} seeds")
-    scored = vectors.join(F.broadcast(seeds.withColumnRenamed("vec", "seed_vec"))).withColumn("score", cosine(F.col("vec"), F.col("seed_vec")))
-    best = scored.groupBy("key", "term").agg(F.max_by("seed", F.struct("score", -F.col("seed"))).alias("seed"), F.max("score").alias("score"))
-    return best.filter(F.col("score") >= least)
+
+    def best(scored: DataFrame) -> DataFrame:
+        top = scored.groupBy("key", "term").agg(F.max_by("seed", F.struct("score", -F.col("seed"))).alias("seed"), F.max("score").alias("score"))
+        return top.filter(F.col("score") >= least)
+
+    def block(part: DataFrame) -> DataFrame:
+        return best(vectors.join(F.broadcast(part.withColumnRenamed("vec", "seed_vec"))).withColumn("score", cosine(F.col("vec"), F.col("seed_vec"))).select("key", "term", "seed", "score"))
+
+    if seeds.limit(seeds_limit + 1).count() <= seeds_limit:
+        return block(seeds)
+    blocks = -(-2 * seeds.count() // seeds_limit)
+    folder = f"{shared_folder(seeds.sparkSession)}/semantic-{uuid.uuid4().hex}"
+    number = F.pmod(F.xxhash64("term", "seed"), F.lit(blocks))
+    for n in range(blocks):
+        block(seeds.filter(number == n)).write.mode("append").parquet(folder)
+    return best(seeds.sparkSession.read.parquet(folder))
 
 
 def best_span(sentence: Column, seed: Column, least: int = 3) -> Column:
