@@ -31,9 +31,10 @@ def edits_of(issues: DataFrame) -> DataFrame:
 
 def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """doc_id, revised, n_applied, n_skipped: edits from right to left; one that runs into the last or whose slice is
-    not what it was made for is skipped (O13). Texts without edits come back unchanged."""
-    per_doc = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "before", "after")), asc=False).alias("edits"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(per_doc, "doc_id", "left")
+    not what it was made for is skipped (O13). Texts without edits come back unchanged;
+    rows without an id get the edits without one."""
+    per_doc = edits.groupBy(F.col("doc_id").alias("d")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "before", "after")), asc=False).alias("edits"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")), "left")
     start = F.struct(F.array().cast("array<string>").alias("tail"), F.length("text").alias("cursor"), F.lit(0).alias("done"), F.lit(0).alias("skipped"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -67,8 +68,8 @@ def escape_html(text: Column) -> Column:
 def highlight(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """doc_id, html: the text with marked spans; by start, longest first, a span that begins inside a marked one is left
     out and does not extend it (K04)."""
-    spans = issues.filter("end > start").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "severity", "rule_id"))).alias("spans"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(spans, "doc_id", "left")
+    spans = issues.filter("end > start").groupBy(F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "severity", "rule_id"))).alias("spans"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("d")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("cursor"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.plans import audit, statement_queries, table_queries, text_queries
+from proofloom.plans import audit, cited_queries, statement_queries, table_queries, text_queries
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: _plain(f) for k, f in (text_queries.QUERIES | table_queries.QUERIES | statement_queries.QUERIES).items()} | {"audit_report": flagship}
+    return {k: _plain(f) for k, f in (text_queries.QUERIES | table_queries.QUERIES | statement_queries.QUERIES | cited_queries.QUERIES).items()} | {"audit_report": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_queries.SQL | table_queries.SQL | statement_queries.SQL
+    return text_queries.SQL | table_queries.SQL | statement_queries.SQL | cited_queries.SQL
