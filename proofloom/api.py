@@ -25,7 +25,7 @@ class Proofloom:
     """One session, one rule pack, and settings."""
 
     def __init__(self, spark: SparkSession, pack: Pack = EN, settings: Mapping | None = None):
-        self.spark, self.pack, self.settings = spark, pack, dict(settings or DEFAULTS)
+        self.spark, self.pack, self.settings = spark, pack, {**DEFAULTS, **(settings or {})}
 
     @classmethod
     def of_settings(cls, spark: SparkSession, path: str | None = None, environ: Mapping[str, str] | None = None) -> Proofloom:
@@ -47,10 +47,11 @@ class Proofloom:
     def audit_text(self, text: str, **options) -> audit.Report:
         return self.audit(readers.from_texts(self.spark.createDataFrame([(text,)], "text string")), **options)
 
-    def judged(self, report: audit.Report) -> DataFrame:
-        """The report's issues after a model's verdicts; without a model, as they are."""
+    def judged(self, report: audit.Report) -> audit.Report:
+        """The report after a model's verdicts, its scores and gate made anew; without a model, as it is (O10). Each issue is asked
+        about once: the verdicts are written before they are used."""
         given = models.verdicts(resolve.verdict_targets(report.issues), self.settings["model"])
-        return resolve.apply_verdicts(report.issues, given)
+        return audit.judged(report, written(given, "verdicts"))
 
     def render(self, report: audit.Report, docs: DataFrame, fmt: str = "json") -> DataFrame:
         return audit.render(report, docs, fmt)

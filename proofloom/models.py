@@ -183,9 +183,33 @@ def verdicts(targets: DataFrame, settings: Mapping | None) -> DataFrame:
     return rows.withColumn("said", said).filter("said.is_valid IS NOT NULL").select("doc_id", "issue_id", F.col("said.is_valid").alias("accept"), F.coalesce("said.reason", F.lit("")).alias("note"))
 
 
+def parts_of(text: str, longest: int) -> list[str]:
+    """A text in parts of at most `longest` characters, cut behind line ends where that can be; joined they are the text."""
+    out: list[str] = []
+    for line in text.splitlines(keepends=True):
+        if out and len(out[-1]) + len(line) <= longest:
+            out[-1] += line
+        else:
+            out += [line[i : i + longest] for i in range(0, len(line), longest)]
+    return out
+
+
 def rewrites(docs: DataFrame, plans: DataFrame, settings: Mapping | None, longest: int = 6000) -> DataFrame:
-    """doc_id, rewritten: texts of up to `longest` characters rewritten by their style plan (`style.transfer_plan`); documents
-    without an answer are left out (Y09)."""
-    asked = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(plans, "doc_id")
-    text = F.concat(F.lit("Rewrite the text by this plan, keep its facts: "), "plan", F.lit("\n\n"), "text")
-    return _asked(asked.select("doc_id", text.alias("prompt")), settings, "prompt", "rewritten", False).filter("rewritten != ''").select("doc_id", "rewritten")
+    """doc_id, rewritten: texts rewritten by their style plan (`style.transfer_plan`), those of over `longest` characters in parts
+    (Y09). A part without an answer keeps its text; documents without any answer are left out, empty and null texts too. Rows of
+    one id and text are one."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([parts_of(t, longest) for t in texts])
+
+    plan = plans.select(F.col("doc_id").alias("d_"), "plan")
+    own = docs.filter("text IS NOT NULL").select("doc_id", "text").distinct().join(plan, F.col("doc_id").eqNullSafe(F.col("d_")))
+    parts = own.select("doc_id", F.xxhash64("text").alias("h_"), "plan", F.posexplode(cut("text")).alias("i_", "part"))
+    text = F.concat(F.lit("Rewrite the text by this plan, keep its facts: "), "plan", F.lit("\n\n"), "part")
+    said = _asked(parts.select("doc_id", "h_", "i_", "part", text.alias("prompt")), settings, "prompt", "answer", False)
+    # an answer ends as its part did
+    tail = F.regexp_extract("part", r"(\s*)\z", 1)
+    made = F.when(F.col("answer") == "", F.col("part")).otherwise(F.concat(F.regexp_replace("answer", r"\s+\z", ""), tail))
+    held = said.groupBy("doc_id", "h_").agg(F.max(F.col("answer") != "").alias("any_"), F.array_sort(F.collect_list(F.struct("i_", made.alias("t")))).alias("parts_"))
+    return held.filter("any_").select("doc_id", F.array_join(F.transform("parts_", lambda x: x["t"]), "").alias("rewritten"))

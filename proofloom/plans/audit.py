@@ -146,10 +146,10 @@ class Report:
             self.rows.unpersist()
 
 
-def issue_rows(rows: DataFrame, column: str = "issues") -> DataFrame:
+def issue_rows(rows: DataFrame, column: str = "issues", extra: Sequence[str] = ()) -> DataFrame:
     """The fact table of an array of annotated issues, with line, paragraph and sentence."""
     x = entries(rows, F.col(column))
-    return x.withColumn("issue_id", issue_id(F.col("rule_id"), F.col("start"), F.col("end"))).select(*ISSUE_COLUMNS, "line", "paragraph", "sentence")
+    return x.withColumn("issue_id", issue_id(F.col("rule_id"), F.col("start"), F.col("end"))).select(*ISSUE_COLUMNS, "line", "paragraph", "sentence", *extra)
 
 
 def raw_issues(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES, checks: Mapping[str, Sequence[str]] = CHECKS) -> DataFrame:
@@ -165,7 +165,26 @@ def audit(docs: DataFrame, pack: Pack = LATIN, engines: Sequence[str] = ENGINES,
         rows = rows.persist(StorageLevel.DISK_ONLY)  # four tables are made of it
     dims = entries(rows, F.col("dimensions"))
     found = entries(rows, F.col("found"))
-    return Report(issue_rows(rows), dims, rows.select("doc_id", "score.*"), score.node_trace(found), rows if keep else None, seen)
+    return Report(issue_rows(rows), dims, rows.select("doc_id", "score.*"), score.node_trace(found), rows, seen)
+
+
+def judged(report: Report, verdicts: DataFrame, least: float = 0.92, top: int = 12) -> Report:
+    """The report after the verdicts (doc_id, issue_id, accept) of a judge: what it refuses of the issues that it was asked about
+    falls to INFO and is marked `refused`; dimensions, scores and gate follow (O10). A verdict counts for every row of its
+    id; issues, refused ones too, stay. Verdicts are read more than once: pass them written, not as calls still to be made."""
+    same = F.col("doc_id").eqNullSafe(F.col("d_"))
+    asked = resolve.verdict_targets(report.issues, least, top).select(F.col("doc_id").alias("d_"), F.col("issue_id").alias("i_"))
+    heard = verdicts.filter("NOT accept").join(asked, same & (F.col("issue_id") == F.col("i_")), "left_semi")
+    refused = heard.groupBy(F.col("doc_id").alias("d_")).agg(F.collect_set("issue_id").alias("refused_"))  # of one document's issues
+
+    def told(x: Column) -> Column:
+        no = F.coalesce(F.array_contains("refused_", issue_id(x["rule_id"], x["start"], x["end"])), F.lit(False))
+        return x.withField("severity", F.when(no, "INFO").otherwise(x["severity"])).withField("refused", no)
+
+    rows = report.rows.join(refused, same, "left").withColumn("issues", F.transform("issues", told)).drop("d_", "refused_")
+    rows = rows.withColumn("dimensions", score.score_array(F.col("issues"))).withColumn("score", score.overall(F.col("dimensions")))
+    issues = issue_rows(rows, extra=("refused",))
+    return Report(issues, entries(rows, F.col("dimensions")), rows.select("doc_id", "score.*"), report.trace, report.rows, report.seen)
 
 
 def trace_metrics(engines: Sequence[str]) -> list[Column]:
