@@ -8,6 +8,7 @@ learned weights, trees or hashes of words that SQL lacks, so the whole has no SQ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from proofloom.llm import decontam, mixing, quality, sharding, simhash
 from proofloom.llm.common import documents, drop_staged, staged
@@ -17,7 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop the documents that the pairwise ranker rejects. It learns from the labelled documents of this input."""
     documents(spark, sf_dir)  # for its batch size
     ranker = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.score_documents(docs, ranker).filter("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # columns named score or predicted keep their values
+    return quality.score_documents(rows, ranker).filter("predicted = 1").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as its source's target asks, in shuffled order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", size.alias("size"))  # no column of a clashing name goes
+    return mixing.mix_sources(rows, size=F.col("size")).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
