@@ -141,7 +141,7 @@ def benchmark_seeds(bench: DataFrame, key: str = "item_id", text: str = "text")
 def contaminated(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", bench_key: str = "item_id", bench_text: str = "text") -> DataFrame:
     """doc, n_items, first_item, n_hits for each document that shares a passage with the benchmark, and no other rows.
 
-    Null and empty texts share nothing; rows of equal key count together; an empty benchmark or table gives no rows.
+    Texts are read whole, whatever their length. Null and empty texts share nothing; rows of equal key count together; an empty benchmark or table gives no rows.
     """
     owned = staged(benchmark_seeds(bench, bench_key, bench_text).withColumn("near", F.xxhash64("around")), "benchmark-seeds")
     known = owned.select("h", "near", "size", "around").dropDuplicates(["h", "near"])

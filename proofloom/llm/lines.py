@@ -128,7 +128,11 @@ def _lines(text: str):
 
 
 class LineIndex:
-    """Reference counts and filters of the documents inserted and not deleted since. A document is its id."""
+    """Reference counts and filters of the documents inserted and not deleted since. A document is its id.
+
+    Counts are sums of changes: a document inserted twice counts twice, one deleted that was never inserted takes what others
+    brought. Callers keep track of what they have inserted; a text of any length is keyed whole.
+    """
 
     def __init__(self, spark: SparkSession, n_shards: int, min_docs: int = MIN_DOCS):
         self.spark, self.n_shards, self.min_docs = spark, n_shards, min_docs

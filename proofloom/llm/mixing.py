@@ -70,7 +70,8 @@ def mix_sources(df: DataFrame, key: str = "doc_id", group: str = "source", size:
 
     size weighs a row (default: 1 + UTF-8 bytes of text, so that empty and null texts count too). A null source is
     the source ''. Any rate is drawn, but a given target that asks for more than MAX_RATE copies of each document of a
-    source is an error. A row whose source has target 0 goes; repeated rows and rows of equal key draw the same count.
+    source is an error. A row whose source has target 0 goes; repeated rows and rows of equal key draw the same count
+    and share their mix_order, so their order among each other is open. Texts of any length are copied whole.
     Columns named mix_copy, mix_copies or mix_order are replaced. An empty table gives an empty one.
     """
     df = df.drop("mix_copy", "mix_copies", "mix_order")
