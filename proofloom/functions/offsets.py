@@ -40,23 +40,24 @@ Step = Callable[[Column, Column], Column]
 
 
 def _fold(values: Column, zero: int, step: Step) -> Column:
-    start = F.struct(F.array().cast("array<int>").alias("before"), F.lit(zero).alias("at"))
-    grown = lambda acc, n: F.struct(F.array_append(acc["before"], acc["at"]).alias("before"), step(acc["at"], n).alias("at"))
-    return F.aggregate(values, start, grown)
+    """What zero and the entries up to each one make, zero itself first."""
+    return F.aggregate(values, F.array(F.lit(zero)), lambda acc, n: F.array_append(acc, step(F.element_at(acc, -1), n)))
 
 
 def scan(values: Column, zero: int, step: Step) -> Column:
     """For an int array, what an associative step makes of zero and all entries before each one.
 
-    Each step of a fold copies what it has so far; so blocks of BLOCK entries are folded, then the blocks' results, and the
-    work stays near linear.
+    Each step of a fold copies what it has so far; so more than BLOCK entries are folded in blocks, then the blocks' results, and
+    the work stays near linear.
     """
+    short = lambda a: F.slice(_fold(a, zero, step), F.lit(1), F.size(a))
 
     def blocks(a: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / F.lit(BLOCK)).cast("int"))), lambda i: _fold(F.slice(a, i * BLOCK + 1, BLOCK), zero, step))
-        return let(parts, lambda p: F.flatten(F.zip_with(p, _fold(F.transform(p, lambda x: x["at"]), zero, step)["before"], lambda x, base: F.transform(x["before"], lambda s: step(base, s)))))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / F.lit(BLOCK)).cast("int")), lambda i: _fold(F.slice(a, i * BLOCK + 1, BLOCK), zero, step))
+        inner = lambda x: F.slice(x, F.lit(1), F.size(x) - 1)
+        return let(parts, lambda p: F.flatten(F.zip_with(p, short(F.transform(p, lambda x: F.element_at(x, -1))), lambda x, base: F.transform(inner(x), lambda s: step(base, s)))))
 
-    return let(values, blocks)
+    return let(values, lambda a: F.when(F.size(a) <= BLOCK, short(a)).otherwise(blocks(a)))
 
 
 def prefix_sums(lengths: Column) -> Column:

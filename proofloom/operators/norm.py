@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from proofloom.functions.offsets import find_all, let, strip
 from proofloom.operators.parse import TEXT, any_of, body_text, context, paragraph_array, paragraphs, reference_array, reference_offset, sentence_array, sentences
 from proofloom.rules import LATIN, Pack, Rule
-from proofloom.schema import explode_issues, issue, make_issues, no_issues
+from proofloom.schema import entries, explode_issues, issue, make_issues, no_issues
 
 CHECKS = ("dictionary", "punctuation", "repeats", "percent", "long", "pairs")
 
@@ -156,6 +156,18 @@ def pair_balance(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     return docs.select("doc_id", F.explode(pair_array(body, pack)).alias("x")).select("doc_id", "x.*")
 
 
+def mark_faults(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
+    """doc_id, rule_id, original of marks, paragraphs with uneven percentages and pairs out of balance, from one pass over
+    the rows (N03, N06, N07, N13)."""
+    rows = docs.select("doc_id", TEXT().alias("text"), paragraph_array(TEXT(), pack).alias("paras"))
+    rows = rows.withColumn("body", body_text(F.col("text"), reference_offset(reference_array(F.col("paras")))))
+    told = lambda rule, original: F.struct(rule.alias("rule_id"), original.alias("original"))
+    marks = F.transform(rule_array(F.col("text"), PUNCTUATION), lambda x: told(x["rule_id"], x["original"]))
+    uneven = F.transform(F.filter("paras", lambda p: uneven_percentages(p["text"])), lambda p: told(F.lit("percent"), F.lit("")))
+    pairs = F.transform(pair_array(F.col("body"), pack), lambda x: told(F.lit("pair"), F.concat_ws(" ", x["pair"], x["n_open"], x["n_close"])))
+    return entries(rows, F.concat(marks, uneven, pairs))
+
+
 def norm_array(text: Column, body: Column, sents: Column, paras: Column, pack: Pack = LATIN, checks: Sequence[str] = CHECKS) -> Column:
     """The engine: issues of one document by the checks named; those left out never enter the plan."""
     made = {

@@ -58,7 +58,7 @@ def paragraph_array(text: Column, pack: Pack = LATIN) -> Column:
     """Array of (line, start, text, is_heading, in_ref) of the lines that are not blank."""
     placed = lambda ls: F.zip_with(ls, prefix_sums(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, at: F.struct(x.alias("text"), at.alias("start")))
     numbered = F.transform(let(F.split(text, "\n", -1), placed), lambda x, i: F.struct((i + 1).alias("line"), x["start"].alias("start"), x["text"].alias("text")))
-    short = lambda x: F.length(strip(x)) < 60
+    short = lambda x: (F.length(x) < 60) | (F.length(strip(x)) < 60)
     kinds = lambda x: F.struct(x["line"].alias("line"), x["start"].alias("start"), x["text"].alias("text"), (short(x["text"]) & x["text"].rlike(pack.heading)).alias("is_heading"), (short(x["text"]) & x["text"].rlike(pack.reference_head)).alias("is_head"))
     kept = F.transform(F.filter(numbered, lambda x: x["text"].rlike(r"(?U)\S")), kinds)
 

@@ -79,11 +79,7 @@ def statement_share_range(s, d):
 
 def statement_marks(s, d):
     """Ellipses, thousands commas, uneven percentages, brackets."""
-    t = statements(s, d)
-    marks = norm.rule_hits(t, norm.PUNCTUATION).select("doc_id", "rule_id", "original")
-    uneven = norm.percent_precision(t).select("doc_id", F.lit("percent").alias("rule_id"), F.lit("").alias("original"))
-    pairs = norm.pair_balance(t).select("doc_id", F.lit("pair").alias("rule_id"), F.concat_ws(" ", "pair", "n_open", "n_close").alias("original"))
-    return marks.unionByName(uneven).unionByName(pairs)
+    return norm.mark_faults(statements(s, d))
 
 
 def statement_numbering(s, d):
@@ -91,8 +87,7 @@ def statement_numbering(s, d):
 
 
 def statement_figures(s, d):
-    missing, orphan = academic.missing_and_orphans(*academic.figures(statements(s, d)), on=["doc_id", "num"])
-    return missing.withColumn("kind", F.lit("missing")).unionByName(orphan.withColumn("kind", F.lit("unused")))
+    return academic.figure_faults(statements(s, d))
 
 
 def statement_references(s, d):

@@ -369,3 +369,30 @@ def test_neutral_packs_on_real_phrasing(docs):
     assert {(0, "z-mark-word"), (1, "term-z1"), (2, "z-spelling"), (3, "order-z2"), (5, "z-same-word")} <= found and 6 not in {d for d, _ in found}
     facts = docs("共3万平方千米，2亿元，5个百分点，7万").select(academic.number_facts(F.col("text"), ZH).alias("f")).first()["f"]
     assert [(f["value"], f["unit"]) for f in facts] == [(3.0, "平方千米"), (2.0, "元"), (5.0, "个百分点"), (7.0, "")]
+
+
+def _copies(df, mark):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(mark)
+
+
+def test_facts_are_made_once_and_rows_read_once(docs, spark):
+    from proofloom.operators.norm import mark_faults
+    from proofloom.plans import statement_queries as q
+    from tests.conftest import SF
+
+    for query in (q.statement_sums, q.statement_shares, q.statement_share_range, q.statement_numbers):
+        assert _copies(query(spark, SF), "vstart, length(") + _copies(query(spark, SF), "regexp_extract_all(") <= 4
+    for query in (q.statement_marks, q.statement_figures):
+        assert _copies(query(spark, SF), "Relation [") == 1
+    d = docs("see figure 3, see figure 3\nFigure 2: x\nFigure 2: y", "see figure 1\nFigure 1: x", None)
+    assert {tuple(r) for r in academic.figure_faults(d).collect()} == {(0, "3", "missing"), (0, "2", "unused")}
+    found = mark_faults(docs("1.5% and 2.125% (open", "", None)).collect()
+    assert [tuple(r) for r in found] == [(0, "percent", ""), (0, "pair", "() 1 0")]
+
+
+def test_prefix_sums_of_short_and_long_arrays(spark):
+    from proofloom.functions.offsets import BLOCK, prefix_sums
+
+    for n in (0, 1, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 7):
+        got = spark.range(1).select(prefix_sums(F.transform(F.filter(F.sequence(F.lit(0), F.lit(n)), lambda i: i < n), lambda i: (i % 5).cast("int"))).alias("s")).first()["s"]
+        assert got == [sum(i % 5 for i in range(k)) for k in range(n)]
