@@ -69,6 +69,7 @@ class Pack:
     pairs: tuple[tuple[str, str], ...] = PAIRS
     cues: tuple[str, ...] = ()
     unit: str = r"%|\p{L}+"
+    magnitudes: str = "万亿"  # characters of large numbers, which are not part of a unit
     closed_up: tuple[str, ...] = CLOSED_UP
     sections: tuple[str, ...] = ()
     publishers: tuple[str, ...] = ()
@@ -76,6 +77,7 @@ class Pack:
 
 LATIN = Pack(
     name="latin",
+    magnitudes="",
     terminators=".!?;\\n",
     closers="\"')\\]",
     heading=r"^\s*(#{1,6}\s|\p{Lu}[^.!?]*$)",
