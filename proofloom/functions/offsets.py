@@ -95,6 +95,25 @@ def find_all(text: Column, pattern: str | Column) -> Column:
     return let(parts, located)
 
 
+CHUNK = 8  # bits of a place in a chunk
+
+
+def cutting(text: Column, body: Callable[[Column, Callable[[Column, Column], Column]], Column]) -> Column:
+    """body(n, cut) with n the length of a text and cut(start, end) what stands there. Both a length and a substring walk the
+    text from its beginning; it is cut in chunks once, so that many spans of a long text do not walk it many times."""
+    parts = F.struct(F.length(text).alias("n"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << CHUNK}}}"), F.lit(0)).alias("chunks"))
+
+    def cut_of(p: Column) -> Callable[[Column, Column], Column]:
+        def cut(start: Column, end: Column) -> Column:
+            lo = F.shiftright(F.greatest(start, F.lit(0)), CHUNK)
+            held = F.slice(p["chunks"], lo + 1, F.greatest(F.shiftright(end - 1, CHUNK) - lo, F.lit(0)) + 1)
+            return F.when(start < 0, F.substring(text, start + 1, end - start)).otherwise(F.substring(F.array_join(held, ""), start - F.shiftleft(lo, CHUNK) + 1, end - start))
+
+        return cut
+
+    return let(parts, lambda p: body(p["n"], cut_of(p)))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")

@@ -6,13 +6,15 @@ DataFrames are for issues that come as rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofloom.functions.offsets import first_of_runs, let, scan
+from proofloom.functions.offsets import cutting, first_of_runs, let, scan
 from proofloom.operators.parse import line_numbers, piece_indices
 from proofloom.rules import SEVERITY_ORDER
-from proofloom.schema import by_severity, fingerprint, weight
+from proofloom.schema import by_severity, entries, fingerprint, weight
 
 
 def severity_weight(x: Column) -> Column:
@@ -62,19 +64,19 @@ def annotate_array(issues: Column, text: Column, paras: Column) -> Column:
     `sentence`, if that was other (O02)."""
     bounds = F.transform(paras, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end")))
 
-    def placed(a: Column) -> Column:
-        at = F.transform(a, lambda x: F.least(F.greatest(x["start"], F.lit(0)), F.length(text)))
+    def placed(a: Column, n: Column, cut_at: Callable[[Column, Column], Column]) -> Column:
+        at = F.transform(a, lambda x: F.least(F.greatest(x["start"], F.lit(0)), n))
         where = let(at, lambda p: F.arrays_zip(line_numbers(p, text).alias("line"), piece_indices(p, bounds).alias("paragraph")))
 
         def told(x: Column, w: Column) -> Column:
-            cut = F.substring(text, x["start"] + 1, x["end"] - x["start"])
-            real = (x["end"] > x["start"]) & (x["end"] <= F.length(text))
+            cut = cut_at(x["start"], x["end"])
+            real = (x["end"] > x["start"]) & (x["end"] <= n)
             given = F.when(real & (x["original"] != "") & (x["original"] != cut), x["original"]).otherwise("")
             return x.withField("original", F.when(real, cut).otherwise(x["original"])).withField("line", w["line"]).withField("paragraph", F.greatest(w["paragraph"], F.lit(0))).withField("sentence", given)
 
         return F.zip_with(a, where, told)
 
-    return let(issues, placed)
+    return let(issues, lambda a: cutting(text, lambda n, cut: placed(a, n, cut)))
 
 
 def annotate(issues: DataFrame, docs: DataFrame, paras: Column) -> DataFrame:
@@ -90,22 +92,25 @@ def annotate(issues: DataFrame, docs: DataFrame, paras: Column) -> DataFrame:
 GLOBAL_CATEGORIES = ("format", "reference", "style", "logic")
 
 
-def reject_reason(x: Column, text: Column) -> Column:
+def reject_reason(x: Column, n: Column, cut_at: Callable[[Column, Column], Column]) -> Column:
     """Why an issue (a struct) cannot stand: no change, empty span, out of range, drift of its original from the text; null
-    if it can (O06)."""
-    cut = F.trim(F.substring(text, x["start"] + 1, x["end"] - x["start"]))
+    if it can (O06). n, cut_at: what `cutting` gives of the text."""
+    cut = F.trim(cut_at(x["start"], x["end"]))
     own = F.trim(x["original"])
     drift = (x["end"] > x["start"]) & (x["original"] != "") & ~F.contains(own, cut) & ~F.contains(cut, own)
     same = (x["suggestion"] != "") & (x["suggestion"] == x["original"])
     empty = (x["end"] <= x["start"]) & ~x["category"].isin(*GLOBAL_CATEGORIES)
-    return F.when(same, "no-change").when(empty, "empty-span").when((x["start"] < 0) | (x["end"] > F.length(text)), "out-of-range").when(drift, "drift")
+    return F.when(same, "no-change").when(empty, "empty-span").when((x["start"] < 0) | (x["end"] > n), "out-of-range").when(drift, "drift")
 
 
 def review(issues: DataFrame, docs: DataFrame) -> DataFrame:
-    """All issues with `rejected`, the reason or null (O06). For issues that come as rows: it joins the texts."""
+    """All issues with `rejected`, the reason or null (O06). For issues that come as rows: those of a document
+    meet its text together, so that no text is copied for each of them."""
     texts = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("doc_text"))
-    rows = issues.join(texts, F.col("doc_id").eqNullSafe(F.col("d")))
-    return rows.withColumn("rejected", reject_reason(F.struct(*issues.columns), F.col("doc_text"))).drop("d", "doc_text")
+    held = issues.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in issues.columns if c != "doc_id"])).alias("items"))
+    rows = texts.join(held, F.col("doc_id").eqNullSafe(F.col("d")))
+    told = lambda n, cut: F.transform("items", lambda x: x.withField("rejected", reject_reason(x, n, cut)))
+    return entries(rows, cutting(F.col("doc_text"), told)).select(*issues.columns, "rejected")
 
 
 def conflict_array(issues: Column) -> Column:
@@ -133,7 +138,8 @@ def is_grave(x: Column) -> Column:
 def critic_array(issues: Column, text: Column, rounds: int = 2) -> Column:
     """At most two rounds, unrolled: rejects and conflicts; then, where a grave issue remains, only grave or confident ones
     stay (O06-O09)."""
-    kept = conflict_array(F.filter(issues, lambda x: reject_reason(x, text).isNull()))
+    stands = lambda n, cut: F.filter(issues, lambda x: reject_reason(x, n, cut).isNull())
+    kept = conflict_array(cutting(text, stands))
     if rounds < 2:
         return kept
     return let(kept, lambda a: F.when(F.exists(a, is_grave), F.filter(a, lambda x: is_grave(x) | (x["confidence"] >= 0.6))).otherwise(a))
