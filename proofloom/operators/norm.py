@@ -48,8 +48,7 @@ def rule_array(text: Column, rules: Sequence[Rule], fix: str = "") -> Column:
 
 def rule_hits(docs: DataFrame, rules: Sequence[Rule], text: Column | None = None) -> DataFrame:
     """One row per match of each rule: doc_id, the rule's columns, span, original and suggestion."""
-    rows = docs.select("doc_id", F.explode(rule_array(TEXT() if text is None else text, rules)).alias("x"))
-    return rows.select("doc_id", *[f"x.{c}" for c in ("rule_id", "severity", "category", "message", "start", "end", "original", "suggestion", "explain", "confidence")])
+    return entries(docs, rule_array(TEXT() if text is None else text, rules)).select("doc_id", "rule_id", "severity", "category", "message", "start", "end", "original", "suggestion", "explain", "confidence")
 
 
 def dictionary_issues(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:

@@ -84,8 +84,8 @@ def annotate(issues: DataFrame, docs: DataFrame, paras: Column) -> DataFrame:
     columns = [c for c in issues.columns if c != "doc_id"]
     held = issues.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("items"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.join(held, docs["doc_id"].eqNullSafe(held["doc_id"])).select(docs["doc_id"], F.explode(annotate_array(F.col("items"), text, paras)).alias("x"))
-    return rows.select("doc_id", "x.*")
+    rows = docs.join(held.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+    return entries(rows, annotate_array(F.col("items"), text, paras))
 
 
 #: Categories whose issues may have no span.

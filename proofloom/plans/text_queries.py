@@ -9,6 +9,7 @@ from proofloom.operators import academic, logic, norm, parse, style, terms
 from proofloom.plans import audit
 from proofloom.plans.sql import LINES, SEGMENTS, TOKENS, T, any_contains, hits, q, strip
 from proofloom.rules import LATIN, term_rows
+from proofloom.schema import entries
 
 RULES = (*LATIN.language, *LATIN.banned)
 
@@ -39,21 +40,21 @@ def sentences(s, d):
 
 def rule_positions(s, d):
     """Hits of rules with their line, paragraph and surroundings."""
-    rows = docs(s, d).select("doc_id", parse.TEXT().alias("text")).withColumn("hits", norm.rule_array(F.col("text"), RULES)).filter(F.size("hits") > 0)
+    rows = docs(s, d).select("doc_id", parse.TEXT().alias("text")).withColumn("hits", norm.rule_array(F.col("text"), RULES))
     at = F.transform("hits", lambda x: x["start"])
     paras = F.transform(parse.paragraph_array(F.col("text")), lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end")))
     rows = rows.withColumn("para", parse.piece_indices(at, paras)).withColumn("line", parse.line_numbers(at, F.col("text")))
-    around = F.transform("hits", lambda x: parse.context(F.col("text"), x["start"], x["end"]))
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("hits", "para", "line", around.alias("around"))).alias("x"))
-    return rows.select("doc_id", "x.hits.rule_id", "x.hits.start", "x.hits.end", F.col("x.para").alias("para_idx"), "x.line", "x.around")
+    around = parse.contexts(F.col("text"), F.col("hits"))
+    rows = entries(rows, F.when(F.size("hits") > 0, F.arrays_zip("hits", "para", "line", around.alias("around"))))
+    return rows.select("doc_id", "hits.rule_id", "hits.start", "hits.end", F.col("para").alias("para_idx"), "line", "around")
 
 
 def hit_sentences(s, d):
     """Sentence of each rule hit."""
-    rows = docs(s, d).select("doc_id", parse.TEXT().alias("text")).withColumn("hits", norm.rule_array(F.col("text"), RULES)).filter(F.size("hits") > 0)
+    rows = docs(s, d).select("doc_id", parse.TEXT().alias("text")).withColumn("hits", norm.rule_array(F.col("text"), RULES))
     rows = rows.withColumn("sent", parse.piece_indices(F.transform("hits", lambda x: x["start"]), parse.sentence_array(F.col("text"))))
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("hits", "sent")).alias("x"))
-    return rows.select("doc_id", "x.hits.rule_id", "x.hits.start", "x.hits.end", F.col("x.sent").alias("sent_idx"))
+    rows = entries(rows, F.when(F.size("hits") > 0, F.arrays_zip("hits", "sent")))
+    return rows.select("doc_id", "hits.rule_id", "hits.start", "hits.end", F.col("sent").alias("sent_idx"))
 
 
 def quote_spans(s, d):

@@ -5,9 +5,11 @@ import time
 from pyspark.sql import functions as F
 
 from proofloom.functions.offsets import cutting
-from proofloom.operators.parse import paragraph_array
-from proofloom.operators.resolve import annotate_array, critic_array
-from proofloom.schema import issue
+from proofloom.operators.norm import rule_array, rule_hits
+from proofloom.operators.parse import paragraph_array, spread
+from proofloom.operators.resolve import annotate, annotate_array, critic_array, review
+from proofloom.rules import LATIN
+from proofloom.schema import issue, make_issues
 
 
 def test_cuts_are_substrings(docs):
@@ -29,3 +31,21 @@ def test_many_issues_of_a_long_text_do_not_walk_it_each(docs):
     assert rows.select(F.size(F.filter("placed", lambda x: x["original"] == "wört"))).first()[0] == n
     assert docs(words).withColumn("found", found).select(F.size(critic_array(F.col("found"), F.col("text")))).first()[0] == n
     assert time.monotonic() - began < 25
+
+
+def test_rules_are_searched_once(docs):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    text = docs("a  b !!", "of x of y of z")
+    once = plan(text.select(rule_array(F.col("text"), LATIN.language).alias("x"))).count("RLIKE")
+    hits = make_issues(rule_hits(text, LATIN.language), "norm")
+    assert once and plan(rule_hits(text, LATIN.language)).count("RLIKE") == once
+    assert plan(review(hits, text)).count("RLIKE") == once
+    own = plan(text.select(paragraph_array(F.col("text")).alias("x"))).count("RLIKE")
+    assert plan(annotate(hits, text, paragraph_array(F.col("text")))).count("RLIKE") == once + own
+
+
+def test_no_task_gets_more_than_its_part(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    assert spread(table, 1 << 16).rdd.getNumPartitions() > spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(table, 1 << 16).count() == 20_000
