@@ -1,9 +1,10 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
 A document's strength is w . f(text); in a preference pair the better document wins with probability
-sigmoid(w . (f(better) - f(worse))). w is learned by logistic loss on feature differences of pairs drawn from labelled
-documents (label 1 preferred to label 0). The cut is a quantile of training strengths: the share of label 0 among the
-training rows. Scores are sigmoid(slope * (strength - cut) + logit(0.3)), so that score >= 0.3 is strength >= cut.
+sigmoid(w . (f(better) - f(worse))). w is learned by logistic loss on feature differences of pairs of labelled documents
+(label 1 preferred to label 0). All labelled rows are learned from: they are dealt by hash over blocks of about FIT_ROWS, each row of
+a block stands in its pairs, and w is the mean of the blocks' weights. The cut is a quantile of the strengths of all training
+rows: the share of label 0 among them. Scores are sigmoid(slope * (strength - cut) + logit(0.3)), so that score >= 0.3 is strength >= cut.
 
 Features are read from the text alone: shares of character classes, word shapes, repetition and line shapes, each cut into
 bins at training quantiles, so that a linear strength can follow any curve of a feature; and what the text says, as square
@@ -20,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm.common import documents, text_or_empty, wrapped
+from proofloom.llm.common import documents, staged, text_or_empty, wrapped
 from proofloom.llm.textnum import Tokens, slices
 
 THRESHOLD = 0.3
-FIT_ROWS = 16_000  # labelled rows used for fitting at most, picked by hash of the id
-PAIRS = 30_000
+FIT_ROWS = 16_000  # labelled rows of a block, about
+PAIRS = 30_000  # of a block at least; more if a label has more rows
+RARE = 256  # rows of each label in a block, about; a rarer label's rows stand in several blocks
+BROADCAST_ROWS = 1 << 20
 GRAMS = 512  # buckets of hashed words, and as many of hashed runs of three bytes
 SLICE = 1 << 19
 BINS = 8
@@ -123,37 +126,105 @@ def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, rounds: int
     return w
 
 
-def fit(rows: pd.DataFrame) -> Ranker | None:
-    """rows: features, grams, quality. None if a label is missing: then nothing can be preferred."""
-    x = np.array(rows["features"].tolist(), dtype=np.float64).reshape(-1, len(NAMES))
-    grams = np.frombuffer(b"".join(rows["grams"]), dtype=np.uint8).reshape(-1, 2 * GRAMS)
-    y = rows["quality"].to_numpy(dtype=np.int64)
+def arrays_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shapes, grams) of rows: features, grams."""
+    return np.array(rows["features"].tolist(), dtype=np.float64).reshape(-1, len(NAMES)), np.frombuffer(b"".join(rows["grams"]), dtype=np.uint8).reshape(-1, 2 * GRAMS)
+
+
+def block_weights(design: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """Weights learned from the rows of a block, each of which stands in a pair. None if a label is missing."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
+    rng = np.random.default_rng(SEED)
+    m = max(PAIRS, len(good), len(bad))
+    dealt = lambda rows: np.concatenate([rng.permutation(rows) for _ in range(-(-m // len(rows)))])[:m]
+    return fit_pairs(design, dealt(good), dealt(bad))
+
+
+@dataclass(frozen=True)
+class Training:
+    """Labelled rows (h, features, grams, quality) as a table, and how many there are of each label."""
+
+    rows: DataFrame
+    bad: int
+    good: int
+
+    def __len__(self) -> int:
+        return self.bad + self.good
+
+
+def fit(rows: pd.DataFrame | Training) -> Ranker | None:
+    """rows: features, grams, quality. None if a label is missing: then nothing can be preferred."""
+    if isinstance(rows, Training):
+        return fit_blocks(rows)
+    x, grams = arrays_of(rows)
+    y = rows["quality"].to_numpy(dtype=np.int64)
+    if not (y == 1).any() or not (y == 0).any():
+        return None
     edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T
     design = Ranker(edges, np.zeros(0), 0.0, 1.0).design(x, grams)
-    rng = np.random.default_rng(SEED)
-    w = fit_pairs(design, rng.choice(good, PAIRS), rng.choice(bad, PAIRS))
-    strength = design @ w
-    cut = float(np.quantile(strength, len(bad) / len(y)))
+    w = block_weights(design, y)
+    cut = float(np.quantile(design @ w, (y == 0).mean()))
     return Ranker(edges, w, cut, 2.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 0) -> pd.DataFrame:
-    """At most FIT_ROWS labelled rows outside the held-out fold. An id with several labels counts as its largest."""
+def quantile(values: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """Of values that occur so often, the least that a share of all are at or below."""
+    order = np.argsort(values)
+    at = np.searchsorted(np.cumsum(counts[order]), share * counts.sum() - 1e-9)
+    return float(values[order][min(at, len(order) - 1)])
+
+
+def fit_blocks(given: Training, block: int = FIT_ROWS) -> Ranker | None:
+    """The model of all rows of a table. Quantiles are of the counts of all values, rounded to ten bits (a feature) or to 1/1,024 (a
+    strength), so the driver gets counts of a grid and a block's weights, never rows."""
+    if not given.good or not given.bad:
+        return None
+    bits = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("v"))) - F.lit(9))
+    grid = F.when(F.col("v") == 0, F.lit(0.0)).otherwise(F.round(F.col("v") / bits) * bits)
+    shapes = given.rows.select(F.posexplode("features").alias("f", "v")).groupBy("f", grid.alias("v")).agg(F.count("*").alias("n")).toPandas()
+    edges = np.array([[quantile(g["v"].to_numpy(), g["n"].to_numpy(), k / BINS) for k in range(1, BINS)] for _, g in shapes.groupby("f", sort=True)])
+    plain = Ranker(edges, np.zeros(0), 0.0, 1.0)
+    blocks = max(1, -(-len(given) // block))
+    copies = {y: min(blocks, -(-RARE * blocks // n)) for y, n in ((0, given.bad), (1, given.good))}
+    several = F.when(F.col("quality") == 0, copies[0]).otherwise(copies[1])
+    dealt = given.rows.withColumn("i", F.explode(F.sequence(F.lit(0), several - 1))).withColumn("block", F.pmod(F.pmod("h", F.lit(blocks)) + F.col("i"), F.lit(blocks)))
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[np.lexsort((rows["quality"], [hash(tuple(x)) for x in rows["features"]], rows["h"]))]  # in an order of their own
+        w = block_weights(plain.design(*arrays_of(rows)), rows["quality"].to_numpy(dtype=np.int64))
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "w": [w]} if w is not None else {"block": [], "w": []})
+
+    learned = dealt.groupBy("block").applyInPandas(learn, "block long, w array<float>").toPandas().sort_values("block")
+    if not len(learned):
+        return None
+    w = np.mean(np.stack(learned["w"]).astype(np.float64), axis=0).astype(np.float32)
+
+    @F.pandas_udf("double")
+    def strength(features: pd.Series, grams: pd.Series) -> pd.Series:
+        x = arrays_of(pd.DataFrame({"features": features, "grams": grams}))
+        return pd.Series((plain.design(*x) @ w).astype(np.float64))
+
+    strengths = given.rows.select((F.round(strength("features", "grams") * 1024) / 1024).alias("v")).groupBy("v").agg(F.count("*").alias("n")).toPandas()
+    return Ranker(edges, w, quantile(strengths["v"].to_numpy(), strengths["n"].to_numpy(), given.bad / len(given)), 2.0)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 0) -> Training:
+    """All labelled rows outside the held-out fold, their features written once. An id with several labels counts as its largest."""
     held = F.coalesce(F.crc32(F.col("k").cast("string")) % 5 == fold, F.lit(False))
     known = labels.select(F.col(key).alias("k"), "quality").filter("quality IS NOT NULL").groupBy("k").agg(F.max("quality").alias("quality")).filter(~held)
-    picked = known.orderBy(F.xxhash64("k"), "k").limit(FIT_ROWS)
 
     @F.pandas_udf("features array<double>, grams binary")
     def features(texts: pd.Series) -> pd.DataFrame:
         x, grams = features_of(texts)
         return pd.DataFrame({"features": list(x), "grams": [g.tobytes() for g in grams]})
 
-    # features are made where the texts are; the driver gets some 1,200 bytes a row
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).join(F.broadcast(picked), "k").select("k", "quality", features("text").alias("f")).select("k", "quality", "f.*")
-    return rows.orderBy(F.xxhash64("k"), F.xxhash64("features")).limit(FIT_ROWS).select("features", "grams", "quality").toPandas()
+    # features are made where the texts are, which are not moved while the labels are few
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).join(F.broadcast(known) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else known, "k")
+    made = staged(rows.select(F.xxhash64("k").alias("h"), "quality", features("text").alias("f")).select("h", "quality", "f.*"), "training")
+    counts = {r["quality"]: r["n"] for r in made.filter("quality IN (0, 1)").groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    return Training(made.filter("quality IN (0, 1)"), counts.get(0, 0), counts.get(1, 0))
 
 
 def score_documents(df: DataFrame, ranker: Ranker | None, text: str = "text") -> DataFrame:
