@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from proofloom.functions.hashing import hamming
 from proofloom.functions.offsets import strip
-from proofloom.operators.alike import GRAM, MINS, SIM, SLACK, SLOTS, fingerprint_of, grams_of, mean_of
+from proofloom.operators.alike import GRAM, MINS, SIM, SLACK, SLOTS, fingerprint_of, grams_of, mean_of, shingle_numbers
 from proofloom.operators.parse import paragraph_array
-from proofloom.operators.similarity import body_paragraphs, small
+from proofloom.operators.similarity import BROADCAST_ROWS, body_paragraphs, small
 from proofloom.rules import LATIN, Pack
 from proofloom.sources.tables import written
 
 LEAST = 0.72
+BITS = 25  # of a hash, by which shingles of a corpus are marked
 FREQUENT = 1 << 16  # elements that are asked for last
 PRINT = "simhash long, slots array<int>, n_grams int"
 
@@ -126,13 +127,45 @@ def asked(slots, frequent: np.ndarray, n: int):
     return choose(elements(slots))
 
 
+def marks_of(texts: DataFrame) -> np.ndarray:
+    """A bit for each number of BITS bits: whether a shingle of texts (text) has it. The last one: whether a text has none."""
+
+    @F.pandas_udf("array<long>")
+    def numbers(column: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(own & (1 << BITS) - 1) if len(own := shingle_numbers(x)) else np.array([1 << BITS]) for x in column])
+
+    held = texts.select(F.explode(numbers("text")).alias("n"))
+    words = held.groupBy(F.shiftright("n", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(n % 32))")).alias("bits"))
+    out = np.zeros((1 << BITS - 5) + 1, dtype=np.uint32)
+    made = words.toPandas()  # 2**20 rows at most
+    out[made["at"].to_numpy(dtype=np.int64)] = made["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def meeting(texts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """texts (text) without those that share no shingle with a text of the corpus. Their MinHash slots are equal only where two
+    hashes meet by chance in 32 bits, which the 26 slots that a hit needs never do. A text without shingles meets such ones."""
+    marks = marks_of(corpus)
+
+    @F.pandas_udf("boolean")
+    def meets(column: pd.Series) -> pd.Series:
+        made = [shingle_numbers(x) & (1 << BITS) - 1 for x in column]
+        made = [own if len(own) else np.array([1 << BITS]) for own in made]
+        return pd.Series([bool((marks[own >> 5] >> (own & 31).astype(np.uint32) & np.uint32(1)).any()) for own in made], dtype=bool)
+
+    return texts.filter(meets("text"))
+
+
 def closest(texts: DataFrame, store: FingerprintStore, least: float = LEAST) -> DataFrame:
     """t, u, source, sim, mins, gram, score of each distinct text (text) with the text of the store that it is most like: SimHash
     0.5 or more, MinHash or 3-grams 0.45 or more, the mean `least` or more; the first source on a tie (A14). All such pairs are
     compared, no text is left out for its length or frequency."""
     wanted = max(1, math.ceil(SLOTS * (least - SIM - GRAM) / MINS - SLACK))
     n = SLOTS - wanted + 1
-    own = written(printed(named(texts.filter(F.col("text").isNotNull()).select("text").distinct())), "asked")
+    given = texts.filter(F.col("text").isNotNull()).select("text").distinct()
+    if wanted > SLOTS // 8 and store.prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # of more, nearly all marks would be set
+        given = meeting(given, store.prints)
+    own = written(printed(named(given)), "asked")
     ask = own.select("t", "u", "simhash", "n_grams", F.explode(asked(F.col("slots"), store.frequent(), n)).alias("key"))
     held = store.keys.select("key", F.col("t").alias("ct"), F.col("u").alias("cu"), F.col("simhash").alias("csim"), F.col("n_grams").alias("cn"))
     share = lambda count: mean_of(1 - hamming(F.col("simhash"), F.col("csim")) / F.lit(64.0), count, F.least("n_grams", "cn") / F.greatest("n_grams", "cn", F.lit(1))) >= least - SLACK
