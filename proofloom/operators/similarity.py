@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +80,11 @@ def with_repeats(rows: DataFrame, out: str = "repeats", sim: float = 0.85, least
     """rows (paras) with an array of (class, first, second, start, end, score): paragraphs of one document that repeat an
     earlier one, the first such, and the first paragraph of all that such links join (A13). One entry a paragraph."""
 
-    @F.pandas_udf("array<struct<c:int,i:int,j:int,score:double>>")
-    def classes(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"c": c, "i": i, "j": j, "score": s} for c, i, j, s in alike_classes(list(texts), sim, least)] for texts in rows])
+    links = pa.list_(pa.struct([("c", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("score", pa.float64())]))
+
+    @F.arrow_udf("array<struct<c:int,i:int,j:int,score:double>>")
+    def classes(rows: pa.Array) -> pa.Array:  # one document's paragraphs at a time are held as strings
+        return pa.array([[{"c": c, "i": i, "j": j, "score": s} for c, i, j, s in alike_classes(texts.as_py(), sim, least)] for texts in rows], links)
 
     rows = rows.withColumn("own_", body_paragraphs(F.col("paras")))
     several = F.when(F.size("own_") > 1, F.transform("own_", lambda p: p["text"])).otherwise(F.array().cast("array<string>"))
