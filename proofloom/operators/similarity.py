@@ -16,6 +16,7 @@ from proofloom.operators.alike import alike_classes, fingerprint_of, grams_of, s
 from proofloom.operators.parse import TEXT, char_ngrams, paragraph_array, tokens
 from proofloom.rules import LATIN, Pack
 from proofloom.schema import entries, issue
+from proofloom.sources.tables import written
 
 MIN_CHARS = 40
 BANDS, ROWS = 32, 4
@@ -206,24 +207,83 @@ def shingle_overlap(left: DataFrame, right: DataFrame, lkey: str, rkey: str, k:
     return pairs.withColumn("overlap", F.col("shared") / F.col("n")).filter(F.col("overlap") >= least).drop("n")
 
 
+HEAD = 1 << 18  # terms, the most common ones, whose frequencies are sent to the documents
+TASK = 8 << 20  # bytes of text for each task
+SHARDS = 64  # at least, over which the documents are dealt by their keys
+
+
+def text_sums(docs: DataFrame) -> tuple[int, int]:
+    """(rows, tasks that the bytes of their texts ask for)."""
+    r = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    return r["n"], max(docs.sparkSession.sparkContext.defaultParallelism, -(-r["size"] // TASK))
+
+
+def counted(docs: DataFrame, key: str, tasks: int) -> DataFrame:
+    """shard, doc, tfs (count by token) of each document of docs (key, text) with a token. Texts are dealt out by shards of
+    their keys, so no (document, token) pair is shuffled."""
+    doc = F.col(key)
+    shard = F.pmod(F.xxhash64(doc), F.lit(max(SHARDS, tasks))).cast("int")
+    texts = docs.select(shard.alias("shard"), doc.alias("doc"), TEXT().alias("text")).repartition(tasks, "shard")
+    rows = texts.select("shard", "doc", tokens(F.col("text")).alias("t")).select("shard", "doc", F.explode_outer("t").alias("token")).filter("token IS NOT NULL")
+    pairs = rows.groupBy("shard", "doc", "token").agg(F.count("*").alias("tf"))
+    return pairs.groupBy("shard", "doc").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("tf").cast("int")))).alias("tfs"))
+
+
+def term_table(counts: DataFrame, n: int) -> DataFrame:
+    """token, df, idf of counted documents, of which there are n with those that hold no token."""
+    df = counts.select(F.explode(F.map_keys("tfs")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.select("token", "df", (F.log((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def common_from(terms: DataFrame) -> int:
+    """The least power of two such that at most HEAD terms are found in as many documents or more."""
+    held, cut = 0, 1 << 62
+    for r in sorted(terms.groupBy(F.length(F.bin("df")).alias("bits")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > HEAD:
+            break
+        cut = 1 << (r["bits"] - 1)
+    return cut
+
+
+def norms(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """shard, doc, norm of counted documents: the length of the vector of (1 + ln tf) idf. Frequencies of common terms are sent to
+    the documents; only pairs of a document and a rare term are shuffled, and sums of documents."""
+    cut = common_from(terms)
+    common, rare = F.broadcast(terms.filter(F.col("df") >= cut).select("token", "idf")), terms.filter(F.col("df") < cut).select("token", "idf")
+    pairs = counts.select("shard", "doc", F.explode("tfs").alias("token", "tf"))
+    squares = lambda rows: rows.withColumn("w", (1 + F.log("tf")) * F.col("idf")).groupBy("shard", "doc").agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
+    parts = squares(pairs.join(common, "token")).unionByName(squares(pairs.join(common, "token", "left_anti").join(rare, "token")))
+    return parts.groupBy("shard", "doc").agg(F.sqrt(F.sum("sq")).alias("norm"))
+
+
+def normed(counts: DataFrame, lengths: DataFrame, tasks: int) -> DataFrame:
+    """shard, doc, norm, token, tf of counted documents, dealt out by shard. Norms come to their documents as rows beside theirs,
+    in the one exchange that deals both out; a document's tokens, which hold no blank, go through it as one string."""
+    none = F.lit(None)
+    mine = counts.select("shard", "doc", F.array_join(F.map_keys("tfs"), " ").alias("words"), F.map_values("tfs").alias("tf"), none.cast("double").alias("norm"))
+    both = mine.unionByName(lengths.select("shard", "doc", none.cast("string").alias("words"), none.cast("array<int>").alias("tf"), "norm"))
+    whole = both.repartition(tasks, "shard").groupBy("shard", "doc").agg(F.first("words", ignorenulls=True).alias("words"), F.first("tf", ignorenulls=True).alias("tf"), F.max("norm").alias("norm"))
+    pairs = F.arrays_zip(F.split("words", " ").alias("token"), F.col("tf"))
+    return whole.select("shard", "doc", "norm", pairs.alias("pairs")).select("shard", "doc", "norm", F.explode_outer("pairs").alias("x")).select("shard", "doc", "norm", "x.token", "x.tf")
+
+
 def tfidf_topk(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, k: int = 3) -> DataFrame:
     """qkey, dkey, score, rank: cosine of (1 + ln tf) (ln((1 + N) / (1 + df)) + 1) weights, the k best a query (P10).
 
     Query weights use the corpus's document frequencies; terms of a query that the corpus lacks count in its norm only.
-    Documents are tokenised once: the exchange of their counts serves the frequencies, the norms and the products.
+    Documents are tokenised once; their products with all queries are added up where their shard lies, and each task hands on the k
+    best of a query.
     """
-    n = docs.select(F.count("*").cast("double").alias("n"))
-    tf = lambda df, key: df.select(key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    d_tf, q_tf = tf(docs, dkey), tf(queries, qkey)
-    df_counts = d_tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n)
-    idf = df_counts.select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda t: t.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    qw = weigh(q_tf.join(idf, "token", "left").crossJoin(n).withColumn("idf", F.coalesce("idf", F.log(1 + F.col("n")) + 1)))
-    q_norm = qw.groupBy(qkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    wanted = qw.groupBy("token").agg(F.collect_list(F.struct(F.col(qkey).alias("q"), F.col("w").alias("qw"))).alias("asked"))
-    dw = weigh(d_tf.join(idf, "token").join(wanted, "token", "left"))
-    norm = dw.groupBy(dkey).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    dots = dw.filter("asked IS NOT NULL").select(dkey, "w", F.explode("asked").alias("a")).groupBy(F.col("a.q").alias(qkey), dkey).agg(F.sum(F.col("w") * F.col("a.qw")).alias("dot"))
-    scored = dots.join(norm, dkey).join(q_norm, qkey).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
+    n, tasks = text_sums(docs)
+    counts = written(counted(docs, dkey, tasks), "counts", compression="zstd")
+    terms = written(term_table(counts, n), "terms")
+    q_tf = queries.select(qkey, F.explode(tokens(F.col("text"))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("tf"))
+    qw = q_tf.join(terms, "token", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.log(1 + F.lit(float(n))) + 1))
+    qn = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(qkey)))
+    asked = small(written(qw.withColumn("qn", qn).filter(F.col("df").isNotNull() & F.col(qkey).isNotNull()).select(F.col(qkey).alias("q"), "token", "idf", F.col("w").alias("qw"), "qn"), "asked"))
+    met = normed(counts, written(norms(counts, terms), "norms"), tasks).filter("doc IS NOT NULL").join(asked, "token")
+    dots = met.groupBy("shard", "doc", "q").agg(F.sum((1 + F.log("tf")) * F.col("idf") * F.col("qw")).alias("dot"), F.first("norm").alias("dn"), F.first("qn").alias("qn"))
+    scored = dots.select(F.col("q").alias(qkey), F.col("doc").alias(dkey), F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("score"))
     w = Window.partitionBy(qkey).orderBy(F.desc("score"), dkey)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(qkey, dkey, "score", "rank")

@@ -88,7 +88,7 @@ def dup_cross(s, d):
 
 
 def tfidf_topk(s, d):
-    return similarity.tfidf_topk(_t(s, d, "benchmark"), _docs(s, d), "item_id", "doc_id", 3)
+    return similarity.tfidf_topk(_t(s, d, "benchmark"), _t(s, d, "documents").select("doc_id", "text"), "item_id", "doc_id", 3)
 
 
 def tfidf_search(s, d):
