@@ -93,7 +93,7 @@ def tfidf_topk(s, d):
 
 def tfidf_search(s, d):
     """The same by an index that is built once, searched by bounds (P10)."""
-    return indexes.temporary_index(_docs(s, d), "doc_id").search(_t(s, d, "benchmark"), "item_id", "doc_id", 3)
+    return indexes.temporary_index(_t(s, d, "documents").select("doc_id", "text"), "doc_id").search(_t(s, d, "benchmark"), "item_id", "doc_id", 3)
 
 
 def cross_duplicates(s, d):

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from proofloom.operators import similarity
+from proofloom.operators import indexes, similarity
 from tests.test_indexes import plain_topk
 
 rng = random.Random(3)
@@ -30,6 +30,11 @@ def tables(spark):
     return spark.createDataFrame(DOCS, "i bigint, text string"), spark.createDataFrame(QUERIES, "q bigint, text string")
 
 
+def test_index_is_built_without_shuffling_pairs(spark, tmp_path, counted_rows):
+    indexes.TfidfIndex.build(tables(spark)[0], "i", str(tmp_path / "index"))
+    assert 0 < counted_rows() < PAIRS / 4
+
+
 def test_products_are_added_up_where_documents_lie(spark, counted_rows):
     docs, queries = tables(spark)
     got = {(r["q"], r["i"], r["rank"], round(r["score"], 8)) for r in similarity.tfidf_topk(queries, docs, "q", "i").collect()}
