@@ -33,7 +33,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-BLOCK = 192  # entries that are folded one by one
+BLOCK = 32  # entries that are folded one by one
 
 
 Step = Callable[[Column, Column], Column]
@@ -73,8 +73,8 @@ def first_of_runs(items: Column, same: Step) -> Column:
 def ranks(positions: Column, starts: Column) -> Column:
     """For each of an int array of positions, how many of the starts are at or before it. One sort of both together."""
     marked = F.concat(F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(0).alias("asked"), F.lit(0).alias("i"))), F.transform(positions, lambda p, i: F.struct(p.alias("at"), F.lit(1).alias("asked"), i.alias("i"))))
-    counted = let(F.array_sort(marked), lambda m: F.zip_with(m, prefix_sums(F.transform(m, lambda x: 1 - x["asked"])), lambda x, n: F.struct(x["asked"].alias("asked"), x["i"].alias("i"), n.alias("n"))))
-    return F.transform(F.array_sort(F.transform(F.filter(counted, lambda x: x["asked"] == 1), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))), lambda x: x["n"])
+    counted = let(F.sort_array(marked), lambda m: F.zip_with(m, prefix_sums(F.transform(m, lambda x: 1 - x["asked"])), lambda x, n: F.struct(x["asked"].alias("asked"), x["i"].alias("i"), n.alias("n"))))
+    return F.transform(F.sort_array(F.transform(F.filter(counted, lambda x: x["asked"] == 1), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))), lambda x: x["n"])
 
 
 def tiles(segments: Column) -> Column:

@@ -6,6 +6,7 @@ Everything here is a generator over one row: no operator shuffles. docs has doc_
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -153,7 +154,7 @@ QUOTES = (("“", "”"), ("‘", "’"), ("「", "」"))
 def quote_spans(text: Column) -> Column:
     """Array of (qs, qe), quotes included: asymmetric pairs by a stack (nested ones too, an open one ends with its line),
     straight quotes in pairs that don't cross a line (D08)."""
-    return F.array_sort(F.concat(_straight_quotes(text), *[_nested_quotes(text, o, c) for o, c in QUOTES]))
+    return F.sort_array(F.concat(_straight_quotes(text), *[_nested_quotes(text, o, c) for o, c in QUOTES]))
 
 
 def _nested_quotes(text: Column, opening: str, closing: str) -> Column:
@@ -187,9 +188,10 @@ def in_quote(spans: Column, pos: Column, min_length: int = 0) -> Column:
     return F.exists(spans, lambda q: (q["qs"] <= pos) & (pos < q["qe"]) & (q["qe"] - q["qs"] >= min_length))
 
 
-def is_negated(text: Column, pos: Column, pack: Pack = LATIN) -> Column:
-    """A negation and at most six characters, none of them a mark, stand right before the offset, within eight."""
-    before = F.substring(text, F.greatest(pos - 7, F.lit(1)), F.least(pos, F.lit(8)))
+def is_negated(text: Column, pos: Column, pack: Pack = LATIN, cut: Callable[[Column, Column], Column] | None = None) -> Column:
+    """A negation and at most six characters, none of them a mark, stand right before the offset, within eight (D10). cut: what
+    `cutting` gives of the text."""
+    before = cut(F.greatest(pos - 8, F.lit(0)), pos) if cut else F.substring(text, F.greatest(pos - 7, F.lit(1)), F.least(pos, F.lit(8)))
     return before.rlike(any_of(pack.negation) + r"[^.,;:!?。，；：！？\n]{0,6}\z")
 
 
@@ -216,7 +218,7 @@ def reference_array(paras: Column) -> Column:
     num = lambda x: F.regexp_extract(x["text"], r"^\s*\[(\d{1,4})\]", 1)
     items = F.transform(F.filter(paras, lambda x: num(x) != ""), lambda x: F.struct(num(x).cast("int").alias("num"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), strip(x["text"]).alias("text"), x["in_ref"].alias("in_ref")))
     kept = lambda a: F.when(F.exists(a, lambda x: x["in_ref"]), F.filter(a, lambda x: x["in_ref"])).when(F.size(a) >= 2, a).otherwise(F.filter(a, lambda x: F.lit(False)))
-    return F.transform(_last_of_run(F.array_sort(let(items, kept)), "num"), lambda x: F.struct(x["num"].alias("num"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    return F.transform(_last_of_run(F.sort_array(let(items, kept)), "num"), lambda x: F.struct(x["num"].alias("num"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
 
 
 def references(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
@@ -251,7 +253,7 @@ def body_text(text: Column, ref_start: Column) -> Column:
 def citation_array(body: Column) -> Column:
     """Array of (pos, num) of the numbers cited as [n], each at its first place, by place."""
     hits = F.transform(find_all(body, r"\[\d{1,4}\]"), lambda x: F.struct(F.regexp_extract(x["text"], r"\d+", 0).cast("int").alias("num"), (-x["start"]).alias("pos")))
-    return F.array_sort(F.transform(_last_of_run(F.array_sort(hits), "num"), lambda x: F.struct((-x["pos"]).alias("pos"), x["num"].alias("num"))))
+    return F.sort_array(F.transform(_last_of_run(F.sort_array(hits), "num"), lambda x: F.struct((-x["pos"]).alias("pos"), x["num"].alias("num"))))
 
 
 def citations(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:

@@ -36,11 +36,11 @@ def resolve_array(issues: Column, exempt_global: bool = False) -> Column:
     Only issues of one connected run of spans can clash, so each run is folded by itself. exempt_global keeps issues with
     the span 0-0 apart, so that global findings don't hide each other.
     """
-    placed = F.array_sort(F.transform(issues, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("row"))))
+    placed = F.sort_array(F.transform(issues, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("row"))))
     order = lambda x: F.struct((-severity_weight(x)).alias("o1"), (x["start"] - x["end"]).alias("o2"), x["rule_id"].alias("o3"), x["start"].alias("o4"), x["message"].alias("o5"), x.alias("row"))
 
     def greedy(run: Column) -> Column:
-        ordered = F.transform(F.array_sort(F.transform(run, lambda x: order(x["row"]))), lambda x: x["row"])
+        ordered = F.transform(F.sort_array(F.transform(run, lambda x: order(x["row"]))), lambda x: x["row"])
         return let(ordered, lambda a: F.aggregate(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1), lambda kept, x: F.when(F.exists(kept, lambda k: _clash(k, x, exempt_global)), kept).otherwise(F.array_append(kept, x))))
 
     def runs(a: Column) -> Column:
@@ -69,10 +69,11 @@ def annotate_array(issues: Column, text: Column, paras: Column) -> Column:
         where = let(at, lambda p: F.arrays_zip(line_numbers(p, text).alias("line"), piece_indices(p, bounds).alias("paragraph")))
 
         def told(x: Column, w: Column) -> Column:
-            cut = cut_at(x["start"], x["end"])
-            real = (x["end"] > x["start"]) & (x["end"] <= n)
-            given = F.when(real & (x["original"] != "") & (x["original"] != cut), x["original"]).otherwise("")
-            return x.withField("original", F.when(real, cut).otherwise(x["original"])).withField("line", w["line"]).withField("paragraph", F.greatest(w["paragraph"], F.lit(0))).withField("sentence", given)
+            def of_cut(cut: Column) -> Column:  # null if there is none
+                given = F.when(cut.isNotNull() & (x["original"] != "") & (x["original"] != cut), x["original"]).otherwise("")
+                return x.withField("original", F.coalesce(cut, x["original"])).withField("line", w["line"]).withField("paragraph", F.greatest(w["paragraph"], F.lit(0))).withField("sentence", given)
+
+            return let(F.when((x["end"] > x["start"]) & (x["end"] <= n), cut_at(x["start"], x["end"])), of_cut)
 
         return F.zip_with(a, where, told)
 
@@ -119,8 +120,8 @@ def conflict_array(issues: Column) -> Column:
     keyed = F.transform(issues, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["start"] == x["end"], x["rule_id"]).otherwise("").alias("rule"), (-severity_weight(x)).alias("o1"), (-x["confidence"]).alias("o2"), (-F.length(x["suggestion"])).alias("o3"), i.alias("i"), x.alias("row")))
     point = lambda x: x["start"] == x["end"]
     same = lambda a, b: (point(a) & point(b) & (a["rule"] == b["rule"])) | (~point(a) & (a["start"] == b["start"]) & (a["end"] == b["end"]))
-    spans = first_of_runs(F.array_sort(F.filter(keyed, lambda x: ~point(x))), same)
-    points = first_of_runs(F.array_sort(F.transform(F.filter(keyed, point), lambda x: F.struct(x["rule"].alias("rule"), *[x[c].alias(c) for c in ("o1", "o2", "o3", "i", "start", "end", "row")]))), lambda a, b: a["rule"] == b["rule"])
+    spans = first_of_runs(F.sort_array(F.filter(keyed, lambda x: ~point(x))), same)
+    points = first_of_runs(F.sort_array(F.transform(F.filter(keyed, point), lambda x: F.struct(x["rule"].alias("rule"), *[x[c].alias(c) for c in ("o1", "o2", "o3", "i", "start", "end", "row")]))), lambda a, b: a["rule"] == b["rule"])
     return F.concat(F.transform(spans, lambda x: x["row"]), F.transform(points, lambda x: x["row"]))
 
 
@@ -147,7 +148,7 @@ def critic_array(issues: Column, text: Column, rounds: int = 2) -> Column:
 
 def dedup_array(issues: Column) -> Column:
     """One issue per rule, span and original, the heaviest (O15), by place."""
-    keyed = F.array_sort(F.transform(issues, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rule_id"].alias("rule"), x["original"].alias("original"), (-severity_weight(x)).alias("o1"), (-x["confidence"]).alias("o2"), x.alias("row"))))
+    keyed = F.sort_array(F.transform(issues, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rule_id"].alias("rule"), x["original"].alias("original"), (-severity_weight(x)).alias("o1"), (-x["confidence"]).alias("o2"), x.alias("row"))))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["rule"] == b["rule"]) & (a["original"] == b["original"])
     return F.transform(first_of_runs(keyed, same), lambda x: x["row"])
 

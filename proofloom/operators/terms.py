@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofloom.functions.hashing import cosine, hashed_vector
-from proofloom.functions.offsets import characters, find_all, first_of_runs, let, ngrams, prefix_sums
+from proofloom.functions.offsets import characters, cutting, find_all, first_of_runs, let, ngrams, prefix_sums
 from proofloom.operators.norm import banned_array
 from proofloom.operators.parse import TEXT, any_of, context, in_quote, is_negated, paragraph_array, quote_spans, sentence_array
 from proofloom.operators.similarity import in_python
@@ -134,7 +134,7 @@ def ordering_array(text: Column, t: Term) -> Column:
     """Array of (start, end, original, kind: incomplete or order, first_wrong, suggestion) of a term's segments."""
     order = F.array(*[F.lit(w) for w in t.order])
     separator = lambda x: F.regexp_extract(x, any_of(t.order) + r"([、，,; ]{1,2})" + any_of(t.order), 1)
-    placed = lambda x: F.transform(F.array_sort(F.filter(F.transform(order, lambda w: F.struct(F.instr(x, w).alias("at"), w.alias("w"))), lambda p: p["at"] > 0)), lambda p: p["w"])
+    placed = lambda x: F.transform(F.sort_array(F.filter(F.transform(order, lambda w: F.struct(F.instr(x, w).alias("at"), w.alias("w"))), lambda p: p["at"] > 0)), lambda p: p["w"])
 
     def judged(x: Column) -> Column:
         def against(present: Column) -> Column:
@@ -243,19 +243,21 @@ def fuzzy_votes(text: Column, pack: Pack = LATIN, max_distance: int = 2, least:
     vote = lambda b, n, s: F.struct((n - b["offset"] + s).alias("start"), *[b[c].alias(c) for c in ("surface", "term_id", "severity", "confidence")])
     of_block = lambda b: F.flatten(F.transform(occurrences(text, b["pattern"]), lambda n: F.transform(F.sequence(-b["reach"], b["reach"]), lambda s: vote(b, n, s))))
     found = F.flatten(F.transform(F.filter(table, lambda b: F.contains(text, b["pattern"])), of_block))
-    return F.filter(F.array_distinct(F.concat(none, found)), lambda v: v["start"] >= 0)
+    ordered = F.sort_array(F.filter(F.concat(none, found), lambda v: v["start"] >= 0))  # equal ones side by side: array_distinct compares all pairs
+    return first_of_runs(ordered, lambda a, b: (a["start"] == b["start"]) & (a["surface"] == b["surface"]) & (a["term_id"] == b["term_id"]))
 
 
 def fuzzy_array(text: Column, votes: Column, hits: Column, pack: Pack = LATIN, max_distance: int = 2, least: float = 0.86) -> Column:
     """Array of (start, end, distance, surface, window, term_id, severity, confidence): same-length windows within an edit
     distance of a surface, as `fuzzy_hits` finds them (T06-T08)."""
-    cut = lambda v: F.substring(text, v["start"] + 1, F.length(v["surface"]))
-    told = F.transform(votes, lambda v: F.struct(v["start"].alias("start"), (v["start"] + F.length(v["surface"])).alias("end"), F.levenshtein(cut(v), v["surface"], max_distance).alias("distance"), v["surface"].alias("surface"), cut(v).alias("window"), *[v[c].alias(c) for c in ("term_id", "severity", "confidence")]))
-    near = F.filter(told, lambda v: (F.length(v["window"]) == F.length(v["surface"])) & (v["distance"] > 0) & (1 - v["distance"] / F.length(v["surface"]) >= least))
+    window = lambda cut: F.transform(votes, lambda v: F.struct(cut(v["start"], v["start"] + F.length(v["surface"])).alias("window"), v.alias("v")))
+    windows = F.filter(cutting(text, lambda n, cut: window(cut)), lambda x: (x["window"] != x["v"]["surface"]) & (F.length(x["window"]) == F.length(x["v"]["surface"])))
+    told = F.transform(windows, lambda x: F.struct(x["v"]["start"].alias("start"), (x["v"]["start"] + F.length(x["window"])).alias("end"), F.levenshtein(x["window"], x["v"]["surface"], max_distance).alias("distance"), x["v"]["surface"].alias("surface"), x["window"].alias("window"), *[x["v"][c].alias(c) for c in ("term_id", "severity", "confidence")]))
+    near = F.filter(told, lambda v: (v["distance"] > 0) & (1 - v["distance"] / F.length(v["surface"]) >= least))
     equal = lambda v: F.zip_with(characters(v["window"]), characters(v["surface"]), lambda a, b: F.when(a == b, "1").otherwise("0"))
     standards = F.array(*[F.lit(x) for x in sorted({t.term for t in pack.terms})]).cast("array<string>")
     free = lambda v: ~F.exists(hits, lambda h: h["start"] == v["start"]) & ~F.exists(standards, lambda w: (w == v["window"]) | ((F.length(w) >= 6) & F.contains(v["window"], w)))
-    kept = F.array_sort(F.filter(near, lambda v: free(v) & F.contains(F.array_join(equal(v), ""), F.lit("11"))))
+    kept = F.sort_array(F.filter(near, lambda v: free(v) & F.contains(F.array_join(equal(v), ""), F.lit("11"))))
     return F.concat(F.array().cast(f"array<{_NEAR}>"), first_of_runs(kept, lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])))
 
 
@@ -304,10 +306,11 @@ def with_meanings(rows: DataFrame, taken: str, ref_start: str, out: str, pack: P
     return rows.withColumn(out, F.transform("close_", one)).drop("open_", "close_")
 
 
-def suppression(x: Column, text: Column, quotes: Column, ref_start: Column, pack: Pack = LATIN, min_quote: int = 20) -> Column:
-    """Why an issue is not reported: long-quote (orders are not exempt), negated, reference; null if it is."""
+def suppression(x: Column, text: Column, quotes: Column, ref_start: Column, pack: Pack = LATIN, min_quote: int = 20, cut: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Why an issue is not reported: long-quote (orders are not exempt), negated, reference; null if it is (T17). cut: what
+    `cutting` gives of the text, for many issues of one."""
     quoted = ~x["rule_id"].startswith("order-") & in_quote(quotes, x["start"], min_quote)
-    return F.when(quoted, "long-quote").when(is_negated(text, x["start"], pack), "negated").when((ref_start >= 0) & (x["start"] >= ref_start), "reference")
+    return F.when(quoted, "long-quote").when(is_negated(text, x["start"], pack, cut), "negated").when((ref_start >= 0) & (x["start"] >= ref_start), "reference")
 
 
 def reference_line(paras: Column) -> Column:
@@ -353,7 +356,7 @@ def with_terms(rows: DataFrame, pack: Pack = LATIN, checks: Sequence[str] = CHEC
     order = [F.transform(ordering_array(text, t), segment(t)) for t in _ordering(pack)] if "ordering" in checks else []
     banned = banned_array(text, pack) if "banned" in checks else no_issues()
     rows = rows.withColumn("all_", F.concat(protect_array(F.concat("plain_", "meant_"), F.col("hits_")), *order, banned))
-    kept = F.filter("all_", lambda x: suppression(x, text, F.col("quotes_"), F.col("line_"), pack).isNull())
+    kept = cutting(text, lambda n, cut: F.filter("all_", lambda x: suppression(x, text, F.col("quotes_"), F.col("line_"), pack, cut=cut).isNull()))
     rows = rows.withColumn("term_issues", kept).withColumn("suppressed", F.size("all_") - F.size("term_issues"))
     return rows.drop("hits_", "votes_", "quotes_", "line_", "near_", "plain_", "meant_", "all_")
 

@@ -40,7 +40,7 @@ def reference_fields(s, d):
 
 def statements(s: SparkSession, d: str) -> DataFrame:
     """doc_id, text: one statement of each order."""
-    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("l"))
+    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("l"))
     rows = lines.select("doc_id", F.transform("l", lambda x: x["q"]).alias("q"))
     o = F.col("doc_id")
     total = F.aggregate("q", F.lit(0), lambda a, x: a + x) + F.when(o % 3 == 0, 7).otherwise(0)
